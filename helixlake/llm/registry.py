@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, token_counts, toxicity, url_filter
+from . import ann, chunk_dedup, decontaminate, jaccard_join, packing, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op5_substring_dedup": chunk_dedup.op5_substring_dedup,
+    "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op7_approximate_nearest_neighbours": ann.op7_approximate_nearest_neighbours,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_url_filters": url_filter.op9_url_filters,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-SQL = {"op8_decontamination": decontaminate.SQL, "op9_url_filters": url_filter.SQL}
+SQL = {"op6_ngram_jaccard_join": jaccard_join.SQL, "op8_decontamination": decontaminate.SQL, "op9_url_filters": url_filter.SQL}
