@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, chunk_dedup, decontaminate, jaccard_join, packing, token_counts, toxicity, url_filter
+from . import ann, chunk_dedup, decontaminate, jaccard_join, language_id, packing, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_language_id": language_id.op4_language_id,
     "op5_substring_dedup": chunk_dedup.op5_substring_dedup,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_approximate_nearest_neighbours": ann.op7_approximate_nearest_neighbours,
