@@ -150,6 +150,17 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return done.select("doc_id", F.col("text").cast("string").alias("text"), "n_chunks", "n_bytes", "n_removed", "n_spans")
 
 
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with repeated passages cut out of the texts, and their lengths anew. A document that loses all its text
+    goes; one that had none stays. Rows that share an id, or have none, keep their texts; all other columns stay."""
+    once = docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") == 1)).select(id_col)
+    cut = dedup_chunks(docs, id_col, text_col, **options).where("n_removed > 0").join(once.withColumnRenamed(id_col, "doc_id"), "doc_id")
+    new = cut.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    both = docs.join(new, docs[id_col] == new["_id"], "left").where("_text is null or length(_text) > 0")
+    text = F.coalesce("_text", F.col(text_col))
+    return both.withColumn(length_col, F.when(F.col("_id").isNull(), F.col(length_col)).otherwise(F.length("_text"))).withColumn(text_col, text).drop("_id", "_text")
+
+
 def op5_substring_dedup(spark, sf_dir):
     """SQL has no rolling hash: tests hold it against a plain version on small documents."""
     return dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, chunk_dedup, decontaminate, jaccard_join, language_id, packing, token_counts, toxicity, url_filter
+from . import ann, chunk_dedup, decontaminate, jaccard_join, language_id, packing, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_language_id": language_id.op4_language_id,
     "op5_substring_dedup": chunk_dedup.op5_substring_dedup,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_url_filters": url_filter.op9_url_filters,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-SQL = {"op6_ngram_jaccard_join": jaccard_join.SQL, "op8_decontamination": decontaminate.SQL, "op9_url_filters": url_filter.SQL}
+SQL = {"op2_suffix_array_dedup": suffix_dedup.SQL, "op6_ngram_jaccard_join": jaccard_join.SQL, "op8_decontamination": decontaminate.SQL, "op9_url_filters": url_filter.SQL}
