@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, table
+from .common import fold_of, materialize, table
 
 LEXICON_SIZE = 5_000
 EXCEPTIONS = 2_000
@@ -145,6 +145,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label")
     """Learns from all rows with label 0 or 1; only the logistic function takes a sample of FIT_ROWS. Rows with another
     or a null label are left out, null texts are empty. Without labels of both kinds the lexicon is empty."""
     rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    rows = materialize(rows, "labelled")  # read four times; the join below it moves the texts once
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
