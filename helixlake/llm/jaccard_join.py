@@ -5,10 +5,12 @@
 2. Documents with equal sets form one class; from here on classes stand for their documents.
 3. The classes' tokens are put in global orders: rarest first, with ties broken by one hash (order A) or another (B), and by
    hash alone (C). If two sets are similar, their prefixes under *each* order share a token. Order A's prefixes are joined
-   to find pairs; a pair counts as a candidate only if its prefixes meet under B and C as well; then the sets are compared.
-4. Only what can still join two components is looked at. First each token pairs its members with one of them, by another
-   hash each round; links found merge components. A large group of near copies collapses at once. Then every pair of
-   members whose components still differ is taken, so that no link between components is lost.
+   to find pairs, which must share as many prefix tokens as their sizes call for; a pair counts as a candidate only if
+   its prefixes meet under B and C as well; then the sets are compared.
+4. Only what can still join two components is looked at. While tokens have many holders in different components, each
+   token pairs its holders with one of them, by another hash each round; links found merge components, so that a large
+   group of near copies collapses at once. Then every pair of holders whose components still differ is taken, so that no
+   link between components is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, table
@@ -30,6 +32,8 @@ WORDS = 5
 PERCENT = 80
 #: Rounds of one partner a token, at most, before all pairs between components are taken.
 STAR_ROUNDS = 6
+#: All pairs are taken at once if there are no more of them than this many for each prefix token.
+PAIRS_A_ROW = 3
 
 _SETS = "doc_id long, did long, n int, node binary, tokens binary, freq binary"
 _SETS_PA = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("n", pa.int32()), ("node", pa.binary()), ("tokens", pa.binary()), ("freq", pa.binary())])
@@ -49,7 +53,7 @@ def prefix(tokens: np.ndarray, freq: np.ndarray, order: str, percent: int = PERC
 
 def shingle_table(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
     """doc_id, did, n (shingles) of every document, and for those that can be similar to another one the class key (node),
-    the tokens, and how many documents have each (up to 255)."""
+    the tokens, and how many documents have each (8 log2 of it)."""
     rows, n_runs = runs_of(docs, id_col, text_col, run_bytes)
 
     def send(t: pa.Table) -> pa.Table:
@@ -65,11 +69,11 @@ def shingle_table(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, i
         sets = shingle_sets(data, offsets, words)
         total, _ = read_answer(reply, 0)
         keys = np.unique(np.concatenate(sets))
-        freq = np.minimum(total, 255).astype(np.uint8)
+        freq = np.minimum(8 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8)  # 0: nobody else has it
         cols: dict[str, list] = {"node": [], "tokens": [], "freq": []}
         for s in sets:
             f = freq[np.searchsorted(keys, s)]
-            near = len(s) and 100 * int((f > 1).sum()) >= percent * len(s)
+            near = len(s) and 100 * int((f > 0).sum()) >= percent * len(s)
             cols["node"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if near else None)
             cols["tokens"].append(s.tobytes() if near else None)
             cols["freq"].append(f.tobytes() if near else None)
@@ -85,7 +89,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         for node, t, f in zip(b["node"].to_pylist(), b["tokens"].to_pylist(), b["freq"].to_pylist(), strict=True):
             t, f = np.frombuffer(t, np.uint64), np.frombuffer(f, np.uint8)
             p = prefix(t, f, "A", percent)
-            p = p[f[p] > 1]
+            p = p[f[p] > 0]
             tokens.append(t[p].view(np.int64))
             nodes += [node] * len(p)
             sizes += [len(t)] * len(p)
@@ -105,13 +109,23 @@ def _verify_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([b["a"].take(pa.array(keep, pa.int64())), b["b"].take(pa.array(keep, pa.int64()))], ["a", "b"])
 
 
+def _enough(shared: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Whether prefixes that share so many tokens leave similarity possible: beyond the prefixes at most the longer rest
+    of the two sets can be shared."""
+    least = lambda n: F.ceil(percent * n / 100.0 - 1e-9)
+    both = F.ceil(percent * (na + nb) / (100.0 + percent) - 1e-9)
+    return shared >= both - F.greatest(least(na) - 1, least(nb) - 1)
+
+
 def _link_classes(sets: DataFrame, percent: int) -> DataFrame | None:
     """node, comp of the classes that are linked with another one."""
-    classes = sets.where("node is not null").groupBy("node").agg(F.min("did").alias("did"))
-    reps = materialize(sets.where("node is not null").join(classes, ["node", "did"]).select("node", "n", "tokens", "freq").dropDuplicates(["node"]), "classes")
-    rows = materialize(reps.mapInArrow(lambda it: _prefix_rows(it, percent), "token long, node binary, n int"), "prefixes")
-    groups = rows.groupBy("token").count().where("count > 1").select("token")
-    rows = materialize(rows.join(groups, "token"), "prefixes")
+    known = sets.where("node is not null")
+    firsts = known.groupBy("node").agg(F.min("did").alias("first"))
+    reps = known.join(firsts, "node").where("did <= first").dropDuplicates(["node"]).select("node", "n", "tokens", "freq")
+    reps = materialize(reps, "classes")
+    every = materialize(reps.mapInArrow(lambda it: _prefix_rows(it, percent), "token long, node binary, n int"), "prefixes")
+    groups = every.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    rows = materialize(every.join(groups, "token"), "prefixes")
     n_rows = rows.count()
     if not n_rows:
         return None
@@ -120,33 +134,35 @@ def _link_classes(sets: DataFrame, percent: int) -> DataFrame | None:
     edges: DataFrame | None = None
     for k in range(STAR_ROUNDS + 1):
         own = rows.withColumn("comp", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = own.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(k))).alias("centre")).where("c0 != c1")
-        own = materialize(own.join(mixed, "token").select("token", "node", "n", "comp", "centre"), "open")
-        if own.isEmpty():
+        if labels is not None:  # tokens whose holders are in several components
+            mixed = own.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("token")
+            own = materialize(own.join(mixed, "token"), "open")
+        parts = own.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
+        cross = parts.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
+        if not cross:
             break
-        parts = own.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("s"))
-        cross = parts.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0]
-        last = k == STAR_ROUNDS or cross <= 2 * n_rows
+        last = k == STAR_ROUNDS or cross <= PAIRS_A_ROW * n_rows
         if last:
-            x, y = own.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), own.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+            x, y = (own.select("token", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
             pairs = x.join(y, "token").where("a < b and ca != cb")
         else:
-            pairs = own.where("node != centre.node and comp != centre.comp").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"), F.col("n").alias("na"), F.col("centre.n").alias("nb"))
-        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
+            centre = own.groupBy("token").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(k))).alias("centre"))
+            first, second = F.col("node") < F.col("centre.node"), F.col("centre.n")
+            pairs = own.join(centre, "token").where("comp != centre.comp").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"), F.when(first, F.col("n")).otherwise(second).alias("na"), F.when(first, second).otherwise(F.col("n")).alias("nb"))
+        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(_enough(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         seen = pairs if seen is None else seen.union(pairs)
-        left = reps.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("freq").alias("fa"))
-        right = reps.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("freq").alias("fb"))
+        left, right = (reps.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}"), F.col("freq").alias(f"f{c}")) for c in "ab")
         found = pairs.join(left, "a").join(right, "b").mapInArrow(lambda it: _verify_rows(it, percent), "a binary, b binary")
         found = materialize(found, "links")
         edges = found if edges is None else edges.union(found)
-        if not found.isEmpty():
-            labels = components(edges)
         if last:
             break
-    return labels
+        labels = components(edges)
+    return None if edges is None else components(edges)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
