@@ -43,7 +43,30 @@ SELECT l_orderkey AS pdb, l_linenumber AS interface_id, l_partkey AS first_res,
  l_extendedprice AS c1_asa, l_quantity * CAST(100 AS DOUBLE) AS c2_asa, l_extendedprice * (CAST(1 AS DOUBLE) - l_tax) AS complex_asa, l_tax AS score, CAST(l_shipdate AS DATE) AS seen
 FROM {lineitem}"""
 
-VIEWS = {"atoms": ATOMS, "domains": DOMAINS, "segments": SEGMENTS, "contacts": CONTACTS}
+# Fixed-width coordinate text of two models a structure, with alternate locations, hetero records and insertion codes.
+LINES = f"""
+SELECT cath_domain AS path, serial_number * 4 AS line_no, concat(
+ CASE WHEN serial_number % 11 = 0 THEN 'HETATM' ELSE 'ATOM  ' END, lpad(CAST(serial_number AS STRING), 5, ' '), ' ',
+ rpad(concat(' ', atom_name), 4, ' '), CASE CAST(serial_number % 10 AS INT) WHEN 3 THEN 'A' WHEN 4 THEN 'B' ELSE ' ' END, residue_name, ' ', chain,
+ lpad(residue_id, 4, ' '), CASE WHEN serial_number % 13 = 0 THEN 'A' ELSE ' ' END, '   ',
+ lpad(CAST(CAST(x AS DECIMAL(10,3)) AS STRING), 8, ' '), lpad(CAST(CAST(y AS DECIMAL(10,3)) AS STRING), 8, ' '), lpad(CAST(CAST(z AS DECIMAL(10,3)) AS STRING), 8, ' '),
+ '  1.00', lpad(CAST(CAST(floor(bfactor) AS DECIMAL(10,2)) AS STRING), 6, ' '), '      ', rpad(concat('S', chain), 4, ' '), lpad(element, 2, ' '), '  ') AS line
+FROM ({ATOMS}) q
+UNION ALL SELECT DISTINCT l_suppkey, CAST(1 AS BIGINT), rpad('MODEL        1', 80, ' ') FROM {{lineitem}}
+UNION ALL SELECT DISTINCT l_suppkey, CAST(1201 AS BIGINT), rpad('ENDMDL', 80, ' ') FROM {{lineitem}}
+UNION ALL SELECT DISTINCT l_suppkey, CAST(1202 AS BIGINT), rpad('MODEL        2', 80, ' ') FROM {{lineitem}}
+UNION ALL SELECT DISTINCT l_suppkey, CAST(999998 AS BIGINT), rpad('ENDMDL', 80, ' ') FROM {{lineitem}}
+UNION ALL SELECT DISTINCT l_suppkey, CAST(999999 AS BIGINT), rpad('END', 80, ' ') FROM {{lineitem}}"""
+
+# The same, parsed.
+RECORDS = f"""
+SELECT path, line_no, rtrim(substr(line, 1, 6)) AS record, TRY_CAST(trim(substr(line, 7, 5)) AS INT) AS serial, substr(line, 13, 4) AS atom_name, substr(line, 17, 1) AS altloc,
+ trim(substr(line, 18, 3)) AS resname, substr(line, 22, 1) AS chain, TRY_CAST(trim(substr(line, 23, 4)) AS INT) AS resseq, substr(line, 27, 1) AS icode,
+ TRY_CAST(trim(substr(line, 31, 8)) AS DOUBLE) AS x, TRY_CAST(trim(substr(line, 39, 8)) AS DOUBLE) AS y, TRY_CAST(trim(substr(line, 47, 8)) AS DOUBLE) AS z,
+ TRY_CAST(trim(substr(line, 55, 6)) AS DOUBLE) AS occ, TRY_CAST(trim(substr(line, 61, 6)) AS DOUBLE) AS b, substr(line, 73, 4) AS segid, trim(substr(line, 77, 2)) AS element, trim(substr(line, 79, 2)) AS charge, line
+FROM ({LINES}) p"""
+
+VIEWS = {"lines": LINES, "records": RECORDS, "atoms": ATOMS, "domains": DOMAINS, "segments": SEGMENTS, "contacts": CONTACTS}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
