@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.catalog import one_letter
 from ..sources.structures import COORDS
 
-_FILE = Window.partitionBy("path").orderBy("line_no")
 KEPT = ("MODEL", "ATOM", "HETATM", "ANISOU", "ENDMDL", "END", "TER", "CONECT", "MASTER")
 
 
+def _file():
+    return Window.partitionBy("path").orderBy("line_no")
+
+
 def is_coord() -> Column:
     return F.col("record").isin(*COORDS)
 
@@ -45,7 +48,7 @@ def select(df: DataFrame, field: str, values: list[str]) -> DataFrame:
 def with_model(df: DataFrame) -> DataFrame:
     """The model that each record is in; 1 before any MODEL record."""
     number = F.when(F.col("record") == "MODEL", F.trim(F.substring("line", 11, 4)).try_cast("int"))
-    return df.withColumn("model", F.coalesce(F.last(number, True).over(_FILE), F.lit(1)))
+    return df.withColumn("model", F.coalesce(F.last(number, True).over(_file()), F.lit(1)))
 
 
 def select_model(df: DataFrame, model: int) -> DataFrame:
@@ -88,7 +91,7 @@ def shave(df: DataFrame, residues: list[int]) -> DataFrame:
 
 
 def renumber_atoms(df: DataFrame, start: int = 1) -> DataFrame:
-    atoms = df.where(is_coord()).withColumn("serial", F.row_number().over(_FILE) + (start - 1))
+    atoms = df.where(is_coord()).withColumn("serial", F.row_number().over(_file()) + (start - 1))
     return atoms.unionByName(df.where(~is_coord()))
 
 
@@ -96,10 +99,10 @@ def renumber_residues(df: DataFrame, start: int = 1, chains: list[str] | None =
     """New numbers from ``start``, one more each time the number changes. ``chains``: start anew at each chain, and of
     the named ones (an empty list: all) change the numbers."""
     own = df.where(is_coord() | (F.col("record") == "TER"))
-    changed = F.coalesce(~F.col("resseq").eqNullSafe(F.lag("resseq").over(_FILE)), F.lit(True)) | (F.row_number().over(_FILE) == 1)
-    turned = F.coalesce(F.col("chain") != F.lag("chain").over(_FILE), F.lit(True))
-    out = own.withColumns({"_new": changed.cast("int"), "_turn": turned.cast("int")}).withColumn("_run", F.sum("_turn").over(_FILE))
-    w = _FILE if chains is None else Window.partitionBy("path", "_run").orderBy("line_no")
+    changed = F.coalesce(~F.col("resseq").eqNullSafe(F.lag("resseq").over(_file())), F.lit(True)) | (F.row_number().over(_file()) == 1)
+    turned = F.coalesce(F.col("chain") != F.lag("chain").over(_file()), F.lit(True))
+    out = own.withColumns({"_new": changed.cast("int"), "_turn": turned.cast("int")}).withColumn("_run", F.sum("_turn").over(_file()))
+    w = _file() if chains is None else Window.partitionBy("path", "_run").orderBy("line_no")
     number = F.sum("_new").over(w) + (start - 1)
     if chains:
         number = F.when(F.col("chain").isin(*chains), number).otherwise(F.col("resseq"))
@@ -116,7 +119,7 @@ def tidy(df: DataFrame) -> DataFrame:
     """Coordinate records with TER after a change of chain, a jump in numbers, and the last one; then END.
     ``line_no`` is kept; ``sub`` orders what is added."""
     own = df.where(is_coord())
-    nxt = F.lead(F.struct("chain", "resseq")).over(_FILE)
+    nxt = F.lead(F.struct("chain", "resseq")).over(_file())
     ends = nxt.isNull() | (nxt["chain"] != F.col("chain")) | (nxt["resseq"] - F.col("resseq") > 1)
     ter = own.withColumns({"_last": nxt.isNull(), "_ter": ends}).where("_ter")
     blank = {c: F.lit(None).cast(t) for c, t in own.dtypes if c in ("x", "y", "z", "occ", "b")}
@@ -128,7 +131,7 @@ def tidy(df: DataFrame) -> DataFrame:
 def gaps(df: DataFrame, limit: float = 4.0) -> DataFrame:
     """Breaks between alpha carbons next to each other in a model's chain: farther than ``limit``, or numbers that skip."""
     ca = with_model(df).where(is_coord() & (F.col("atom_name") == " CA "))
-    before = F.lag(F.struct("model", "chain", "resseq", "x", "y", "z")).over(_FILE)
+    before = F.lag(F.struct("model", "chain", "resseq", "x", "y", "z")).over(_file())
     d = F.sqrt((F.col("x") - before["x"]) ** 2 + (F.col("y") - before["y"]) ** 2 + (F.col("z") - before["z"]) ** 2)
     rows = ca.withColumns({"_b": before, "distance": d}).where("_b.model = model and _b.chain = chain")
     kind = F.when(F.col("distance") > limit, "break").when(F.col("_b.resseq") + 1 != F.col("resseq"), "sequence")
@@ -171,7 +174,7 @@ def summarize(df: DataFrame) -> DataFrame:
     """Atoms, different atoms, residues, chains, models, and whether there are hetero records, gaps, double locations and
     insertions. Residues and chains count each time they start."""
     atom = F.col("record") == "ATOM"
-    w = _FILE
+    w = _file()
     own = df.where(atom)
     before = F.lag(F.struct("resname", "chain", "resseq")).over(w)
     new = before.isNull() | (before["resname"] != F.col("resname")) | (before["chain"] != F.col("chain")) | (before["resseq"] != F.col("resseq"))
@@ -206,7 +209,7 @@ def copy_values(df: DataFrame, reference: DataFrame) -> DataFrame:
 
 def update_coordinates(df: DataFrame, other: DataFrame) -> DataFrame:
     """Coordinates of another structure, atom by atom in order."""
-    k = lambda d: d.where(is_coord()).withColumn("_k", F.row_number().over(_FILE))
+    k = lambda d: d.where(is_coord()).withColumn("_k", F.row_number().over(_file()))
     o = k(other).select("path", "_k", *(F.col(c).alias(f"_{c}") for c in "xyz"))
     return k(df).join(o, ["path", "_k"]).withColumns({c: F.col(f"_{c}") for c in "xyz"}).drop("_k", "_x", "_y", "_z")
 
