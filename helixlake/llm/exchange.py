@@ -72,8 +72,10 @@ def batches(offsets: np.ndarray, size: int = 1_000_000):
 
 def key_rows(run: int, kind: int, n_buckets: int, keys: np.ndarray, counts: np.ndarray | None = None, owners: np.ndarray | None = None, extra: np.ndarray | None = None) -> pa.Table:
     """``keys``: sorted (with ``extra``, a second hash, as the lower half). Equal pairs must not repeat."""
+    if not len(keys):
+        return _KEYS_PA.empty_table()
     bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-    cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(n_buckets + 1))) if len(keys) else np.zeros(0, int)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(n_buckets + 1)))
     rows = []
     for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
         rows.append({"bucket": int(bucket[a]), "run": run, "kind": kind, "n": int(b - a), "keys": squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), "extra": None if extra is None else extra[a:b].tobytes(), "counts": None if counts is None else squeeze(counts[a:b].astype(np.uint32)), "owners": None if owners is None else squeeze(owners[a:b])})

@@ -76,31 +76,28 @@ def reduce_and_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int
     def largest(limit: int, without: dict[int, int]) -> int:
         return max((s for s, n in left.items() if s <= limit and n > without.get(s, 0)), default=0)
 
-    kept: dict[int, int] = {}
-    while left:
-        j = max(left)
-        room = capacity - j
-        own = {j: 1}
-        best = largest(room, own)
-        smallest = sorted(s for s, n in left.items() if n > own.get(s, 0))[:2]
-        two = 2 * smallest[0] if smallest and left[smallest[0]] - own.get(smallest[0], 0) > 1 else sum(smallest) if len(smallest) > 1 else capacity
-        if not best:
-            fix([j], left[j])
-        elif best == room or two > room:  # an exact fill, or one partner at most
-            fix([j, best], left[j] // 2 if best == j else min(left[j], left[best]))
-        else:
-            pair = _best_pair(left, room, own)
-            three = 3 * smallest[0] > room if smallest else True
-            if three and best >= sum(pair):
+    for j in sorted(left, reverse=True):
+        while j in left:
+            room, own = capacity - j, {j: 1}
+            best = largest(room, own)
+            few = [s for s in sorted(left)[:3] for _ in range(min(3, left[s] - own.get(s, 0)))][:3]  # smallest partners
+            if not best:
+                fix([j], left[j])
+            elif best == room or sum(few[:2]) > room or len(few) < 2:  # an exact fill, or one partner at most
                 fix([j, best], left[j] // 2 if best == j else min(left[j], left[best]))
-            elif three and best == pair[0] and sum(pair) == room:
-                need: dict[int, int] = defaultdict(int)
-                for s in (j, *pair):
-                    need[s] += 1
-                fix([j, *pair], min(left[s] // n for s, n in need.items()))
-            else:  # no set dominates: this length is left to best fit
-                kept[j] = kept.get(j, 0) + left.pop(j)
-    left = kept
+            elif sum(few) > room or len(few) < 3:  # two partners at most
+                pair = _best_pair(left, room, own)
+                if best >= sum(pair):
+                    fix([j, best], left[j] // 2 if best == j else min(left[j], left[best]))
+                elif best == pair[0] and sum(pair) == room:
+                    need: dict[int, int] = defaultdict(int)
+                    for s in (j, *pair):
+                        need[s] += 1
+                    fix([j, *pair], min(left[s] // n for s, n in need.items()))
+                else:
+                    break
+            else:
+                break  # no set dominates: this length is left to best fit
     bins: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left: (first sequence, how many)
     for s in sorted(left, reverse=True):
         n = left[s]
