@@ -8,7 +8,7 @@
    to find pairs, which must share as many prefix tokens as their sizes call for; a pair counts as a candidate only if
    its prefixes meet under B and C as well; then the sets are compared.
 4. Only what can still join two components is looked at. While tokens have many holders in different components, each
-   token pairs its holders with one of them, by another hash each round; links found merge components, so that a large
+   token pairs its holders with a few of them, by other hashes each round; links found merge components, so that a large
    group of near copies collapses at once. Then every pair of holders whose components still differ is taken, so that no
    link between components is lost.
 """
@@ -30,10 +30,14 @@ from .shingles import shingle_sets
 
 WORDS = 5
 PERCENT = 80
-#: Rounds of one partner a token, at most, before all pairs between components are taken.
+#: Rounds of a few partners a token, at most, before all pairs between components are taken.
 STAR_ROUNDS = 6
 #: All pairs are taken at once if there are no more of them than this many for each prefix token.
 PAIRS_A_ROW = 3
+#: Holders that each token's others are paired with in a round.
+CENTRES = 4
+#: A round that leaves more than this share of the pairs open is the last one before all of them are taken.
+STALLED = 0.7
 
 _SETS = "doc_id long, did long, n int, node binary, tokens binary, freq binary"
 _SETS_PA = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("n", pa.int32()), ("node", pa.binary()), ("tokens", pa.binary()), ("freq", pa.binary())])
@@ -129,26 +133,26 @@ def _link_classes(sets: DataFrame, percent: int) -> DataFrame | None:
     n_rows = rows.count()
     if not n_rows:
         return None
-    labels: DataFrame | None = None
+    open_rows = rows.withColumn("comp", F.col("node"))
     seen: DataFrame | None = None
     edges: DataFrame | None = None
+    before = None
     for k in range(STAR_ROUNDS + 1):
-        own = rows.withColumn("comp", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if labels is not None:  # tokens whose holders are in several components
-            mixed = own.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("token")
-            own = materialize(own.join(mixed, "token"), "open")
-        parts = own.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
+        parts = open_rows.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
         cross = parts.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
         if not cross:
             break
-        last = k == STAR_ROUNDS or cross <= PAIRS_A_ROW * n_rows
+        last = k == STAR_ROUNDS or cross <= PAIRS_A_ROW * n_rows or (before is not None and cross > STALLED * before)
+        before = cross
         if last:
-            x, y = (own.select("token", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
+            x, y = (open_rows.select("token", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
             pairs = x.join(y, "token").where("a < b and ca != cb")
         else:
-            centre = own.groupBy("token").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(k))).alias("centre"))
+            some = F.array(*(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(CENTRES * k + i))) for i in range(CENTRES)))
+            centre = open_rows.groupBy("token").agg(F.array_distinct(some).alias("centres"))
+            near = open_rows.join(centre, "token").select("node", "n", "comp", F.explode("centres").alias("centre"))
             first, second = F.col("node") < F.col("centre.node"), F.col("centre.n")
-            pairs = own.join(centre, "token").where("comp != centre.comp").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"), F.when(first, F.col("n")).otherwise(second).alias("na"), F.when(first, second).otherwise(F.col("n")).alias("nb"))
+            pairs = near.where("comp != centre.comp").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"), F.when(first, F.col("n")).otherwise(second).alias("na"), F.when(first, second).otherwise(F.col("n")).alias("nb"))
         pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(_enough(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
         if seen is not None:
@@ -161,7 +165,11 @@ def _link_classes(sets: DataFrame, percent: int) -> DataFrame | None:
         edges = found if edges is None else edges.union(found)
         if last:
             break
-        labels = components(edges)
+        labelled = rows.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        labelled = materialize(labelled, "open")
+        mixed = labelled.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("token")
+        open_rows = materialize(labelled.join(mixed, "token"), "open")
+        rows = open_rows.drop("comp")  # a token whose holders are one component is done with
     return None if edges is None else components(edges)
 
 
