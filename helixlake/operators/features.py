@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import BIOLOGICAL, KD, OCTANAL, PHARMACOPHORE, RESIDUE_RADII, RESIDUES, THRESHOLDS, VDW_RADII, lookup, one_hot, one_letter, threshold
 
+# The catalogue's atom types.
+ATOM_TYPES = ("H", "HD", "HS", "C", "A", "N", "NA", "NS", "OA", "OS", "F", "MG", "P", "SA", "S", "CL", "CA", "MN", "FE", "ZN", "BR", "I")
 ELEMENTS = ("H", "C", "N", "O", "S", "P", "F")
 NAN = float("nan")
 
@@ -99,3 +101,41 @@ def id_parts(df: DataFrame, domain: str = "cath_domain", residue: str = "residue
 
 def normalised_bfactor(df: DataFrame, mean: float, std: float) -> DataFrame:
     return df.withColumn("bfactor_norm", (F.col("bfactor") - mean) / std)
+
+
+def atom_types(df: DataFrame, atom_type: str = "atom_type") -> DataFrame:
+    return df.withColumns(one_hot(F.col(atom_type), ATOM_TYPES, "_type", "Unk_atom"))
+
+
+#: What each group of features adds; a preset is a list of groups.
+GROUPS = {"element": element_features, "radii": radii, "hydrophobicity": hydrophobicity, "residue": residue_one_hot, "structure": secondary_structure, "thresholds": thresholds}
+PRESETS = {"all": tuple(GROUPS), "only_aa": ("residue",), "only_atom": ("element",), "non_geometric": ("radii", "hydrophobicity", "thresholds")}
+
+
+def preset(df: DataFrame, name: str, update: tuple[str, ...] = ()) -> DataFrame:
+    """The features of a preset, or of the groups named in ``update`` alone; other columns pass through."""
+    for group in update or PRESETS[name]:
+        df = GROUPS[group](df)
+    return df
+
+
+def add_features(df: DataFrame, extra: DataFrame, by: list[str]) -> DataFrame:
+    """Columns of another table by key; rows without one have null."""
+    return df.join(extra, by, "left")
+
+
+def node_mask(residue: Column) -> Column:
+    """Twenty places, one of them 1; selenomethionine counts as methionine, unknown residues as none."""
+    name = F.when(residue == "MSE", "MET").otherwise(residue)
+    return F.array(*(F.coalesce((name == r).cast("int"), F.lit(0)) for r in RESIDUES))
+
+
+def residue_from_atoms(residues: DataFrame, templates: DataFrame, key: list[str]) -> DataFrame:
+    """Residue names by sets of atom names. ``residues``: key, atoms (sorted array), counts (a struct of element counts);
+    ``templates``: name, atoms, counts. An equal set names the residue; else, of the templates with equal counts, the one
+    that shares the most atom names (the first name on ties); else null. Templates are few: one a residue kind."""
+    exact = residues.join(templates.groupBy("atoms").agg(F.min("name").alias("exact")), "atoms", "left")
+    t = templates.select("counts", F.struct(F.size("atoms"), "name", "atoms").alias("t"))
+    near = exact.where("exact is null").join(t, "counts")
+    best = near.groupBy(*key).agg(F.min(F.struct((-F.size(F.array_intersect("atoms", "t.atoms"))).alias("k"), F.col("t.name").alias("name"))).alias("b"))
+    return exact.join(best, key, "left").select(*key, F.coalesce("exact", "b.name").alias("residue"))
