@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, table
+from .common import materialize, mix64, table
 from .exchange import REPLY, RUN_BYTES, answers, batches, group_spans, key_rows, key_schema, read_answer, runs_of, squeeze, texts_of, unsqueeze
 
 WINDOW, SEED = 50, 20
@@ -41,7 +41,7 @@ _RUN = "bucket int, run int, n int, lcp binary, rest binary, ends binary, owners
 _RUN_PA = pa.schema([("bucket", pa.int32()), ("run", pa.int32()), ("n", pa.int32()), ("lcp", pa.binary()), ("rest", pa.binary()), ("ends", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())])
 _REPLY_PA = pa.schema([("run", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("total", pa.binary()), ("smaller", pa.binary())])
 _OUT = "doc_id long, did long, text binary, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>"
-ANCHORS, ENTRIES, WINDOWS = 0, 1, 2
+ANCHORS, ENTRIES, WINDOWS, STATE = 0, 1, 2, 3
 
 
 def window_hash(data: np.ndarray, size: int) -> np.ndarray:
@@ -216,21 +216,29 @@ def _sort_run(data: np.ndarray, e: Entries, did: np.ndarray, window: int) -> tup
     return [different[i] for i in order], bucket[order], rank, owners
 
 
-def _send_entries(run: int, n_buckets: int, data: np.ndarray, e: Entries, did: np.ndarray, window: int) -> pa.Table:
+def _send_entries(run: int, n_buckets: int, data: np.ndarray, e: Entries, n: np.ndarray, did: np.ndarray, window: int) -> pa.Table:
+    """The front-coded runs by bucket, and what the run must know of its entries afterwards, under a bucket of its own."""
     strings, crc, rank, owners = _sort_run(data, e, did, window)
     counts = np.bincount(rank, minlength=len(strings))
     bucket = (crc * np.uint64(n_buckets)) >> np.uint64(32)
-    rows = []
+    rows, place, at = [], np.empty(len(strings), np.int64), 0
     for b in np.unique(bucket).tolist():
         own = np.flatnonzero(bucket == b)
         lcp, rest = front_code([strings[i] for i in own.tolist()])
         ends = np.cumsum([len(r) for r in rest], dtype=np.uint32)
+        place[own] = at + np.arange(len(own))  # in the order of the replies
+        at += len(own)
         rows.append({"bucket": b, "run": run, "n": len(own), "lcp": squeeze(lcp), "rest": zstandard.ZstdCompressor(3).compress(b"".join(rest)), "ends": squeeze(np.diff(ends, prepend=np.uint32(0))), "owners": squeeze(owners[own]), "counts": squeeze(counts[own].astype(np.uint32))})
+    mine = (owners[rank] < did[e.doc]).astype(np.int64)
+    state = np.concatenate([e.first, e.last, e.doc, place[rank], n.astype(np.int64), mine]).astype(np.uint32)
+    rows.append({"bucket": -1 - run, "run": run, "n": len(e.doc), "rest": squeeze(state)})
     return pa.Table.from_pylist(rows, schema=_RUN_PA)
 
 
 def _merge(t: pa.Table) -> pa.Table:
     rows = sorted(t.to_pylist(), key=lambda r: r["run"])
+    if rows[0]["bucket"] < 0:  # a run's own state goes back to it
+        return pa.Table.from_pylist([{"run": r["run"], "kind": STATE, "bucket": 0, "n": r["n"], "total": r["rest"], "smaller": None} for r in rows], schema=_REPLY_PA)
     runs, owners, counts = [], [], []
     for r in rows:
         blob = zstandard.ZstdDecompressor().decompress(r["rest"])
@@ -264,27 +272,33 @@ def _candidates(data: np.ndarray, offsets: np.ndarray, reply: pa.Table, window:
     return e.take(keep), n[keep]
 
 
-def _settled(data: np.ndarray, e: Entries, n: np.ndarray, did: np.ndarray, reply: pa.Table, n_buckets: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries that a smaller document has as a whole, and entries whose windows must be looked at one by one."""
-    if not len(e.doc):
-        return np.zeros(0, bool), np.zeros(0, bool)
-    _, crc, rank, owners = _sort_run(data, e, did, window)
-    order = np.argsort((crc * np.uint64(n_buckets)) >> np.uint64(32), kind="stable")
+def _ordered(t: pa.Table) -> pa.Table:
+    """A run's documents in the same order each time they are read: shuffles don't keep one."""
+    return t.sort_by([("did", "ascending"), ("text", "ascending")])
+
+
+def _settled(reply: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a run's entries: first window, last window, document, whether a smaller document has the entry as a whole, and
+    whether its windows must be looked at one by one. Windows of an entry that is gone are not: they go with it, and a
+    smaller document sends them."""
+    state = [r for r in reply.to_pylist() if r["kind"] == STATE]
+    if not state or not state[0]["n"]:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, bool), np.zeros(0, bool)
+    first, last, doc, place, n, mine = unsqueeze(state[0]["total"], np.uint32).reshape(6, -1).astype(np.int64)
     total, smaller = read_answer(reply, ENTRIES)
-    t, s = np.empty(len(order), np.uint32), np.empty(len(order), bool)
-    t[order], s[order] = total, smaller
-    gone = s[rank] | (owners[rank] < did[e.doc])
-    return gone, (t[rank] < n)
+    gone = smaller[place] | (mine > 0)
+    return first, last, doc, gone, (total[place] < n) & ~gone
 
 
-def _windows(data: np.ndarray, e: Entries, did: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(data: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions, hashes and owners of all windows of some entries."""
-    size = e.last - e.first + 1
-    p = np.repeat(e.first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    size = last - first + 1
+    p = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
     h = np.zeros(len(p), np.uint64)
     for at in range(0, len(p), 1 << 15):  # the bytes of a batch of windows side by side
         h[at : at + (1 << 15)] = hash_rows(data[p[at : at + (1 << 15), None] + np.arange(window)])
-    return p, h, np.repeat(did[e.doc], size)
+    return p, h, np.repeat(owner, size)
 
 
 _rng = np.random.default_rng(4711)
@@ -316,34 +330,36 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return key_rows(t["run"][0].as_py(), ANCHORS, n_runs, keys, counts)
 
     def send_entries(t: pa.Table, reply: pa.Table) -> pa.Table:
+        t = _ordered(t)
         did, data, offsets = texts_of(t)
         if not len(did):
             return _RUN_PA.empty_table()
-        e, _ = _candidates(data, offsets, reply, window, seed)
-        return _send_entries(t["run"][0].as_py(), n_runs, data, e, did, window)
+        e, n = _candidates(data, offsets, reply, window, seed)
+        return _send_entries(t["run"][0].as_py(), n_runs, data, e, n, did, window)
 
     def open_windows(t: pa.Table, reply: pa.Table):
+        t = _ordered(t)
         did, data, offsets = texts_of(t)
-        e, n = _candidates(data, offsets, reply, window, seed)
-        gone, open_ = _settled(data, e, n, did, reply, n_runs, window)
-        p, h, own = _windows(data, e.take(open_), did, window)
+        first, last, doc, gone, open_ = _settled(reply)
+        p, h, own = _windows(data, first[open_], last[open_], did[doc[open_]], window)
         order = np.lexsort((own, h))
         fresh = np.ones(len(order), bool)
         fresh[1:] = h[order][1:] != h[order][:-1]
-        return did, data, offsets, e, gone, p, h, own, order, fresh
+        return did, data, offsets, first[gone], last[gone], p, h, own, order, fresh
 
     def send_windows(t: pa.Table, reply: pa.Table) -> pa.Table:
         if not len(t):
             return key_rows(0, WINDOWS, n_runs, np.zeros(0, np.uint64))
         *_, h, own, order, fresh = open_windows(t, reply)
-        first = order[fresh]
-        return key_rows(t["run"][0].as_py(), WINDOWS, n_runs, h[first], None, own[first])
+        one = order[fresh]
+        return key_rows(t["run"][0].as_py(), WINDOWS, n_runs, h[one], None, own[one])
 
     def cut(t: pa.Table, reply: pa.Table) -> pa.Table:
-        did, data, offsets, e, gone, p, h, own, order, fresh = open_windows(t, reply)
+        t = _ordered(t)
+        did, data, offsets, first, last, p, h, own, order, fresh = open_windows(t, reply)
         step = np.zeros(len(data) + 1, np.int32)
-        np.add.at(step, e.first[gone], 1)
-        np.add.at(step, e.last[gone] + window, -1)
+        np.add.at(step, first, 1)
+        np.add.at(step, last + window, -1)
         if len(p):
             _, smaller = read_answer(reply, WINDOWS)
             group = np.cumsum(fresh) - 1
@@ -364,9 +380,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols["ends"].append(z)
         return pa.table({"doc_id": t["doc_id"].combine_chunks(), "did": pa.array(did), "text": pa.array(cols["text"], pa.binary()), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(cols["n_removed"], pa.int64()), "n_spans": pa.array(cols["n_spans"], pa.int64()), "starts": pa.array(cols["starts"], pa.list_(pa.int64())), "ends": pa.array(cols["ends"], pa.list_(pa.int64()))})
 
+    # replies are small and read more than once, so they are written; the texts' exchange by run is used again each time
     counted = answers(by_run.applyInArrow(send_anchors, key_schema()))
     sent = rows.groupBy("run").cogroup(counted.groupBy("run")).applyInArrow(send_entries, _RUN)
-    merged = counted.union(sent.groupBy("bucket").applyInArrow(_merge, REPLY))
+    merged = materialize(sent.groupBy("bucket").applyInArrow(_merge, REPLY), "entries")
     settled = answers(rows.groupBy("run").cogroup(merged.groupBy("run")).applyInArrow(send_windows, key_schema()))
     return rows.groupBy("run").cogroup(merged.union(settled).groupBy("run")).applyInArrow(cut, _OUT).drop("did")
 
