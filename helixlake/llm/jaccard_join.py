@@ -4,9 +4,9 @@
    that can be similar to another shares at least the threshold's part of its shingles; the others are alone and done.
 2. Documents with equal sets form one class; from here on classes stand for their documents.
 3. The classes' tokens are put in global orders: rarest first, with ties broken by one hash (order A) or another (B), and by
-   hash alone (C). If two sets are similar, their prefixes under *each* order share a token. Order A's prefixes are joined
-   to find pairs, which must share as many prefix tokens as their sizes call for; a pair counts as a candidate only if
-   its prefixes meet under B and C as well; then the sets are compared.
+   hash alone (C). If two sets are similar, their prefixes under *each* order share as many tokens as their sizes call for.
+   Order A's prefixes are joined to find pairs (the smaller set's short prefix with the other one's); a pair counts as a
+   candidate only if the prefixes share enough under A, B and C alike; then the sets themselves are compared.
 4. Only what can still join two components is looked at. While tokens have many holders in different components, each
    token pairs its holders with a few of them, by other hashes each round; links found merge components, so that a large
    group of near copies collapses at once. Then every pair of holders whose components still differ is taken, so that no
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, table
@@ -87,38 +87,59 @@ def shingle_table(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, i
     return materialize(rows.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(judge, _SETS), "shingles")
 
 
+def _short(n: int, percent: int) -> int:
+    """Length of the prefix that is enough for the smaller of two sets: the other one is at least as large."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def _prefix_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        nodes, tokens, sizes = [], [], []
+        nodes, tokens, sizes, short = [], [], [], []
         for node, t, f in zip(b["node"].to_pylist(), b["tokens"].to_pylist(), b["freq"].to_pylist(), strict=True):
             t, f = np.frombuffer(t, np.uint64), np.frombuffer(f, np.uint8)
             p = prefix(t, f, "A", percent)
-            p = p[f[p] > 0]
+            first = np.arange(len(p)) < _short(len(t), percent)
+            first, p = first[f[p] > 0], p[f[p] > 0]
+            short.append(first)
             tokens.append(t[p].view(np.int64))
             nodes += [node] * len(p)
             sizes += [len(t)] * len(p)
         if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32())], ["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(short))], ["token", "node", "n", "short"])
 
 
-def _verify_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _heads(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The prefixes under all three orders, sorted, one after the other: a few parts in ten of the sets."""
+    for b in batches:
+        heads = []
+        for t, f in zip(b["tokens"].to_pylist(), b["freq"].to_pylist(), strict=True):
+            t, f = np.frombuffer(t, np.uint64), np.frombuffer(f, np.uint8)
+            heads.append(np.concatenate([np.sort(t[prefix(t, f, o, percent)]) for o in "ABC"]).tobytes())
+        yield pa.RecordBatch.from_arrays([b["node"], b["n"], pa.array(heads, pa.binary())], ["node", "n", "head"])
+
+
+def _filter_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose prefixes share enough tokens under each of the orders: beyond its prefix at most the longer rest of the
+    two sets can be shared."""
     for b in batches:
         keep = []
-        for i, (ta, fa, tb, fb) in enumerate(zip(*(b[c].to_pylist() for c in ("ta", "fa", "tb", "fb")), strict=True)):
-            ta, tb, fa, fb = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64), np.frombuffer(fa, np.uint8), np.frombuffer(fb, np.uint8)
-            if all(len(np.intersect1d(ta[prefix(ta, fa, o, percent)], tb[prefix(tb, fb, o, percent)], True)) for o in "BC"):
-                both = len(np.intersect1d(ta, tb, True))
-                if 100 * both >= percent * (len(ta) + len(tb) - both):
-                    keep.append(i)
+        for i, (na, ha, nb, hb) in enumerate(zip(*(b[c].to_pylist() for c in ("na", "ha", "nb", "hb")), strict=True)):
+            ha, hb = np.frombuffer(ha, np.uint64).reshape(3, -1), np.frombuffer(hb, np.uint64).reshape(3, -1)
+            least = -(-percent * (na + nb) // (100 + percent)) - max(na - ha.shape[1], nb - hb.shape[1])
+            if all(len(np.intersect1d(x, y, True)) >= max(1, least) for x, y in zip(ha, hb, strict=True)):
+                keep.append(i)
         yield pa.RecordBatch.from_arrays([b["a"].take(pa.array(keep, pa.int64())), b["b"].take(pa.array(keep, pa.int64()))], ["a", "b"])
 
 
-def _enough(shared: Column, na: Column, nb: Column, percent: int) -> Column:
-    """Whether prefixes that share so many tokens leave similarity possible: beyond the prefixes at most the longer rest
-    of the two sets can be shared."""
-    least = lambda n: F.ceil(percent * n / 100.0 - 1e-9)
-    both = F.ceil(percent * (na + nb) / (100.0 + percent) - 1e-9)
-    return shared >= both - F.greatest(least(na) - 1, least(nb) - 1)
+def _verify_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = []
+        for i, (ta, tb) in enumerate(zip(b["ta"].to_pylist(), b["tb"].to_pylist(), strict=True)):
+            ta, tb = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
+            both = len(np.intersect1d(ta, tb, True))
+            if 100 * both >= percent * (len(ta) + len(tb) - both):
+                keep.append(i)
+        yield pa.RecordBatch.from_arrays([b["a"].take(pa.array(keep, pa.int64())), b["b"].take(pa.array(keep, pa.int64()))], ["a", "b"])
 
 
 def _link_classes(sets: DataFrame, percent: int) -> DataFrame | None:
@@ -127,7 +148,8 @@ def _link_classes(sets: DataFrame, percent: int) -> DataFrame | None:
     firsts = known.groupBy("node").agg(F.min("did").alias("first"))
     reps = known.join(firsts, "node").where("did <= first").dropDuplicates(["node"]).select("node", "n", "tokens", "freq")
     reps = materialize(reps, "classes")
-    every = materialize(reps.mapInArrow(lambda it: _prefix_rows(it, percent), "token long, node binary, n int"), "prefixes")
+    every = materialize(reps.mapInArrow(lambda it: _prefix_rows(it, percent), "token long, node binary, n int, short boolean"), "prefixes")
+    heads = materialize(reps.mapInArrow(lambda it: _heads(it, percent), "node binary, n int, head binary"), "heads")
     groups = every.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     rows = materialize(every.join(groups, "token"), "prefixes")
     n_rows = rows.count()
@@ -144,23 +166,27 @@ def _link_classes(sets: DataFrame, percent: int) -> DataFrame | None:
             break
         last = k == STAR_ROUNDS or cross <= PAIRS_A_ROW * n_rows or (before is not None and cross > STALLED * before)
         before = cross
+        # of two sets the smaller one's short prefix and the other one's prefix share a token
         if last:
-            x, y = (open_rows.select("token", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
-            pairs = x.join(y, "token").where("a < b and ca != cb")
+            x, y = (open_rows.select("token", "short", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"c{c}")) for c in "ab")
+            pairs = x.where("short").drop("short").join(y.drop("short"), "token").where("ca != cb and (na < nb or (na = nb and a < b))")
+            pairs = pairs.where(100 * F.col("na") >= percent * F.col("nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
-            some = F.array(*(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(CENTRES * k + i))) for i in range(CENTRES)))
+            some = F.array(*(F.min_by(F.struct("node", "n", "comp", "short"), F.xxhash64("node", F.lit(CENTRES * k + i))) for i in range(CENTRES)))
             centre = open_rows.groupBy("token").agg(F.array_distinct(some).alias("centres"))
-            near = open_rows.join(centre, "token").select("node", "n", "comp", F.explode("centres").alias("centre"))
-            first, second = F.col("node") < F.col("centre.node"), F.col("centre.n")
-            pairs = near.where("comp != centre.comp").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"), F.when(first, F.col("n")).otherwise(second).alias("na"), F.when(first, second).otherwise(F.col("n")).alias("nb"))
-        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(_enough(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+            near = open_rows.join(centre, "token").select("node", "n", "comp", "short", F.explode("centres").alias("c")).where("comp != c.comp")
+            smaller = "n < c.n or (n = c.n and node < c.node)"
+            near = near.where(f"if({smaller}, short, c.short)").where(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
+            pairs = near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+        pairs = pairs.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         seen = pairs if seen is None else seen.union(pairs)
-        left, right = (reps.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}"), F.col("freq").alias(f"f{c}")) for c in "ab")
-        found = pairs.join(left, "a").join(right, "b").mapInArrow(lambda it: _verify_rows(it, percent), "a binary, b binary")
+        left, right = (heads.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("head").alias(f"h{c}")) for c in "ab")
+        likely = pairs.join(left, "a").join(right, "b").mapInArrow(lambda it: _filter_rows(it, percent), "a binary, b binary")
+        left, right = (reps.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+        found = likely.join(left, "a").join(right, "b").mapInArrow(lambda it: _verify_rows(it, percent), "a binary, b binary")
         found = materialize(found, "links")
         edges = found if edges is None else edges.union(found)
         if last:
