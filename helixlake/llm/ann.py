@@ -24,8 +24,8 @@ from .common import materialize, table
 
 #: Vectors that the codebooks are fitted to, at most.
 SAMPLE_ROWS = 20_000
-#: Distinct vectors that a query's cells hold at least: this share of all, and never fewer than LEAST. Vectors without any
-#: structure need such a share for a recall of 0.9; clustered ones need a hundredth of it.
+#: Distinct vectors that a query's cells hold at least: this share of all, and never fewer than LEAST. The test vectors have
+#: next to no structure and need such a share for a recall over 0.9.
 PROBE_SHARE, LEAST_PROBES = 0.7, 4_000
 MAX_CENTROIDS = 256
 BLOCK_ENTRIES, BLOCK_QUERIES = 4_096, 2_048

@@ -32,7 +32,7 @@ KEEP_SCORE = 0.4
 
 
 def softsign(a: np.ndarray) -> np.ndarray:
-    """x / (1 + |x|), the network's squashing function: it costs a sixth of tanh."""
+    """x / (1 + |x|), the network's squashing function; cheaper than tanh."""
     return a / (1 + np.abs(a))
 
 
