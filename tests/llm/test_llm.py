@@ -167,6 +167,42 @@ def test_chunk_dedup_of_nothing_and_rewrite(docs, none):
     assert out.columns == docs.columns and out.count() <= docs.count()
 
 
+def test_windows_catch_every_passage_of_51_words(spark):
+    r = random.Random(21)
+    short = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzñé日") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    rows, size = [], {}
+    for k in range(600):
+        p = short(51)
+        size[1000 + k] = len(p.encode())
+        rows += [(k, short(r.randrange(60)) + " " + p + " " + short(40)), (1000 + k, short(40) + " " + p + " " + short(r.randrange(60)))]
+    got = chunk_dedup.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string"), pieces=chunk_dedup.windows_of).collect()
+    left = [size[x.doc_id] - x.n_removed for x in got if x.doc_id >= 1000]
+    assert max(left) <= 2 * chunk_dedup.WINNOW + 6 and sum(left) < 0.12 * sum(size.values())
+    assert all(x.n_removed == 0 for x in got if x.doc_id < 1000)
+    assert all(abs(x.n_removed + len(x.text.encode()) - x.n_bytes) == 0 for x in got)
+    ours = {r.doc_id: r.n_removed for r in chunk_dedup.op5_substring_dedup(_Tables(spark, rows), "").collect()}
+    assert ours == {x.doc_id: x.n_removed for x in got}
+
+
+class _Tables:
+    """Stands for the session: the reader gives one table."""
+
+    def __init__(self, spark, rows):
+        self.read, self.df = self, spark.createDataFrame(rows, "doc_id long, text string")
+
+    def parquet(self, _):
+        return self.df
+
+
+def test_windows_take_copies_whole_and_short_repeats_not(spark):
+    r = random.Random(22)
+    stock, flat = words(r, 12)[:100], "y" * 300
+    rows = [(1, words(r, 80)), (3, "é" + words(r, 30) + flat + words(r, 30)), (5, stock + words(r, 40)), (6, words(r, 40) + stock), (7, "z" * 900), (8, "z" * 700), (9, ""), (10, None), (11, "日" * 60)]
+    rows += [(20 + i, t) for i, t in rows if i in (1, 3, 11)]
+    got = {x.doc_id: (x.n_removed, x.text) for x in chunk_dedup.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string"), pieces=chunk_dedup.windows_of).collect()}
+    assert all(got[i][1] == "" for i in (21, 23, 31, 8)) and all(got[i][0] == 0 for i in (1, 3, 5, 6, 7, 9, 10, 11))
+
+
 # --- 6: Jaccard join ------------------------------------------------------------------------------------------------
 
 
