@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, eos: int
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = byte_bpe(vocab)
         for s in texts:
-            yield pd.Series([pieces_of(np.array((bpe.encode_ordinary(t) if t else []) + [eos], dtype="<u4"), capacity) for t in s], dtype=object)
+            yield pd.Series([pieces_of(np.array((bpe.encode(t, allowed_special="all") if t else []) + [eos], dtype="<u4"), capacity) for t in s], dtype=object)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(cut(F.col(text_col))).alias("piece", "x"))
     return rows.select("doc_id", "piece", "x.start", "x.length", "x.ids_crc32")

@@ -53,7 +53,7 @@ def write_token_files(docs: DataFrame, path: str, vocab: str, id_col: str = "doc
     def encoded(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         bpe = byte_bpe(vocab)
         for ids, texts in parts:
-            yield pd.Series([header_of(None if pd.isna(i) else int(i)).tobytes() + np.array(bpe.encode_ordinary(t) if t else [], dtype=">u2").tobytes() for i, t in zip(ids, texts, strict=True)], dtype=object)
+            yield pd.Series([header_of(None if pd.isna(i) else int(i)).tobytes() + np.array(bpe.encode(t, allowed_special="all") if t else [], dtype=">u2").tobytes() for i, t in zip(ids, texts, strict=True)], dtype=object)
 
     # the id goes as text: pandas would make a float of a column with a null
     rows = docs.select(encoded(F.col(id_col).cast("string"), F.col(text_col)).cast("string").alias("value"))

@@ -329,6 +329,17 @@ def test_pieces_equal_the_tokenizers_library(docs, tokenizer):
     check_packed(got, 1024)
 
 
+def test_added_tokens_are_matched_in_text(spark, tokenizer, tmp_path):
+    rows = [(1, "end of it.<|endoftext|>Next one"), (2, "<|endoftext|><|endoftext|>"), (3, " a <|endoftext|> b <|endoftext"), (4, "é<|endoftext|>\n"), (5, "<|END|> ſ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: tokenizer.encode(t, add_special_tokens=False).ids for d, t in rows}
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(df).collect()}
+    assert got == {d: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for d, x in want.items()}
+    token_counts.write_token_files(df, f"file://{tmp_path}/added", common.default_vocab())
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark, f"file://{tmp_path}/added").collect()} == {d: len(x) for d, x in want.items()}
+    assert len(want[1]) == 7
+
+
 def check_packed(rows, capacity):
     by = {}
     for r in rows:
