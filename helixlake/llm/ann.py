@@ -1,9 +1,11 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
 Vectors are cut in two halves, each quantised with its own codebook (k-means on a bounded sample); a cell is a pair of
-centroids, so a few hundred centroids address their square in cells. Every row is indexed. A query walks the cells in
-order of the sum of its two half distances, with a heap over the sorted centroid lists, until the cells that it has passed
-hold enough distinct vectors; the entries of those cells are ranked by the true measure in double precision.
+centroids, so a few hundred centroids address their square in cells. Every row is indexed. The measure is the inner
+product, of vectors of any length. A query walks the cells from the largest sum of its inner products with the two
+centroids on, each raised by what the half-cell's spread may add, with a heap over the sorted centroid lists, until the
+cells that it has passed hold enough distinct vectors; the entries of those cells are ranked by the true measure in double
+precision.
 
 Equal vectors are one entry that carries the smallest ids, as many as a result can use: a group of copies of any size
 costs one entry in one cell. Cells are gathered, or large ones cut, into blocks of bounded size, and so are the queries that
@@ -68,8 +70,21 @@ class Codebooks:
         self.first, self.second = first, second
 
     def cells(self, x: np.ndarray) -> np.ndarray:
+        return self.place(x)[0]
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, and how far each half lies from its centroid."""
         h = self.first.shape[1]
-        return nearest(x[:, :h], self.first) * len(self.second) + nearest(x[:, h:], self.second)
+        a, b = nearest(x[:, :h], self.first), nearest(x[:, h:], self.second)
+        return a * len(self.second) + b, np.linalg.norm(x[:, :h] - self.first[a], axis=1), np.linalg.norm(x[:, h:] - self.second[b], axis=1)
+
+
+def costs(x: np.ndarray, c: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """What a half-cell counts in the walk: less its inner product with the query and, for its spread, one standard
+    deviation of the inner product with the farthest residual (``far``) in a random direction."""
+    if not x.shape[1]:
+        return np.zeros((len(x), len(c)))
+    return -(x @ c.T + np.linalg.norm(x, axis=1)[:, None] * far / np.sqrt(x.shape[1]))
 
 
 def deal(sizes: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
@@ -129,22 +144,28 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(books.value.cells(_vectors(b, "vec"))), b["vec"], b["ids"]], ["cell", "vec", "ids"])
-
-    placed = materialize(entries.mapInArrow(place, "cell long, vec array<double>, ids array<long>"), "cells")
-    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # MAX_CENTROIDS squared at most
+            cell, far1, far2 = books.value.place(_vectors(b, "vec"))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(far1), pa.array(far2), b["vec"], b["ids"]], ["cell", "far1", "far2", "vec", "ids"])
+
+    placed = materialize(entries.mapInArrow(place, "cell long, far1 double, far2 double, vec array<double>, ids array<long>"), "cells")
+    held = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far1").alias("far1"), F.max("far2").alias("far2")).collect()  # MAX_CENTROIDS squared at most
+    placed = placed.drop("far1", "far2")
+    sizes = {r["cell"]: r["n"] for r in held}
+    far = [np.zeros(len(books.value.first)), np.zeros(len(books.value.second))]
+    for r in held:
+        i, j = divmod(r["cell"], len(far[1]))
+        far[0][i], far[1][j] = max(far[0][i], r["far1"]), max(far[1][j], r["far2"])
     first_block, n_blocks = deal(sizes)
-    layout = spark.sparkContext.broadcast((sizes, first_block, n_blocks))
+    layout = spark.sparkContext.broadcast((sizes, first_block, n_blocks, far))
     goal, n_parts = max(least, int(share * n)), max(1, int(n / every) // BLOCK_QUERIES)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c1, c2 = books.value.first, books.value.second
-        size, first, many = layout.value
+        size, first, many, far = layout.value
         for b in batches:
             x = _vectors(b, "vec")
             h = c1.shape[1]
-            d1 = (c1 * c1).sum(1) - 2 * (x[:, :h] @ c1.T)
-            d2 = (c2 * c2).sum(1) - 2 * (x[:, h:] @ c2.T)
+            d1, d2 = costs(x[:, :h], c1, far[0]), costs(x[:, h:], c2, far[1])
             at, block, cells = [], [], []
             for q in range(len(x)):
                 got, asked = 0, {}
@@ -166,7 +187,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
     asked = queries.mapInArrow(probe, "id long, vec array<double>, block int, cells array<long>").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int"))
 
     def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, first, many = layout.value
+        _, first, many, _ = layout.value
         for b in batches:
             block = [first[c] + i % many[c] for c, i in zip(b["cell"].to_pylist(), b["salt"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["cell"], b["vec"], b["ids"], pa.array(block, pa.int32())], ["cell", "vec", "ids", "block"])

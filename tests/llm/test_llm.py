@@ -516,6 +516,19 @@ def test_search_recall_ties_and_odd_vectors(spark):
     assert sorted((f.query_id, f.vec_id) for f in few) == [(0, 1), (0, 2)]
 
 
+@pytest.mark.parametrize("sigma", [0.5, 1.0])
+def test_search_recall_at_unequal_norms(spark, sigma):
+    r = np.random.default_rng(12)
+    x = r.normal(size=(2000, 32))
+    x *= np.exp(sigma * r.normal(size=(2000, 1))) / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in ann.search(df, every=40, least=100).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    hits = [len(found & set([k for k in np.argsort(-(x @ x[q])) if k != q][:20])) for q, found in got.items()]
+    assert len(got) == 50 and np.mean(hits) / 20 >= 0.9
+
+
 def test_walk_goes_by_sum():
     d1, d2 = np.array([3.0, 1.0, 2.0]), np.array([5.0, 0.0])
     sums = [d1[i] + d2[j] for i, j in ann.walk(d1, d2)]
