@@ -75,12 +75,25 @@ def centroids(scores: DataFrame, members: DataFrame, key: str, cluster: str) ->
 def kmer_pairs(df: DataFrame, key: str, text: str, k: int = 5, least: float = 0.8) -> DataFrame:
     """Pairs of sequences whose sets of k-mers of words have a Jaccard index of at least ``least`` (an approximation to
     alignment identity). Sets are ordered by how rare a k-mer is; similar sets share one among their rarest, so that only
-    these prefixes are joined. Sequences with equal sets stand for each other as one class: their smallest key."""
+    these prefixes are joined. Sequences with equal sets are one class, named by their smallest key: each other member is
+    paired with it at 1.0, and it stands for them in the pairs with other classes, so that ``components`` joins all."""
+    members, one = kmer_classes(df, key, text, k)
+    copies = members.where(F.col(key) != F.col("representative")).select(F.col("representative").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("score"))
+    return class_pairs(one, key, least).unionByName(copies)
+
+
+def kmer_classes(df: DataFrame, key: str, text: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Every key with its class's representative, and the classes (key, size, g) with their sets. Blank texts have none."""
     words = F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - k + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "))))
     sets = df.where(F.length(F.trim(text)) > 0).select(key, words.alias("w")).select(key, F.sort_array(grams).alias("g"))
-    classes = sets.groupBy("g").agg(F.min(key).alias(key))
-    one = written(classes.select(key, F.size("g").alias("size"), "g"), "kmers")
+    sets = written(sets.where(F.col(key).isNotNull()), "kmers")
+    one = written(sets.groupBy("g").agg(F.min(key).alias(key)).select(key, F.size("g").alias("size"), "g"), "kmers")
+    members = sets.join(one.select("g", F.col(key).alias("representative")), "g").select(key, "representative").distinct()
+    return members, one
+
+
+def class_pairs(one: DataFrame, key: str, least: float) -> DataFrame:
     rows = one.select(key, "size", F.explode("g").alias("g"))
     freq = rows.groupBy("g").agg(F.count("*").alias("m"))
     w = Window.partitionBy(key).orderBy("m", "g")
@@ -94,6 +107,20 @@ def kmer_pairs(df: DataFrame, key: str, text: str, k: int = 5, least: float = 0.
     return out.where(F.col("score") >= least)
 
 
+def kmer_clusters(df: DataFrame, key: str, text: str, k: int = 5, levels: tuple[float, ...] = (1.0, 0.95, 0.6, 0.35)) -> DataFrame:
+    """One row a key: its class's representative, and its single-linkage cluster (smallest key) at each level, as
+    cluster_100 and so on. Blank and null texts are alone. Rows without a key take no part."""
+    members, one = kmer_classes(df, key, text, k)
+    pairs = written(class_pairs(one, key, min(levels)), "pairs")
+    known = df.where(F.col(key).isNotNull()).select(key).distinct()
+    out = known.join(members, key, "left").withColumn("representative", F.coalesce("representative", key))
+    for level in levels:
+        c = components(pairs.where(F.col("score") >= level), one.select(key), key)
+        name = f"cluster_{round(100 * level)}"
+        out = out.join(c.select(F.col(key).alias("representative"), F.col("cluster").alias(name)), "representative", "left").withColumn(name, F.coalesce(name, key))
+    return out.select(key, "representative", *(f"cluster_{round(100 * x)}" for x in levels))
+
+
 def contact_graph(atoms: DataFrame, cutoff: float, by: str = "cath_domain") -> DataFrame:
     """Pairs of residues by distance of their centroids, once each (src < dst), with the angle between the centroids'
     position vectors, the angle between the O-N vectors (omega) and the torsion O, mid, mid, O (theta); null without O or N."""

@@ -43,6 +43,11 @@ def cl3(spark, sf):
     return C.kmer_pairs(tables(spark, sf)["documents"].where("text is not null"), "doc_id", "text").withColumn("score", r6("score"))
 
 
+@query("CL3_kmer_clusters", ())
+def cl3_clusters(spark, sf):
+    return C.kmer_clusters(tables(spark, sf)["documents"], "doc_id", "text")
+
+
 @query("CL4_cluster_representatives", (), "SELECT label, min(vec_id) AS representative, count(*) AS n FROM embeddings GROUP BY ALL")
 def cl4(spark, sf):
     return tables(spark, sf)["embeddings"].groupBy("label").agg(F.min("vec_id").alias("representative"), F.count("*").alias("n"))

@@ -208,3 +208,27 @@ def test_features_used_and_predicted_must_differ(spark):
         filters.select_features(atoms(spark), ["charge"], ["charge"])
     with pytest.raises(ValueError):
         filters.surface(atoms(spark))
+
+
+def test_kmer_pairs_and_clusters_equal_brute_force(spark):
+    base = [" ".join(f"w{b}x{i}" for i in range(24)) for b in range(3)]
+    texts = [base[0], base[0], base[0].upper(), base[0] + " tail", base[1], base[1] + " a b c d e f g h", base[2], " ".join(base[2].split()[:16]), "a b", "A  b", "", None, base[0] + " tail", "q " * 9, "q " * 12]
+    rows = [(i * 2 + 1, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    words = {i: (t or "").lower().split() for i, t in rows}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    score = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] and sets[b] else 0.0
+
+    def joined(links):
+        own = {i: i for i in sets}
+        for _ in sets:
+            for a, b in links:
+                own[a] = own[b] = min(own[a], own[b])
+        return own
+
+    want = {x: joined([(a, b) for a in sets for b in sets if a < b and score(a, b) >= x]) for x in (1.0, 0.95, 0.8, 0.6, 0.35)}
+    pairs = clusters.kmer_pairs(df, "id", "t").collect()
+    assert all(abs(p.score - score(p.a, p.b)) < 1e-9 for p in pairs) and joined([(p.a, p.b) for p in pairs]) == want[0.8]
+    got = clusters.kmer_clusters(df, "id", "t").collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, want[1.0][i], want[1.0][i], want[0.95][i], want[0.6][i], want[0.35][i]) for i in sets)
+    assert len({str(w) for w in want.values()}) > 2
