@@ -3,7 +3,8 @@
 Lengths are whole numbers up to the capacity, so the packing problem is its histogram: at most ``capacity`` counts, however
 many documents. The driver plans on these counts alone. The reduction takes the longest length left and fixes it with a
 small set of partners whenever that set provably dominates every other choice (nothing fits; an exact fill; only single
-partners fit, so the longest one; at most two fit, so the longest one or an exact triple). What is left is packed best fit
+partners fit, so the longest one; at most two fit, so the longest one if no pair is longer, or an exact triple with it,
+unless two partners that are both longer than its third fit as well). What is left is packed best fit
 in decreasing order, all copies of a length at a time. The plan says, for a length and a range of ranks among its copies,
 which sequences and which offset they take. Executors number the copies of each length, salted so that a length which
 a third of all pieces share is numbered by many tasks, and look their slots up. No text or document passes the driver.
@@ -54,6 +55,11 @@ def token_pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, eos: int
 def reduce_and_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """The plan for a histogram of lengths: (length, first rank, rank after the last, first sequence, offset)."""
     left = {s: n for s, n in counts.items() if n}
+    return _reduce_and_fit(left, capacity)[0]
+
+
+def _reduce_and_fit(left: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The plan, and how many of its first sequences the reduction fixed."""
     used: dict[int, int] = defaultdict(int)
     plan: list[tuple[int, int, int, int, int]] = []
     sequence = 0
@@ -89,7 +95,7 @@ def reduce_and_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int
                 pair = _best_pair(left, room, own)
                 if best >= sum(pair):
                     fix([j, best], left[j] // 2 if best == j else min(left[j], left[best]))
-                elif best == pair[0] and sum(pair) == room:
+                elif best == pair[0] and sum(pair) == room and not _fits_two_over(left, room, own, pair[1]):
                     need: dict[int, int] = defaultdict(int)
                     for s in (j, *pair):
                         need[s] += 1
@@ -98,6 +104,7 @@ def reduce_and_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int
                     break
             else:
                 break  # no set dominates: this length is left to best fit
+    fixed = sequence
     bins: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left: (first sequence, how many)
     for s in sorted(left, reverse=True):
         n = left[s]
@@ -129,7 +136,17 @@ def reduce_and_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int
                     used[s] += m
                 bins[capacity - t * s].append((sequence, m))
                 sequence += m
-    return plan
+    return plan, fixed
+
+
+def _fits_two_over(left: dict[int, int], room: int, own: dict[int, int], over: int) -> bool:
+    """Whether two partners both longer than ``over`` fit: the third of a triple would not stand for either of them."""
+    few: list[int] = []
+    for s in sorted(s for s in left if s > over):
+        few += [s] * min(2 - len(few), left[s] - own.get(s, 0))
+        if len(few) == 2:
+            return sum(few) <= room
+    return False
 
 
 def _best_pair(left: dict[int, int], room: int, own: dict[int, int]) -> tuple[int, int]:

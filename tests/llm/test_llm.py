@@ -377,6 +377,35 @@ def test_dominance_fixes_exact_pairs():
     assert sorted(plan) == [(24, 0, 3, 0, 40), (40, 0, 3, 0, 0)]
 
 
+def fewest(sizes, capacity):
+    """Sequences needed, by trying every choice."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= sizes[i]}:
+            k = rooms.index(room)
+            place(i + 1, [*rooms[:k], room - sizes[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_reduction_keeps_the_fewest_sequences():
+    r = random.Random(6)
+    cases = [(20, [10, 7, 7, 6, 6, 6, 5, 5, 5, 3])] + [(c, [r.randrange(c // 6, c * 2 // 3) for _ in range(r.randrange(3, 11))]) for c in (20, 24, 30) for _ in range(250)]
+    for capacity, sizes in cases:
+        counts = {s: sizes.count(s) for s in sizes}
+        plan, fixed = packing._reduce_and_fit(dict(counts), capacity)
+        rest = [s for s, lo, hi, first, _ in plan for k in range(hi - lo) if first + k >= fixed]
+        assert fixed + (fewest(rest, capacity) if rest else 0) == fewest(sizes, capacity)
+
+
 def test_packing_salts_hot_lengths_and_takes_nothing(spark, none, monkeypatch):
     monkeypatch.setattr(packing, "PIECES_A_SALT", 50)
     df = common.materialize(spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 20 + 1).cast("long").alias("length")), "t")
