@@ -121,9 +121,10 @@ def kmer_clusters(df: DataFrame, key: str, text: str, k: int = 5, levels: tuple[
     return out.select(key, "representative", *(f"cluster_{round(100 * x)}" for x in levels))
 
 
-def contact_graph(atoms: DataFrame, cutoff: float, by: str = "cath_domain") -> DataFrame:
+def contact_graph(atoms: DataFrame, cutoff: float, by: str = "cath_domain", positions: bool = False) -> DataFrame:
     """Pairs of residues by distance of their centroids, once each (src < dst), with the angle between the centroids'
-    position vectors, the angle between the O-N vectors (omega) and the torsion O, mid, mid, O (theta); null without O or N."""
+    position vectors, the angle between the O-N vectors (omega) and the torsion O, mid, mid, O (theta); null without O or N.
+    ``positions``: the centroids as well (a_x to b_z)."""
     c = residue_centres(atoms, (by, "residue_id"))
     one = lambda n: F.min_by(F.struct("x", "y", "z"), F.when(F.col("atom_name") == n, F.col("serial_number")))
     ends = atoms.groupBy(by, "residue_id").agg(one("O").alias("o"), one("N").alias("n"))
@@ -133,21 +134,47 @@ def contact_graph(atoms: DataFrame, cutoff: float, by: str = "cath_domain") -> D
     mid = lambda s: [(x + y) / 2 for x, y in zip(at(s, "o"), at(s, "n"), strict=True)]
     omega = G.angle(G.sub(at("a", "o"), at("a", "n")), G.sub(at("b", "o"), at("b", "n")))
     theta = G.dihedral([at("a", "o"), mid("a"), mid("b"), at("b", "o")], degrees=False)
-    return p.select(by, F.col("a_residue_id").alias("src"), F.col("b_residue_id").alias("dst"), "distance", G.angle(at("a"), at("b")).alias("angle"), omega.alias("omega"), theta.alias("theta"))
+    where = [*at("a"), *at("b")] if positions else []
+    return p.select(by, F.col("a_residue_id").alias("src"), F.col("b_residue_id").alias("dst"), "distance", G.angle(at("a"), at("b")).alias("angle"), omega.alias("omega"), theta.alias("theta"), *where)
 
 
-def edge_kernels(edges: DataFrame, sigma: float = 8.0) -> DataFrame:
-    """Legacy edge attributes from distance and angle: radial kernel, cosine and side."""
-    return edges.withColumns({"rbf": F.exp(-(F.col("distance") ** 2) / (2 * sigma * sigma)), "cosine": F.cos("angle"), "chirality": F.when(F.col("theta") < 0, -1.0).when(F.col("theta") > 0, 1.0).otherwise(0.0)})
+def edge_kernels(atoms: DataFrame, cutoff: float = 100.0, length: float = 1 / 18, by: str = "cath_domain") -> DataFrame:
+    """The older edge attributes: angle of the centroids' position vectors, distance under a radial kernel of that length
+    scale, angle of the cross product and the first vector, and chirality (1 where the cross product points up the z axis).
+    Null angles where a vector is zero."""
+    e = contact_graph(atoms, cutoff, by, positions=True)
+    a, b = ([F.col(f"{s}_{k}") for k in "xyz"] for s in "ab")
+    c = G.cross(a, b)
+    return e.select(by, "src", "dst", "angle", F.exp(-(F.col("distance") ** 2) / (2 * length * length)).alias("distance"), G.angle(c, a).alias("cross_angle"), (F.round(c[2], 6) > 0).cast("int").alias("chirality"))
+
+
+def annotate_edges(edges: DataFrame, pairs: DataFrame, by: str = "cath_domain") -> DataFrame:
+    """Edges (src, dst) with what ``pairs`` (res1, res2) say of the two residues in this order: energies and index (null where
+    they say nothing) and a flag for each state and kind of well (then false)."""
+    known = pairs.select(by, F.col("res1").alias("src"), F.col("res2").alias("dst"), "native_energy", "decoy_energy", "sd_energy", "frustration_index", "state", "well")
+    is_ = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
+    flags = {"is_highly_frustrated": is_("state", "highly"), "is_minimally_frustrated": is_("state", "minimally"), "has_neutral_frustration": is_("state", "neutral"), "is_water_mediated_welltype": is_("well", "water-mediated"), "is_short_welltype": is_("well", "short"), "is_long_welltype": is_("well", "long")}
+    return edges.join(known, [by, "src", "dst"], "left").withColumns(flags).drop("state", "well")
 
 
 def half_sphere(atoms: DataFrame, radius: float = 12.0, by: str = "cath_domain") -> DataFrame:
-    """Alpha carbons within the radius of each one, on the side of the vector from the one before and on the other."""
+    """Half-sphere exposure: alpha carbons nearer than the radius, on the side that the bisector of the unit vectors from
+    the previous and from the next one points to (up), and on the other (down). The first and the last alpha carbon have no
+    bisector and aren't counted for. ``up_norm``: the z-score of ``up`` in its structure, null where all are alike."""
     w = Window.partitionBy(by).orderBy("serial_number")
-    ca = atoms.where("atom_name = 'CA'").select(by, "serial_number", "x", "y", "z", *(F.coalesce(F.col(k) - F.lag(k).over(w), F.lit(0.0)).alias(f"d{k}") for k in "xyz"))
-    p = neighbours(ca, ca, radius, [by], ordered=False).where("a_serial_number != b_serial_number")
-    side = sum(((F.col(f"b_{k}") - F.col(f"a_{k}")) * F.col(f"a_d{k}") for k in "xyz"), F.lit(0.0))
-    return p.groupBy(by, F.col("a_serial_number").alias("serial_number")).agg(F.count_if(side > 0).alias("up"), F.count_if(side <= 0).alias("down"))
+    own = atoms.where("atom_name = 'CA'").select(by, "serial_number", "x", "y", "z", *(f(k).over(w).alias(f"{n}{k}") for n, f in (("p", F.lag), ("n", F.lead)) for k in "xyz"))
+    unit = {}
+    for n in "pn":
+        d = [F.col(k) - F.col(f"{n}{k}") for k in "xyz"]
+        unit[n] = [F.coalesce(F.try_divide(c, G.norm(d)), F.lit(0.0)) for c in d]
+    ca = own.select(by, "serial_number", "x", "y", "z", F.col("px").isNotNull().alias("has_p"), F.col("nx").isNotNull().alias("has_n"), *((p + n).alias(f"d{k}") for p, n, k in zip(unit["p"], unit["n"], "xyz", strict=True)))
+    inner = ca.where("has_p and has_n").drop("has_p", "has_n")
+    p = neighbours(inner, ca.select(by, "serial_number", "x", "y", "z"), radius, [by], ordered=False).where((F.col("a_serial_number") != F.col("b_serial_number")) & (F.col("distance") < radius))
+    side = F.round(sum(((F.col(f"b_{k}") - F.col(f"a_{k}")) * F.col(f"a_d{k}") for k in "xyz"), F.lit(0.0)), 6)
+    counts = p.groupBy(by, F.col("a_serial_number").alias("serial_number")).agg(F.count_if(side > 0).alias("up"), F.count_if(side <= 0).alias("down"))
+    out = inner.select(by, "serial_number").join(counts, [by, "serial_number"], "left").na.fill(0, ["up", "down"])
+    s = Window.partitionBy(by)
+    return out.withColumn("up_norm", F.try_divide(F.col("up") - F.avg("up").over(s), F.stddev_samp("up").over(s)))
 
 
 def pocket_scores(atoms: DataFrame, pockets: DataFrame, by: str = "cath_domain") -> DataFrame:
@@ -161,24 +188,42 @@ def runs(df: DataFrame, value: str, by: str, order: str) -> DataFrame:
     return r.groupBy(by, "run_id").agg(F.min_by(value, order).alias("value"), F.min(order).alias("start"), F.max(order).alias("stop"), F.count("*").alias("length"))
 
 
-def smooth_runs(df: DataFrame, value: str, by: str, order: str) -> DataFrame:
-    """Secondary structure with short runs rewritten: a run of under 4 between runs of one kind takes that kind; other
-    helix runs under 4 and sheet runs under 3 become loops; X runs over 10 become helix. The run before counts as
-    rewritten, the run after as it was. Then equal neighbours are one run again."""
+def smooth_runs(df: DataFrame, value: str, by: str, order: str, residue: str = "residue_id", least: int = 3, one_helix: bool = False) -> DataFrame:
+    """Secondary structure with short runs rewritten, one row a segment. Lengths of runs are numbers of residues; the first
+    and the last run of a structure stay as they are. A run sees the one before as rewritten and the one after as it was.
+    ``one_helix``: for folds whose first loop of over 5 residues is taken for a helix."""
     kind = F.when(F.col(value).isin("H", "G"), "H").when(F.col(value).isin("E", "B"), "E").otherwise("X")
-    r = runs(df.withColumn("_v", kind), "_v", by, order)
-    rows = F.sort_array(F.collect_list(F.struct("run_id", "value", "length", "start", "stop")))
-    seq = r.groupBy(by).agg(rows.alias("r")).withColumn("r", F.transform("r", lambda x, i: F.struct(x["run_id"].alias("run_id"), x["value"].alias("value"), x["length"].alias("length"), x["start"].alias("start"), x["stop"].alias("stop"), F.coalesce(F.get("r", i + 1)["value"], F.lit("X")).alias("nxt"))))
-
-    seq = seq.withColumn("v", F.aggregate("r", F.array().cast("array<string>"), lambda d, x: F.concat(d, F.array(_rule(F.when(F.size(d) > 0, F.get(d, F.size(d) - 1)).otherwise("X"), x)))))
+    r = run_ids(df.withColumn("_v", kind), "_v", by, order)
+    r = r.groupBy(by, "run_id").agg(F.first("_v").alias("value"), F.min(order).alias("start"), F.max(order).alias("stop"), F.count("*").alias("length"), F.count_distinct(residue).alias("n"))
+    seq = r.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("run_id", "value", "length", "start", "stop", "n"))).alias("r"))
+    step = F.transform("r", lambda x, i: F.struct(x["value"].alias("value"), x["n"].alias("n"), F.get("r", i + 1)["value"].alias("after"), ((i == 0) | (i == F.size("r") - 1)).alias("end")))
+
+    def fold(state, x):
+        before = F.element_at(state["v"], -1)
+        new, helix = _rule(before, x, least, one_helix, state["helix"])
+        new = F.when(x["end"], x["value"]).otherwise(new)
+        return F.struct(F.concat(state["v"], F.array(new)).alias("v"), (state["helix"] | (~x["end"] & helix)).alias("helix"))
+
+    # a first element stands for what is before the first run, which is rewritten by no rule
+    seq = seq.withColumn("v", F.aggregate(step, F.struct(F.array(F.lit("X")).alias("v"), F.lit(False).alias("helix")), fold, lambda s: F.slice(s["v"], 2, F.size("r"))))
     out = seq.select(by, F.explode(F.arrays_zip("r", "v")).alias("z")).select(by, F.col("z.r.start").alias("start"), F.col("z.r.stop").alias("stop"), F.col("z.r.length").alias("length"), F.col("z.v").alias("value"))
     joined = run_ids(out, "value", by, "start", "segment")
     return joined.groupBy(by, "segment").agg(F.first("value").alias("value"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("length").alias("length"))
 
 
-def _rule(before, x):
-    short = x["length"] < 4
-    return F.when(short & (before == x["nxt"]), before).when((x["value"] == "H") & short, F.lit("X")).when((x["value"] == "E") & (x["length"] < 3), F.lit("X")).when((x["value"] == "X") & (x["length"] > 10), F.lit("H")).otherwise(x["value"])
+def _rule(before, x, least: int, one_helix: bool, seen_helix):
+    """What a run becomes, and whether it is a loop taken for a helix; of several rules that fit the last one holds."""
+    this, after, n = x["value"], x["after"], x["n"]
+    short = n < (5 if one_helix else least)
+    out = F.when((n < 4) & (this != "X"), "X").otherwise(this)
+    alike = (n < 3) & (before == after) & F.lit(not one_helix)
+    out = F.when(alike, before).when((n < 3) & (after == "X") & (this != before), "X").otherwise(out)
+    in_sheet = (this == "H") & (before == "E") & (after == "E")
+    out = F.when(in_sheet & (n < 5), "X").otherwise(out)
+    out = F.when(short & (before == after), before).otherwise(out)
+    out = F.when(short & (in_sheet | ((this == "E") & (before == "H") & (after == "H"))), "X").otherwise(out)
+    helix = (this == "X") & ((n > 10) | (F.lit(one_helix) & ~seen_helix & (n > 5)))
+    return F.when(helix, "H").otherwise(out), helix
 
 
 def segment_products(segments: DataFrame, by: str, order: str = "run_id", value: str = "value") -> DataFrame:

@@ -138,7 +138,7 @@ def norm(a: list[Column]) -> Column:
 def angle(a: list[Column], b: list[Column]) -> Column:
     """In radians; the cosine is held to -1..1. Null if a vector is zero."""
     c = F.try_divide(dot(a, b), norm(a) * norm(b))
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+    return F.when(c.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
 
 
 def dihedral(p: list[list[Column]], degrees: bool = True) -> Column:

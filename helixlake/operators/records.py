@@ -193,11 +193,18 @@ def harmonize(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.where(is_coord()).join(right.where(is_coord()).select(*_ID).distinct(), _ID, "left_semi")
 
 
-def join_models(df: DataFrame, group: str) -> DataFrame:
-    """Structures of a group as its models, and whether all of them have the same atoms."""
-    ids = df.where(is_coord()).groupBy(group, "path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*_ID)).alias("h"))
-    w = Window.partitionBy(group)
-    return ids.select(group, "path", F.row_number().over(w.orderBy("path")).alias("model"), ((F.min("n").over(w) == F.max("n").over(w)) & (F.min("h").over(w) == F.max("h").over(w))).alias("same_atoms"))
+def join_models(df: DataFrame, group: str, strict: bool = False) -> DataFrame:
+    """Structures of a group as its models, numbered by path: how many atoms of the group's first model each lacks, and how
+    many it has besides. An atom that is listed twice counts once. ``strict``: a model that lacks atoms is an error."""
+    atoms = df.where(is_coord()).select(group, "path", F.struct(*_ID).alias("atom")).distinct()
+    models = atoms.groupBy(group, "path").agg(F.count("*").alias("n")).withColumn("model", F.row_number().over(Window.partitionBy(group).orderBy("path")))
+    first = models.where("model = 1").select(group, "path", F.col("n").alias("n_first"))
+    shared = atoms.join(atoms.join(first, [group, "path"]).select(group, "atom"), [group, "atom"], "left_semi").groupBy(group, "path").agg(F.count("*").alias("k"))
+    out = models.join(first.drop("path"), group).join(shared, [group, "path"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    missing = F.col("n_first") - F.col("k")
+    if strict:
+        missing = F.when(missing > 0, F.raise_error(F.concat(F.lit("Different atoms in model "), F.col("model").cast("string"))).cast("long")).otherwise(missing)
+    return out.select(group, "path", "model", missing.alias("n_missing"), (F.col("n") - F.col("k")).alias("n_extra")).withColumn("same_atoms", (F.col("n_missing") == 0) & (F.col("n_extra") == 0))
 
 
 def copy_values(df: DataFrame, reference: DataFrame) -> DataFrame:

@@ -68,39 +68,82 @@ def tk2(spark, sf):
     return cl4(spark, sf).orderBy(F.desc("n"), "label").limit(1).select("label", "n", F.col("representative").alias("centroid"))
 
 
-@plain("CL5_contact_graph", "WITH c AS (SELECT cath_domain, residue_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM atoms GROUP BY ALL), p AS (SELECT a.cath_domain, a.residue_id AS src, b.residue_id AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d, acos(greatest(-1, least(1, (a.x * b.x + a.y * b.y + a.z * b.z) / (sqrt(a.x ** 2 + a.y ** 2 + a.z ** 2) * sqrt(b.x ** 2 + b.y ** 2 + b.z ** 2))))) AS g FROM c a JOIN c b ON a.cath_domain = b.cath_domain AND a.residue_id < b.residue_id) SELECT cath_domain, src, dst, round(d, 6) AS distance, round(g, 6) AS angle FROM p WHERE d <= 12", "atoms")
+_CENTRES = "c AS (SELECT cath_domain, residue_id, avg(x) AS x, avg(y) AS y, avg(z) AS z, arg_min(x, serial_number) FILTER (atom_name = 'O') AS ox, arg_min(y, serial_number) FILTER (atom_name = 'O') AS oy, arg_min(z, serial_number) FILTER (atom_name = 'O') AS oz, arg_min(x, serial_number) FILTER (atom_name = 'N') AS nx, arg_min(y, serial_number) FILTER (atom_name = 'N') AS ny, arg_min(z, serial_number) FILTER (atom_name = 'N') AS nz FROM atoms GROUP BY ALL)"
+_EDGES = _CENTRES + ", p AS (SELECT a.cath_domain, a.residue_id AS src, b.residue_id AS dst, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, a.ox AS aox, a.oy AS aoy, a.oz AS aoz, a.nx AS anx, a.ny AS any_, a.nz AS anz, b.ox AS box, b.oy AS boy, b.oz AS boz, b.nx AS bnx, b.ny AS bny, b.nz AS bnz, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM c a JOIN c b ON a.cath_domain = b.cath_domain AND a.residue_id < b.residue_id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 12)"
+
+
+def angle_sql(a: list[str], b: list[str]) -> str:
+    """Angle of two vectors; null where one is zero."""
+    dot = lambda p, q: "(" + " + ".join(f"({x}) * ({y})" for x, y in zip(p, q, strict=True)) + ")"
+    size = f"(sqrt{dot(a, a)} * sqrt{dot(b, b)})"
+    return f"CASE WHEN {size} <> 0 THEN acos(greatest(-1, least(1, {dot(a, b)} / {size}))) END"
+
+
+def torsion_sql(source: str, p: list[list[str]], name: str) -> str:
+    """Steps after ``source`` that add the torsion of four points, as members of a WITH clause; the last is ``<name>_t``."""
+    sub = lambda a, b: [f"({x}) - ({y})" for x, y in zip(a, b, strict=True)]
+    col = lambda n: [f"{name}_{n}{k}" for k in "xyz"]
+    dot = lambda a, b: "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True)) + ")"
+    named = lambda exprs, n: ", ".join(f"{e} AS {c}" for e, c in zip(exprs, col(n), strict=True))
+    b0, b1, b2, u, v, w = (col(n) for n in ("p", "q", "r", "u", "v", "w"))
+    cross = [f"({u[1]} * {v[2]} - {u[2]} * {v[1]})", f"({u[2]} * {v[0]} - {u[0]} * {v[2]})", f"({u[0]} * {v[1]} - {u[1]} * {v[0]})"]
+    return (
+        f"{name}_1 AS (SELECT *, {named(sub(p[0], p[1]), 'p')}, {named(sub(p[2], p[1]), 'q')}, {named(sub(p[3], p[2]), 'r')} FROM {source}), "
+        f"{name}_2 AS (SELECT *, {named([f'{x} / nullif(sqrt{dot(b1, b1)}, 0)' for x in b1], 'u')} FROM {name}_1), "
+        f"{name}_3 AS (SELECT *, {named([f'{x} - {dot(b0, u)} * {y}' for x, y in zip(b0, u, strict=True)], 'v')}, {named([f'{x} - {dot(b2, u)} * {y}' for x, y in zip(b2, u, strict=True)], 'w')} FROM {name}_2), "
+        f"{name}_t AS (SELECT *, atan2({dot(cross, w)}, {dot(v, w)}) AS {name} FROM {name}_3)"
+    )
+
+
+def turn(name: str) -> list:
+    """Sine and cosine of an angle: half turns either way are one."""
+    return [r6(F.sin(name)).alias(f"sin_{name}"), r6(F.cos(name)).alias(f"cos_{name}")]
+
+
+_A, _B = ["ax", "ay", "az"], ["bx", "by_", "bz"]
+_MID_A, _MID_B = ([f"({o} + {n}) / 2" for o, n in zip(p, q, strict=True)] for p, q in ((["aox", "aoy", "aoz"], ["anx", "any_", "anz"]), (["box", "boy", "boz"], ["bnx", "bny", "bnz"])))
+
+
+@plain("CL5_contact_graph", f"WITH {_EDGES} SELECT cath_domain, src, dst, round(d, 6) AS distance, round({angle_sql(_A, _B)}, 6) AS angle FROM p", "atoms")
 def cl5(a):
     return C.contact_graph(a, 12.0).select("cath_domain", "src", "dst", r6("distance").alias("distance"), r6("angle").alias("angle"))
 
 
-@plain("CL5b_edge_torsions", None, "atoms")
+@plain("CL5b_edge_torsions", f"WITH {_EDGES}, {torsion_sql('p', [['aox', 'aoy', 'aoz'], _MID_A, _MID_B, ['box', 'boy', 'boz']], 'theta')} SELECT cath_domain, src, dst, round({angle_sql(['aox - anx', 'aoy - any_', 'aoz - anz'], ['box - bnx', 'boy - bny', 'boz - bnz'])}, 6) AS omega, round(sin(theta), 6) AS sin_theta, round(cos(theta), 6) AS cos_theta FROM theta_t", "atoms")
 def cl5b(a):
-    return C.contact_graph(a, 12.0)
+    return C.contact_graph(a, 12.0).select("cath_domain", "src", "dst", r6("omega").alias("omega"), *turn("theta"))
 
 
-@plain("CL6_edge_kernels", None, "atoms")
+_CROSS = ["ay * bz - az * by_", "az * bx - ax * bz", "ax * by_ - ay * bx"]
+
+
+@plain("CL6_edge_kernels", f"WITH {_EDGES} SELECT cath_domain, src, dst, round({angle_sql(_A, _B)}, 6) AS angle, round(exp(-(d ** 2) * 162), 6) AS distance, round({angle_sql(_CROSS, _A)}, 6) AS cross_angle, CAST(round({_CROSS[2]}, 6) > 0 AS INT) AS chirality FROM p", "atoms")
 def cl6(a):
-    return C.edge_kernels(C.contact_graph(a, 12.0)).select("cath_domain", "src", "dst", r6("rbf").alias("rbf"), r6("cosine").alias("cosine"), "chirality")
+    return C.edge_kernels(a, 12.0).select("cath_domain", "src", "dst", r6("angle").alias("angle"), r6("distance").alias("distance"), r6("cross_angle").alias("cross_angle"), "chirality")
+
 
+_STATES = {"is_highly_frustrated": ("state", "highly"), "is_minimally_frustrated": ("state", "minimally"), "has_neutral_frustration": ("state", "neutral"), "is_water_mediated_welltype": ("well", "water-mediated"), "is_short_welltype": ("well", "short"), "is_long_welltype": ("well", "long")}
 
-@plain("J23_pair_annotations", "WITH f AS (SELECT cath_domain, residue_id, sum(charge) AS q FROM atoms GROUP BY ALL), p AS (SELECT a.cath_domain, a.residue_id AS src, b.residue_id AS dst, round(a.q * b.q * 100, 6) AS v FROM f a JOIN f b ON a.cath_domain = b.cath_domain AND a.residue_id < b.residue_id) SELECT cath_domain, src, dst, v AS frustration_index, v <= -1 AS is_highly_frustrated FROM p WHERE v <> 0", "atoms")
-def j23(a):
-    f = a.groupBy("cath_domain", "residue_id").agg(F.sum("charge").alias("q"))
-    x, y = f.select("cath_domain", F.col("residue_id").alias("src"), F.col("q").alias("qa")), f.select("cath_domain", F.col("residue_id").alias("dst"), F.col("q").alias("qb"))
-    p = x.join(y, "cath_domain").where("src < dst").withColumn("frustration_index", r6(F.col("qa") * F.col("qb") * 100)).where("frustration_index != 0")
-    return p.select("cath_domain", "src", "dst", "frustration_index", (F.col("frustration_index") <= -1).alias("is_highly_frustrated"))
 
+@plain("J23_pair_annotations", f"WITH {_EDGES} SELECT p.cath_domain, src, dst, native_energy, decoy_energy, sd_energy, frustration_index, {', '.join(f"coalesce({c} = '{v}', false) AS {n}" for n, (c, v) in _STATES.items())} FROM p LEFT JOIN pair_energies e ON e.cath_domain = p.cath_domain AND e.res1 = src AND e.res2 = dst", "atoms", "pair_energies")
+def j23(a, pairs):
+    return C.annotate_edges(C.contact_graph(a, 12.0).select("cath_domain", "src", "dst"), pairs)
 
-@plain("CL7_merge_tree", None, "segments")
+
+@plain("CL7_merge_tree", "WITH RECURSIVE e AS (SELECT DISTINCT cath_domain AS node FROM segments WHERE cath_domain > 0), k AS (SELECT node, CASE WHEN node % 3 = 0 THEN node // 3 ELSE -1 END AS kid FROM e UNION ALL SELECT node, -2 FROM e), r AS (SELECT node, kid FROM k UNION ALL SELECT r.node, k.kid FROM r JOIN k ON r.kid = k.node) SELECT node, count(*) FILTER (kid < 0) AS n_leaves FROM r GROUP BY node", "segments")
 def cl7(s):
     nodes = s.select(F.col("cath_domain").alias("node")).distinct()
     edges = nodes.select("node", F.when(F.col("node") % 3 == 0, F.expr("node div 3")).otherwise(F.lit(-1)).alias("left"), F.lit(-2).cast("long").alias("right")).where("node > 0")
     return C.tree_sizes(edges)
 
 
-@plain("CL9_half_sphere", "WITH c AS (SELECT cath_domain, serial_number, x, y, z, coalesce(x - lag(x) OVER w, 0) AS dx, coalesce(y - lag(y) OVER w, 0) AS dy, coalesce(z - lag(z) OVER w, 0) AS dz FROM atoms WHERE atom_name = 'CA' WINDOW w AS (PARTITION BY cath_domain ORDER BY serial_number)), p AS (SELECT a.cath_domain, a.serial_number, round((b.x - a.x) * a.dx + (b.y - a.y) * a.dy + (b.z - a.z) * a.dz, 6) AS s FROM c a JOIN c b ON a.cath_domain = b.cath_domain AND a.serial_number <> b.serial_number WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 12) SELECT cath_domain, serial_number, count(*) AS n FROM p GROUP BY ALL", "atoms")
+_UNIT = "coalesce(({k} - {n}{k}) / nullif(sqrt((x - {n}x) * (x - {n}x) + (y - {n}y) * (y - {n}y) + (z - {n}z) * (z - {n}z)), 0), 0)"
+_BISECTOR = ", ".join(" + ".join(_UNIT.format(k=k, n=n) for n in "pn") + f" AS d{k}" for k in "xyz")
+
+
+@plain("CL9_half_sphere", f"WITH o AS (SELECT cath_domain, serial_number, x, y, z, {', '.join(f'{f}({k}) OVER w AS {n}{k}' for n, f in (('p', 'lag'), ('n', 'lead')) for k in 'xyz')} FROM atoms WHERE atom_name = 'CA' WINDOW w AS (PARTITION BY cath_domain ORDER BY serial_number)), c AS (SELECT cath_domain, serial_number, x, y, z, px IS NOT NULL AND nx IS NOT NULL AS inside, {_BISECTOR} FROM o), p AS (SELECT a.cath_domain, a.serial_number, round((b.x - a.x) * a.dx + (b.y - a.y) * a.dy + (b.z - a.z) * a.dz, 6) AS s FROM c a JOIN c b ON a.cath_domain = b.cath_domain AND a.serial_number <> b.serial_number WHERE a.inside AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 12), n AS (SELECT cath_domain, serial_number, count(*) FILTER (s > 0) AS up, count(*) FILTER (s <= 0) AS down FROM p GROUP BY ALL), e AS (SELECT cath_domain, serial_number, coalesce(up, 0) AS up, coalesce(down, 0) AS down FROM c LEFT JOIN n USING (cath_domain, serial_number) WHERE inside) SELECT cath_domain, serial_number, up, down, round((up - avg(up) OVER w) / nullif(stddev_samp(up) OVER w, 0), 6) AS up_norm FROM e WINDOW w AS (PARTITION BY cath_domain)", "atoms")
 def cl9(a):
-    return C.half_sphere(a).select("cath_domain", "serial_number", (F.col("up") + F.col("down")).alias("n"))
+    return C.half_sphere(a).select("cath_domain", "serial_number", "up", "down", r6("up_norm").alias("up_norm"))
 
 
 @plain("CL10_pocket_scores", "WITH p AS (SELECT cath_domain, serial_number, max(bfactor) AS pocket FROM atoms WHERE element IN ('C', 'N') GROUP BY ALL) SELECT cath_domain, serial_number, coalesce(pocket, 0) AS pocket FROM atoms LEFT JOIN p USING (cath_domain, serial_number)", "atoms")
@@ -116,7 +159,18 @@ def segments_of(a):
     return C.runs(a.withColumn("v", kind), "v", "cath_domain", "serial_number")
 
 
-@plain("W2_smooth_segments", None, "atoms")
+_SMOOTH = (
+    "s AS (SELECT cath_domain, run_id, min(v) AS value, min(serial_number) AS start, max(serial_number) AS stop, count(*) AS length, count(DISTINCT residue_id) AS n FROM g GROUP BY ALL), "
+    "q AS MATERIALIZED (SELECT *, lead(value) OVER w AS nxt, max(run_id) OVER (PARTITION BY cath_domain) AS last FROM s WINDOW w AS (PARTITION BY cath_domain ORDER BY run_id)), "
+    "f AS (SELECT cath_domain, run_id, value AS v FROM q WHERE run_id = 0 UNION ALL SELECT q.cath_domain, q.run_id, CASE WHEN q.run_id = last THEN value WHEN value = 'X' AND n > 10 THEN 'H' "
+    "WHEN n < 3 AND value = 'H' AND f.v = 'E' AND nxt = 'E' THEN 'X' WHEN n < 3 AND value = 'E' AND f.v = 'H' AND nxt = 'H' THEN 'X' WHEN n < 3 AND f.v = nxt THEN f.v WHEN value = 'H' AND f.v = 'E' AND nxt = 'E' AND n < 5 THEN 'X' "
+    "WHEN n < 3 AND nxt = 'X' AND value <> f.v THEN 'X' WHEN n < 4 AND value <> 'X' THEN 'X' ELSE value END FROM f JOIN q ON q.cath_domain = f.cath_domain AND q.run_id = f.run_id + 1), "
+    "j AS (SELECT q.*, f.v, CASE WHEN f.v = lag(f.v) OVER (PARTITION BY q.cath_domain ORDER BY q.run_id) THEN 0 ELSE 1 END AS fresh FROM q JOIN f USING (cath_domain, run_id)), "
+    "t AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY cath_domain ORDER BY run_id) - 1 AS BIGINT) AS segment FROM j)"
+)
+
+
+@plain("W2_smooth_segments", f"WITH RECURSIVE {_RUNS.split(', s AS (')[0].replace('SELECT cath_domain, serial_number,', 'SELECT cath_domain, serial_number, residue_id,')}, {_SMOOTH} SELECT cath_domain, segment, min(v) AS value, min(start) AS start, max(stop) AS stop, CAST(sum(length) AS BIGINT) AS length FROM t GROUP BY ALL", "atoms")
 def w2(a):
     return C.smooth_runs(a, "ss", "cath_domain", "serial_number")
 
@@ -137,9 +191,13 @@ def j20(a):
     return C.allowed_connections(segments_of(a), ends, "cath_domain").withColumn("distance", r6("distance"))
 
 
-@plain("W6_torsions", None, "atoms")
+_BONE = "b AS (SELECT cath_domain, residue_id, min(serial_number) AS first, " + ", ".join(f"arg_min({k}, serial_number) FILTER (atom_name = '{n}') AS {n}{k}" for n in ("N", "CA", "C") for k in "xyz") + " FROM atoms WHERE atom_name IN ('N', 'CA', 'C', 'O') GROUP BY ALL), o AS (SELECT *, " + ", ".join(f"{f}({n}{k}) OVER w AS {m}{k}" for f, n, m in (("lag", "C", "before"), ("lead", "N", "after")) for k in "xyz") + " FROM b WINDOW w AS (PARTITION BY cath_domain ORDER BY first))"
+_P = {n: [f"{n}{k}" for k in "xyz"] for n in ("N", "CA", "C", "before", "after")}
+
+
+@plain("W6_torsions", f"WITH {_BONE}, {torsion_sql('o', [_P['before'], _P['N'], _P['CA'], _P['C']], 'phi')}, {torsion_sql('phi_t', [_P['N'], _P['CA'], _P['C'], _P['after']], 'psi')} SELECT cath_domain, residue_id, round(sin(phi), 6) AS sin_phi, round(cos(phi), 6) AS cos_phi, round(sin(psi), 6) AS sin_psi, round(cos(psi), 6) AS cos_psi FROM psi_t", "atoms")
 def w6(a):
-    return C.torsions(A.backbone(a, []), "cath_domain", "first").select("cath_domain", "residue_id", "phi", "psi")
+    return C.torsions(A.backbone(a, []), "cath_domain", "first").select("cath_domain", "residue_id", *turn("phi"), *turn("psi"))
 
 
 @plain("HI6_sequence_sample", "WITH r AS (SELECT cath_domain, residue_id, min(serial_number) AS first, max(CASE WHEN charge > 0 THEN 1 ELSE 0 END) AS label FROM atoms GROUP BY ALL) SELECT cath_domain, count(*) AS n, string_agg(CAST(label AS VARCHAR), '' ORDER BY first) AS labels FROM r GROUP BY ALL", "atoms")

@@ -98,7 +98,10 @@ def w9(d):
     return H.cluster_split(d, ["cath_code"], ["s", "o", "l"])
 
 
-@plain("W9b_all_levels", None, "domains")
+_LEVELS = {"S35": "s", "S60": "s, o", "S95": "s, o, l", "S100": "s, o, l, i"}
+
+
+@plain("W9b_all_levels", " UNION ALL ".join(f"SELECT cath_code, '{name}' AS level, concat_ws('.', {key}) AS key, n, split FROM ({split_sql('cath_code', key, _THREE)})" for name, key in _LEVELS.items()), "domains")
 def w9b(d):
     return H.level_splits(d, ["cath_code"])
 

@@ -159,9 +159,9 @@ def j6(a):
     return a.select("cath_domain", "serial_number", "x").join(f, ["cath_domain", "serial_number"])
 
 
-@plain("J22_features_of_residues", "SELECT cath_domain, serial_number, residue_id FROM atoms WHERE residue_id IN (SELECT DISTINCT residue_id FROM atoms WHERE bfactor > 104.5)", "atoms")
+@plain("J22_features_of_residues", "SELECT cath_domain, serial_number, residue_id FROM atoms SEMI JOIN (SELECT DISTINCT cath_domain, residue_id FROM atoms WHERE bfactor > 104) USING (cath_domain, residue_id)", "atoms")
 def j22(a):
-    return a.join(a.where("bfactor > 104.5").select("residue_id").distinct(), "residue_id", "left_semi").select("cath_domain", "serial_number", "residue_id")
+    return a.join(a.where("bfactor > 104").select("cath_domain", "residue_id"), ["cath_domain", "residue_id"], "left_semi").select("cath_domain", "serial_number", "residue_id")
 
 
 @query("JS1_interfaces", (), "SELECT event_id, CAST(user_id AS INT) AS interface_id, event_type AS chain1, 'B' AS chain2, CASE WHEN value > 50 THEN 'bio' ELSE 'xtal' END AS interface_type FROM events")

@@ -172,9 +172,16 @@ def tr25(d):
     return R.harmonize(d.where("path % 2 = 0"), d.where("path % 2 = 1"))
 
 
-@rec("TR26_join_models", f"WITH i AS (SELECT path % 10 AS family, path, count(*) AS n, count(DISTINCT (chain, resname, resseq, icode, atom_name, altloc)) AS u FROM records WHERE {CO} GROUP BY ALL) SELECT family, path, CAST(row_number() OVER (PARTITION BY family ORDER BY path) AS INT) AS model, count(*) OVER (PARTITION BY family) = 1 AS same_atoms FROM i")
+_ATOM = "chain, resname, resseq, icode, atom_name, altloc"
+
+
+@rec("TR26_join_models", f"WITH a AS (SELECT DISTINCT path AS family, path, {_ATOM} FROM records WHERE {CO} UNION SELECT path, path + 100000, {_ATOM} FROM records WHERE {CO} AND (path % 2 = 1 OR serial % 50 <> 0) UNION SELECT path, path + 200000, {_ATOM.replace('chain', "CASE WHEN path % 3 = 0 AND serial % 70 = 0 THEN '#' ELSE chain END")} FROM records WHERE {CO}), m AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY path) AS model FROM (SELECT family, path, count(*) AS n FROM a GROUP BY ALL)), r AS (SELECT family, {_ATOM} FROM a SEMI JOIN (SELECT * FROM m WHERE model = 1) USING (family, path)), s AS (SELECT family, path, count(*) AS k FROM a SEMI JOIN r USING (family, {_ATOM}) GROUP BY ALL) SELECT family, m.path, CAST(m.model AS INT) AS model, f.n - coalesce(k, 0) AS n_missing, m.n - coalesce(k, 0) AS n_extra, f.n = coalesce(k, 0) AND m.n = coalesce(k, 0) AS same_atoms FROM m JOIN (SELECT family, n FROM m WHERE model = 1) f USING (family) LEFT JOIN s USING (family, path)")
 def tr26(d):
-    return R.join_models(d.withColumn("family", F.col("path") % 10), "family")
+    """Each structure with two copies of it: one without some atoms, one with some in another chain."""
+    own = d.withColumn("family", F.col("path"))
+    fewer = own.where("path % 2 = 1 or serial % 50 != 0").withColumn("path", F.col("path") + 100000)
+    moved = own.withColumn("chain", F.when((F.col("path") % 3 == 0) & (F.col("serial") % 70 == 0), "#").otherwise(F.col("chain"))).withColumn("path", F.col("path") + 200000)
+    return R.join_models(own.unionByName(fewer).unionByName(moved), "family")
 
 
 @rec("TR28_drop_ter", f"SELECT path, line_no, concat_ws(' ', printf('%.3f', x), printf('%.3f', y), printf('%.3f', z)) AS xyz FROM records WHERE {CO}")

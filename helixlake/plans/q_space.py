@@ -47,7 +47,14 @@ def ge5(a):
     return G.rotate_each(a.select("cath_domain", "serial_number", "x", "y", "z"), G.random_rotations(a.select("cath_domain").distinct(), 2))
 
 
-@plain("GE6_legacy_rotation", None, "atoms")
+_EULER = (
+    "d AS (SELECT cath_domain, avg(x) / 10 AS t, avg(y) / 10 AS p, avg(residue_rasa) AS u FROM atoms GROUP BY ALL), "
+    "v AS (SELECT cath_domain, sin(t) AS st, cos(t) AS ct, sin(p) * sqrt(u) AS a, cos(p) * sqrt(u) AS b, sqrt(2 - u) AS c, u FROM d), s AS (SELECT *, a * ct - b * st AS sx, a * st + b * ct AS sy FROM v)"
+)
+_EULER_M = (("a * sx - ct", "a * sy - st", "a * c"), ("b * sx + st", "b * sy - ct", "b * c"), ("c * sx", "c * sy", "1 - u"))
+
+
+@plain("GE6_legacy_rotation", f"WITH {_EULER} SELECT cath_domain, {', '.join(f'round({_EULER_M[i][j]}, 6) AS m{i}{j}' for i in range(3) for j in range(3))} FROM s", "atoms")
 def ge6(a):
     d = a.groupBy("cath_domain").agg((F.avg("x") / 10).alias("theta"), (F.avg("y") / 10).alias("phi"), (F.avg("residue_rasa")).alias("u"))
     m = G.euler_matrix(F.col("theta"), F.col("phi"), F.col("u"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ def query(name: str, views: tuple[str, ...] = (), sql: str | None = None):
         if sql is not None:
             text = settled(sql.strip())
             if views:
-                rest = text[5:].lstrip() if text.upper().startswith("WITH ") else None
-                text = f"WITH {view_sql(*views)}, {rest}" if rest is not None else f"WITH {view_sql(*views)} {text}"
+                head, rest = re.match(r"(?is)(WITH\s+(?:RECURSIVE\s+)?)?(.*)", text).groups()
+                text = f"{head}{view_sql(*views)}, {rest}" if head else f"WITH {view_sql(*views)} {text}"
             SQL[name] = text
         return f
 

@@ -66,7 +66,15 @@ SELECT path, line_no, rtrim(substr(line, 1, 6)) AS record, TRY_CAST(trim(substr(
  TRY_CAST(trim(substr(line, 55, 6)) AS DOUBLE) AS occ, TRY_CAST(trim(substr(line, 61, 6)) AS DOUBLE) AS b, substr(line, 73, 4) AS segid, trim(substr(line, 77, 2)) AS element, trim(substr(line, 79, 2)) AS charge, line
 FROM ({LINES}) p"""
 
-VIEWS = {"lines": LINES, "records": RECORDS, "atoms": ATOMS, "domains": DOMAINS, "segments": SEGMENTS, "contacts": CONTACTS}
+# Energies of pairs of residues, with the state and the kind of well each is in.
+PAIR_ENERGIES = """
+SELECT cath_domain, res1, res2, min(l_discount) AS native_energy, min(l_tax) AS decoy_energy, max(l_tax) AS sd_energy, min(idx) AS frustration_index,
+ CASE WHEN min(idx) < 15 THEN 'highly' WHEN min(idx) > 40 THEN 'minimally' ELSE 'neutral' END AS state,
+ CASE CAST(min(l_linenumber) % 3 AS INT) WHEN 0 THEN 'water-mediated' WHEN 1 THEN 'short' ELSE 'long' END AS well
+FROM (SELECT l_suppkey AS cath_domain, least(CAST(l_orderkey % 60 AS STRING), CAST(l_partkey % 60 AS STRING)) AS res1, greatest(CAST(l_orderkey % 60 AS STRING), CAST(l_partkey % 60 AS STRING)) AS res2,
+ l_discount, l_tax, l_linenumber, l_extendedprice / CAST(1000 AS DOUBLE) AS idx FROM {lineitem}) e WHERE res1 <> res2 GROUP BY 1, 2, 3"""
+
+VIEWS = {"pair_energies": PAIR_ENERGIES, "lines": LINES, "records": RECORDS, "atoms": ATOMS, "domains": DOMAINS, "segments": SEGMENTS, "contacts": CONTACTS}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
