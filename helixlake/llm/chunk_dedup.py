@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, table
-from .exchange import RUN_BYTES, answers, batches, key_rows, key_schema, read_answer, runs_of, texts_of
+from .exchange import RUN_BYTES, answers, batches, key_rows, key_schema, read_answer, read_run, runs_of
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 16, 96, 5
 #: Shorter repeats (stock phrases, single lines) are left alone.
@@ -201,14 +201,16 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, n_runs = runs_of(docs, id_col, text_col, run_bytes)
 
     def send(t: pa.Table) -> pa.Table:
-        did, data, offsets = texts_of(t)
-        _, _, doc, h1, h2 = pieces(data, offsets)
+        r = read_run(t)
+        _, _, doc, h1, h2 = pieces(r.data, r.offsets)
+        did = r.did
         order, starts, _ = _firsts(h1, h2, did[doc])
         first = order[starts]
-        return key_rows(t["run"][0].as_py(), 0, n_runs, h1[first], None, did[doc[first]], h2[first])
+        return key_rows(r.run, 0, n_runs, h1[first], None, did[doc[first]], h2[first])
 
     def cut(t: pa.Table, reply: pa.Table) -> pa.Table:
-        did, data, offsets = texts_of(t)
+        r = read_run(t)
+        did, data, offsets = r.did, r.data, r.offsets
         s, e, doc, h1, h2 = pieces(data, offsets)
         own = did[doc]
         order, starts, group = _firsts(h1, h2, own)
@@ -229,9 +231,9 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     removed[d] += y - x
                     spans[d] += 1
         texts = [data[a:b].tobytes() if not r else data[a:b][~drop[a:b]].tobytes() for a, b, r in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist(), strict=True)]
-        return pa.table({"doc_id": t["doc_id"].combine_chunks(), "did": pa.array(did), "text": pa.array(texts, pa.binary()), "n_chunks": pa.array(np.diff(bounds).astype(np.int32)), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed), "n_spans": pa.array(spans)})
+        return pa.table({"doc_id": r.doc_ids(), "did": pa.array(did), "text": pa.array(texts, pa.binary()), "n_chunks": pa.array(np.diff(bounds).astype(np.int32)), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed), "n_spans": pa.array(spans)})
 
-    replies = answers(rows.groupBy("run").applyInArrow(send, key_schema()))
+    replies = answers(rows.groupBy("run").applyInArrow(send, key_schema()), n_runs)
     done = rows.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(cut, _OUT)
     return done.select("doc_id", F.col("text").cast("string").alias("text"), "n_chunks", "n_bytes", "n_removed", "n_spans")
 

@@ -6,6 +6,7 @@ import base64
 import functools
 import json
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,16 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set."""
-    set_one = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares (spark.checkpoint.dir). Only a session in one process (``local``) may do without:
+    a temporary folder is made there. On a cluster that would break, so it is an error."""
+    context = spark.sparkContext
+    set_one = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_one:
         return set_one
-    app = spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="helixlake-")
     return _own_dirs[app]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table in the shared scratch folder and reads it: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession

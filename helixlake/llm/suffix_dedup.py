@@ -7,23 +7,27 @@ offsets, so windows need comparing only when they share one. Consecutive windows
 that starts at the anchor, up to the end of the last of these windows, followed by the bytes left of the anchor, read
 backwards. Anchors' hashes are counted over all documents first (``exchange``); those that occur once are dropped.
 
-*Merge sort.* A run (documents of bounded size) sorts its entries, keeps each different one once with its smallest
-owner, and sends them front-coded: the length of the prefix shared with the entry before, and the rest. Entries are dealt
-by a hash of themselves, so no anchor that many documents share meets in one task. The receiver merges the sorted runs with
-a loser tree whose nodes keep the prefix length shared with the last winner: two entries are compared from there on only,
-so that no known prefix is compared twice, and equal entries come out next to each other. It answers each run how often its
-entries occur in all, and whether another run has a smaller owner.
+*Merge sort.* Splitters, quantiles of the suffixes of a bounded sample of documents, cut the order of all strings into
+ranges, so that the ranges' results are one sorted whole. A run (documents of bounded size) sorts its entries, keeps each
+different one once with its smallest owner, and sends each range its part front-coded: the length of the prefix shared with
+the entry before, and the rest. A range merges the sorted runs with a loser tree whose nodes keep the prefix length shared
+with the last winner: two entries are compared from there on only, so that no known prefix is compared twice, and equal
+entries come out next to each other. It answers each run how often its entries occur in all, and whether another run has a
+smaller owner. An entry that every document holds costs its range one entry a run, and an anchor that many documents share
+is split among ranges by what follows it.
 
 *Windows.* Where an anchor occurs as often as an entry, all windows of it are settled with the entry. Elsewhere (where
-repeats begin and end) the entry's windows are counted one by one, by hash, in the same way as the anchors.
+repeats begin and end) the entry's windows are counted one by one, by a hash of 96 bits, in the same way as the anchors.
 
-Each step answers by run, and the last one puts the spans together next to the text.
+What a run knows of its entries travels with the replies to it, so that nothing is sorted twice. The last step puts the
+spans together next to the text.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, table
-from .exchange import REPLY, RUN_BYTES, answers, batches, group_spans, key_rows, key_schema, read_answer, runs_of, squeeze, texts_of, unsqueeze
+from .common import mix64, table
+from .exchange import REPLY, RUN_BYTES, STATE, answers, batches, count_bits, group_spans, key_rows, key_schema, read_answer, read_run, runs_of, squeeze, state_row, unsqueeze
 
 WINDOW, SEED = 50, 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,7 +45,9 @@ _RUN = "bucket int, run int, n int, lcp binary, rest binary, ends binary, owners
 _RUN_PA = pa.schema([("bucket", pa.int32()), ("run", pa.int32()), ("n", pa.int32()), ("lcp", pa.binary()), ("rest", pa.binary()), ("ends", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())])
 _REPLY_PA = pa.schema([("run", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("total", pa.binary()), ("smaller", pa.binary())])
 _OUT = "doc_id long, did long, text binary, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>"
-ANCHORS, ENTRIES, WINDOWS, STATE = 0, 1, 2, 3
+ANCHORS, ENTRIES, WINDOWS = 0, 1, 2
+#: Documents and strings of each that splitters are taken from, at most, and bytes of a splitter.
+SAMPLE_DOCS, SAMPLE_STRINGS, SPLITTER_BYTES = 2_000, 32, 200
 
 
 def window_hash(data: np.ndarray, size: int) -> np.ndarray:
@@ -200,45 +206,76 @@ def merge_runs(runs: list[tuple[list[int], list[bytes]]]):
             node //= 2
 
 
-def _sort_run(data: np.ndarray, e: Entries, did: np.ndarray, window: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Different entries in order, their bucket hashes, the place of each entry among them, and their smallest owners."""
+def _sort_run(data: np.ndarray, e: Entries, did: np.ndarray, window: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Different entries in order, the place of each entry among them, and their smallest owners."""
     strings = strings_of(data.tobytes(), e, window)
     places: dict[bytes, int] = {}
     rank = np.fromiter((places.setdefault(s, len(places)) for s in strings), np.int64, len(strings))
     different = list(places)
-    bucket = np.fromiter((zlib.crc32(s) for s in different), np.uint64, len(different))
     order = sorted(range(len(different)), key=different.__getitem__)
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     rank = back[rank]
     owners = np.full(len(order), np.iinfo(np.int64).max)
     np.minimum.at(owners, rank, did[e.doc])
-    return [different[i] for i in order], bucket[order], rank, owners
+    return [different[i] for i in order], rank, owners
 
 
-def _send_entries(run: int, n_buckets: int, data: np.ndarray, e: Entries, n: np.ndarray, did: np.ndarray, window: int) -> pa.Table:
-    """The front-coded runs by bucket, and what the run must know of its entries afterwards, under a bucket of its own."""
-    strings, crc, rank, owners = _sort_run(data, e, did, window)
+def splitters_of(docs: DataFrame, n_ranges: int, id_col: str, text_col: str, window: int, seed: int) -> list[bytes]:
+    """Strings that cut the entries of all documents into about equal ranges: quantiles of those of a bounded sample."""
+    if n_ranges == 1:
+        return []
+
+    def strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for t in b["text"].to_pylist():
+                e = Entries(np.frombuffer(t, np.uint8), np.array([0, len(t)]), window, seed)
+                e = e.take(np.linspace(0, max(0, len(e.doc) - 1), min(SAMPLE_STRINGS, len(e.doc))).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([x[:SPLITTER_BYTES] for x in strings_of(t, e, window)], pa.binary())], ["s"])
+
+    n = docs.count()
+    texts = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000)) < max(1, int(1e6 * min(1.0, SAMPLE_DOCS / max(1, n))))).limit(2 * SAMPLE_DOCS)
+    texts = texts.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    found = sorted(bytes(r["s"]) for r in texts.mapInArrow(strings, "s binary").collect())
+    return sorted({found[k * len(found) // n_ranges] for k in range(1, n_ranges)}) if found else []
+
+
+def _send_entries(run: int, cuts: list[bytes], data: np.ndarray, e: Entries, n: np.ndarray, did: np.ndarray, window: int) -> pa.Table:
+    """The front-coded runs by range, and what the run must know of its entries afterwards, under a range of its own."""
+    strings, rank, owners = _sort_run(data, e, did, window)
     counts = np.bincount(rank, minlength=len(strings))
-    bucket = (crc * np.uint64(n_buckets)) >> np.uint64(32)
-    rows, place, at = [], np.empty(len(strings), np.int64), 0
-    for b in np.unique(bucket).tolist():
-        own = np.flatnonzero(bucket == b)
-        lcp, rest = front_code([strings[i] for i in own.tolist()])
-        ends = np.cumsum([len(r) for r in rest], dtype=np.uint32)
-        place[own] = at + np.arange(len(own))  # in the order of the replies
-        at += len(own)
-        rows.append({"bucket": b, "run": run, "n": len(own), "lcp": squeeze(lcp), "rest": zstandard.ZstdCompressor(3).compress(b"".join(rest)), "ends": squeeze(np.diff(ends, prepend=np.uint32(0))), "owners": squeeze(owners[own]), "counts": squeeze(counts[own].astype(np.uint32))})
+    edges = [0, *(bisect_left(strings, c) for c in cuts), len(strings)]
+    rows = []
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        if a < b:
+            lcp, rest = front_code(strings[a:b])
+            rows.append({"bucket": k, "run": run, "n": b - a, "lcp": squeeze(lcp), "rest": zstandard.ZstdCompressor(3).compress(b"".join(rest)), "ends": squeeze(np.array([len(r) for r in rest], np.uint32)), "owners": squeeze(owners[a:b]), "counts": squeeze(counts[a:b].astype(np.uint32))})
     mine = (owners[rank] < did[e.doc]).astype(np.int64)
-    state = np.concatenate([e.first, e.last, e.doc, place[rank], n.astype(np.int64), mine]).astype(np.uint32)
-    rows.append({"bucket": -1 - run, "run": run, "n": len(e.doc), "rest": squeeze(state)})
+    rows.append({"bucket": -1 - run, "run": run, "n": len(e.doc), "rest": _keep(_places(e.first, e.last, e.doc), [rank, n.astype(np.int64), mine])})
     return pa.Table.from_pylist(rows, schema=_RUN_PA)
 
 
+def _places(first: np.ndarray, last: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """Small numbers for what rises along the run."""
+    return [np.diff(first, prepend=0), last - first, np.diff(doc, prepend=0)]
+
+
+def _keep(*groups: list[np.ndarray]) -> bytes:
+    """Groups of columns of one length each as a blob: the lengths first."""
+    cols = [c for g in groups for c in g]
+    return squeeze(np.concatenate([[len(cols)], [len(c) for c in cols], *cols]).astype(np.uint32))
+
+
+def _kept(blob: bytes) -> list[np.ndarray]:
+    flat = unsqueeze(blob, np.uint32).astype(np.int64)
+    n = int(flat[0])
+    return np.split(flat[n + 1 :], np.cumsum(flat[1 : n + 1])[:-1])
+
+
 def _merge(t: pa.Table) -> pa.Table:
     rows = sorted(t.to_pylist(), key=lambda r: r["run"])
     if rows[0]["bucket"] < 0:  # a run's own state goes back to it
-        return pa.Table.from_pylist([{"run": r["run"], "kind": STATE, "bucket": 0, "n": r["n"], "total": r["rest"], "smaller": None} for r in rows], schema=_REPLY_PA)
+        return pa.Table.from_pylist([{"run": r["run"], "kind": STATE, "bucket": r["bucket"], "n": r["n"], "total": r["rest"], "smaller": None} for r in rows], schema=_REPLY_PA)
     runs, owners, counts = [], [], []
     for r in rows:
         blob = zstandard.ZstdDecompressor().decompress(r["rest"])
@@ -262,58 +299,66 @@ def _merge(t: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_REPLY_PA)
 
 
-def _candidates(data: np.ndarray, offsets: np.ndarray, reply: pa.Table, window: int, seed: int) -> tuple[Entries, np.ndarray]:
-    """Entries whose anchor occurs more than once, and how often it does."""
+def _anchors(e: Entries, bits: int) -> np.ndarray:
+    """Keys of the anchors, spread evenly: the smallest hash of a window is a small one."""
+    return mix64(e.hash) >> np.uint64(64 - bits)
+
+
+def _candidates(data: np.ndarray, offsets: np.ndarray, reply: pa.Table, window: int, seed: int, bits: int) -> tuple[Entries, np.ndarray]:
+    """Entries whose anchor occurs more than once, and how often it does (or more, if its key isn't its own)."""
     e = Entries(data, offsets, window, seed)
     total, _ = read_answer(reply, ANCHORS)
-    keys, place = np.unique(e.hash, return_inverse=True)
+    keys, place = np.unique(_anchors(e, bits), return_inverse=True)
     n = total[place] if len(keys) else np.zeros(0, np.uint32)
     keep = n > 1
     return e.take(keep), n[keep]
 
 
-def _ordered(t: pa.Table) -> pa.Table:
-    """A run's documents in the same order each time they are read: shuffles don't keep one."""
-    return t.sort_by([("did", "ascending"), ("text", "ascending")])
+def _settle(reply: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of a run's entries: first and last window of those that a smaller document has as a whole; first and last window and
+    document of those whose windows must be looked at one by one. Windows of an entry that is gone are not: they go with
+    it, and a smaller document sends them."""
+    first, size, doc, place, n, mine = _kept(_state(reply))
+    first, doc = np.cumsum(first), np.cumsum(doc)
+    total, smaller = read_answer(reply, ENTRIES)
+    gone = (smaller[place] | (mine > 0)) if len(place) else np.zeros(0, bool)
+    open_ = (total[place] < n) & ~gone if len(place) else gone
+    return [first[gone], (first + size)[gone]], [first[open_], (first + size)[open_], doc[open_]]
 
 
-def _settled(reply: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a run's entries: first window, last window, document, whether a smaller document has the entry as a whole, and
-    whether its windows must be looked at one by one. Windows of an entry that is gone are not: they go with it, and a
-    smaller document sends them."""
-    state = [r for r in reply.to_pylist() if r["kind"] == STATE]
-    if not state or not state[0]["n"]:
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, bool), np.zeros(0, bool)
-    first, last, doc, place, n, mine = unsqueeze(state[0]["total"], np.uint32).reshape(6, -1).astype(np.int64)
-    total, smaller = read_answer(reply, ENTRIES)
-    gone = smaller[place] | (mine > 0)
-    return first, last, doc, gone, (total[place] < n) & ~gone
+def _state(reply: pa.Table) -> bytes:
+    return next(r["total"] for r in reply.to_pylist() if r["kind"] == STATE)
 
 
-def _windows(data: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, hashes and owners of all windows of some entries."""
+def _windows(data: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Positions, hashes (64 and 32 bits) and owners of all windows of some entries, their order by hash, and whether one is
+    the first of its hash in it."""
     size = last - first + 1
     p = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    h = np.zeros(len(p), np.uint64)
+    h, g = np.zeros(len(p), np.uint64), np.zeros(len(p), np.uint32)
     for at in range(0, len(p), 1 << 15):  # the bytes of a batch of windows side by side
-        h[at : at + (1 << 15)] = hash_rows(data[p[at : at + (1 << 15), None] + np.arange(window)])
-    return p, h, np.repeat(owner, size)
+        h[at : at + (1 << 15)], g[at : at + (1 << 15)] = hash_rows(data[p[at : at + (1 << 15), None] + np.arange(window)])
+    owner = np.repeat(owner, size)
+    order = np.lexsort((owner, g, h))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+    return p, h, g, owner, order, fresh
 
 
 _rng = np.random.default_rng(4711)
 _WORDS = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def hash_rows(rows: np.ndarray) -> np.ndarray:
-    """One hash of each row of bytes, eight at a time."""
+def hash_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row of bytes, of 64 and 32 bits, taken eight bytes at a time."""
     n, width = rows.shape
     wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
     wide[:, :width] = rows
-    h = np.full(n, width, np.uint64)
+    h, g = np.full(n, width, np.uint64), np.full(n, 3 * width, np.uint64)
     for k, col in enumerate(wide.view(np.uint64).T):
         h = mix64(h ^ (col * _WORDS[k % 64]))
-    return h
+        g = (g ^ (col >> np.uint64(29)) ^ col) * _WORDS[(k + 17) % 64]
+    return h, (mix64(g) >> np.uint64(32)).astype(np.uint32)
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, run_bytes: int = RUN_BYTES) -> DataFrame:
@@ -322,52 +367,49 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text is empty. Texts shorter than ``window`` bytes lose nothing. Rows of equal id don't count as smaller than
     each other; a null id counts as the largest. Other columns aren't read; an empty table gives an empty one."""
     rows, n_runs = runs_of(docs, id_col, text_col, run_bytes)
-    by_run = rows.groupBy("run")
+    bits = count_bits(n_runs, run_bytes)
+    cuts = splitters_of(docs, n_runs, id_col, text_col, window, seed)
 
     def send_anchors(t: pa.Table) -> pa.Table:
-        _, data, offsets = texts_of(t)
-        keys, counts = np.unique(Entries(data, offsets, window, seed).hash, return_counts=True)
-        return key_rows(t["run"][0].as_py(), ANCHORS, n_runs, keys, counts)
+        r = read_run(t)
+        keys, counts = np.unique(_anchors(Entries(r.data, r.offsets, window, seed), bits), return_counts=True)
+        return key_rows(r.run, ANCHORS, n_runs, keys, counts, bits=bits)
 
     def send_entries(t: pa.Table, reply: pa.Table) -> pa.Table:
-        t = _ordered(t)
-        did, data, offsets = texts_of(t)
-        if not len(did):
+        if not len(t):
             return _RUN_PA.empty_table()
-        e, n = _candidates(data, offsets, reply, window, seed)
-        return _send_entries(t["run"][0].as_py(), n_runs, data, e, n, did, window)
-
-    def open_windows(t: pa.Table, reply: pa.Table):
-        t = _ordered(t)
-        did, data, offsets = texts_of(t)
-        first, last, doc, gone, open_ = _settled(reply)
-        p, h, own = _windows(data, first[open_], last[open_], did[doc[open_]], window)
-        order = np.lexsort((own, h))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = h[order][1:] != h[order][:-1]
-        return did, data, offsets, first[gone], last[gone], p, h, own, order, fresh
+        r = read_run(t, ordered=True)
+        e, n = _candidates(r.data, r.offsets, reply, window, seed, bits)
+        return _send_entries(r.run, cuts, r.data, e, n, r.did, window)
 
     def send_windows(t: pa.Table, reply: pa.Table) -> pa.Table:
         if not len(t):
             return key_rows(0, WINDOWS, n_runs, np.zeros(0, np.uint64))
-        *_, h, own, order, fresh = open_windows(t, reply)
+        r = read_run(t, ordered=True)
+        gone, (first, last, doc) = _settle(reply)
+        _, h, g, own, order, fresh = _windows(r.data, first, last, r.did[doc], window)
         one = order[fresh]
-        return key_rows(t["run"][0].as_py(), WINDOWS, n_runs, h[one], None, own[one])
+        keys = key_rows(r.run, WINDOWS, n_runs, h[one], None, own[one], g[one])
+        state = _keep([np.diff(gone[0], prepend=0), gone[1] - gone[0]], _places(first, last, doc))
+        return pa.concat_tables([keys, state_row(r.run, state)])
 
     def cut(t: pa.Table, reply: pa.Table) -> pa.Table:
-        t = _ordered(t)
-        did, data, offsets, first, last, p, h, own, order, fresh = open_windows(t, reply)
+        r = read_run(t, ordered=True)
+        data, offsets = r.data, r.offsets
         step = np.zeros(len(data) + 1, np.int32)
-        np.add.at(step, first, 1)
-        np.add.at(step, last + window, -1)
-        if len(p):
+        if len(t):
+            gone, size, first, open_size, doc = _kept(_state(reply))
+            gone, first, own = np.cumsum(gone), np.cumsum(first), r.did[np.cumsum(doc)]
+            np.add.at(step, gone, 1)
+            np.add.at(step, gone + size + window, -1)
+            p, _, _, own, order, fresh = _windows(data, first, first + open_size, own, window)
             _, smaller = read_answer(reply, WINDOWS)
-            group = np.cumsum(fresh) - 1
-            least = own[order[fresh]]
-            repeated = np.empty(len(p), bool)
-            repeated[order] = smaller[group] | (least[group] < own[order])
-            np.add.at(step, p[repeated], 1)
-            np.add.at(step, p[repeated] + window, -1)
+            if len(p):
+                group = np.cumsum(fresh) - 1
+                repeated = np.empty(len(p), bool)
+                repeated[order] = smaller[group] | (own[order[fresh]][group] < own[order])
+                np.add.at(step, p[repeated], 1)
+                np.add.at(step, p[repeated] + window, -1)
         drop = np.cumsum(step)[:-1] > 0
         cols: dict[str, list] = {k: [] for k in ("text", "n_removed", "n_spans", "starts", "ends")}
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -378,14 +420,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols["n_spans"].append(len(s))
             cols["starts"].append(s)
             cols["ends"].append(z)
-        return pa.table({"doc_id": t["doc_id"].combine_chunks(), "did": pa.array(did), "text": pa.array(cols["text"], pa.binary()), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(cols["n_removed"], pa.int64()), "n_spans": pa.array(cols["n_spans"], pa.int64()), "starts": pa.array(cols["starts"], pa.list_(pa.int64())), "ends": pa.array(cols["ends"], pa.list_(pa.int64()))})
+        return pa.table({"doc_id": r.doc_ids(), "did": pa.array(r.did), "text": pa.array(cols["text"], pa.binary()), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(cols["n_removed"], pa.int64()), "n_spans": pa.array(cols["n_spans"], pa.int64()), "starts": pa.array(cols["starts"], pa.list_(pa.int64())), "ends": pa.array(cols["ends"], pa.list_(pa.int64()))})
 
-    # replies are small and read more than once, so they are written; the texts' exchange by run is used again each time
-    counted = answers(by_run.applyInArrow(send_anchors, key_schema()))
+    counted = answers(rows.groupBy("run").applyInArrow(send_anchors, key_schema()), n_runs, bits)
     sent = rows.groupBy("run").cogroup(counted.groupBy("run")).applyInArrow(send_entries, _RUN)
-    merged = materialize(sent.groupBy("bucket").applyInArrow(_merge, REPLY), "entries")
-    settled = answers(rows.groupBy("run").cogroup(merged.groupBy("run")).applyInArrow(send_windows, key_schema()))
-    return rows.groupBy("run").cogroup(merged.union(settled).groupBy("run")).applyInArrow(cut, _OUT).drop("did")
+    merged = sent.groupBy("bucket").applyInArrow(_merge, REPLY)
+    settled = answers(rows.groupBy("run").cogroup(merged.groupBy("run")).applyInArrow(send_windows, key_schema()), n_runs)
+    return rows.groupBy("run").cogroup(settled.groupBy("run")).applyInArrow(cut, _OUT).drop("did")
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:

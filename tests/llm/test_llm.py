@@ -9,10 +9,11 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from helixlake.llm import ann, chunk_dedup, common, decontaminate, jaccard_join, language_id, packing, suffix_dedup, token_counts, toxicity, url_filter
+from helixlake.llm import ann, chunk_dedup, common, decontaminate, exchange, jaccard_join, language_id, packing, suffix_dedup, token_counts, toxicity, url_filter
 from helixlake.llm.components import components
 from helixlake.llm.exchange import squeeze, unsqueeze
 
@@ -235,20 +236,63 @@ def test_jaccard_join_equals_plain(docs, run_bytes):
     assert sorted(str(tuple(r)) for r in got) == plain_components(corpus())
 
 
-def test_jaccard_join_of_a_large_group_and_chains(spark, monkeypatch):
-    r = random.Random(2)
-    base = words(r, 120).split()
+def group(r, base, n, edits):
+    """Copies of a text in which some words are changed, so that few are similar to each other."""
     rows = []
-    for i in range(60):
-        w = list(base)
-        for k in range(i % 7):
-            w[(i * 13 + k * 29) % 120] = f"edit{i}"
-        rows.append((i + 10, " ".join(w)))
+    for i in range(n):
+        w = base.split()
+        for k in range(edits(i)):
+            w[(i * 13 + k * 29) % len(w)] = f"edit{i}"
+        rows.append(" ".join(w))
+    return rows
+
+
+def test_jaccard_join_of_a_large_group_and_chains(spark):
+    r = random.Random(2)
+    base = words(r, 120)
+    texts = group(r, base, 60, lambda i: i % 7)
+    flow = words(r, 400).split()
+    texts += [" ".join(flow[k : k + 90]) for k in range(0, 300, 6)]  # each is similar to its neighbours only
+    rows = [(i + 10, t) for i, t in enumerate(texts)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(tuple(x)) for x in got) == plain_components(rows)
+
+
+def test_jaccard_join_of_near_sets_without_links(spark):
+    """A family without its original: all share most of their tokens, few are similar. The candidates stay few."""
+    r = random.Random(8)
+    texts = group(r, words(r, 150), 300, lambda i: 4 + i % 3)
+    parts = [words(r, 40) for _ in range(12)]
+    texts += [f"{parts[i]} {parts[j]}" for i in range(12) for j in range(i)]
+    rows = [(i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = plain_components(rows)
-    for limit in (0, 3):  # through stars, and at once
-        monkeypatch.setattr(jaccard_join, "PAIRS_A_ROW", limit)
-        assert sorted(str(tuple(x)) for x in jaccard_join.near_duplicates(df).collect()) == want
+    got = jaccard_join.near_duplicates(df).collect()
+    assert sorted(str(tuple(x)) for x in got) == plain_components(rows)
+    classes = jaccard_join.shingle_table(df).where("node is not null").select(F.monotonically_increasing_id().alias("cid"), "n", "tokens")
+    classes = jaccard_join._recount(common.materialize(classes, "t"), 2, 80)
+    rows = jaccard_join.prefix_table(classes, "A", 80).withColumn("comp", F.col("cid"))
+    n = classes.count()
+    assert jaccard_join._all_pairs(rows, 80).distinct().count() < n * (n - 1) / 20
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Under each order, the first token that two similar sets share leaves as much room as their overlap needs."""
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(r.integers(5, 80))
+        a = r.integers(1, 2**63, n, dtype=np.uint64)
+        b = np.unique(np.concatenate([a[r.random(n) < 0.93], r.integers(1, 2**63, int(r.integers(0, n // 8 + 1)), dtype=np.uint64)]))
+        a = np.unique(a)
+        both = np.intersect1d(a, b)
+        if 100 * len(both) < 80 * (len(a) + len(b) - len(both)):
+            continue
+        every = {int(t): int(x) for t, x in zip(both, r.integers(8, 60, len(both)))}
+        fa, fb = (np.array([every.get(int(t), 0) for t in s], np.uint8) for s in (a, b))
+        for order in "ABC":
+            pa_, pb = a[jaccard_join.prefix(a, fa, order)].tolist(), b[jaccard_join.prefix(b, fb, order)].tolist()
+            t = next(x for x in pa_ if x in pb)
+            need = -(-80 * (len(a) + len(b)) // 180)
+            assert np.count_nonzero(fa) - pa_.index(t) >= need and np.count_nonzero(fb) - pb.index(t) >= need
 
 
 def test_jaccard_join_of_nothing_and_keep_one(docs, none):
@@ -592,6 +636,36 @@ def test_url_filter_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_keys_in_two_steps(spark):
+    """Beyond ``direct`` buckets keys go by ranges and teams: the replies are the same, and the blobs grow with the keys."""
+    n_runs = 40
+    r = np.random.default_rng(1)
+    held = [np.unique(np.concatenate([r.integers(0, 2**63, 200, dtype=np.uint64) * np.uint64(2), np.arange(50, dtype=np.uint64) << np.uint64(57)])) for _ in range(n_runs)]
+    first = {}
+    for k, keys in enumerate(held):
+        for x in keys.tolist():
+            first.setdefault(x, []).append(k)
+    runs = spark.range(n_runs).select(F.col("id").cast("int").alias("run"))
+    rows = {}
+
+    def sender(direct, bits):
+        def send(t):
+            k = t["run"][0].as_py()
+            keys = np.unique(held[k] >> np.uint64(64 - bits))
+            return exchange.key_rows(k, 7, n_runs, keys, np.full(len(keys), 2), np.full(len(keys), k), bits=bits, direct=direct)
+
+        return send
+
+    for direct, bits in ((10, 64), (1000, 64), (10, 40)):
+        sent = runs.groupBy("run").applyInArrow(sender(direct, bits), exchange.key_schema())
+        rows[direct] = sent.count()
+        replies = exchange.answers(sent, n_runs, bits, direct).toArrow()
+        for k, keys in enumerate(held):
+            total, smaller = exchange.read_answer(replies.filter(pc.equal(replies["run"], k)), 7)
+            assert total.tolist() == [2 * len(first[x]) for x in keys.tolist()] and smaller.tolist() == [min(first[x]) < k for x in keys.tolist()]
+    assert rows[10] <= n_runs * 7 < rows[1000]
+
+
 # --- all ------------------------------------------------------------------------------------------------------------
 
 
