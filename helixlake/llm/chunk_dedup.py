@@ -1,135 +1,67 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the last 32 bytes decides where chunks end, so an insertion moves the boundaries next to it only.
-Chunks are compared by a 128-bit digest over all documents (``exchange``). A chunk that a document with a smaller id holds
-too is a duplicate; runs of adjacent duplicates of at least ``min_run`` bytes are cut out of the text.
-
-Chunks at the ends of a passage hold foreign bytes, so a short passage may have no whole chunk. ``windows_of`` therefore
-compares overlapping windows of WINDOW bytes from content-defined starts: the smallest hash of each WINNOW neighbouring
-8-byte words starts one. Passages that repeat share a start in any WINNOW places, so each end of one loses less than WINNOW
-bytes (and the rest of a character), and one of ``min_run`` + 2 * WINNOW bytes or more is always cut. The query uses these.
+A gear rolling hash over the last 8 bytes says where chunks may end, about every 11 bytes, so an insertion moves the
+boundaries next to it only; a stretch without a boundary is cut every 64 bytes from the last one on. At each boundary a
+chunk begins and goes on to the first boundary at least CHUNK bytes later: chunks vary in length with what they hold, and
+overlap, so that each passage holds whole chunks wherever it stands. Chunks are compared by a 96-bit digest over all documents
+(``exchange``). A chunk that a document with a smaller id holds too is a duplicate; runs of duplicates of at least
+``min_run`` bytes are cut out of the text. A passage keeps at its ends what lies before its first and after its last boundary.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, table
+from .common import mix64, table, unused
 from .exchange import RUN_BYTES, answers, batches, key_rows, key_schema, read_answer, read_run, runs_of
 
-MIN_CHUNK, MAX_CHUNK, MASK_BITS = 16, 96, 5
-#: Shorter repeats (stock phrases, single lines) are left alone.
+#: Bytes of a chunk at least, bytes that the gear hash sees, values of 256 that mark a boundary, and the longest stretch
+#: without one.
+CHUNK, REACH, MARKS, STRETCH = 64, 8, 24, 64
+#: Runs of duplicates from this many bytes on are passages; shorter ones (stock phrases, single lines) are left alone.
 MIN_RUN = 128
-WINDOW, WINNOW, STEP = 64, 24, 16
 
 _rng = np.random.default_rng(77)
-_GEAR = _rng.integers(0, 2**32, 256, dtype=np.uint32)
+_GEAR = _rng.integers(0, 2**8, 256, dtype=np.uint8)
 _LANES = [(_rng.integers(0, 2**63, 256, dtype=np.uint64), int(_rng.integers(0, 2**62)) * 2 + 1) for _ in range(2)]
 _OUT = "doc_id long, did long, text binary, n_chunks int, n_bytes long, n_removed long, n_spans int"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """At each byte the hash of it and the 31 before: doubled windows, shifted by what follows them."""
+    """At each byte the hash of it and the 7 before, of 8 bits: doubled windows, shifted by what follows them."""
     h = _GEAR[data]
-    for k in (1, 2, 4, 8, 16):
-        h[k:] = h[k:] + (h[:-k] << np.uint32(k))
+    for k in (1, 2, 4):
+        h[k:] = h[k:] + (h[:-k] << np.uint8(k))
     return h
 
 
-def cut_points(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
-    """Chunk ends of each document. A window never reaches over the document's start: the first MIN_CHUNK to 31 bytes
-    hash what there is of the document itself. Cuts fall before the first byte of a character."""
-    mask = np.uint32(((1 << MASK_BITS) - 1) << (32 - MASK_BITS))
-    out = []
-    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
-        own = data[a:b]
-        good = np.flatnonzero((gear(own) & mask) == 0) + 1
-        letter = np.append((own & 0xC0) != 0x80, True)
-        ends, last, n = [], 0, b - a
-        i = 0
-        while last < n:
-            i = max(i, int(np.searchsorted(good[i:], last + MIN_CHUNK)) + i) if i < len(good) else i
-            end = min(int(good[i]) if i < len(good) else n, last + MAX_CHUNK, n)
-            while not letter[end]:
-                end += 1
-            ends.append(end)
-            last = end
-        out.append(np.array(ends, np.int64) + a)
-    return out
+def boundaries_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sorted places where chunks may begin or end: the starts of the documents ``at`` (which end where the next one starts),
+    after each gear hash under MARKS that lies in one document, and every STRETCH bytes beyond such a place. Of
+    places next to each other the first counts. All fall before the first byte of a character."""
+    n = len(data)
+    mark = gear(data) < MARKS
+    mark[1:] &= ~mark[:-1].copy()
+    cut = np.flatnonzero(mark) + 1
+    starts = at[:-1][np.diff(at) > 0]
+    inside = cut[cut < n]
+    inside = inside[inside - at[np.searchsorted(at, inside, "right") - 1] > REACH]
+    b = np.union1d(inside, starts)
+    gap = np.diff(np.append(b, n))
+    more = np.maximum(0, (gap - 1) // STRETCH)
+    step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    b = np.union1d(b, np.repeat(b, more) + STRETCH * step)
+    letter = np.flatnonzero(np.append((data & 0xC0) != 0x80, True))
+    b = np.unique(letter[np.searchsorted(letter, b)])
+    return b[b < n]
 
 
 def chunks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, document and the two halves of the digest of every chunk."""
-    parts: list[list[np.ndarray]] = [[], [], [], [], []]
-    for lo, hi in batches(offsets):
-        base = offsets[lo]
-        own = data[base : offsets[hi]]
-        start = offsets[lo:hi] - base
-        cuts = cut_points(own, start, offsets[lo + 1 : hi + 1] - base)
-        e = np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(lo, hi), [len(c) for c in cuts])
-        if not len(e):
-            continue
-        s = np.empty_like(e)
-        s[1:] = e[:-1]
-        fresh = np.flatnonzero(np.diff(doc, prepend=-1))
-        s[fresh] = start[doc[fresh] - lo]
-        digest = []
-        for value, b in _LANES:
-            power, inverse = _powers(b, 1 << max(20, int(len(own)).bit_length()))
-            sums = np.zeros(len(own) + 1, np.uint64)
-            np.cumsum(value[own] * power[: len(own)], out=sums[1:])
-            digest.append(mix64((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)))
-        for p, x in zip(parts, (s + base, e + base, doc, *digest), strict=True):
-            p.append(x)
-    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
-    return tuple(np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True))
-
-
-def starts_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Whether a window starts at each byte: at the smallest hash of any WINNOW places of a document. In stretches of one
-    repeated byte all windows are alike, so that every STEP-th place does."""
-    n = len(data)
-    out = np.zeros(n, bool)
-    if n < WINNOW + 7:
-        return out
-    word = data.astype(np.uint64)
-    for k in (1, 2, 4):
-        word[:-k] |= word[k:] << np.uint64(8 * k)
-    word = word[: n - 7]
-    h = (mix64(word) >> np.uint64(33)).astype(np.uint32)
-    same = np.zeros(len(h), bool)
-    same[1:] = word[1:] == word[:-1]
-    same[offsets[:-1][offsets[:-1] < len(h)]] = False
-    top = np.uint32(2**32 - 1)
-    h[same] = top
-    low, size = h, 1
-    while size < WINNOW:
-        step = min(size, WINNOW - size)
-        low, size = np.minimum(low[:-step], low[step:]), size + step
-    # only places whose words all lie in one document
-    edge = np.zeros(n + 1, np.int32)
-    edge[offsets[1:-1]] = 1
-    crossed = np.cumsum(edge)
-    low = np.where(crossed[: len(low)] == crossed[WINNOW + 6 : WINNOW + 6 + len(low)], low, np.uint32(0))
-    high, size = np.concatenate([np.zeros(WINNOW - 1, np.uint32), low, np.zeros(WINNOW - 1, np.uint32)]), 1
-    while size < WINNOW:
-        step = min(size, WINNOW - size)
-        high, size = np.maximum(high[:-step], high[step:]), size + step
-    out[: len(h)] = (h == high) & ~same
-    at = np.flatnonzero(same)
-    out[at[(at - offsets[np.searchsorted(offsets, at, "right") - 1]) % STEP == 0]] = True
-    return out
-
-
-def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, document and the two halves of the digest of every window; the first and the last bytes of a document
-    are windows too, so that copies go whole. Both ends fall before the first byte of a character."""
+    """Start, end, document and the digest, of 64 and 32 bits, of every chunk; the last chunk of a document ends with it, so
+    that copies go whole."""
     parts: list[list[np.ndarray]] = [[], [], [], [], []]
     for lo, hi in batches(offsets):
         base = offsets[lo]
@@ -137,33 +69,27 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         n = len(own)
         if not n:
             continue
-        letter = np.flatnonzero(np.append((own & 0xC0) != 0x80, True))
-        pick = starts_of(own, at)
-        pick[at[:-1][np.diff(at) > 0]] = True
-        pick[np.maximum(at[1:] - WINDOW, at[:-1])[np.diff(at) > 0]] = True
-        s = np.unique(letter[np.searchsorted(letter, np.flatnonzero(pick))])
-        s = s[s < n]
-        doc = np.searchsorted(at, s, "right") - 1
+        b = boundaries_of(own, at)
+        doc = np.searchsorted(at, b, "right") - 1
         stop = at[doc + 1]
-        # what starts within a window of the end goes up to it, unless an earlier window does
-        e = letter[np.searchsorted(letter, np.minimum(s + WINDOW, stop))]
-        keep = s + WINDOW <= stop
-        last = np.zeros(len(s), bool)
-        reach = np.flatnonzero(~keep)
-        last[reach] = np.diff(doc[reach], prepend=-1) != 0
-        full = np.zeros(len(s), bool)
-        full[1:] = (doc[1:] == doc[:-1]) & (e[:-1] == stop[1:])
-        keep |= last & ~full
-        s, e, doc = s[keep], e[keep], doc[keep]
+        later = np.searchsorted(b, b + CHUNK)
+        e = np.minimum(np.append(b, n)[later], stop)
+        whole = b + CHUNK <= stop
+        last = whole & np.append(~whole[1:] | (doc[1:] != doc[:-1]), True)  # of the chunks that fit, the last of its document
+        tail = last & (e < stop)
+        keep = whole | (b == at[doc])
+        s, e, doc = (np.concatenate([x[keep], y[tail]]) for x, y in ((b, b), (e, stop), (doc, doc)))
+        order = np.lexsort((e, s))
+        s, e, doc = s[order], e[order], doc[order]
         digest = []
-        for value, b in _LANES:
-            power, inverse = _powers(b, 1 << max(20, int(n).bit_length()))
+        for value, base_ in _LANES:
+            power, inverse = _powers(base_, 1 << max(20, int(n).bit_length()))
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(value[own] * power[:n], out=sums[1:])
             digest.append(mix64((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)))
-        for p, x in zip(parts, (s + base, e + base, doc + lo, *digest), strict=True):
+        for p, x in zip(parts, (s + base, e + base, doc + lo, digest[0], (digest[1] >> np.uint64(32)).astype(np.uint32)), strict=True):
             p.append(x)
-    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
+    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint32)
     return tuple(np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True))
 
 
@@ -192,9 +118,8 @@ def _firsts(h1: np.ndarray, h2: np.ndarray, owner: np.ndarray) -> tuple[np.ndarr
     return order, np.flatnonzero(fresh), np.cumsum(fresh) - 1
 
 
-def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, run_bytes: int = RUN_BYTES, pieces: Callable = chunks_of) -> DataFrame:
-    """doc_id, text (what is kept), n_chunks, n_bytes, n_removed, n_spans of every row. ``pieces`` are what is compared:
-    ``chunks_of``, or ``windows_of``, which miss no passage.
+def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """doc_id, text (what is kept), n_chunks, n_bytes, n_removed, n_spans of every row.
 
     Null and empty texts give an empty text. Repeats inside one document, and in rows of equal id, stay. A null id counts as
     the largest. Other columns aren't read; an empty table gives an empty one."""
@@ -202,7 +127,7 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def send(t: pa.Table) -> pa.Table:
         r = read_run(t)
-        _, _, doc, h1, h2 = pieces(r.data, r.offsets)
+        _, _, doc, h1, h2 = chunks_of(r.data, r.offsets)
         did = r.did
         order, starts, _ = _firsts(h1, h2, did[doc])
         first = order[starts]
@@ -211,7 +136,7 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(t: pa.Table, reply: pa.Table) -> pa.Table:
         r = read_run(t)
         did, data, offsets = r.did, r.data, r.offsets
-        s, e, doc, h1, h2 = pieces(data, offsets)
+        s, e, doc, h1, h2 = chunks_of(data, offsets)
         own = did[doc]
         order, starts, group = _firsts(h1, h2, own)
         _, smaller = read_answer(reply, 0)
@@ -240,16 +165,17 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
     """``docs`` with repeated passages cut out of the texts, and their lengths anew. A document that loses all its text
-    goes; one that had none stays. Rows that share an id, or have none, keep their texts; all other columns stay."""
-    once = docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") == 1)).select(id_col)
-    cut = dedup_chunks(docs, id_col, text_col, **{"pieces": windows_of, **options}).where("n_removed > 0").join(once.withColumnRenamed(id_col, "doc_id"), "doc_id")
-    new = cut.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    both = docs.join(new, docs[id_col] == new["_id"], "left").where("_text is null or length(_text) > 0")
-    text = F.coalesce("_text", F.col(text_col))
-    return both.withColumn(length_col, F.when(F.col("_id").isNull(), F.col(length_col)).otherwise(F.length("_text"))).withColumn(text_col, text).drop("_id", "_text")
+    goes; one that had none stays. Rows that share an id, or have none, keep their texts; all other columns stay. An empty
+    table gives an empty one."""
+    once = docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") == 1)).select(F.col(id_col).alias("doc_id"))
+    cut = dedup_chunks(docs.select(id_col, text_col), id_col, text_col, **options).where("n_removed > 0").join(once, "doc_id")
+    own, new = unused(docs, "cut_id"), unused(docs, "cut_text")
+    both = docs.join(cut.select(F.col("doc_id").alias(own), F.col("text").alias(new)), F.col(id_col) == F.col(own), "left").where(F.col(new).isNull() | (F.length(new) > 0))
+    changed = {length_col: F.when(F.col(own).isNull(), F.col(length_col)).otherwise(F.length(new)), text_col: F.coalesce(new, text_col)}
+    return both.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
 
 
 def op5_substring_dedup(spark, sf_dir):
-    """SQL has no rolling hash: tests plant random passages and count what is missed, and hold ``dedup_chunks`` with its chunks
-    against a plain version on small documents."""
-    return dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces=windows_of)
+    """SQL has no rolling hash: tests plant random passages and count what is missed, and hold ``dedup_chunks`` against a
+    plain version on small documents."""
+    return dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))

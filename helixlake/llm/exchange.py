@@ -127,9 +127,12 @@ def read_run(t: pa.Table, ordered: bool = False) -> Run:
     out = Run(rows[0]["run"] if rows else 0, did, known, np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(size)]))
     if not ordered:
         return out
+    order = np.argsort(did, kind="stable")
     texts = out.texts()
-    order = sorted(range(len(texts)), key=lambda i: (did[i], texts[i]))
-    return Run(out.run, did[order], known[order], np.frombuffer(b"".join(texts[i] for i in order), np.uint8), np.concatenate([[0], np.cumsum(size[order])]))
+    if len(np.unique(did)) < len(did):
+        order = np.array(sorted(order.tolist(), key=lambda i: (did[i], texts[i])))
+    data = np.frombuffer(b"".join(texts[i] for i in order.tolist()), np.uint8)
+    return Run(out.run, did[order], known[order], data, np.concatenate([[0], np.cumsum(size[order])]))
 
 
 def count_bits(n_runs: int, run_bytes: int = RUN_BYTES) -> int:
