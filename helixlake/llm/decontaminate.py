@@ -2,8 +2,9 @@
 
 Texts are normalised to lower-cased words joined by single spaces, so that a window of words is a string between spaces.
 The automaton holds every window once; each text is scanned once, and the hits are mapped back to words and to character
-offsets of the original text. The benchmark is the small side: its size is measured first, and beyond ``block_bytes`` it
-is taken in blocks, each an automaton of its own in one more map-only pass, so that no task holds more than one block.
+offsets of the original text. The benchmark is the small side: its size is measured first. Up to ``block_bytes`` one
+automaton goes over the texts in one map-only pass. A larger benchmark is dealt to blocks; each has an automaton and a pass of
+its own, which writes what it hit by row, so that no task ever holds more than one block, and the rows' hits are joined.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import materialize, table, unused
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton (about forty times that in memory).
@@ -97,28 +98,36 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """Adds struct ``out``: n_words, hit word numbers, their start and end offsets in the text (characters), items found.
 
     A null text has no words; an empty benchmark, or items without words, hit nothing. Items of equal id count once, and a
-    null item id is the string ``null``. All columns of ``docs`` but one named ``out`` stay; repeated rows stay."""
+    null item id is the string ``null``. All columns of ``docs`` but one named ``out`` stay; repeated rows stay; an empty
+    table gives an empty one."""
     spark = docs.sparkSession
     bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("words")).where("words is not null")
-    size_of = F.coalesce(F.sum(F.octet_length("words")), F.lit(0))
-    total = bench.agg(size_of.alias("b")).first()["b"]
+    total = bench.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("b")).first()["b"]
     n_blocks = max(1, -(-total // block_bytes))
-    result = docs.withColumn(out, F.lit(None).cast(_HIT))
+    if n_blocks == 1:
+        block = [tuple(r) for r in bench.collect()]  # block_bytes at most
+        return docs.withColumn(out, _scanner(spark.sparkContext.broadcast(block), size)(F.col(text_col)))
+    row = unused(docs, "row")
+    kept = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")  # read in each pass: numbers must stay
+    found = None
     for k in range(n_blocks):
-        block = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).collect()]  # about block_bytes
-        hits = _scanner(spark.sparkContext.broadcast(block), size)
-        found = result.withColumn("_hit", hits(F.col(text_col)))
-        if k:
-            old, new = F.col(out), F.col("_hit")
-            both = lambda n: F.array_sort(F.array_union(old[n], new[n]))
-            found = found.withColumn("_hit", F.struct(new["n_words"].alias("n_words"), *(both(n).alias(n) for n in _HIT.names[1:])))
-        result = found.withColumn(out, F.col("_hit")).drop("_hit")
-    return result
+        block = spark.sparkContext.broadcast([tuple(r) for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).collect()])  # about block_bytes
+        hits = kept.select(F.col(row).alias("row"), _scanner(block, size)(F.col(text_col)).alias("hit"))
+        hits = materialize(hits if k == 0 else hits.where(F.size("hit.words") > 0), "hits")  # the first pass counts the words of all
+        block.unpersist()
+        found = hits if found is None else found.union(hits)
+    every = lambda n: F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"hit.{n}")))).alias(n)
+    joined = found.groupBy("row").agg(F.max("hit.n_words").alias("n_words"), *map(every, _HIT.names[1:]))
+    struct = joined.select(F.col("row").alias(row), F.struct(*_HIT.names).cast(_HIT).alias("hit"))
+    both = kept.drop(out).join(struct.withColumnRenamed("hit", out), row)
+    return both.select(*(c for c in docs.columns if c != out), out)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a hit word, with the columns they came with."""
-    return find_contamination(docs, benchmark, out="_contamination", **options).where(F.size("_contamination.words") == 0).drop("_contamination")
+    """The documents without a hit word, with the columns they came with. Null and empty texts have none and stay, repeated
+    rows too; an empty benchmark removes nothing."""
+    out = unused(docs, "contamination")
+    return find_contamination(docs, benchmark, out=out, **options).where(F.size(F.col(out)["words"]) == 0).select(docs.columns)
 
 
 def op8_decontamination(spark, sf_dir):

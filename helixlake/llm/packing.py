@@ -170,30 +170,33 @@ _PLAN = "length long, lo long, hi long, first_sequence long, offset long"
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to rows with a ``length`` from 1 to ``capacity``. ``pieces`` is read three times and
-    must give the same rows each time, as a written table does. Rows of equal length may swap places; an empty table gives
-    an empty one; other columns are kept."""
+    """Adds sequence_id and offset to rows with a ``length`` from 1 to ``capacity``; columns of these names are replaced, all
+    others are kept. ``pieces`` is written once with the place of each row, from which it is dealt: repeated rows are rows of
+    their own, in many tasks. Rows of equal length may swap places; an empty table gives an empty one."""
     spark = pieces.sparkSession
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # ``capacity`` rows at most
-    if counts and (min(counts) < 1 or max(counts) > capacity):
+    pieces = pieces.drop("sequence_id", "offset")
+    rows = materialize(pieces.select(F.col("length").cast("long").alias("length"), F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")), "pieces")
+    counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # ``capacity`` rows at most
+    if counts and (None in counts or min(counts) < 1 or max(counts) > capacity):
         raise ValueError(f"lengths must lie between 1 and {capacity}")
     plan = spark.createDataFrame(reduce_and_fit(counts, capacity), _PLAN)  # grows with the capacity, not with the input
     n_salts = max(1, -(-sum(counts.values()) // PIECES_A_SALT))
-    cols = pieces.columns
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(n_salts)))
-    counted = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = counted.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*cols)) - 1)
-    placed = ranked.join(base, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
-    p = placed.join(F.broadcast(plan.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
-    return p.select(*cols, (F.col("first_sequence") + F.col("_rank") - F.col("lo")).alias("sequence_id"), "offset")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(n_salts)))
+    counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = counted.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("at")) - 1)
+    placed = ranked.join(base, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
+    slots = F.broadcast(plan.withColumnRenamed("length", "slot_length"))  # bounded by the capacity
+    p = placed.join(slots, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    return p.select("row.*", (F.col("first_sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document. Repeated rows are
-    documents of their own; null and empty texts take one id; a null doc_id stays null; other columns don't matter."""
-    return pack(materialize(token_pieces(docs, vocab or default_vocab(), capacity), "pieces"), capacity)
+    documents of their own; null and empty texts take one id; a null doc_id stays null; other columns don't matter. An empty
+    table gives an empty one."""
+    return pack(token_pieces(docs, vocab or default_vocab(), capacity), capacity)
 
 
 def op1_best_fit_packing(spark, sf_dir):

@@ -198,7 +198,7 @@ def test_chunks_take_copies_whole_and_short_repeats_not(spark):
     rows = [(1, words(r, 80)), (3, "é" + words(r, 30) + flat + words(r, 30)), (5, stock + words(r, 40)), (6, words(r, 40) + stock), (7, "z" * 900), (8, "z" * 700), (9, ""), (10, None), (11, "日" * 60)]
     rows += [(20 + i, t) for i, t in rows if i in (1, 3, 11)]
     got = {x.doc_id: (x.n_removed, x.text) for x in chunk_dedup.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[i][1] == "" for i in (21, 23, 31, 8)) and all(got[i][0] == 0 for i in (1, 3, 5, 6, 7, 9, 10, 11))
+    assert all(got[i][1] == "" for i in (21, 23, 31)) and got[8][0] >= 640 and all(got[i][0] == 0 for i in (1, 3, 5, 6, 7, 9, 10, 11))
 
 
 # --- 6: Jaccard join ------------------------------------------------------------------------------------------------
@@ -461,7 +461,7 @@ def test_packing_salts_hot_lengths_and_takes_nothing(spark, none, monkeypatch):
 def test_token_counts_equal_the_tokenizers_library(spark, docs, none, tokenizer, tmp_path):
     for name, df in (("docs", docs), ("none", none)):
         path = f"file://{tmp_path}/{name}"
-        token_counts.write_token_files(df, path, common.default_vocab(), docs_per_file=5)
+        token_counts.write_token_files(df, path, common.default_vocab(), file_bytes=100_000, classes=(100, 1_000))
         for block in (3, 64, 1 << 20):
             got = sorted(str((r.doc_id, r.n_tokens)) for r in token_counts.count_tokens(spark, path, block_tokens=block).collect())
             assert got == (sorted(str((d, len(tokenizer.encode(t or "", add_special_tokens=False).ids))) for d, t in corpus()) if name == "docs" else [])
@@ -652,6 +652,35 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(df, ()).where("verdict != 'allow'").isEmpty()
 
 
+def test_urls_by_table_equal_those_by_list(spark, monkeypatch):
+    hosts = ["a.example.org", "bestcasino.net", "my-casino.com", "casinobests.com", "x.com", "org", "best-casino.top", "vipporn.de"]
+    paths = ["", "/", "/es/1", "/en/12", "/fr/", "/de/9", "/a/Track/Click", "/aff/out/2", "/affx/out"]
+    urls = [f"https://{h}{p}" for h in hosts for p in paths] + [None, "nothing", "", "https://x.com/fr/"]
+    df = spark.createDataFrame([(i, u, "p", 1, 2) for i, u in enumerate(urls)], "page_id long, url string, pattern string, url_parts int, url_rule int")
+    rules = url_filter.RULES + url_filter.PATTERNS
+    one = url_filter.filter_urls(df, rules)
+    want = sorted(map(str, one.collect()))
+    assert {"url_parts", "url_rule"} <= set(one.columns) and sum("block" in r for r in want) > 10
+    monkeypatch.setattr(url_filter, "LITERAL_RULES", 5)
+    two = url_filter.filter_urls(df, rules)
+    assert sorted(map(str, two.select(one.columns).collect())) == want
+    assert not re.search("Python|Pandas|Arrow", two._jdf.queryExecution().executedPlan().toString())
+
+
+def test_urls_fetch_few_rules(spark):
+    """Of some two hundred and fifty rules a URL runs the ones that its rare tokens fetch."""
+    rules = url_filter.RULES + url_filter.PATTERNS
+    assert len(rules) > 200 and all(r.tokens for r in rules)
+    hosts = ["news.com", "shop.org", "bestcasino.net", "blog.example.org"] * 50
+    counts = {}
+    for h in hosts:
+        for t in set(re.findall("[0-9a-z]+", h)):
+            counts[t] = counts.get(t, 0) + 1
+    filed = [min(r.tokens, key=lambda t: (counts.get(t, 0), t)) for r in rules]
+    fetched = [sum(f in re.findall("[0-9a-z]+", h) for f in filed) for h in hosts]
+    assert max(fetched) <= 4 and sum(fetched) / len(hosts) < 3
+
+
 def test_url_filter_is_native(spark):
     plan = url_filter.filter_urls(spark.createDataFrame([("x://a.org/",)], "url string"), url_filter.RULES)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -687,6 +716,69 @@ def test_keys_in_two_steps(spark):
     assert rows[10] <= n_runs * 7 < rows[1000]
 
 
+def test_matcher_equals_a_search_for_each_entry():
+    r = random.Random(3)
+    entries = {" idio": 2.0, " idiot": 3.0, " scum ": 4.0, " bad ": 1.5, " x ": 1.0}
+    lexicon = toxicity.Lexicon(entries, {"not bad", "scum bag"})
+    auto = lexicon.automaton()
+    for _ in range(200):
+        flat = toxicity.fold(" ".join(r.choice(["idiot", "idiom", "1d10t", "scum", "scummy", "bad", "not", "bag", "x", "Ѕсum", "!", "clean"]) for _ in range(r.randrange(12))))
+        want = {}
+        for w, x in entries.items():
+            for at in range(len(flat)):
+                if flat.startswith(w, at) and not any(p in lexicon.exceptions for p in toxicity.phrases_at(flat, at)):
+                    want[at] = max(x, want.get(at, x))
+        assert lexicon.matches(auto, flat) == want
+
+
+def test_pooling_equals_one_position_at_a_time():
+    """Texts of several segments, read by plain steps: each segment from the zero state in both directions."""
+    net = language_id.Network(["a", "b", "c"], seed=5)
+    texts = ["", "ab", "é" * 40, "some words " * 30]
+
+    def states(gru, segment):
+        s, out = np.zeros(gru.h), []
+        for byte in segment:
+            s = gru.step(gru.wx[np.array([byte])].astype(np.float64), s[None, :])[0][0]
+            out.append(s)
+        return out
+
+    got = net.pooled([t.encode() for t in texts])
+    for row, t in zip(got, texts):
+        raw, p = t.encode(), []
+        for a in range(0, len(raw), language_id.SEGMENT):
+            real = raw[a : a + language_id.SEGMENT]
+            segment = list(real) + [net.PAD] * (language_id.SEGMENT - len(real))
+            ahead, back = states(net.ahead, segment), states(net.back, segment[::-1])[::-1]
+            for k in range(len(real)):
+                z = np.concatenate([ahead[k], back[k]]) @ net.wo + net.bo
+                p.append(np.exp(z) / np.exp(z).sum())
+        assert np.allclose(row, np.mean(p, axis=0) if p else 1 / 3, atol=1e-4)
+
+
+CLASHING = ("run", "did", "key", "n", "node", "row", "at", "salt", "rank", "lo", "hi", "base", "bucket", "hit", "_hit", "_u", "_c", "_id", "_text", "language", "_language", "toxicity", "cut_id", "cut_text", "contamination")
+
+
+def test_users_columns_stay(spark):
+    """Operators that return the documents keep columns of any name."""
+    r = random.Random(6)
+    passage = words(r, 70)
+    texts = [words(r, 40) + passage, words(r, 30) + passage, passage, None, "", words(r, 20), words(r, 20)]
+    df = spark.createDataFrame([(i, t, None, f"https://h{i}.org/", "k") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, url string, mark string")
+    df = df.withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in CLASHING})
+    bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    net = language_id.fit(["xx"], [t for t in texts if t], [0] * 5, steps=2)
+    outs = {
+        "jaccard": jaccard_join.keep_one(df), "chunks": chunk_dedup.rewrite(df), "clean": decontaminate.remove_contaminated(df, bench), "found": decontaminate.find_contamination(df, bench, block_bytes=1, out="c9"),
+        "urls": url_filter.filter_urls(df, url_filter.RULES), "lang": language_id.keep_identified(df, net, 0.0), "tox": toxicity.score_toxicity(df, toxicity.Lexicon({}, set()), out="t9"),
+        "pack": packing.pack(df.withColumn("length", F.col("doc_id") + 1)),
+    }
+    for name, out in outs.items():
+        assert set(df.columns) <= set(out.columns), name
+        rows = out.collect()
+        assert rows and all(x[c] == f"{c}-{x.doc_id}" for x in rows for c in CLASHING), name
+
+
 # --- all ------------------------------------------------------------------------------------------------------------
 
 
