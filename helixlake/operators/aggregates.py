@@ -49,11 +49,29 @@ def backbone(atoms: DataFrame, features: list[str], by: tuple[str, ...] = ("cath
     return own.groupBy(*by).agg(F.min(order).alias("first"), *first, *(F.avg(f).alias(f) for f in features))
 
 
+def median_of(df: DataFrame, col: str, bins: int = 4_096) -> DataFrame:
+    """One row with the exact ``median`` of the values that aren't null. A first pass counts values by ranges, which says
+    what range it lies in; only the values of that range are counted one by one."""
+    v = df.select(F.col(col).alias("v")).where("v is not null")
+    all_ = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
+    binned = v.crossJoin(F.broadcast(all_)).select("v", "n", F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / width * bins)).cast("int").alias("bin"))  # one row
+    up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    hist = binned.groupBy("bin").agg(F.count("*").alias("c"), F.first("n").alias("n")).withColumn("before", F.sum("c").over(up) - F.col("c"))  # ``bins`` rows at most
+    ranks = F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"))
+    inside = hist.withColumn("wanted", F.filter(ranks, lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("c")))).where(F.size("wanted") > 0).select("bin", "before", "wanted")
+    near = binned.join(F.broadcast(inside), "bin").groupBy("bin", "v").agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("wanted").alias("wanted"))
+    at = F.sum("c").over(Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    hit = near.withColumn("stop", at).withColumn("hits", F.size(F.filter("wanted", lambda k: (k >= F.col("stop") - F.col("c")) & (k < F.col("stop"))))).where("hits > 0")
+    return hit.agg((F.sum(F.col("v") * F.col("hits")) / F.sum("hits")).alias("median"))
+
+
 def robust_stats(df: DataFrame, col: str = "bfactor", limit: float = 3.5, mad_scale: float = 1.0) -> DataFrame:
-    """Mean and population deviation of what is left when values far above the mean, by the median absolute deviation, go."""
-    dev = df.withColumn("m", F.lit(df.agg(F.avg(col).alias("m")).first()["m"]))
-    mad = dev.agg((F.median(F.abs(F.col(col) - F.col("m"))) * mad_scale).alias("mad")).first()["mad"]
-    kept = dev.where(0.6745 * (F.col(col) - F.col("m")) / F.lit(mad) <= limit)
+    """Mean and population deviation of what is left when values far above the mean, by the median absolute deviation, go:
+    one row. Values that are null don't count."""
+    dev = df.select(F.col(col)).crossJoin(F.broadcast(df.agg(F.avg(col).alias("m"))))  # one row
+    mad = median_of(dev.select(F.abs(F.col(col) - F.col("m")).alias("d")), "d").select((F.col("median") * mad_scale).alias("mad"))
+    kept = dev.crossJoin(F.broadcast(mad)).where(0.6745 * (F.col(col) - F.col("m")) / F.col("mad") <= limit)  # one row
     return kept.agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), F.count("*").alias("n"))
 
 

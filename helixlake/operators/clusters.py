@@ -2,41 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import geometry as G
 from .aggregates import residue_centres, run_ids
+from .scratch import written
 from .spatial import neighbours
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """A table in the folder that the cluster shares for checkpoints, read again: iterations end their lineage there."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="helixlake-")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unit_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:
     v = F.col(vec).cast("array<double>")
     n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x))
     return df.withColumn("unit", F.transform(v, lambda x: F.try_divide(x, n)))
 
 
-def pair_scores(df: DataFrame, key: str, group: str) -> DataFrame:
-    """Cosine of each pair of a group once (a < b). The group is the family that pairs are meaningful in; a large one
-    is dealt by both ids' blocks, so no task holds all its pairs."""
+#: Rows of a group that meet the same number of rows of it in one task, about.
+BLOCK_ROWS = 2_000
+
+
+def _dot(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+
+def pair_scores(df: DataFrame, key: str, group: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All against all: the cosine of each pair of a group once (a < b). The group is the family that pairs are meaningful
+    in. It is dealt to as many blocks as its size calls for, and a task has a block against a block."""
     u = unit_vectors(df).select(key, group, "unit")
-    blocks = 8
-    a = u.select(group, F.col(key).alias("a"), F.col("unit").alias("ua"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("ba"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bb"))
-    b = u.select(group, F.col(key).alias("b"), F.col("unit").alias("ub"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ba"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("bb"))
-    dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    return a.join(b, [group, "ba", "bb"]).where("a < b").select(group, "a", "b", dot.alias("score"))
+    n = u.groupBy(group).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    u = u.join(n, group).withColumns({"own": F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    a = u.select(group, F.col(key).alias("a"), F.col("unit").alias("ua"), F.col("own").alias("ba"), F.col("other").alias("bb"))
+    b = u.select(group, F.col(key).alias("b"), F.col("unit").alias("ub"), F.col("other").alias("ba"), F.col("own").alias("bb"))
+    return a.join(b, [group, "ba", "bb"]).where("a < b").select(group, "a", "b", _dot("ua", "ub").alias("score"))
+
+
+def one_against_all(df: DataFrame, key: str, one) -> DataFrame:
+    """The cosine of one row with every other row; its vector goes to all tasks."""
+    u = unit_vectors(df).select(key, "unit")
+    own = u.where(F.col(key) == F.lit(one)).select(F.col(key).alias("a"), F.col("unit").alias("ua"))
+    rest = u.where(F.col(key) != F.lit(one)).select(F.col(key).alias("b"), F.col("unit").alias("ub"))
+    return rest.crossJoin(F.broadcast(own)).select("a", "b", _dot("ua", "ub").alias("score"))  # one row
+
+
+def one_against_one(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """The cosine of the pairs (a, b) that a table names."""
+    u = unit_vectors(df).select(key, "unit")
+    side = lambda c: u.select(F.col(key).alias(c), F.col("unit").alias(f"u{c}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", _dot("ua", "ub").alias("score"))
 
 
 def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -244,9 +256,9 @@ def allowed_connections(segments: DataFrame, ends: DataFrame, by: str, limit: fl
     ``ends``: by, place, x, y, z of the points that starts and stops name."""
     e = lambda p: ends.select(by, F.col("place").alias(p), *(F.col(k).alias(f"{p}{k}") for k in "xyz"))
     s = segments.where("value != 'X'").select(by, "run_id", "start", "stop").join(e("start"), [by, "start"]).join(e("stop"), [by, "stop"])
-    a, b = s.select(by, F.col("run_id").alias("first"), *(F.col(f"start{k}").alias(f"p{k}") for k in "xyz")), s.select(by, F.col("run_id").alias("second"), *(F.col(f"stop{k}").alias(f"q{k}") for k in "xyz"))
-    d = F.sqrt(sum(((F.col(f"p{k}") - F.col(f"q{k}")) ** 2 for k in "xyz"), F.lit(0.0)))
-    return a.join(b, by).where("first != second").withColumn("distance", d).where(F.col("distance") < limit).select(by, "first", "second", "distance")
+    at = lambda n: s.select(by, "run_id", *(F.col(f"{n}{k}").alias(k) for k in "xyz"))
+    near = neighbours(at("start"), at("stop"), limit, [by], key="run_id", ordered=False).where((F.col("a_run_id") != F.col("b_run_id")) & (F.col("distance") < limit))
+    return near.select(by, F.col("a_run_id").alias("first"), F.col("b_run_id").alias("second"), "distance")
 
 
 def torsions(backbone: DataFrame, by: str, order: str) -> DataFrame:

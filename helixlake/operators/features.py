@@ -9,7 +9,8 @@ from ..functions.catalog import BIOLOGICAL, KD, OCTANAL, PHARMACOPHORE, RESIDUE_
 
 # The catalogue's atom types.
 ATOM_TYPES = ("H", "HD", "HS", "C", "A", "N", "NA", "NS", "OA", "OS", "F", "MG", "P", "SA", "S", "CL", "CA", "MN", "FE", "ZN", "BR", "I")
-ELEMENTS = ("H", "C", "N", "O", "S", "P", "F")
+# The catalogue's elements.
+ELEMENTS = ("C", "N", "O", "S", "H", "F", "MG", "P", "CL", "CA", "MN", "FE", "ZN", "BR", "I")
 NAN = float("nan")
 
 
@@ -69,10 +70,31 @@ def conservation(residues: DataFrame, entropy: DataFrame, by: list[str]) -> Data
     return out.withColumn("is_conserved", threshold(F.col("entropy"), THRESHOLDS["is_conserved"][1]))
 
 
-def docking_scores(df: DataFrame) -> DataFrame:
-    """Simple and zdock terms by burial (relative area under one half)."""
+def conservation_grade(grade: Column) -> Column:
+    """Grades 1 to 9 on a scale of 0 to 1; a dot (no grade) is NaN."""
+    return F.when(F.trim(grade) == ".", F.lit(NAN)).otherwise((F.trim(grade).try_cast("double") - 1) / 8)
+
+
+def electrostatics(atoms: DataFrame, annotation: DataFrame, by: list[str]) -> DataFrame:
+    """Charge and potential from a table by atom (null where it lacks one), and their three booleans."""
+    return charge_flags(atoms.join(annotation.select(*by, "charge", "electrostatic_potential"), by, "left"))
+
+
+def charge_flags(df: DataFrame) -> DataFrame:
+    return thresholds(df, ["neg_charge", "pos_charge", "is_electronegative"])
+
+
+def angle_features(df: DataFrame, names: tuple[str, ...] = ("phi", "psi")) -> DataFrame:
+    """Sine and cosine of angles in radians."""
+    return df.withColumns({f"{n}_{f.__name__}": f(n) for n in names for f in (F.sin, F.cos)})
+
+
+def docking_scores(df: DataFrame, ligand: bool = False) -> DataFrame:
+    """Simple and zdock terms by burial (relative area under one half). A ligand's simple term is 1 throughout, and its charge
+    doesn't count."""
     buried = F.col("residue_rasa") < 0.5
-    return df.withColumns({"simple": F.when(buried, -15.0).otherwise(1.0), "zdock": F.when(buried, 3.5**2).otherwise(3.5)})
+    simple = F.lit(1.0) if ligand else F.when(buried, -15.0).otherwise(1.0)
+    return df.withColumns({"simple": simple, "zdock": F.when(buried, 3.5**2).otherwise(3.5), "zdock_charge": F.lit(0.0) if ligand else F.col("charge")})
 
 
 def truth_vectors(df: DataFrame, positive: Column, n_classes: int = 2) -> DataFrame:
@@ -90,6 +112,14 @@ def arithmetic(left: DataFrame, right: DataFrame, by: list[str], columns: list[s
     return left.join(r, by).select(*by, *cols)
 
 
+def scalar_arithmetic(df: DataFrame, columns: list[str], value: float) -> DataFrame:
+    """Features and a number: sums, differences, quotients (whole division is the true one), and absolute values."""
+    cols = {}
+    for c in columns:
+        cols |= {f"{c}_sum": F.col(c) + value, f"{c}_diff": F.col(c) - value, f"{c}_ratio": F.try_divide(F.col(c), F.lit(float(value))), f"{c}_abs": F.abs(c)}
+    return df.withColumns(cols)
+
+
 def id_parts(df: DataFrame, domain: str = "cath_domain", residue: str = "residue_id") -> DataFrame:
     """pdb, chain and number of a seven-letter domain id; number and insertion code of a residue id."""
     d = F.col(domain).cast("string")
@@ -99,8 +129,10 @@ def id_parts(df: DataFrame, domain: str = "cath_domain", residue: str = "residue
     return df.withColumns(cols | {"resseq": F.expr("try_cast(regexp_extract(%s, '%s', 1) as int)" % (residue, pattern)), "icode": F.regexp_extract(residue, pattern, 2)})
 
 
-def normalised_bfactor(df: DataFrame, mean: float, std: float) -> DataFrame:
-    return df.withColumn("bfactor_norm", (F.col("bfactor") - mean) / std)
+def normalised_bfactor(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """B-factors by the mean and deviation of a one-row table, as ``robust_stats`` gives it."""
+    one = stats.select(F.col("mean").alias("_mean"), F.col("std").alias("_std"))
+    return df.crossJoin(F.broadcast(one)).withColumn("bfactor_norm", F.try_divide(F.col("bfactor") - F.col("_mean"), F.col("_std"))).drop("_mean", "_std")
 
 
 def atom_types(df: DataFrame, atom_type: str = "atom_type") -> DataFrame:
@@ -108,17 +140,50 @@ def atom_types(df: DataFrame, atom_type: str = "atom_type") -> DataFrame:
 
 
 #: What each group of features adds; a preset is a list of groups.
-GROUPS = {"element": element_features, "radii": radii, "hydrophobicity": hydrophobicity, "residue": residue_one_hot, "structure": secondary_structure, "thresholds": thresholds}
-PRESETS = {"all": tuple(GROUPS), "only_aa": ("residue",), "only_atom": ("element",), "non_geometric": ("radii", "hydrophobicity", "thresholds")}
+GROUPS = {"element": element_features, "atom_type": atom_types, "radii": radii, "hydrophobicity": hydrophobicity, "residue": residue_one_hot, "structure": secondary_structure, "pharmacophore": pharmacophore, "thresholds": thresholds}
+PRESETS = {"all": tuple(GROUPS), "only_aa": ("residue",), "only_atom": ("atom_type",), "non_geometric": ("radii", "hydrophobicity", "thresholds"), "pharmacophore": ("pharmacophore",)}
+#: Columns of the groups that datasets choose from, and the named choices.
+COLUMNS = {
+    "element": (*(f"{e}_elem" for e in ELEMENTS), "Unk_elem"), "atom_type": (*(f"{t}_type" for t in ATOM_TYPES), "Unk_atom"), "residue": (*RESIDUES, "Unk_residue"), "deepsite": tuple(PHARMACOPHORE),
+    "structure": ("is_helix", "is_sheet", "Unk_SS", "is_a", "is_b", "is_e", "is_g", "is_i", "is_t", "is_s"), "hydrophobicity": ("kd", "biological", "octanal", "is_hydrophobic"),
+}
+COLUMN_PRESETS = {"only_aa": ("residue",), "only_atom": ("atom_type",), "use_deepsite": ("deepsite",), "both": ("residue", "deepsite"), "coarse": ("residue", "structure", "hydrophobicity"), "all": tuple(COLUMNS)}
+
+
+def preset_columns(name: str) -> list[str]:
+    """The feature columns of a named choice."""
+    return [c for group in COLUMN_PRESETS[name] for c in COLUMNS[group]]
 
 
 def preset(df: DataFrame, name: str, update: tuple[str, ...] = ()) -> DataFrame:
-    """The features of a preset, or of the groups named in ``update`` alone; other columns pass through."""
+    """The features of a preset, or of the groups or single features named in ``update`` alone; other columns pass through."""
     for group in update or PRESETS[name]:
-        df = GROUPS[group](df)
+        if group in GROUPS:
+            df = GROUPS[group](df)
+        else:
+            home = next((g for g, names in COLUMNS.items() if group in names), "thresholds")
+            df = _single(df, {"deepsite": "pharmacophore"}.get(home, home), group)
     return df
 
 
+def _single(df: DataFrame, group: str, feature: str) -> DataFrame:
+    """One feature of a group; the group's other columns stay as they were."""
+    full = GROUPS[group](df)
+    return full.select(*(c for c in df.columns if c != feature), feature)
+
+
+def sequence_samples(residues: DataFrame, by: str, order: str, labels: list[Column], features: list[Column]) -> DataFrame:
+    """One row a structure: its sequence, and matrices of labels and of features with a row for each residue in order."""
+    row = F.struct(order, one_letter(F.col("residue_name")).alias("c"), F.array(*labels).alias("labels"), F.array(*features).alias("features"))
+    s = residues.groupBy(by).agg(F.sort_array(F.collect_list(row)).alias("s"))
+    return s.select(by, F.array_join(F.col("s.c"), "").alias("sequence"), F.col("s.labels").alias("labels"), F.col("s.features").alias("features"))
+
+
+def with_label(truth: Column, label: Column) -> Column:
+    """A truth vector with the domain's encoded label as one more entry."""
+    return F.concat(truth, F.array(label.cast("double")))
+
+
 def add_features(df: DataFrame, extra: DataFrame, by: list[str]) -> DataFrame:
     """Columns of another table by key; rows without one have null."""
     return df.join(extra, by, "left")

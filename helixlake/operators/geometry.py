@@ -172,6 +172,28 @@ def seven_points(sites: DataFrame, by: str, step: float = 5.0) -> DataFrame:
     return c.select(by, F.posexplode(moves).alias("point", "d"), *XYZ).select(by, "point", *((F.col(x) + F.col("d")[i]).alias(x) for i, x in enumerate(XYZ)))
 
 
+def compare_placements(reference: DataFrame, first: DataFrame, second: DataFrame, by: str) -> DataFrame:
+    """How far two placements of an interface are from the reference, by the seven points of either side (columns side 1 or
+    2, point, x, y, z): root mean squares over both sides under the placement that fits side 1 (rmsd_a) and the one that fits
+    side 2 (rmsd_b), their mean and minimum, and that of the sides each under its own placement (best)."""
+    side = lambda d, n: d.select(by, "side", "point", *(F.col(c).alias(f"{n}{c}") for c in XYZ))
+    rows = reference.select(by, "side", "point", *XYZ).join(side(first, "a"), [by, "side", "point"]).join(side(second, "b"), [by, "side", "point"])
+    d = lambda n: sum(((F.col(c) - F.col(f"{n}{c}")) ** 2 for c in XYZ), F.lit(0.0))
+    own = F.when(F.col("side") == 1, d("a")).otherwise(d("b"))
+    out = rows.groupBy(by).agg(*(F.sqrt(F.avg(x)).alias(n) for n, x in (("rmsd_a", d("a")), ("rmsd_b", d("b")), ("best", own))))
+    return out.withColumns({"mean": (F.col("rmsd_a") + F.col("rmsd_b")) / 2, "least": F.least("rmsd_a", "rmsd_b")})
+
+
+def random_flips(atoms: DataFrame, share: float = 0.5, by: str = "cath_domain", seed: int = 0) -> DataFrame:
+    """Mirrors structures about their centre along each axis with that probability, drawn by a hash of key, axis and seed."""
+    w = Window.partitionBy(by)
+    cols = {}
+    for c in XYZ:
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(by).cast("string"), F.lit(c), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+        cols[c] = F.when(u < share, 2 * F.bround(F.avg(real(c)).over(w), 4) - F.col(c)).otherwise(F.col(c))
+    return atoms.withColumns(cols)
+
+
 def assembly(atoms: DataFrame, operators: DataFrame, by: str = "cath_domain") -> DataFrame:
     """Every structure under each of its operators: rows (key, copy, axis 1..3, a, b, c, t), three to a matrix."""
     m = operators.groupBy(by, "copy").agg(*(F.max(F.when(F.col("axis") == k + 1, F.col(c))).alias(f"o{c}{k}") for k in range(3) for c in "abct"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import filter_codes
+from .scratch import written
 
 #: Identity levels and the cluster columns that make their keys.
 LEVELS = {"S35": ["s"], "S60": ["s", "o"], "S95": ["s", "o", "l"], "S100": ["s", "o", "l", "i"]}
@@ -39,9 +40,24 @@ def representatives(domains: DataFrame, reps: DataFrame, code: str = "cath_code"
     return found.groupBy(code).agg(F.count("*").alias("total_domains"), F.count_if(F.col("found").isNull()).alias("n_missing"), F.min(F.when(F.col("found").isNull(), F.col("cath_domain"))).alias("first_missing"))
 
 
+def by_ranges(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Running totals along an order inside each group, without a task that sees a whole group: rows are dealt by ranges and
+    written with the number of their range; totals of the ranges before are added to those in a range. ``sums``: new column
+    to the column it totals, "" for a count of rows (which numbers them from 1)."""
+    rows = written(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    one = lambda c: F.lit(1).cast("long") if c == "" else F.col(c)
+    parts = rows.groupBy(*by, "_range").agg(*(F.sum(one(c)).alias(n) for n, c in sums.items()))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select(*by, "_range", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+    own = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(base, [*by, "_range"]).withColumns({n: F.col(f"_{n}") + F.sum(one(c)).over(own) for n, c in sums.items()})
+    return out.drop("_range", *(f"_{n}" for n in sums))
+
+
 def label_encode(df: DataFrame, col: str, name: str = "label") -> DataFrame:
-    """0..n-1 by the order of the distinct values, which are ranked on their own, never the rows."""
-    values = df.select(col).distinct().withColumn(name, F.row_number().over(Window.orderBy(col)) - 1)
+    """0..n-1 by the order of the distinct values, which are ranked on their own, never the rows. A null value has the
+    label null."""
+    values = by_ranges(df.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_all", F.lit(0)), ["_all"], [col], {name: ""}).select(col, (F.col(name) - 1).cast("int").alias(name))
     return df.join(values, col, "left")
 
 
@@ -50,17 +66,15 @@ def _cut(sizes: DataFrame, scope: list[str], share: float, margin: float = 0.01)
 
     Start at int(groups * share); from there the cut moves down while too many rows are in, and up while too few are;
     it stops inside the margin, or one past it."""
-    w, up = Window.partitionBy(*scope), Window.partitionBy(*scope).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    f = sizes.withColumns({"f": F.sum("n").over(up) / F.col("rows"), "m": F.count("*").over(w), "j": F.row_number().over(Window.partitionBy(*scope).orderBy("k"))})
+    f = by_ranges(sizes, scope, ["k"], {"up_to": "n", "j": ""}).withColumn("f", F.col("up_to") / F.col("rows")).drop("up_to")
     lo, hi = share - margin, share + margin
     k0 = F.floor(F.col("groups") * share)
+    below, above = (F.col("j") < k0) & (F.col("f") <= hi), (F.col("j") >= k0) & (F.col("f") >= lo)
     s = f.groupBy(*scope).agg(
-        F.first("m").alias("m"), F.first(k0).alias("k0"), F.coalesce(F.max(F.when(F.col("j") <= k0, F.col("f"))), F.lit(0.0)).alias("f0"),
-        F.coalesce(F.max(F.when((F.col("j") < k0) & (F.col("f") <= hi), F.col("j"))), F.lit(0)).alias("down"),
-        F.min(F.when((F.col("j") >= k0) & (F.col("f") >= lo), F.col("j"))).alias("up"),
+        F.count("*").alias("m"), F.first(k0).alias("k0"), F.coalesce(F.max(F.when(F.col("j") <= k0, F.col("f"))), F.lit(0.0)).alias("f0"),
+        F.coalesce(F.max(F.when(below, F.col("j"))), F.lit(0)).alias("down"), F.coalesce(F.max(F.when(below, F.col("f"))), F.lit(0.0)).alias("f_down"),
+        F.min(F.when(above, F.col("j"))).alias("up"), F.min(F.when(above, F.col("f"))).alias("f_up"),
     )
-    at = lambda col, name: f.select(*scope, F.col("j").alias(col), F.col("f").alias(name))
-    s = s.join(at("down", "f_down"), [*scope, "down"], "left").join(at("up", "f_up"), [*scope, "up"], "left").withColumn("f_down", F.coalesce("f_down", F.lit(0.0)))
     cut = (
         F.when((F.col("f0") >= lo) & (F.col("f0") <= hi), F.least("k0", "m"))
         .when((F.col("f0") > hi) & (F.col("k0") > F.col("m")), F.col("m"))
@@ -69,14 +83,14 @@ def _cut(sizes: DataFrame, scope: list[str], share: float, margin: float = 0.01)
         .otherwise(F.when(F.col("f_up") <= hi, F.col("up")).otherwise(F.col("up") - 1))
     )
     cuts = s.select(*scope, cut.alias("cut"))
-    return f.join(cuts, scope).withColumn("taken", F.col("j") <= F.col("cut")).drop("f", "m", "j", "cut")
+    return f.join(cuts, scope).withColumn("taken", F.col("j") <= F.col("cut")).drop("f", "j", "cut")
 
 
 def cluster_split(df: DataFrame, scope: list[str], key: list[str], shares: dict[str, float] | None = None) -> DataFrame:
     """Assigns whole clusters to splits, so that none is in two. Returns scope, key columns and split, one row a cluster.
 
     Clusters are ordered by key. Splits take their share of the rows in descending order of share; the last one takes the
-    rest. Rows with a null key belong to no split but count among the rows. Only cluster sizes are windowed."""
+    rest. Rows with a null key belong to no split but count among the rows. Only cluster sizes are ordered, by ranges."""
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
     if abs(sum(shares.values()) - 1) > 1e-9:
         raise ValueError("shares must add up to 1")
@@ -84,16 +98,19 @@ def cluster_split(df: DataFrame, scope: list[str], key: list[str], shares: dict[
     one = [F.lit("").alias("_scope")] if not scope else []
     by = scope or ["_scope"]
     rows = df.select("*", *one)
-    total = rows.groupBy(*by).agg(F.count("*").alias("rows"))
-    sizes = rows.where(" and ".join(f"{c} is not null" for c in key)).groupBy(*by, *key).agg(F.count("*").alias("n"))
-    sizes = sizes.join(total, by).withColumns({"k": F.struct(*key), "groups": F.count("*").over(Window.partitionBy(*by))})
+    known = F.lit(True)
+    for c in key:
+        known = known & F.col(c).isNotNull()
+    sizes = written(rows.groupBy(*by, *key).agg(F.count("*").alias("n")), "sizes")
+    total = sizes.groupBy(*by).agg(F.sum("n").alias("rows"), F.count_if(known).alias("groups"))
+    sizes = sizes.where(known).join(total, by).withColumn("k", F.struct(*key))
     done = None
     for i, name in enumerate(order):
         if i == len(order) - 1:
             part, sizes = sizes.withColumn("split", F.lit(name)), None
         else:
-            cut = _cut(sizes, by, shares[name])
-            part, sizes = cut.where("taken").drop("taken").withColumn("split", F.lit(name)), cut.where("not taken").drop("taken")
+            cut = written(_cut(sizes, by, shares[name]), "cut")
+            part, sizes = cut.where("taken").withColumn("split", F.lit(name)), cut.where("not taken").drop("taken")
         part = part.select(*scope, *key, "n", "split")
         done = part if done is None else done.union(part)
     return done
@@ -108,17 +125,56 @@ def level_splits(df: DataFrame, scope: list[str], levels: dict[str, list[str]] =
     return out
 
 
+def _hashed_ranks(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """Adds ``_k``, the place of each row in its class (from 1) by the hash of its key. A class is ranked in 256 parts by how
+    its hashes begin, and the parts' sizes are added."""
+    h = df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))).withColumn("_b", F.substring("_h", 1, 2))
+    before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = h.groupBy(label, "_b").count().select(label, "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy(label, "_b").orderBy("_h", key)
+    return h.withColumn("_k", F.row_number().over(own)).join(base, [label, "_b"]).withColumn("_k", F.col("_k") + F.col("_base")).drop("_h", "_b", "_base")
+
+
 def balance(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """Undersamples every class to the smallest one, by order of a hash of the key."""
-    least = df.groupBy(label).count().agg(F.min("count")).first()[0]
-    w = Window.partitionBy(label).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key)
-    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= (least or 0)).drop("_k")
+    least = df.groupBy(label).count().agg(F.min("count").alias("_least"))
+    return _hashed_ranks(df, label, key, seed).crossJoin(F.broadcast(least)).where("_k <= _least").select(*df.columns)  # one row
+
+
+#: Draws that one row stands for before they are made one by one.
+DRAWS = 10_000
 
 
 def oversample(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
-    """Keeps all rows and draws further ones with replacement, by hash, up to the largest class."""
+    """Keeps all rows and draws further ones with replacement, by hash, up to the largest class. Draws are made in blocks, so
+    that those of a class come from many tasks."""
     counts = df.groupBy(label).count()
-    most = counts.agg(F.max("count")).first()[0] or 0
-    numbered = df.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1)
-    draws = counts.where(F.col("count") < most).select(label, F.explode(F.sequence(F.lit(1), most - F.col("count"))).alias("_d"), "count").select(label, F.pmod(F.xxhash64(label, "_d", F.lit(seed)), F.col("count")).alias("_k"))
-    return df.unionByName(draws.join(numbered, [label, "_k"]).drop("_k").select(*df.columns))
+    most = counts.agg(F.max("count").alias("most"))
+    short = counts.crossJoin(F.broadcast(most)).where(F.col("count") < F.col("most"))  # one row
+    blocks = short.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(most - count - 1) div {DRAWS}"))).alias("_block")).repartition(F.col(label), F.col("_block"))
+    draws = blocks.select(label, "count", F.explode(F.sequence(F.col("_block") * DRAWS + 1, F.least((F.col("_block") + 1) * DRAWS, F.col("most") - F.col("count")))).alias("_d"))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(label).cast("string"), F.col("_d").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    draws = draws.select(label, (number % F.col("count") + 1).alias("_k"))
+    return df.unionByName(draws.join(_hashed_ranks(df, label, key, seed), [label, "_k"]).select(*df.columns))
+
+
+def dataset_view(domains: DataFrame, names: list | None = None, representatives: DataFrame | None = None, splits: DataFrame | None = None, scope: tuple[str, ...] = ("cath_code",), key: tuple[str, ...] = ("s",), level: str | None = None, split: str | None = None) -> DataFrame:
+    """The domains of a dataset: an explicit list, the representatives, the rows of a split at a level (``splits`` as
+    ``level_splits`` gives them), or all. ``key``: the cluster columns of the level."""
+    if names is not None:
+        return domains.where(F.col("cath_domain").isin(list(names)))
+    if representatives is not None:
+        return domains.join(representatives.select("cath_domain").distinct(), "cath_domain", "left_semi")
+    if splits is None:
+        return domains
+    mine = splits.where((F.col("level") == level) & (F.col("split") == split)).select(*scope, F.col("key").alias("_key"))
+    return domains.withColumn("_key", F.concat_ws(".", *key)).join(mine, [*scope, "_key"], "left_semi").drop("_key")
+
+
+def flat_splits(df: DataFrame, levels: dict[str, list[str]], representatives_at: str | None = None, name: str = "cath_domain") -> tuple[DataFrame, DataFrame | None]:
+    """Splits over the whole table at every level (level, key, n, split), and the first domain of each cluster of one level."""
+    reps = None
+    if representatives_at:
+        key = F.concat_ws(".", *levels[representatives_at])
+        reps = df.groupBy(key.alias("key")).agg(F.min(name).alias("representative"))
+    return level_splits(df, [], levels), reps

@@ -18,27 +18,43 @@ def map_ranges(ranges: DataFrame, numbering: DataFrame) -> DataFrame:
     return ranges.join(n("start_label", "start_number"), ["pdb", "chain", "start_label"]).join(n("stop_label", "stop_number"), ["pdb", "chain", "stop_label"])
 
 
+#: Residue numbers in a bin of a range join.
+BIN = 64
+
+
+def _bins(df: DataFrame, start: str = "nstart", stop: str = "nstop", width: int = BIN) -> DataFrame:
+    """Each range once for every bin it reaches into."""
+    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(start, stop) / width))))
+
+
 def residues_in_domains(residues: DataFrame, segments: DataFrame, by: tuple[str, ...] = ("pdb", "chain")) -> DataFrame:
-    """Each residue (column res) with the domains whose range holds it. The join is one on the chain, ranges after it."""
-    s = segments.select(*by, "cath_domain", "nstart", "nstop")
-    return residues.join(s, list(by)).where((F.col("res") >= F.col("nstart")) & (F.col("res") <= F.col("nstop"))).drop("nstart", "nstop")
+    """Each residue (column res) with the domains whose range holds it. The join is one on the chain and a bin of numbers, so
+    that a residue meets the ranges near it only."""
+    s = _bins(segments.select(*by, "cath_domain", "nstart", "nstop"))
+    own = residues.withColumn("_bin", F.floor(F.col("res") / BIN))
+    return own.join(s, [*by, "_bin"]).where((F.col("res") >= F.col("nstart")) & (F.col("res") <= F.col("nstop"))).drop("nstart", "nstop", "_bin")
 
 
 def loop_residues(residues: DataFrame, segments: DataFrame, by: tuple[str, ...] = ("pdb", "chain")) -> DataFrame:
     """Residues of chains that have domains but that lie in none of them."""
-    r, s = residues.alias("r"), segments.alias("s")
-    same = [F.col(f"r.{c}") == F.col(f"s.{c}") for c in by]
-    inside = [*same, F.col("r.res") >= F.col("s.nstart"), F.col("r.res") <= F.col("s.nstop")]
-    return r.join(s, inside, "left_anti").join(segments.select(*by).distinct(), list(by), "left_semi")
+    inside = residues_in_domains(residues.select(*by, "res").distinct(), segments, by).select(*by, "res").distinct()
+    return residues.join(inside, [*by, "res"], "left_anti").join(segments.select(*by).distinct(), list(by), "left_semi")
 
 
 def nearest_domains(residues: DataFrame, segments: DataFrame, key: list[str], by: tuple[str, ...] = ("pdb", "chain")) -> DataFrame:
-    """The domain whose range ends nearest to a residue, and a second one if it is as near."""
-    s = segments.select(*by, "cath_domain", "nstart", "nstop")
-    d = F.least(F.abs(F.col("nstart") - F.col("res")), F.abs(F.col("res") - F.col("nstop")))
-    near = residues.join(s, list(by)).withColumn("distance", d)
-    w = Window.partitionBy(*key).orderBy("distance", "cath_domain", "nstart", "nstop")
-    return near.withColumns({"rank": F.row_number().over(w), "least": F.min("distance").over(Window.partitionBy(*key))}).where("rank = 1 or (rank = 2 and distance = least)").drop("least", "nstart", "nstop")
+    """The domain whose range ends nearest to a residue, and a second one if it is as near. The nearest end before and the
+    nearest one after are found by running along the ends of the chain; the ranges that end there are joined by place."""
+    s = segments.select(*by, "cath_domain", "nstart", "nstop").distinct()
+    ends = s.withColumn("_end", F.explode(F.array_distinct(F.array("nstart", "nstop"))))
+    places = residues.select(*by, F.col("res").alias("_at"), F.lit(None).cast("long").alias("_end")).unionByName(ends.select(*by, F.col("_end").alias("_at"), F.col("_end").cast("long").alias("_end"))).distinct()
+    w = Window.partitionBy(*by).orderBy("_at")
+    before, after = F.max("_end").over(w.rangeBetween(Window.unboundedPreceding, 0)), F.min("_end").over(w.rangeBetween(0, Window.unboundedFollowing))
+    near = places.withColumn("_d", F.least(F.col("_at") - before, after - F.col("_at"))).where("_end is null and _d is not null")
+    near = near.select(*by, F.col("_at").alias("res"), F.col("_d").alias("distance"), F.explode(F.array_distinct(F.array(F.col("_at") - F.col("_d"), F.col("_at") + F.col("_d")))).alias("_end"))
+    found = near.join(ends, [*by, "_end"]).drop("_end").distinct()
+    rows = residues.join(found, [*by, "res"])
+    w = Window.partitionBy(*key).orderBy("cath_domain", "nstart", "nstop")
+    return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 2").drop("nstart", "nstop")
 
 
 def contact_domains(contacts: DataFrame, members: DataFrame, on: str = "pdb") -> DataFrame:
@@ -59,10 +75,12 @@ def expand_members(residues: DataFrame, members: DataFrame) -> DataFrame:
 
 def best_overlap(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("pdb", "chain"), key: tuple[str, ...] = ("cath_domain", "nstart", "nstop")) -> DataFrame:
     """For each segment the segment of another annotation that overlaps it most, and the share of the shorter one."""
-    r = prefixed(right.select(*by, *key), "o_", by)
+    r = _bins(prefixed(right.select(*by, *key), "o_", by), "o_nstart", "o_nstop")
     n = F.least("nstop", "o_nstop") - F.greatest("nstart", "o_nstart") + 1
     short = F.least(F.col("nstop") - F.col("nstart"), F.col("o_nstop") - F.col("o_nstart")) + 1
-    rows = left.join(r, list(by)).withColumns({"overlap": n, "share": n / short}).where("overlap > 0")
+    # two ranges meet in every bin that both reach into; the first of these counts
+    both = _bins(left).join(r, [*by, "_bin"]).where(F.col("_bin") == F.floor(F.greatest("nstart", "o_nstart") / BIN)).drop("_bin")
+    rows = both.withColumns({"overlap": n, "share": n / short}).where("overlap > 0")
     w = Window.partitionBy(*by, *key).orderBy(F.desc("overlap"), *(f"o_{k}" for k in key))
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
@@ -118,6 +136,18 @@ def common_contacts(model: DataFrame, reference: DataFrame, by: str, pair: tuple
     return r.join(m, [by, *pair], "left").groupBy(by).agg((F.count("hit") / F.count("*")).alias("fnat"))
 
 
+def best_hits(df: DataFrame, sequence: str, model: str, score: str, models: list[str], evalue: bool = False) -> DataFrame:
+    """One row a sequence, one column a model: its best hit, the greatest score or the least e-value; 0 where it has none."""
+    one = F.min if evalue else F.max
+    return df.groupBy(sequence).agg(*(F.coalesce(one(F.when(F.col(model) == m, F.col(score))), F.lit(0.0)).alias(m) for m in models))
+
+
+def site_atoms(atoms: DataFrame, sites: DataFrame, residues: str = "resi", by: tuple[str, ...] = ("cath_domain",)) -> DataFrame:
+    """The atoms of the residues that comma-joined lists name: the sub-structure of each site."""
+    own = sites.select(*by, F.explode(F.split(residues, ",")).alias("residue_id")).distinct()
+    return atoms.join(own, [*by, "residue_id"], "left_semi")
+
+
 def site_sequences(sites: DataFrame, names: str = "resn") -> DataFrame:
     """One letter a residue of comma-joined names, in their order."""
     return sites.withColumn("sequence", F.array_join(F.transform(F.split(names, ","), lambda n: one_letter(n)), ""))
@@ -148,6 +178,7 @@ def merge_streams(left: DataFrame, right: DataFrame, key: str, fill: float = 0.0
 
 INTERFACES = "array<struct<interfaceId:int,chain1:string,chain2:string,operator:string,interfaceScores:struct<interfaceScore:array<struct<method:string,callName:string>>>>>"
 SEQUENCES = "array<struct<repChain:string,memberChains:string,residueInfos:array<struct<residueNumber:int,pdbResidueNumber:string>>>>"
+CONTACTS = "array<struct<firstResNumber:int,secondResNumber:int,firstResType:string,secondResType:string,isClash:boolean,isDisulfide:boolean,minDistance:double,numAtoms:int,numHBonds:int>>"
 LISTING = "struct<molecules:array<struct<chains:array<struct<chain_id:string,residues:array<struct<residue_number:int,author_residue_number:int,author_insertion_code:string>>>>>>>"
 
 
@@ -157,6 +188,13 @@ def parse_interfaces(df: DataFrame, col: str, method: str = "eppic") -> DataFram
     return i.select(*[c for c in i.columns if c != "i"], F.col("i.interfaceId").alias("interface_id"), F.col("i.chain1").alias("chain1"), F.col("i.chain2").alias("chain2"), F.col("i.operator").alias("operator"), call.alias("interface_type"))
 
 
+def parse_contacts(df: DataFrame, col: str) -> DataFrame:
+    """A row for each contact of a payload."""
+    keep = [c for c in df.columns if c != col]
+    c = df.select(*keep, F.explode(F.from_json(col, CONTACTS)).alias("c"))
+    return c.select(*keep, F.col("c.firstResNumber").alias("first_res"), F.col("c.secondResNumber").alias("second_res"), F.col("c.firstResType").alias("first_type"), F.col("c.secondResType").alias("second_type"), F.col("c.isClash").alias("is_clash"), F.col("c.isDisulfide").alias("is_disulfide"), F.col("c.minDistance").alias("distance"), F.col("c.numAtoms").alias("n_atoms"), F.col("c.numHBonds").alias("n_hbonds"))
+
+
 def parse_sequences(df: DataFrame, col: str) -> DataFrame:
     """A row for each residue of each member chain that has a label."""
     keep = [c for c in df.columns if c != col]

@@ -237,3 +237,38 @@ def complexes(left: DataFrame, right: DataFrame, pair: str) -> DataFrame:
     both = left.withColumn("chain", F.lit("M")).withColumn("_side", F.lit(0)).unionByName(right.withColumn("chain", F.lit("I")).withColumn("_side", F.lit(1)))
     w = Window.partitionBy(pair).orderBy("_side", "line_no")
     return both.withColumn("line_no", F.row_number().over(w).cast("long")).withColumn("path", F.col(pair)).drop("_side")
+
+
+def split_complex(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a complex, as they were before they were put together but for the names of their chains."""
+    return df.where(is_coord() & (F.col("chain") == "M")), df.where(is_coord() & (F.col("chain") == "I"))
+
+
+def drop_ter(df: DataFrame) -> DataFrame:
+    return df.where(F.col("record") != "TER")
+
+
+def spaced_coordinates(df: DataFrame) -> DataFrame:
+    """Coordinates with blanks between them, which wide numbers leave none of in the columns of a line."""
+    return df.withColumn("xyz", F.when(is_coord(), F.concat_ws(" ", *(F.format_string("%.3f", F.col(c)) for c in "xyz"))))
+
+
+def first_altloc(df: DataFrame) -> DataFrame:
+    """The first location of every atom; other records stay."""
+    w = Window.partitionBy("path", "model", "chain", "resseq", "icode", "atom_name").orderBy("line_no")
+    own = with_model(df).where(is_coord()).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "model")
+    return own.unionByName(df.where(~is_coord()))
+
+
+def first_insertion(df: DataFrame) -> DataFrame:
+    """Of the residues that share a number, the one that comes first in the file; other records stay."""
+    w = Window.partitionBy("path", "model", "chain", "resseq").orderBy("line_no")
+    own = with_model(df).where(is_coord()).withColumn("_first", F.first("icode").over(w)).where("icode = _first").drop("_first", "model")
+    return own.unionByName(df.where(~is_coord()))
+
+
+def residue_labels(df: DataFrame, names: bool = False) -> DataFrame:
+    """Every residue of a chain once, in file order, as number and insertion code; with its name if asked for."""
+    label = F.concat(F.col("resseq").cast("string"), F.trim("icode"))
+    keys = ["path", "chain", label.alias("label"), *(["resname"] if names else [])]
+    return df.where(is_coord()).groupBy(*keys).agg(F.min("line_no").alias("first"))

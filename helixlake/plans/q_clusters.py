@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -11,9 +9,12 @@ from ..functions.featurizers import featurize, register_featurizer, safe_map
 from ..operators import aggregates as A
 from ..operators import clusters as C
 from ..operators import features as X
+from ..operators import hierarchy as H
+from ..operators.scratch import scratch_path
 from ..sources import structures as T
 from ..streaming import incremental as N
-from .q_rows import plain
+from .q_hierarchy import split_sql
+from .q_rows import ONE, plain
 from .registry import query, r6
 from .views import tables
 
@@ -38,19 +39,39 @@ def cl2(spark, sf):
     return C.components(scores(spark, sf).where("score >= 0.9"), tables(spark, sf)["embeddings"], "vec_id")
 
 
-@query("CL3_kmer_pairs", ())
+_GRAMS = "d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE length(trim(text)) > 0 AND doc_id IS NOT NULL), s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d)), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL), x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL), j AS (SELECT a, b, k / (p.n + q.n - k) AS score FROM x JOIN z p ON p.doc_id = a JOIN z q ON q.doc_id = b), m AS (SELECT z.doc_id, coalesce(min(j.a), z.doc_id) AS representative FROM z LEFT JOIN j ON j.b = z.doc_id AND score = 1 GROUP BY z.doc_id), c AS (SELECT a, b, score FROM j WHERE score < 1 AND a IN (SELECT representative FROM m) AND b IN (SELECT representative FROM m))"
+_LEVELS = (100, 95, 60, 35)
+_REACHED = ", ".join(f"r{v} AS (SELECT representative AS a, representative AS b FROM m UNION SELECT r{v}.a, e.b FROM r{v} JOIN (SELECT a, b FROM c WHERE score >= {v / 100} UNION ALL SELECT b, a FROM c WHERE score >= {v / 100}) e ON r{v}.b = e.a)" for v in _LEVELS[1:])
+
+
+@query("CL3_kmer_pairs", (), f"WITH {_GRAMS} SELECT a, b, round(score, 6) AS score FROM c WHERE score >= 0.8 UNION ALL SELECT representative, doc_id, 1.0::DOUBLE FROM m WHERE doc_id <> representative")
 def cl3(spark, sf):
     return C.kmer_pairs(tables(spark, sf)["documents"].where("text is not null"), "doc_id", "text").withColumn("score", r6("score"))
 
 
-@query("CL3_kmer_clusters", ())
+@query("CL3_kmer_clusters", (), f"WITH RECURSIVE {_GRAMS}, {_REACHED} SELECT d.doc_id, coalesce(m.representative, d.doc_id) AS representative, coalesce(m.representative, d.doc_id) AS cluster_100, {', '.join(f'coalesce(k{v}.b, d.doc_id) AS cluster_{v}' for v in _LEVELS[1:])} FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN m USING (doc_id) {' '.join(f'LEFT JOIN (SELECT a, min(b) AS b FROM r{v} GROUP BY a) k{v} ON k{v}.a = m.representative' for v in _LEVELS[1:])}")
 def cl3_clusters(spark, sf):
     return C.kmer_clusters(tables(spark, sf)["documents"], "doc_id", "text")
 
 
-@query("CL4_cluster_representatives", (), "SELECT label, min(vec_id) AS representative, count(*) AS n FROM embeddings GROUP BY ALL")
-def cl4(spark, sf):
-    return tables(spark, sf)["embeddings"].groupBy("label").agg(F.min("vec_id").alias("representative"), F.count("*").alias("n"))
+_CLUSTERS = "(SELECT d.cath_code, r.rep FROM domains d JOIN (SELECT cath_code, s, CAST(min(cath_domain) AS VARCHAR) AS rep FROM domains GROUP BY ALL) r USING (cath_code, s))"
+
+
+def _clusters(d):
+    """A cluster table as its tool writes it, read back, with the family of each structure."""
+    rep = d.groupBy("cath_code", "s").agg(F.min("cath_domain").alias("rep"))
+    lines = d.join(rep, ["cath_code", "s"]).select(F.concat_ws("\t", F.col("rep").cast("string"), F.col("cath_domain").cast("string")).alias("line"))
+    return T.read_clusters(lines, "pairs").join(d.select(F.col("cath_domain").cast("string").alias("structure"), "cath_code"), "structure")
+
+
+@plain("CL4_cluster_representatives", f"SELECT DISTINCT cath_code, rep AS cluster_representative FROM {_CLUSTERS}", "domains")
+def cl4(d):
+    return _clusters(d).select("cath_code", "cluster_representative").distinct()
+
+
+@plain("CL4b_cluster_splits", split_sql("cath_code", "rep", [("train", 0.8), ("validation", 0.1), ("test", 0.1)], _CLUSTERS).replace("SELECT cath_code, rep, n, '", "SELECT cath_code, rep AS cluster_representative, n, '"), "domains")
+def cl4b(d):
+    return H.cluster_split(_clusters(d), ["cath_code"], ["cluster_representative"])
 
 
 @query("AG20_score_matrix", (), f"WITH {_PAIRS} SELECT a, b, score FROM p UNION ALL SELECT b, a, score FROM p")
@@ -63,9 +84,25 @@ def tk4(spark, sf):
     return C.centroids(scores(spark, sf), tables(spark, sf)["embeddings"], "vec_id", "label").withColumn("distance", r6("distance"))
 
 
-@query("TK2_largest_cluster", (), "WITH n AS (SELECT label, count(*) AS n, min(vec_id) AS centroid FROM embeddings GROUP BY ALL) SELECT label, n, centroid FROM n ORDER BY n DESC, label LIMIT 1")
+@query("TK2_largest_cluster", (), f"WITH {_PAIRS}, m AS (SELECT label, a, score FROM p UNION ALL SELECT label, b, score FROM p), d AS (SELECT label, a, round(avg(1 - score), 6) AS distance FROM m GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY ALL ORDER BY n DESC, label LIMIT 1) SELECT label, n, a AS centroid FROM d JOIN n USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, a) = 1")
 def tk2(spark, sf):
-    return cl4(spark, sf).orderBy(F.desc("n"), "label").limit(1).select("label", "n", F.col("representative").alias("centroid"))
+    """The centroid of the cluster that has the most members."""
+    e = tables(spark, sf)["embeddings"]
+    largest = e.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1)
+    own = e.join(F.broadcast(largest), "label")  # one row
+    scored = C.pair_scores(own, "vec_id", "label").withColumn("score", r6("score"))
+    return C.centroids(scored, own, "vec_id", "label").join(F.broadcast(largest), "label").select("label", "n", "centroid")
+
+
+@query("CL1b_one_against_all", (), f"SELECT a.vec_id AS a, b.vec_id AS b, {_DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id = 0 AND b.vec_id <> 0")
+def cl1b(spark, sf):
+    return C.one_against_all(tables(spark, sf)["embeddings"], "vec_id", 0).withColumn("score", r6("score"))
+
+
+@query("CL1c_one_against_one", (), f"SELECT a.vec_id AS a, b.vec_id AS b, {_DOT} AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cl1c(spark, sf):
+    e = tables(spark, sf)["embeddings"]
+    return C.one_against_one(e, "vec_id", e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))).withColumn("score", r6("score"))
 
 
 _CENTRES = "c AS (SELECT cath_domain, residue_id, avg(x) AS x, avg(y) AS y, avg(z) AS z, arg_min(x, serial_number) FILTER (atom_name = 'O') AS ox, arg_min(y, serial_number) FILTER (atom_name = 'O') AS oy, arg_min(z, serial_number) FILTER (atom_name = 'O') AS oz, arg_min(x, serial_number) FILTER (atom_name = 'N') AS nx, arg_min(y, serial_number) FILTER (atom_name = 'N') AS ny, arg_min(z, serial_number) FILTER (atom_name = 'N') AS nz FROM atoms GROUP BY ALL)"
@@ -197,14 +234,17 @@ _P = {n: [f"{n}{k}" for k in "xyz"] for n in ("N", "CA", "C", "before", "after")
 
 @plain("W6_torsions", f"WITH {_BONE}, {torsion_sql('o', [_P['before'], _P['N'], _P['CA'], _P['C']], 'phi')}, {torsion_sql('phi_t', [_P['N'], _P['CA'], _P['C'], _P['after']], 'psi')} SELECT cath_domain, residue_id, round(sin(phi), 6) AS sin_phi, round(cos(phi), 6) AS cos_phi, round(sin(psi), 6) AS sin_psi, round(cos(psi), 6) AS cos_psi FROM psi_t", "atoms")
 def w6(a):
-    return C.torsions(A.backbone(a, []), "cath_domain", "first").select("cath_domain", "residue_id", *turn("phi"), *turn("psi"))
+    angles = X.angle_features(C.torsions(A.backbone(a, []), "cath_domain", "first"))
+    return angles.select("cath_domain", "residue_id", *(r6(f"{n}_{f}").alias(f"{f}_{n}") for n in ("phi", "psi") for f in ("sin", "cos")))
 
 
-@plain("HI6_sequence_sample", "WITH r AS (SELECT cath_domain, residue_id, min(serial_number) AS first, max(CASE WHEN charge > 0 THEN 1 ELSE 0 END) AS label FROM atoms GROUP BY ALL) SELECT cath_domain, count(*) AS n, string_agg(CAST(label AS VARCHAR), '' ORDER BY first) AS labels FROM r GROUP BY ALL", "atoms")
+@plain("HI6_sequence_sample", f"WITH r AS (SELECT cath_domain, residue_id, min(serial_number) AS first, arg_min(residue_name, serial_number) AS residue_name, max(CASE WHEN charge > 0 THEN 1 ELSE 0 END) AS label, CAST(count(*) AS INT) AS f1, CAST(count(*) FILTER (element = 'C') AS INT) AS f2 FROM atoms GROUP BY ALL), o AS (SELECT *, {ONE} AS c FROM r) SELECT cath_domain, string_agg(c, '' ORDER BY first) AS sequence, string_agg(concat(1 - label, label), ',' ORDER BY first) AS labels, string_agg(concat(f1, ' ', f2), ',' ORDER BY first) AS features FROM o GROUP BY ALL", "atoms")
 def hi6(a):
-    r = a.groupBy("cath_domain", "residue_id").agg(F.min("serial_number").alias("first"), F.max((F.col("charge") > 0).cast("int")).alias("label"))
-    seq = F.transform(F.sort_array(F.collect_list(F.struct("first", "label"))), lambda v: v["label"].cast("string"))
-    return r.groupBy("cath_domain").agg(F.count("*").alias("n"), F.array_join(seq, "").alias("labels"))
+    """A structure's sequence with a row of labels and one of features for each residue, in order."""
+    r = a.groupBy("cath_domain", "residue_id").agg(F.min("serial_number").alias("first"), F.min_by("residue_name", "serial_number").alias("residue_name"), F.max((F.col("charge") > 0).cast("int")).alias("label"), F.count("*").cast("int").alias("f1"), F.count_if(F.col("element") == "C").cast("int").alias("f2"))
+    s = X.sequence_samples(r, "cath_domain", "first", [1 - F.col("label"), F.col("label")], [F.col("f1"), F.col("f2")])
+    text = lambda c, by: F.array_join(F.transform(c, lambda row: F.array_join(row.cast("array<string>"), by)), ",")
+    return s.select("cath_domain", "sequence", text("labels", "").alias("labels"), text("features", " ").alias("features"))
 
 
 @plain("HI8_pending_work", "SELECT cath_domain FROM domains WHERE NOT (i > 10 AND l < 6)", "domains")
@@ -212,6 +252,18 @@ def hi8(d):
     return N.pending(d.select("cath_domain"), d.where("i > 10").select("cath_domain", (F.col("l") < 6).alias("done")), "cath_domain")
 
 
+@plain("HI8b_force_levels", "SELECT force, cath_domain, what FROM (SELECT 0 AS force, cath_domain, 'to do' AS what FROM domains WHERE NOT (i > 10 AND l < 6) UNION ALL SELECT 1, cath_domain, 'to do' FROM domains UNION ALL SELECT 0, cath_domain, 'kept' FROM domains WHERE i > 10 UNION ALL SELECT 1, cath_domain, 'kept' FROM domains WHERE i > 10 AND c <> 1)", "domains")
+def hi8b(d):
+    """What is to do and what stays without force, at level 1 (one branch is done again) and at level 3 (nothing stays)."""
+    done, status = d.where("i > 10"), d.where("i > 10").select("cath_domain", (F.col("l") < 6).alias("done"))
+    row = lambda df, force, what: df.select(F.lit(force).alias("force"), "cath_domain", F.lit(what).alias("what"))
+    parts = [row(N.pending(d, status, "cath_domain", f), f, "to do") for f in (0, 1)] + [row(N.surviving(done, d.where("c = 1"), "cath_domain", f), f, "kept") for f in (0, 1, 3)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @plain("HI9_partial_update", "SELECT cath_domain, serial_number, charge, CAST(charge > 0 AS DOUBLE) AS pos_charge FROM atoms", "atoms")
 def hi9(a):
     return X.thresholds(a, ["pos_charge"]).select("cath_domain", "serial_number", "charge", "pos_charge")
@@ -262,16 +314,9 @@ def in1b(spark, sf):
     return N.apply_changes(o, o.where("o_orderkey % 5 = 0").withColumn("o_totalprice", F.lit(-1.0)), "o_orderkey")
 
 
-def _scratch(spark, name: str) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="helixlake-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query("IN2_streamed_events", (), "SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
 def in2(spark, sf):
-    path = _scratch(spark, "stream")
+    path = scratch_path(spark, "stream")
     src = f"{sf}/events.parquet"
     schema = spark.read.parquet(src).schema
     reader = spark.readStream.schema(schema)
@@ -286,7 +331,7 @@ def in2(spark, sf):
 
 @plain("SK1_write_tables", "SELECT cath_domain, c, domain_length FROM domains", "domains")
 def sk1(d):
-    path = _scratch(d.sparkSession, "tables")
+    path = scratch_path(d.sparkSession, "tables")
     rows = d.select("cath_domain", "c", "domain_length")
     T.write_tables(rows, path)
     T.write_tables(rows.where("c = 2"), path)  # replaces one partition by itself
@@ -295,13 +340,25 @@ def sk1(d):
 
 @plain("SK2_write_features", "SELECT cath_domain, serial_number, charge FROM atoms", "atoms")
 def sk2(a):
-    path = _scratch(a.sparkSession, "features")
+    path = scratch_path(a.sparkSession, "features")
     a.select("cath_domain", "serial_number", "charge").write.parquet(path)
     return a.sparkSession.read.parquet(path)
 
 
-@plain("SK6_SK7_interactions", "SELECT pdb, count(*) AS n FROM contacts GROUP BY ALL", "contacts")
+@plain("SK6_SK7_interactions", "SELECT 'by_pdb' AS part, pdb % 7 AS k, count(*) AS n FROM contacts GROUP BY ALL UNION ALL SELECT 'by_family', first_res % 9, count(*) FROM contacts GROUP BY ALL", "contacts")
 def sk6(c):
-    path = _scratch(c.sparkSession, "interactions")
-    c.select("pdb", "first_res", "first_chain").repartition(20).write.partitionBy("first_chain").parquet(path)
-    return c.sparkSession.read.parquet(path).groupBy("pdb").agg(F.count("*").alias("n"))
+    """The table written in both layouts and read back."""
+    spark, path = c.sparkSession, scratch_path(c.sparkSession, "interactions")
+    T.write_interactions(c.select("pdb", "first_res", (F.col("first_res") % 9).alias("cath_code")), path)
+    count = lambda part, k: spark.read.parquet(f"{path}/{part}").groupBy(k.cast("long").alias("k")).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "k", "n")
+    return count("by_pdb", F.col("pdb") % 7).union(count("by_family", F.col("cath_code")))
+
+
+@query("IN2c_events_in_time", (), "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL")
+def in2c(spark, sf):
+    """Events that are sent twice, of which the second is dropped inside the watermark."""
+    path, one = scratch_path(spark, "events"), tables(spark, sf)["events"].withColumn("ts", F.col("ts").cast("timestamp"))
+    one.union(one.where("event_id % 3 = 0")).write.parquet(f"{path}/in")
+    s = N.distinct_events(spark.readStream.schema(one.schema).parquet(f"{path}/in"), ["event_id"], "ts", "60 days")
+    N.ingest(s, f"{path}/checkpoint", lambda batch, _: batch.write.mode("append").parquet(f"{path}/out"))
+    return spark.read.schema(one.schema).parquet(f"{path}/out").groupBy("event_type").agg(F.count("*").alias("n"))

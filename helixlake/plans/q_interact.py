@@ -203,3 +203,23 @@ def js5(spark, sf):
 @query("SC9_service_payload", (), "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
 def sc9(spark, sf):
     return tables(spark, sf)["events"].select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@plain("AG21b_best_hits_wide", "SELECT pdb, coalesce(max(score) FILTER (first_chain = 'A'), 0) AS A, coalesce(max(score) FILTER (first_chain = 'N'), 0) AS N, coalesce(max(score) FILTER (first_chain = 'R'), 0) AS R FROM contacts GROUP BY pdb", "contacts")
+def ag21b(c):
+    return I.best_hits(c, "pdb", "first_chain", "score", ["A", "N", "R"])
+
+
+@plain("AG23b_site_atoms", "WITH s AS (SELECT DISTINCT cath_domain, residue_id FROM atoms WHERE bfactor > 104) SELECT cath_domain, serial_number, residue_id FROM atoms SEMI JOIN s USING (cath_domain, residue_id)", "atoms")
+def ag23b(a):
+    """The atoms of sites that are given as comma-joined residues."""
+    sites = a.where("bfactor > 104").groupBy("cath_domain").agg(F.array_join(F.collect_set("residue_id"), ",").alias("resi"))
+    return I.site_atoms(a, sites).select("cath_domain", "serial_number", "residue_id")
+
+
+@query("SC9b_contact_payload", (), "SELECT event_id, CAST(user_id AS INT) AS first_res, CAST(user_id + k AS INT) AS second_res, event_type AS first_type, k = 2 AS is_clash, value AS distance, CAST(k AS INT) AS n_atoms FROM events, (VALUES (1), (2)) t(k)")
+def sc9b(spark, sf):
+    """A payload with two contacts an event."""
+    one = lambda k: F.struct(F.col("user_id").cast("int").alias("firstResNumber"), (F.col("user_id") + k).cast("int").alias("secondResNumber"), F.col("event_type").alias("firstResType"), F.lit(k == 2).alias("isClash"), F.col("value").alias("minDistance"), F.lit(k).alias("numAtoms"))
+    e = tables(spark, sf)["events"].select("event_id", F.to_json(F.array(one(1), one(2))).alias("payload"))
+    return I.parse_contacts(e, "payload").select("event_id", "first_res", "second_res", "first_type", "is_clash", "distance", "n_atoms")

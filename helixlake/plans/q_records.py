@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import records as R
+from ..operators.scratch import scratch_path
 from ..sources import structures as T
 from .q_rows import ONE, plain
 from .registry import on, query, r6
@@ -184,9 +185,11 @@ def tr26(d):
     return R.join_models(own.unionByName(fewer).unionByName(moved), "family")
 
 
-@rec("TR28_drop_ter", f"SELECT path, line_no, concat_ws(' ', printf('%.3f', x), printf('%.3f', y), printf('%.3f', z)) AS xyz FROM records WHERE {CO}")
+@rec("TR28_drop_ter", f"SELECT path, line_no, record, CASE WHEN {CO} THEN concat_ws(' ', printf('%.3f', x), printf('%.3f', y), printf('%.3f', z)) END AS xyz FROM records")
 def tr28(d):
-    return d.where(R.is_coord() & (F.col("record") != "TER")).select(*KEY, F.concat_ws(" ", *(F.format_number(c, 3) for c in "xyz")).alias("xyz"))
+    """Each chain's last record is followed by TER; these go again."""
+    ends = d.where(R.is_coord() & (F.col("serial") % 50 == 0)).withColumns({"record": F.lit("TER"), "line_no": F.col("line_no") + 1})
+    return R.spaced_coordinates(R.drop_ter(d.unionByName(ends))).select(*KEY, "record", "xyz")
 
 
 @rec("TR29_copy_values", f"WITH k AS (SELECT path, chain, resname, resseq, icode, atom_name, altloc, arg_min(b, line_no) AS rb FROM records WHERE {CO} AND serial % 3 = 0 GROUP BY ALL) SELECT path, line_no, CASE WHEN rb IS NULL THEN 1.0::DOUBLE ELSE 1.0 END AS occ, coalesce(rb, 20.0) AS b FROM records LEFT JOIN k USING (path, chain, resname, resseq, icode, atom_name, altloc) WHERE {CO}", "occ", "b")
@@ -215,6 +218,43 @@ def tr33(d):
     return R.complexes(own.where("path % 2 = 0"), own.where("path % 2 = 1"), "pair").select("path", "line_no", "chain", "serial")
 
 
-@plain("TR27_split_chains", "SELECT cath_domain, chain, count(*) AS n, min(serial_number) AS first FROM atoms GROUP BY ALL", "atoms")
-def tr27(a):
-    return a.groupBy("cath_domain", "chain").agg(F.count("*").alias("n"), F.min("serial_number").alias("first"))
+@rec("TR27_split_chains", f"WITH m AS (SELECT *, CASE WHEN line_no < 1202 THEN '1' ELSE '2' END AS model FROM records WHERE {CO}) SELECT 'chain' AS by, path, chain AS part, count(*) AS n, max(line) AS last FROM m GROUP BY ALL UNION ALL SELECT 'model', path, model, count(*), max(line) FROM m GROUP BY ALL UNION ALL SELECT 'segid', path, trim(segid), count(*), max(line) FROM m GROUP BY ALL")
+def tr27(d):
+    """Files of chains, models and segments, read back."""
+    spark, out = d.sparkSession, None
+    own = R.with_model(d).where(R.is_coord())
+    for by in ("chain", "model", "segid"):
+        path = scratch_path(spark, f"split-{by}")
+        T.split_structures(own, path, by)
+        back = spark.read.schema("value string, path long, part string").text(path).groupBy("path", "part").agg(F.count("*").alias("n"), F.max("value").alias("last"))
+        one = back.select(F.lit(by).alias("by"), "path", "part", "n", "last")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_MODEL = "CASE WHEN line_no < 1202 THEN 1 ELSE 2 END"
+
+
+@rec("TR32b_first_altloc", f"SELECT path, line_no, altloc FROM records WHERE {CO} QUALIFY row_number() OVER (PARTITION BY path, {_MODEL}, chain, resseq, icode, atom_name ORDER BY line_no) = 1")
+def tr32b(d):
+    return R.first_altloc(d).where(R.is_coord()).select(*KEY, "altloc")
+
+
+@rec("TR32c_first_insertion", f"SELECT path, line_no, icode FROM records WHERE {CO} QUALIFY icode = first_value(icode) OVER (PARTITION BY path, {_MODEL}, chain, resseq ORDER BY line_no)")
+def tr32c(d):
+    return R.first_insertion(d).where(R.is_coord()).select(*KEY, "icode")
+
+
+@rec("TR32d_residue_labels", f"SELECT path, chain, concat(resseq, trim(icode)) AS label, resname, min(line_no) AS first FROM records WHERE {CO} GROUP BY ALL")
+def tr32d(d):
+    return R.residue_labels(d, names=True)
+
+
+@rec("TR33b_tidy_and_split", f"WITH p AS (SELECT path // 2 AS pair, path, path % 2 AS side, line_no, serial, resseq FROM records WHERE {CO}), o AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY side, line_no) AS k FROM p), n AS (SELECT *, lead(side) OVER w AS ns, lead(resseq) OVER w AS nr FROM o WINDOW w AS (PARTITION BY pair ORDER BY k)) SELECT pair AS path, count(*) FILTER (side = 0) AS n_m, count(*) FILTER (side = 1) AS n_i, count(*) FILTER (ns IS NULL OR ns <> side OR nr - resseq > 1) AS n_ter FROM n GROUP BY ALL")
+def tr33b(d):
+    """Complexes are tidied, and split into their sides again."""
+    own = d.where(R.is_coord()).withColumn("pair", F.expr("path div 2"))
+    tidy = R.tidy(R.complexes(own.where("path % 2 = 0"), own.where("path % 2 = 1"), "pair"))
+    m, i = (side.groupBy("path").agg(F.count("*").alias(n)) for side, n in zip(R.split_complex(tidy), ("n_m", "n_i"), strict=True))
+    ter = tidy.groupBy("path").agg(F.count_if(F.col("record") == "TER").alias("n_ter"))
+    return ter.join(m, "path", "left").join(i, "path", "left").select("path", F.coalesce("n_m", F.lit(0)).alias("n_m"), F.coalesce("n_i", F.lit(0)).alias("n_i"), "n_ter")

@@ -37,12 +37,23 @@ def pf1(a):
     return P.select_features(a, ["charge", "vdw_radii"], ["bfactor"])
 
 
-@plain("PF2_feature_preset", "SELECT cath_domain, serial_number, charge, bfactor FROM atoms", "atoms")
-def pf2(a):
-    return a.select("cath_domain", "serial_number", *X_PRESETS["only_atom"])
+_FLAGS = {"hydrophobic_atom": "('C', 'A')", "aromatic_atom": "('A')", "hbond_acceptor": "('NA', 'NS', 'OA', 'OS', 'SA')", "hbond_donor": "('HS', 'HD')", "metal": "('MG', 'ZN', 'MN', 'CA', 'FE')"}
+_TYPED = "(SELECT *, CASE element WHEN 'N' THEN 'NA' WHEN 'O' THEN 'OA' WHEN 'H' THEN 'HD' WHEN 'P' THEN 'ZN' ELSE element END AS t FROM atoms)"
+
 
+def typed(a):
+    kind = F.when(F.col("element") == "N", "NA").when(F.col("element") == "O", "OA").when(F.col("element") == "H", "HD").when(F.col("element") == "P", "ZN").otherwise(F.col("element"))
+    return a.withColumn("atom_type", kind)
 
-X_PRESETS = {"only_atom": ["charge", "bfactor"], "only_aa": ["residue_name"], "coarse": ["residue_rasa"]}
+
+@plain("PF2_feature_preset", f"WITH d AS (SELECT cath_domain, count(*) AS n, {' + '.join(f'count(*) FILTER (t IN {v})' for v in _FLAGS.values())} AS deep, count(*) FILTER (ss IN ('H', 'B', 'E', 'G', 'I', 'T', 'S')) AS letters FROM {_TYPED} GROUP BY ALL) SELECT cath_domain, preset, CAST(CASE preset WHEN 'only_aa' THEN 21 WHEN 'only_atom' THEN 23 WHEN 'use_deepsite' THEN 5 WHEN 'both' THEN 26 WHEN 'structure' THEN 10 END AS INT) AS n_columns, CAST(CASE preset WHEN 'only_aa' THEN n WHEN 'only_atom' THEN n WHEN 'use_deepsite' THEN deep WHEN 'both' THEN n + deep WHEN 'structure' THEN n + letters END AS DOUBLE) AS total FROM d, (VALUES ('only_aa'), ('only_atom'), ('use_deepsite'), ('both'), ('structure')) t(preset)", "atoms")
+def pf2(a):
+    """How many columns a choice has, and the sum of all their values in a structure."""
+    full = X.pharmacophore(X.atom_types(X.residue_one_hot(X.secondary_structure(typed(a)))))
+    choices = {n: X.preset_columns(n) for n in ("only_aa", "only_atom", "use_deepsite", "both")} | {"structure": [c for c in X.preset_columns("coarse") if c in X.COLUMNS["structure"]]}
+    sums = full.groupBy("cath_domain").agg(*(F.sum(sum((F.col(c) for c in cols[1:]), F.col(cols[0]))).alias(n) for n, cols in choices.items()))
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("preset"), F.lit(len(cols)).alias("n_columns"), F.col(n).alias("total")) for n, cols in choices.items())))
+    return sums.select("cath_domain", rows.alias("r")).select("cath_domain", "r.*")
 
 
 @plain("PF3_filter_atoms", "SELECT cath_domain, serial_number, atom_name FROM atoms WHERE atom_name IN ('N', 'CA', 'C', 'O') AND serial_number NOT IN (2, 3)", "atoms")
@@ -106,9 +117,12 @@ def fd2(a):
     return X.fill_defaults(holes, {"v": 9.0, "cx": 2.5}, replace_na=True).select("cath_domain", "serial_number", "v", "cx")
 
 
-@plain("FD4_element_one_hot", "SELECT cath_domain, serial_number, " + ", ".join(f"CAST(element = '{e}' AS DOUBLE) AS {e}_elem" for e in X.ELEMENTS) + ", 0.0::DOUBLE AS Unk_elem, element AS back FROM atoms", "atoms")
+_RARE = "CASE WHEN serial_number % 17 = 0 THEN 'ZN' WHEN serial_number % 19 = 0 THEN 'BR' WHEN serial_number % 23 = 0 THEN 'XX' ELSE element END"
+
+
+@plain("FD4_element_one_hot", "SELECT cath_domain, serial_number, " + ", ".join(f"CAST(e = '{e}' AS DOUBLE) AS {e}_elem" for e in X.ELEMENTS) + f", CAST(e = 'XX' AS DOUBLE) AS Unk_elem, nullif(e, 'XX') AS back FROM (SELECT cath_domain, serial_number, {_RARE} AS e FROM atoms)", "atoms")
 def fd4(a):
-    hot = X.element_features(a)
+    hot = X.element_features(a.withColumn("element", F.expr(_RARE)))
     return hot.select("cath_domain", "serial_number", *(f"{e}_elem" for e in X.ELEMENTS), "Unk_elem", X.element_of(hot).alias("back"))
 
 
@@ -117,10 +131,13 @@ def fd5(a):
     return X.radii(a).select("cath_domain", "serial_number", "vdw", "residue_radius")
 
 
-@plain("FD6_charge_by_residue", "SELECT cath_domain, residue_id, round(sum(charge), 6) AS charge, CAST(round(sum(charge), 6) < 0 AS DOUBLE) AS neg_charge FROM atoms GROUP BY ALL", "atoms")
+@plain("FD6_charge_by_residue", "WITH p AS (SELECT cath_domain, serial_number, charge * 2 AS q, residue_rasa - 0.3::DOUBLE AS e FROM atoms WHERE element <> 'F'), r AS (SELECT cath_domain, residue_id, round(sum(q), 6) AS charge, round(sum(e), 6) AS electrostatic_potential FROM atoms LEFT JOIN p USING (cath_domain, serial_number) GROUP BY ALL) SELECT *, CAST(charge < 0 AS DOUBLE) AS neg_charge, CAST(charge > 0 AS DOUBLE) AS pos_charge, CAST(electrostatic_potential < 0 AS DOUBLE) AS is_electronegative FROM r", "atoms")
 def fd6(a):
-    out = A.roll_up(a, {"charge": "sum"}).withColumn("charge", r6("charge"))
-    return X.thresholds(out, ["neg_charge"])
+    by = ["cath_domain", "serial_number"]
+    table = a.where("element != 'F'").select(*by, (F.col("charge") * 2).alias("charge"), (F.col("residue_rasa") - 0.3).alias("electrostatic_potential"))
+    own = X.electrostatics(a.drop("charge"), table, by)
+    out = A.roll_up(own, {"charge": "sum", "electrostatic_potential": "sum"})
+    return X.charge_flags(out.withColumns({"charge": r6("charge"), "electrostatic_potential": r6("electrostatic_potential")}))
 
 
 @plain("FD7_concavity_by_residue", "SELECT cath_domain, residue_id, round(avg(bfactor / 40), 6) AS cx, CAST(round(avg(bfactor / 40), 6) <= 2 AS DOUBLE) AS is_concave FROM atoms GROUP BY ALL", "atoms")
@@ -146,9 +163,12 @@ def fd10(a):
     return X.residue_one_hot(a).select("cath_domain", "serial_number", *RESIDUES, "Unk_residue")
 
 
-@plain("FD11_secondary_structure", "SELECT cath_domain, serial_number, CAST(ss IN ('G','H') AS DOUBLE) AS is_helix, CAST(ss IN ('B','E') AS DOUBLE) AS is_sheet, CAST(ss NOT IN ('G','H','B','E') AS DOUBLE) AS Unk_SS, CAST(ss = 'H' AS DOUBLE) AS is_a, CAST(ss = 'T' AS DOUBLE) AS is_t FROM atoms", "atoms")
+_LETTERS = {"a": "H", "b": "B", "e": "E", "g": "G", "i": "I", "t": "T", "s": "S"}
+
+
+@plain("FD11_secondary_structure", f"SELECT cath_domain, serial_number, CAST(ss IN ('G','H') AS DOUBLE) AS is_helix, CAST(ss IN ('B','E') AS DOUBLE) AS is_sheet, CAST(ss NOT IN ('G','H','B','E') AS DOUBLE) AS Unk_SS, {', '.join(f"CAST(ss = '{v}' AS DOUBLE) AS is_{k}" for k, v in _LETTERS.items())} FROM atoms", "atoms")
 def fd11(a):
-    return X.secondary_structure(a).select("cath_domain", "serial_number", "is_helix", "is_sheet", "Unk_SS", "is_a", "is_t")
+    return X.secondary_structure(a).select("cath_domain", "serial_number", *X.COLUMNS["structure"])
 
 
 @plain("FD12_pharmacophore", "SELECT cath_domain, serial_number, CAST(t IN ('C','A') AS DOUBLE) AS hydrophobic_atom, CAST(t = 'A' AS DOUBLE) AS aromatic_atom, CAST(t IN ('NA','NS','OA','OS','SA') AS DOUBLE) AS hbond_acceptor, CAST(t IN ('HS','HD') AS DOUBLE) AS hbond_donor, CAST(t IN ('MG','ZN','MN','CA','FE') AS DOUBLE) AS metal FROM (SELECT *, CASE element WHEN 'N' THEN 'NA' WHEN 'O' THEN 'OA' WHEN 'H' THEN 'HD' WHEN 'P' THEN 'ZN' ELSE element END AS t FROM atoms)", "atoms")
@@ -169,9 +189,11 @@ def fd14(a):
     return X.thresholds(a.withColumn("frustration_index", F.col("charge") * 40)).select("cath_domain", "serial_number", "frustration_index", "is_highly_frustrated", "is_minimally_frustrated", "has_neutral_frustration")
 
 
-@plain("FD16_docking_scores", "SELECT cath_domain, serial_number, CASE WHEN residue_rasa < 0.5 THEN -15.0::DOUBLE ELSE 1.0 END AS simple, CASE WHEN residue_rasa < 0.5 THEN 12.25::DOUBLE ELSE 3.5 END AS zdock FROM atoms", "atoms")
+@plain("FD16_docking_scores", "SELECT cath_domain, serial_number, CASE WHEN l THEN 1.0::DOUBLE WHEN residue_rasa < 0.5 THEN -15.0 ELSE 1.0 END AS simple, CASE WHEN residue_rasa < 0.5 THEN 12.25::DOUBLE ELSE 3.5 END AS zdock, CASE WHEN l THEN 0.0::DOUBLE ELSE charge END AS zdock_charge FROM (SELECT *, cath_domain % 2 = 1 AS l FROM atoms)", "atoms")
 def fd16(a):
-    return X.docking_scores(a).select("cath_domain", "serial_number", "simple", "zdock")
+    """Every second structure is a ligand."""
+    both = X.docking_scores(a.where("cath_domain % 2 = 0")).unionByName(X.docking_scores(a.where("cath_domain % 2 = 1"), ligand=True))
+    return both.select("cath_domain", "serial_number", "simple", "zdock", "zdock_charge")
 
 
 @plain("FD17_truth_vectors", "SELECT cath_domain, serial_number, CASE WHEN residue_id IN ('3', '7', '11') THEN '0.0,1.0' ELSE '1.0,0.0' END AS truth FROM atoms", "atoms")
@@ -191,9 +213,12 @@ def fd20(a):
     return a.groupBy("residue_name").agg(F.first(one_letter(F.col("residue_name"))).alias("code"), F.count("*").alias("n"))
 
 
-@plain("FD22_normalised_bfactor", "SELECT cath_domain, serial_number, round((bfactor - 50) / 20, 6) AS bfactor_norm FROM atoms", "atoms")
+_ROBUST = "m AS (SELECT avg(bfactor) AS m FROM atoms), d AS (SELECT median(abs(bfactor - m)) AS mad FROM atoms, m), r AS (SELECT avg(bfactor) AS mean, stddev_pop(bfactor) AS std FROM atoms, m, d WHERE 0.6745 * (bfactor - m) / mad <= 3.5)"
+
+
+@plain("FD22_normalised_bfactor", f"WITH {_ROBUST} SELECT cath_domain, serial_number, round((bfactor - mean) / std, 6) AS bfactor_norm FROM atoms, r", "atoms")
 def fd22(a):
-    return X.normalised_bfactor(a, 50.0, 20.0).select("cath_domain", "serial_number", r6("bfactor_norm").alias("bfactor_norm"))
+    return X.normalised_bfactor(a, A.robust_stats(a)).select("cath_domain", "serial_number", r6("bfactor_norm").alias("bfactor_norm"))
 
 
 @plain("FD24_id_parts", "SELECT cath_domain, serial_number, CAST(cath_domain AS VARCHAR) AS pdb, CAST(residue_id AS INT) AS resseq, '' AS icode FROM atoms", "atoms")
@@ -262,3 +287,23 @@ def w5(a):
 @plain("AG24_wide_metrics", "SELECT cath_domain, max(CASE WHEN chain = 'A' THEN bfactor END) AS A_bfactor, max(CASE WHEN chain = 'N' THEN bfactor END) AS N_bfactor, max(CASE WHEN chain = 'R' THEN bfactor END) AS R_bfactor FROM atoms GROUP BY ALL", "atoms")
 def ag24(a):
     return A.wide(a, "cath_domain", "chain", ["bfactor"], ["A", "N", "R"])
+
+
+@plain("FD13b_conservation_grades", "SELECT cath_domain, residue_id, CASE WHEN g % 10 <> 0 THEN (g % 10 - 1) / 8.0::DOUBLE END AS score FROM (SELECT DISTINCT cath_domain, residue_id, CAST(residue_id AS INT) AS g FROM atoms)", "atoms")
+def fd13b(a):
+    g = F.col("residue_id").cast("int") % 10
+    rows = a.select("cath_domain", "residue_id").distinct().withColumn("grade", F.when(g == 0, " .").otherwise(g.cast("string")))
+    score = X.conservation_grade(F.col("grade"))
+    return rows.select("cath_domain", "residue_id", F.when(~F.isnan(score), score).alias("score"))
+
+
+@plain("FD18b_scalar_arithmetic", "SELECT cath_domain, serial_number, round(charge + 2.5, 6) AS charge_sum, round(charge - 2.5, 6) AS charge_diff, round(charge / 2.5, 6) AS charge_ratio, round(abs(charge), 6) AS charge_abs FROM atoms", "atoms")
+def fd18b(a):
+    out = X.scalar_arithmetic(a, ["charge"], 2.5)
+    return out.select("cath_domain", "serial_number", *(r6(f"charge_{n}").alias(f"charge_{n}") for n in ("sum", "diff", "ratio", "abs")))
+
+
+@plain("FD15b_pharmacophore_preset", f"SELECT cath_domain, serial_number, {', '.join(f'CAST(t IN {v} AS DOUBLE) AS {k}' for k, v in _FLAGS.items())}, CAST(residue_name = 'ALA' AS DOUBLE) AS ALA FROM {_TYPED}", "atoms")
+def fd15b(a):
+    """A preset, and then one feature of another group."""
+    return X.preset(X.preset(typed(a), "pharmacophore"), "all", update=("ALA",)).select("cath_domain", "serial_number", *_FLAGS, "ALA")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import geometry as G
 from ..operators import spatial as S
 from ..operators import voxel as V
+from ..sources import structures as T
 from .q_rows import plain
 from .registry import r6
 
@@ -164,3 +165,33 @@ def sk8(a):
     s = V.sparse_samples(V.voxelize(a, ["charge"]), ["charge"])
     text = F.array_join(F.transform("coords", lambda c: F.array_join(c.cast("array<string>"), ",")), ";")
     return s.select("cath_domain", F.size("coords").cast("long").alias("n"), (F.aggregate("feats", F.lit(0.0), lambda t, f: t + f[0]) > 0).alias("any_charge"), F.md5(text).alias("places"))
+
+
+@plain("GE7b_random_flips", "WITH u AS (SELECT *, " + ", ".join(f"CAST(concat('0x', substr(md5(concat(cath_domain, ':{c}:0')), 1, 8)) AS BIGINT) / 4294967296::DOUBLE AS u{c}, round_even(avg({c}) OVER (PARTITION BY cath_domain), 4) AS c{c}" for c in "xyz") + " FROM atoms) SELECT cath_domain, serial_number, " + ", ".join(f"round(CASE WHEN u{c} < 0.5 THEN 2 * c{c} - {c} ELSE {c} END, 6) AS {c}" for c in "xyz") + " FROM u", "atoms")
+def ge7b(a):
+    return G.random_flips(a).select("cath_domain", "serial_number", *(r6(c).alias(c) for c in "xyz"))
+
+
+@plain("GE9b_read_assembly", "SELECT cath_domain AS path, CAST(k AS INT) AS copy, CAST(r AS INT) AS axis, CASE WHEN r = 1 THEN k - 1.5::DOUBLE ELSE 0 END AS a, CASE WHEN r = 2 THEN 1.0::DOUBLE ELSE 0 END AS b, CASE WHEN r = 3 THEN 1.0::DOUBLE ELSE 0 END AS c, k * 10.0::DOUBLE AS t FROM (SELECT DISTINCT cath_domain FROM atoms), (VALUES (1), (2)) k(k), (VALUES (1), (2), (3)) r(r)", "atoms")
+def ge9b(a):
+    """Remarks with two biological assemblies, of which the first is read."""
+    rows = a.select(F.col("cath_domain").alias("path")).distinct().withColumn("m", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("r", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    factor = F.when(F.col("r") == 1, F.col("k") - 1.5).otherwise(0.0)
+    line = F.format_string("REMARK 350   BIOMT%d%4d%10.6f%10.6f%10.6f%15.5f", "r", "k", factor, (F.col("r") == 2).cast("double"), (F.col("r") == 3).cast("double"), F.col("k") * 10.0 * F.col("m"))
+    body = rows.select("path", (F.col("m") * 100 + F.col("k") * 10 + F.col("r")).cast("long").alias("line_no"), line.alias("line"))
+    head = rows.select("path", "m").distinct().select("path", (F.col("m") * 100).cast("long").alias("line_no"), F.concat(F.lit("REMARK 350 BIOMOLECULE: "), F.col("m").cast("string")).alias("line"))
+    return T.read_assembly(body.unionByName(head))
+
+
+_SITES = "s AS (SELECT cath_domain, CASE chain WHEN 'A' THEN 1 ELSE 2 END AS side, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM atoms WHERE chain IN ('A', 'R') GROUP BY ALL), p AS (SELECT cath_domain, side, p, x + dx AS x, y + dy AS y, z + dz AS z FROM s, (VALUES (0, 0, 0, 0), (1, 5, 0, 0), (2, -5, 0, 0), (3, 0, 5, 0), (4, 0, -5, 0), (5, 0, 0, 5), (6, 0, 0, -5)) t(p, dx, dy, dz))"
+
+
+@plain("GE12b_compare_placements", f"WITH {_SITES}, d AS (SELECT cath_domain, side, (side * 1.0) ** 2 + 4 AS da, (y - x) ** 2 + (x - y) ** 2 AS db FROM p), r AS (SELECT cath_domain, sqrt(avg(da)) AS a, sqrt(avg(db)) AS b, sqrt(avg(CASE WHEN side = 1 THEN da ELSE db END)) AS best FROM d GROUP BY ALL) SELECT cath_domain, round(a, 6) AS rmsd_a, round(b, 6) AS rmsd_b, round(best, 6) AS best, round((a + b) / 2, 6) AS mean, round(least(a, b), 6) AS least FROM r", "atoms")
+def ge12b(a):
+    """One placement is shifted, by more on the second side; the other one swaps two axes."""
+    side = lambda c, n: G.seven_points(a.where(F.col("chain") == c), "cath_domain").withColumn("side", F.lit(n))
+    reference = side("A", 1).unionByName(side("R", 2))
+    moved = reference.withColumns({"x": F.col("x") + F.col("side"), "z": F.col("z") - 2})
+    swapped = reference.withColumns({"x": F.col("y"), "y": F.col("x")})
+    out = G.compare_placements(reference, moved, swapped, "cath_domain")
+    return out.select("cath_domain", *(r6(c).alias(c) for c in ("rmsd_a", "rmsd_b", "best", "mean", "least")))

@@ -67,6 +67,48 @@ def list_structures(spark: SparkSession, path: str, glob: str = "*.{pdb,cif,mmtf
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 
+def listed_structures(inventory: DataFrame, names: DataFrame, name: str = "line") -> DataFrame:
+    """Of an inventory of files those that a text file names, a path (its last folder and file count) or a file name a line;
+    blank lines and ``#`` lines don't count."""
+    tail = lambda c, n: F.array_join(F.slice(F.split(c, "/"), -n, n), "/")
+    wanted = names.select(F.trim(name).alias("n")).where("n != '' and not startswith(n, '#')").select(F.when(F.col("n").contains("/"), tail("n", 2)).otherwise(F.col("n")).alias("key")).distinct()
+    found = inventory.select("path", F.explode(F.array(tail("path", 1), tail("path", 2))).alias("key")).join(wanted, "key", "left_semi").select("path").distinct()
+    return inventory.join(found, "path", "left_semi")
+
+
+def coded_structures(inventory: DataFrame) -> DataFrame:
+    """Files of a folder with a folder for each code: the code next to the path."""
+    return inventory.withColumn("code", F.element_at(F.split("path", "/"), -2))
+
+
+def split_structures(df: DataFrame, path: str, by: str) -> None:
+    """The lines of each chain, model or segment (column ``by``) of each structure in a folder of its own, in order."""
+    rows = df.select("path", F.trim(F.col(by).cast("string")).alias("part"), "line_no", "line")
+    rows.repartition("path", "part").sortWithinPartitions("path", "part", "line_no").select("path", "part", F.col("line").alias("value")).write.partitionBy("path", "part").mode("overwrite").text(path)
+
+
+def compact(spark: SparkSession, source: str, path: str, parts: int = 20, by: str | None = None) -> None:
+    """A table of many small files as one of ``parts`` files, or a file for each value of ``by`` and part."""
+    rows = spark.read.parquet(source).repartition(parts)
+    (rows.write.partitionBy(by) if by else rows.write).mode("overwrite").parquet(path)
+
+
+def write_interactions(df: DataFrame, path: str) -> None:
+    """The interaction table twice: in order of the structures, and in folders by family."""
+    df.repartitionByRange("pdb").sortWithinPartitions("pdb").write.mode("overwrite").parquet(f"{path}/by_pdb")
+    df.repartition("cath_code").write.partitionBy("cath_code").mode("overwrite").parquet(f"{path}/by_family")
+
+
+def read_assembly(lines: DataFrame) -> DataFrame:
+    """The matrices of the first biological assembly from ``REMARK 350`` lines (path, line_no, line): a row for each of three
+    axes of a copy, with its factors and shift."""
+    remark = lines.where(F.col("line").startswith("REMARK 350")).select("path", "line_no", F.substring("line", 12, 80).alias("text"))
+    n = F.sum(F.col("text").startswith("BIOMOLECULE:").cast("int")).over(Window.partitionBy("path").orderBy("line_no"))
+    p = F.split(F.trim("text"), r"\s+")
+    rows = remark.withColumn("molecule", n).where(F.col("text").startswith("  BIOMT") & (F.col("molecule") <= 1))
+    return rows.select("path", p[1].try_cast("int").alias("copy"), F.substring(p[0], 6, 1).try_cast("int").alias("axis"), *(p[k + 2].try_cast("double").alias(c) for k, c in enumerate("abct")))
+
+
 def read_domain_list(lines: DataFrame) -> DataFrame:
     """Blank-separated lists of domains; ``#`` starts a comment line. Column ``line`` in, one row a domain out."""
     p = F.split(F.trim("line"), r"\s+")
@@ -133,9 +175,14 @@ def read_distances(lines: DataFrame) -> DataFrame:
     return one.union(one.select("path", F.col("b").alias("a"), F.col("a").alias("b"), "distance")).distinct()
 
 
-def read_cluster_log(lines: DataFrame, marker: str = "INFO  : Cluster") -> DataFrame:
-    """Members of the sections that markers open; a section is the number of markers up to a line of its file."""
+def read_cluster_log(lines: DataFrame) -> DataFrame:
+    """Members of clusters with the centroid of each, from logs (path, line_no, line) with a section of clusters and one of
+    centroids, each after a line that names it and before a line of ``=``."""
     w = Window.partitionBy("path").orderBy("line_no")
-    rows = lines.withColumn("section", F.sum(F.col("line").startswith(marker).cast("int")).over(w))
-    pattern = r"^INFO\s*:\s*(\d+)\s*:\s*(\d+)\s+(\S+)"
-    return rows.where((F.col("section") > 0) & F.col("line").rlike(pattern)).select("path", "section", *(F.regexp_extract("line", pattern, k).alias(n) for k, n in ((1, "item"), (2, "cluster"), (3, "structure"))))
+    named = F.when(F.col("line").contains("Clusters @ Threshold"), "clusters").when(F.col("line").contains("Centroids"), "centroids").when(F.col("line").startswith("INFO  : ="), "end")
+    rows = lines.withColumns({"_name": named, "section": F.last(named, True).over(w)}).where("_name is null")
+    p = F.split(F.trim("line"), r"\s+")
+    at = lambda k, kind="string": F.element_at(p, k).try_cast(kind)
+    members = rows.where((F.col("section") == "clusters") & (F.size(p) >= 4) & at(-2, "int").isNotNull()).select("path", at(-4, "int").alias("item"), at(-2, "int").alias("cluster"), at(-1).alias("structure"))
+    centres = rows.where((F.col("section") == "centroids") & (F.size(p) >= 6) & at(-6, "int").isNotNull()).select("path", at(-6, "int").alias("cluster"), at(-4, "int").alias("centroid_item"), at(-2, "double").alias("spread"), at(-1).alias("centroid"))
+    return members.join(centres, ["path", "cluster"])
