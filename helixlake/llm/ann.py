@@ -28,7 +28,7 @@ from .common import materialize, table
 #: Vectors that the codebooks are fitted to, at most.
 SAMPLE_ROWS = 20_000
 #: Standard deviations of a residual's inner product that a half-cell may promise beyond its centroid.
-MARGIN = 1.2
+MARGIN = 1.1
 MAX_CENTROIDS = 256
 BLOCK_ENTRIES, BLOCK_QUERIES = 4_096, 2_048
 #: Queries that walk the cells in one task.
@@ -107,10 +107,12 @@ def cells_to_ask(near: tuple[np.ndarray, np.ndarray], promised: tuple[np.ndarray
         n = sizes.get(cell)
         if n:
             yield cell
-            heapq.heappush(best, (n1[i] + n2[j], n))
-            held += n
-            while held - best[0][1] >= wanted:
-                held -= heapq.heappop(best)[1]
+            own = n1[i] + n2[j]
+            if held < wanted or own > best[0][0]:
+                heapq.heappush(best, (own, n))
+                held += n
+                while held - best[0][1] >= wanted:
+                    held -= heapq.heappop(best)[1]
 
 
 def deal(sizes: dict[int, int], most: int = BLOCK_ENTRIES) -> tuple[dict[int, int], dict[int, int]]:
@@ -143,7 +145,7 @@ def fit(vectors: DataFrame, n: int) -> Codebooks:
     rows = vectors.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < max(1, int(1e6 * share))).select("vec").limit(2 * SAMPLE_ROWS).toPandas()["vec"]
     x = np.array(rows.tolist(), np.float64) if len(rows) else np.array([vectors.first()["vec"]], np.float64)
     h = (x.shape[1] + 1) // 2
-    k = int(min(MAX_CENTROIDS, max(1, round(1.2 * n**0.5))))
+    k = int(min(MAX_CENTROIDS, max(1, round(5 * n**0.25))))
     return Codebooks(kmeans(x[:, :h], k), kmeans(x[:, h:], k) if x.shape[1] > h else np.zeros((1, 0)))
 
 
