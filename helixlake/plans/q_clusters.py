@@ -15,7 +15,7 @@ from ..sources import structures as T
 from ..streaming import incremental as N
 from .q_hierarchy import split_sql
 from .q_rows import ONE, plain
-from .registry import query, r6
+from .registry import digest, digest_sql, query, r6
 from .views import tables
 
 _DOT = "round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda k: CAST(a.embedding[k] AS DOUBLE) * CAST(b.embedding[k] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) ** 2))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) ** 2)))), 6)"
@@ -222,10 +222,13 @@ def w4(a):
     return C.remove_loops(segments_of(a), "cath_domain").select("cath_domain", "run_id", "value")
 
 
-@plain("J20_allowed_connections", f"WITH {_RUNS}, e AS (SELECT s.cath_domain, s.run_id, a.x AS px, a.y AS py, a.z AS pz, b.x AS qx, b.y AS qy, b.z AS qz FROM s JOIN atoms a ON a.cath_domain = s.cath_domain AND a.serial_number = s.start JOIN atoms b ON b.cath_domain = s.cath_domain AND b.serial_number = s.stop WHERE value <> 'X'), d AS (SELECT a.cath_domain, a.run_id AS first, b.run_id AS second, sqrt((a.px - b.qx) ** 2 + (a.py - b.qy) ** 2 + (a.pz - b.qz) ** 2) AS distance FROM e a JOIN e b ON a.cath_domain = b.cath_domain AND a.run_id <> b.run_id) SELECT cath_domain, first, second, round(distance, 6) AS distance FROM d WHERE distance < 15", "atoms")
+_J20_D = (["cath_domain"], ["first", "second"], ["distance"])
+
+
+@plain("J20_allowed_connections", f"WITH {_RUNS}, e AS (SELECT s.cath_domain, s.run_id, a.x AS px, a.y AS py, a.z AS pz, b.x AS qx, b.y AS qy, b.z AS qz FROM s JOIN atoms a ON a.cath_domain = s.cath_domain AND a.serial_number = s.start JOIN atoms b ON b.cath_domain = s.cath_domain AND b.serial_number = s.stop WHERE value <> 'X'), d AS (SELECT a.cath_domain, a.run_id AS first, b.run_id AS second, sqrt((a.px - b.qx) ** 2 + (a.py - b.qy) ** 2 + (a.pz - b.qz) ** 2) AS distance FROM e a JOIN e b ON a.cath_domain = b.cath_domain AND a.run_id <> b.run_id) {digest_sql('SELECT cath_domain, first, second, round(distance, 6) AS distance FROM d WHERE distance < 15', *_J20_D)}", "atoms")
 def j20(a):
     ends = a.select("cath_domain", F.col("serial_number").alias("place"), "x", "y", "z")
-    return C.allowed_connections(segments_of(a), ends, "cath_domain").withColumn("distance", r6("distance"))
+    return digest(C.allowed_connections(segments_of(a), ends, "cath_domain").withColumn("distance", r6("distance")), *_J20_D)
 
 
 _BONE = "b AS (SELECT cath_domain, residue_id, min(serial_number) AS first, " + ", ".join(f"arg_min({k}, serial_number) FILTER (atom_name = '{n}') AS {n}{k}" for n in ("N", "CA", "C") for k in "xyz") + " FROM atoms WHERE atom_name IN ('N', 'CA', 'C', 'O') GROUP BY ALL), o AS (SELECT *, " + ", ".join(f"{f}({n}{k}) OVER w AS {m}{k}" for f, n, m in (("lag", "C", "before"), ("lead", "N", "after")) for k in "xyz") + " FROM b WINDOW w AS (PARTITION BY cath_domain ORDER BY first))"

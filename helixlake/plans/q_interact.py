@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import interact as I
 from .q_rows import ONE, plain
-from .registry import query, r6
+from .registry import digest, digest_sql, query, r6
 from .views import tables
 
 _SITES = "residues AS (SELECT DISTINCT pdb, chain, nstart + 3 AS res FROM segments UNION SELECT DISTINCT pdb, chain, nstop + 7 FROM segments)"
@@ -22,9 +22,12 @@ def j7(s):
     return I.map_ranges(s.select("pdb", "chain", F.col("nstart").alias("start_label"), F.col("nstop").alias("stop_label"), "cath_domain"), n)
 
 
-@plain("J8_residues_in_domains", f"WITH {_SITES} SELECT r.pdb, r.chain, r.res, s.cath_domain FROM residues r JOIN segments s ON r.pdb = s.pdb AND r.chain = s.chain AND r.res BETWEEN s.nstart AND s.nstop", "segments")
+_J8_D = (["pdb", "chain"], ["res", "cath_domain"], ["res"])
+
+
+@plain("J8_residues_in_domains", f"WITH {_SITES} {digest_sql('SELECT r.pdb, r.chain, r.res, s.cath_domain FROM residues r JOIN segments s ON r.pdb = s.pdb AND r.chain = s.chain AND r.res BETWEEN s.nstart AND s.nstop', *_J8_D)}", "segments")
 def j8(s):
-    return I.residues_in_domains(residues(s), s)
+    return digest(I.residues_in_domains(residues(s), s), *_J8_D)
 
 
 @plain("J8b_loop_residues", f"WITH {_SITES} SELECT pdb, chain, res FROM residues r WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE r.pdb = s.pdb AND r.chain = s.chain AND r.res BETWEEN s.nstart AND s.nstop)", "segments")

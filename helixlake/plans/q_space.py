@@ -9,7 +9,7 @@ from ..operators import spatial as S
 from ..operators import voxel as V
 from ..sources import structures as T
 from .q_rows import plain
-from .registry import r6
+from .registry import digest, digest_sql, r6
 
 _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 _LATTICE = """
@@ -120,9 +120,12 @@ def j2(a):
     return S.interface_contacts(a).withColumn("distance", r6("distance"))
 
 
-@plain("J3_lattice_points", f"SELECT cath_domain, serial_number, vx, vy, vz FROM ({lattice()})", "atoms")
+_J3_D = (['cath_domain'], ['serial_number', 'vx', 'vy', 'vz'], ['vx', 'vy'])
+
+
+@plain("J3_lattice_points", digest_sql(f"SELECT cath_domain, serial_number, vx, vy, vz FROM ({lattice()})", *_J3_D), "atoms")
 def j3(a):
-    return S.lattice_points(a.select("cath_domain", "serial_number", "x", "y", "z", "vdw_radii")).select("cath_domain", "serial_number", "vx", "vy", "vz")
+    return digest(S.lattice_points(a.select("cath_domain", "serial_number", "x", "y", "z", "vdw_radii")).select("cath_domain", "serial_number", "vx", "vy", "vz"), *_J3_D)
 
 
 @plain("J3b_nearest_voxel", "SELECT cath_domain, serial_number, CAST(floor(x + 0.5) AS BIGINT) AS vx, CAST(floor(y + 0.5) AS BIGINT) AS vy, CAST(floor(z + 0.5) AS BIGINT) AS vz FROM atoms", "atoms")
@@ -140,14 +143,20 @@ def j5(a):
     return S.overlap_voxels(a)
 
 
-@plain("AG1_voxel_max", f"SELECT cath_domain, vx, vy, vz, greatest(0, max(charge)) AS charge, greatest(0, max(residue_rasa)) AS residue_rasa, count(*) AS n_atoms, greatest(0, max(bfactor)) AS bfactor FROM ({lattice()}) GROUP BY ALL", "atoms")
+_AG1_D = (['cath_domain'], ['vx', 'vy', 'vz'], ['charge', 'residue_rasa', 'n_atoms', 'bfactor'])
+
+
+@plain("AG1_voxel_max", digest_sql(f"SELECT cath_domain, vx, vy, vz, greatest(0, max(charge)) AS charge, greatest(0, max(residue_rasa)) AS residue_rasa, count(*) AS n_atoms, greatest(0, max(bfactor)) AS bfactor FROM ({lattice()}) GROUP BY ALL", *_AG1_D), "atoms")
 def ag1(a):
-    return V.voxelize(a, ["charge", "residue_rasa"])
+    return digest(V.voxelize(a, ["charge", "residue_rasa"]), *_AG1_D)
+
+
+_AG2_D = (['cath_domain'], ['vx', 'vy', 'vz'], ['charge', 'residue_rasa', 'n_atoms', 'bfactor'])
 
 
-@plain("AG2_voxel_by_rule", f"SELECT cath_domain, vx, vy, vz, round(avg(charge), 6) AS charge, min(residue_rasa) AS residue_rasa, count(*) AS n_atoms, greatest(0, max(bfactor)) AS bfactor FROM ({lattice()}) GROUP BY ALL", "atoms")
+@plain("AG2_voxel_by_rule", digest_sql(f"SELECT cath_domain, vx, vy, vz, round(avg(charge), 6) AS charge, min(residue_rasa) AS residue_rasa, count(*) AS n_atoms, greatest(0, max(bfactor)) AS bfactor FROM ({lattice()}) GROUP BY ALL", *_AG2_D), "atoms")
 def ag2(a):
-    return V.voxelize(a, ["charge", "residue_rasa"], rules={"charge": "mean", "residue_rasa": "min"}).withColumn("charge", r6("charge"))
+    return digest(V.voxelize(a, ["charge", "residue_rasa"], rules={"charge": "mean", "residue_rasa": "min"}).withColumn("charge", r6("charge")), *_AG2_D)
 
 
 @plain("AG3_occupancy", f"SELECT cath_domain, count(*) AS n_voxels FROM (SELECT DISTINCT cath_domain, vx, vy, vz FROM ({lattice()})) GROUP BY cath_domain", "atoms")

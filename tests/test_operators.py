@@ -1,13 +1,15 @@
 """Edge cases and properties of the structure operators."""
 
 import math
+import random
+import statistics
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helixlake.functions.catalog import threshold
-from helixlake.operators import aggregates, clusters, filters, geometry, hierarchy, records, spatial, voxel
+from helixlake.operators import aggregates, clusters, filters, geometry, hierarchy, interact, records, spatial, voxel
 from helixlake.sources import structures
 from helixlake.streaming import incremental
 
@@ -169,7 +171,7 @@ def test_components_and_trees(spark):
 def test_smoothing_joins_short_runs(spark):
     text = "H" * 6 + "T" * 2 + "H" * 5 + "E" * 2 + "T" * 3
     df = spark.createDataFrame([("d", i, c) for i, c in enumerate(text)], "d string, i long, ss string")
-    got = [(r.value, r.length) for r in clusters.smooth_runs(df, "ss", "d", "i").orderBy("segment").collect()]
+    got = [(r.value, r.length) for r in clusters.smooth_runs(df, "ss", "d", "i", residue="i").orderBy("segment").collect()]
     assert got == [("H", 13), ("X", 5)]
 
 
@@ -232,3 +234,131 @@ def test_kmer_pairs_and_clusters_equal_brute_force(spark):
     got = clusters.kmer_clusters(df, "id", "t").collect()
     assert sorted(tuple(r) for r in got) == sorted((i, want[1.0][i], want[1.0][i], want[0.95][i], want[0.6][i], want[0.35][i]) for i in sets)
     assert len({str(w) for w in want.values()}) > 2
+
+
+# --- rules that the tables' own rows don't reach ----------------------------------------------------------------------
+
+
+def coordinates(spark, rows):
+    return spark.createDataFrame([(*r, "ATOM", "ALA", "A", 1, " ", " ", "") for r in rows], "family long, path long, line_no long, atom_name string, record string, resname string, chain string, resseq int, icode string, altloc string, line string")
+
+
+def test_models_with_double_atoms_are_told_apart(spark):
+    d = coordinates(spark, [(1, 1, 1, "CA"), (1, 1, 2, "CA"), (1, 1, 3, "N"), (1, 2, 1, "CB"), (1, 2, 2, "CB"), (1, 2, 3, "N"), (2, 3, 1, "N"), (2, 4, 1, "N"), (2, 4, 2, "N")])
+    got = {r.path: (r.model, r.n_missing, r.n_extra, r.same_atoms) for r in records.join_models(d, "family").collect()}
+    assert got == {1: (1, 0, 0, True), 2: (2, 1, 1, False), 3: (1, 0, 0, True), 4: (2, 0, 0, True)}
+    with pytest.raises(Exception, match="Different atoms in model 2"):
+        records.join_models(d, "family", strict=True).collect()
+    records.join_models(d.where("family = 2"), "family", strict=True).collect()
+
+
+def plain_smooth(letters, least=3, one_helix=False):
+    """Runs of (kind, residues), rewritten one after the other."""
+    runs = []
+    for k in letters:
+        if runs and runs[-1][0] == k:
+            runs[-1][1] += 1
+        else:
+            runs.append([k, 1])
+    new, seen = [k for k, _ in runs], False
+    for i in range(1, len(runs) - 1):
+        this, n = runs[i]
+        before, after, out = new[i - 1], runs[i + 1][0], this
+        if n < 4 and this != "X":
+            out = "X"
+        if n < 3 and before == after and not one_helix:
+            out = before
+        elif n < 3 and after == "X" and this != before:
+            out = "X"
+        if this == "H" and before == after == "E" and n < 5:
+            out = "X"
+        if n < (5 if one_helix else least):
+            if before == after:
+                out = before
+            if (this, before, after) in (("H", "E", "E"), ("E", "H", "H")):
+                out = "X"
+        if this == "X" and (n > 10 or (one_helix and not seen and n > 5)):
+            out, seen = "H", True
+        new[i] = out
+    out = []
+    for (_, n), k in zip(runs, new):
+        if out and out[-1][0] == k:
+            out[-1][1] += n
+        else:
+            out.append([k, n])
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("one_helix", [False, True])
+def test_smoothing_follows_the_rules(spark, one_helix):
+    r = random.Random(7)
+    rows, want = [], {}
+    for d in range(40):
+        letters = "".join(r.choice("HEX") * r.choice([1, 1, 2, 3, 4, 5, 6, 9, 11, 12]) for _ in range(r.randrange(1, 14)))
+        want[d] = plain_smooth(letters, one_helix=one_helix)
+        at = 0
+        for i, k in enumerate(letters):
+            for _ in range(1 + i % 3):  # a residue has one to three atoms: lengths are residues
+                rows.append((d, at, f"{i}", {"H": "G", "E": "B", "X": "T"}[k]))
+                at += 1
+    df = spark.createDataFrame(rows, "cath_domain long, serial_number long, residue_id string, ss string")
+    got = {}
+    for x in clusters.smooth_runs(df, "ss", "cath_domain", "serial_number", one_helix=one_helix).orderBy("segment").collect():
+        got.setdefault(x.cath_domain, []).append(x.value)
+    assert got == {d: [k for k, _ in w] for d, w in want.items()}
+
+
+def test_half_spheres_by_both_neighbours(spark):
+    """The second alpha carbon of a bent chain: its bisector points away from both neighbours."""
+    rows = [(1, 1, "CA", -1.0, -1.0, 0.0), (1, 2, "CA", 0.0, 0.0, 0.0), (1, 3, "CA", 1.0, -1.0, 0.0), (1, 4, "CA", 0.0, 5.0, 0.0), (1, 5, "CA", 0.0, 12.0, 0.0), (1, 6, "N", 0.0, 1.0, 0.0)]
+    got = {r.serial_number: (r.up, r.down) for r in clusters.half_sphere(spark.createDataFrame(rows, "cath_domain long, serial_number long, atom_name string, x double, y double, z double")).collect()}
+    assert sorted(got) == [2, 3, 4] and got[2] == (1, 2)  # the fifth is exactly at the radius
+
+
+def test_pair_energies_are_matched_by_both_residues(spark):
+    edges = spark.createDataFrame([(1, "1", "2"), (1, "1", "3"), (2, "1", "2")], "cath_domain long, src string, dst string")
+    pairs = spark.createDataFrame([(1, "1", "2", 0.1, 0.2, 0.3, -2.0, "highly", "short"), (1, "3", "1", 0.1, 0.2, 0.3, 1.0, "minimally", "long")], "cath_domain long, res1 string, res2 string, native_energy double, decoy_energy double, sd_energy double, frustration_index double, state string, well string")
+    got = {(r.cath_domain, r.src, r.dst): r for r in clusters.annotate_edges(edges, pairs).collect()}
+    one, other = got[1, "1", "2"], got[1, "1", "3"]
+    assert (one.frustration_index, one.is_highly_frustrated, one.is_short_welltype, one.is_long_welltype) == (-2.0, True, True, False)
+    assert other.frustration_index is None and not other.is_minimally_frustrated and not got[2, "1", "2"].is_highly_frustrated
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0, 5.0, 5.0, 1.0], [0.1 * k for k in range(101)], [7.0] * 50 + [1e9, -1e9]])
+def test_median_is_exact(spark, values):
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(3)
+    for bins in (1, 7, 4096):
+        assert aggregates.median_of(df, "v", bins).first().median == pytest.approx(statistics.median(values), abs=1e-12)
+
+
+def test_running_totals_by_ranges(spark):
+    r = random.Random(3)
+    rows = [(r.randrange(3), k, r.randrange(9)) for k in range(400)]
+    df = spark.createDataFrame(rows, "g long, k long, n long")
+    got = hierarchy.by_ranges(df, ["g"], ["k"], {"total": "n", "place": ""}).collect()
+    sums, places = {}, {}
+    want = set()
+    for g, k, n in sorted(rows):
+        sums[g], places[g] = sums.get(g, 0) + n, places.get(g, 0) + 1
+        want.add((g, k, sums[g], places[g]))
+    assert {(x.g, x.k, x.total, x.place) for x in got} == want
+
+
+def test_samples_are_balanced(spark):
+    df = spark.createDataFrame([(k, "a" if k < 300 else "b" if k < 320 else "c") for k in range(350)], "id long, label string")
+    count = lambda d: {x.label: x["count"] for x in d.groupBy("label").count().collect()}
+    assert count(hierarchy.balance(df, "label", "id")) == {"a": 20, "b": 20, "c": 20}
+    more = hierarchy.oversample(df, "label", "id")
+    assert count(more) == {"a": 300, "b": 300, "c": 300} and more.distinct().count() == 350
+
+
+def test_ranges_meet_across_bins(spark):
+    seg = spark.createDataFrame([(1, "A", 10, -70, 200), (1, "A", 11, 64, 64), (1, "A", 12, 300, 301)], "pdb long, chain string, cath_domain long, nstart long, nstop long")
+    res = spark.createDataFrame([(1, "A", n) for n in (-71, -70, -64, 0, 63, 64, 65, 128, 200, 201, 300)] + [(2, "A", 5)], "pdb long, chain string, res long")
+    got = {(x.res, x.cath_domain) for x in interact.residues_in_domains(res, seg).collect()}
+    assert got == {(n, 10) for n in (-70, -64, 0, 63, 64, 65, 128, 200)} | {(64, 11), (300, 12)}
+    assert {x.res for x in interact.loop_residues(res, seg).collect()} == {-71, 201}
+    near = sorted((x.res, x.cath_domain, x.distance, x.rank) for x in interact.nearest_domains(res, seg, ["pdb", "chain", "res"]).collect())
+    assert (128, 11, 64, 1) in near and (-71, 10, 1, 1) in near and (65, 11, 1, 1) in near and not any(r == 5 for r, *_ in near)
+    best = {x.cath_domain: (x.o_cath_domain, x.overlap) for x in interact.best_overlap(seg, seg.where("cath_domain != 11")).collect()}
+    assert best == {10: (10, 271), 11: (10, 1), 12: (12, 2)}
