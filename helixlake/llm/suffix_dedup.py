@@ -35,8 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, table
-from .exchange import REPLY, RUN_BYTES, STATE, answers, batches, count_bits, group_spans, key_rows, key_schema, read_answer, read_run, runs_of, squeeze, state_row, unsqueeze
+from .common import materialize, mix64, table
+from .exchange import DIRECT, REPLY, RUN_BYTES, STATE, answers, batches, count_bits, group_spans, key_rows, key_schema, n_ranges, read_answer, read_run, runs_of, squeeze, state_row, unsqueeze
 
 WINDOW, SEED = 50, 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -221,9 +221,9 @@ def _sort_run(data: np.ndarray, e: Entries, did: np.ndarray, window: int) -> tup
     return [different[i] for i in order], rank, owners
 
 
-def splitters_of(docs: DataFrame, n_ranges: int, id_col: str, text_col: str, window: int, seed: int) -> list[bytes]:
+def splitters_of(docs: DataFrame, parts: int, id_col: str, text_col: str, window: int, seed: int) -> list[bytes]:
     """Strings that cut the entries of all documents into about equal ranges: quantiles of those of a bounded sample."""
-    if n_ranges == 1:
+    if parts == 1:
         return []
 
     def strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,19 +237,14 @@ def splitters_of(docs: DataFrame, n_ranges: int, id_col: str, text_col: str, win
     texts = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000)) < max(1, int(1e6 * min(1.0, SAMPLE_DOCS / max(1, n))))).limit(2 * SAMPLE_DOCS)
     texts = texts.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     found = sorted(bytes(r["s"]) for r in texts.mapInArrow(strings, "s binary").collect())
-    return sorted({found[k * len(found) // n_ranges] for k in range(1, n_ranges)}) if found else []
+    return sorted({found[k * len(found) // parts] for k in range(1, parts)}) if found else []
 
 
 def _send_entries(run: int, cuts: list[bytes], data: np.ndarray, e: Entries, n: np.ndarray, did: np.ndarray, window: int) -> pa.Table:
     """The front-coded runs by range, and what the run must know of its entries afterwards, under a range of its own."""
     strings, rank, owners = _sort_run(data, e, did, window)
     counts = np.bincount(rank, minlength=len(strings))
-    edges = [0, *(bisect_left(strings, c) for c in cuts), len(strings)]
-    rows = []
-    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        if a < b:
-            lcp, rest = front_code(strings[a:b])
-            rows.append({"bucket": k, "run": run, "n": b - a, "lcp": squeeze(lcp), "rest": zstandard.ZstdCompressor(3).compress(b"".join(rest)), "ends": squeeze(np.array([len(r) for r in rest], np.uint32)), "owners": squeeze(owners[a:b]), "counts": squeeze(counts[a:b].astype(np.uint32))})
+    rows = _front_coded(run, strings, cuts, owners, counts)
     mine = (owners[rank] < did[e.doc]).astype(np.int64)
     rows.append({"bucket": -1 - run, "run": run, "n": len(e.doc), "rest": _keep(_places(e.first, e.last, e.doc), [rank, n.astype(np.int64), mine])})
     return pa.Table.from_pylist(rows, schema=_RUN_PA)
@@ -276,27 +271,93 @@ def _merge(t: pa.Table) -> pa.Table:
     rows = sorted(t.to_pylist(), key=lambda r: r["run"])
     if rows[0]["bucket"] < 0:  # a run's own state goes back to it
         return pa.Table.from_pylist([{"run": r["run"], "kind": STATE, "bucket": r["bucket"], "n": r["n"], "total": r["rest"], "smaller": None} for r in rows], schema=_REPLY_PA)
-    runs, owners, counts = [], [], []
-    for r in rows:
-        blob = zstandard.ZstdDecompressor().decompress(r["rest"])
-        ends = np.cumsum(unsqueeze(r["ends"], np.uint32), dtype=np.int64).tolist()
-        runs.append((unsqueeze(r["lcp"], np.uint16).tolist(), [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]))
-        owners.append(unsqueeze(r["owners"], np.int64))
-        counts.append(unsqueeze(r["counts"], np.uint32))
-    first = np.concatenate([[0], np.cumsum([len(o) for o in owners])])
-    flat_owner, flat_count = np.concatenate(owners), np.concatenate(counts).astype(np.int64)
-    base = first.tolist()
-    seq, fresh = [], []
-    for run, i, same in merge_runs(runs):
-        seq.append(base[run] + i)
-        fresh.append(not same)
-    seq, fresh = np.array(seq), np.array(fresh)
-    starts, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-    total, smaller = np.empty(len(seq), np.uint32), np.empty(len(seq), bool)
-    total[seq] = np.minimum(np.add.reduceat(flat_count[seq], starts), 2**32 - 1)[group]
-    smaller[seq] = np.minimum.reduceat(flat_owner[seq], starts)[group] < flat_owner[seq]
-    out = [{"run": r["run"], "kind": ENTRIES, "bucket": r["bucket"], "n": r["n"], "total": squeeze(total[a:b]), "smaller": np.packbits(smaller[a:b]).tobytes()} for r, a, b in zip(rows, first, first[1:], strict=False)]
-    return pa.Table.from_pylist(out, schema=_REPLY_PA)
+    m = _Merged(rows)
+    return m.replies(rows, m.spread(np.minimum(m.totals(), 2**32 - 1)), m.spread(m.least()) < m.owners)
+
+
+class _Merged:
+    """Sorted runs merged: the entries one after the other, their order, and the groups of equal ones."""
+
+    def __init__(self, rows: list[dict]):
+        self.runs, owners, counts = [], [], []
+        for r in rows:
+            blob = zstandard.ZstdDecompressor().decompress(r["rest"])
+            ends = np.cumsum(unsqueeze(r["ends"], np.uint32), dtype=np.int64).tolist()
+            self.runs.append((unsqueeze(r["lcp"], np.uint16).tolist(), [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)]))
+            owners.append(unsqueeze(r["owners"], np.int64))
+            counts.append(unsqueeze(r["counts"], np.uint32))
+        self.first = np.concatenate([[0], np.cumsum([len(o) for o in owners])])
+        self.owners, self.counts = np.concatenate(owners), np.concatenate(counts).astype(np.int64)
+        base, seq, fresh = self.first.tolist(), [], []
+        for run, i, same in merge_runs(self.runs):
+            seq.append(base[run] + i)
+            fresh.append(not same)
+        self.seq, self.fresh = np.array(seq), np.array(fresh)
+        self.starts, self.group = np.flatnonzero(self.fresh), np.cumsum(self.fresh) - 1
+
+    def totals(self) -> np.ndarray:
+        return np.add.reduceat(self.counts[self.seq], self.starts)
+
+    def least(self) -> np.ndarray:
+        return np.minimum.reduceat(self.owners[self.seq], self.starts)
+
+    def spread(self, by_group: np.ndarray) -> np.ndarray:
+        """A value a group, for each entry in the order it came in."""
+        out = np.empty(len(self.seq), by_group.dtype)
+        out[self.seq] = by_group[self.group]
+        return out
+
+    def strings(self) -> list[bytes]:
+        """The different entries in order."""
+        flat: list[bytes] = []
+        for lcp, rest in self.runs:
+            s = b""
+            for k, x in zip(lcp, rest, strict=True):
+                s = s[:k] + x
+                flat.append(s)
+        return [flat[i] for i in self.seq[self.starts].tolist()]
+
+    def replies(self, rows: list[dict], total: np.ndarray, smaller: np.ndarray) -> pa.Table:
+        out = [{"run": r["run"], "kind": ENTRIES, "bucket": r["bucket"], "n": r["n"], "total": squeeze(total[a:b].astype(np.uint32)), "smaller": np.packbits(smaller[a:b]).tobytes()} for r, a, b in zip(rows, self.first, self.first[1:], strict=False)]
+        return pa.Table.from_pylist(out, schema=_REPLY_PA)
+
+
+def _front_coded(run: int, strings: list[bytes], cuts: list[bytes], owners: np.ndarray, counts: np.ndarray, first_range: int = 0) -> list[dict]:
+    """Sorted strings by range, each range's part front-coded."""
+    edges = [0, *(bisect_left(strings, c) for c in cuts), len(strings)]
+    rows = []
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        if a < b:
+            lcp, rest = front_code(strings[a:b])
+            rows.append({"bucket": first_range + k, "run": run, "n": b - a, "lcp": squeeze(lcp), "rest": zstandard.ZstdCompressor(3).compress(b"".join(rest)), "ends": squeeze(np.array([len(r) for r in rest], np.uint32)), "owners": squeeze(owners[a:b]), "counts": squeeze(np.minimum(counts[a:b], 2**32 - 1).astype(np.uint32))})
+    return rows
+
+
+def _merge_all(sent: DataFrame, cuts: list[bytes], n_runs: int, direct: int) -> DataFrame:
+    """The replies to all runs' entries. Beyond ``direct`` ranges the sort has two levels, as keys have in ``exchange``: teams
+    of runs merge what they have for a wide range, and their merged runs are merged by its narrow ones."""
+    if n_runs <= direct:
+        return sent.groupBy("bucket").applyInArrow(_merge, REPLY)
+    side = n_ranges(n_runs, direct)
+    sent = materialize(sent.withColumn("team", F.expr(f"run div {side}").cast("int")), "entries")
+
+    def combine(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["run"])
+        m, wide = _Merged(rows), rows[0]["bucket"]
+        narrow = cuts[wide * side : (wide + 1) * side - 1]
+        return pa.Table.from_pylist(_front_coded(rows[0]["team"], m.strings(), narrow, m.least(), m.totals(), wide * side), schema=_RUN_PA)
+
+    def expand(t: pa.Table, reply: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["run"])
+        m = _Merged(rows)
+        total, smaller = read_answer(reply, ENTRIES)
+        return m.replies(rows, m.spread(total), m.spread(smaller) | (m.spread(m.least()) < m.owners))
+
+    keys = sent.where("bucket >= 0")
+    merged = keys.groupBy("team", "bucket").applyInArrow(combine, _RUN).groupBy("bucket").applyInArrow(_merge, REPLY)
+    merged = merged.withColumns({"team": F.col("run"), "range": F.expr(f"bucket div {side}").cast("int")})
+    state = sent.where("bucket < 0").select("run", F.lit(STATE).alias("kind"), "bucket", "n", F.col("rest").alias("total"), F.lit(None).cast("binary").alias("smaller"))
+    return keys.groupBy("team", "bucket").cogroup(merged.groupBy("team", "range")).applyInArrow(expand, REPLY).union(state)
 
 
 def _anchors(e: Entries, bits: int) -> np.ndarray:
@@ -361,7 +422,7 @@ def hash_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, (mix64(g) >> np.uint64(32)).astype(np.uint32)
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, run_bytes: int = RUN_BYTES) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, run_bytes: int = RUN_BYTES, direct: int = DIRECT) -> DataFrame:
     """doc_id, text (bytes that are kept), n_bytes, n_removed, n_spans, and the removed spans' starts and ends, of each row.
 
     A null text is empty. Texts shorter than ``window`` bytes lose nothing. Rows of equal id don't count as smaller than
@@ -369,27 +430,29 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, n_runs = runs_of(docs, id_col, text_col, run_bytes)
     bits = count_bits(n_runs, run_bytes)
     cuts = splitters_of(docs, n_runs, id_col, text_col, window, seed)
+    side = n_ranges(n_runs, direct)
+    wide = cuts if n_runs <= direct else cuts[side - 1 :: side]
 
     def send_anchors(t: pa.Table) -> pa.Table:
         r = read_run(t)
         keys, counts = np.unique(_anchors(Entries(r.data, r.offsets, window, seed), bits), return_counts=True)
-        return key_rows(r.run, ANCHORS, n_runs, keys, counts, bits=bits)
+        return key_rows(r.run, ANCHORS, n_runs, keys, counts, bits=bits, direct=direct)
 
     def send_entries(t: pa.Table, reply: pa.Table) -> pa.Table:
         if not len(t):
             return _RUN_PA.empty_table()
         r = read_run(t, ordered=True)
         e, n = _candidates(r.data, r.offsets, reply, window, seed, bits)
-        return _send_entries(r.run, cuts, r.data, e, n, r.did, window)
+        return _send_entries(r.run, wide, r.data, e, n, r.did, window)
 
     def send_windows(t: pa.Table, reply: pa.Table) -> pa.Table:
         if not len(t):
-            return key_rows(0, WINDOWS, n_runs, np.zeros(0, np.uint64))
+            return key_rows(0, WINDOWS, n_runs, np.zeros(0, np.uint64), direct=direct)
         r = read_run(t, ordered=True)
         gone, (first, last, doc) = _settle(reply)
         _, h, g, own, order, fresh = _windows(r.data, first, last, r.did[doc], window)
         one = order[fresh]
-        keys = key_rows(r.run, WINDOWS, n_runs, h[one], None, own[one], g[one])
+        keys = key_rows(r.run, WINDOWS, n_runs, h[one], None, own[one], g[one], direct=direct)
         state = _keep([np.diff(gone[0], prepend=0), gone[1] - gone[0]], _places(first, last, doc))
         return pa.concat_tables([keys, state_row(r.run, state)])
 
@@ -422,10 +485,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols["ends"].append(z)
         return pa.table({"doc_id": r.doc_ids(), "did": pa.array(r.did), "text": pa.array(cols["text"], pa.binary()), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(cols["n_removed"], pa.int64()), "n_spans": pa.array(cols["n_spans"], pa.int64()), "starts": pa.array(cols["starts"], pa.list_(pa.int64())), "ends": pa.array(cols["ends"], pa.list_(pa.int64()))})
 
-    counted = answers(rows.groupBy("run").applyInArrow(send_anchors, key_schema()), n_runs, bits)
+    counted = answers(rows.groupBy("run").applyInArrow(send_anchors, key_schema()), n_runs, bits, direct)
     sent = rows.groupBy("run").cogroup(counted.groupBy("run")).applyInArrow(send_entries, _RUN)
-    merged = sent.groupBy("bucket").applyInArrow(_merge, REPLY)
-    settled = answers(rows.groupBy("run").cogroup(merged.groupBy("run")).applyInArrow(send_windows, key_schema()), n_runs)
+    merged = _merge_all(sent, cuts, n_runs, direct)
+    settled = answers(rows.groupBy("run").cogroup(merged.groupBy("run")).applyInArrow(send_windows, key_schema()), n_runs, direct=direct)
     return rows.groupBy("run").cogroup(settled.groupBy("run")).applyInArrow(cut, _OUT).drop("did")
 
 

@@ -76,6 +76,12 @@ def test_suffix_dedup_equals_plain(docs, run_bytes):
     assert sorted(str(tuple(r)) for r in got) == plain_repeats(corpus())
 
 
+def test_suffix_dedup_in_two_levels(docs):
+    """As many runs as call for wide and narrow ranges give the same."""
+    got = suffix_dedup.find_repeats(docs, run_bytes=2_000, direct=4).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256)).collect()
+    assert sorted(str(tuple(r)) for r in got) == plain_repeats(corpus())
+
+
 def test_suffix_dedup_of_nothing(none):
     assert suffix_dedup.find_repeats(none).isEmpty()
 
