@@ -110,9 +110,12 @@ def class_pairs(one: DataFrame, key: str, least: float) -> DataFrame:
     freq = rows.groupBy("g").agg(F.count("*").alias("m"))
     w = Window.partitionBy(key).orderBy("m", "g")
     known = rows.join(freq, "g").withColumn("place", F.row_number().over(w))
-    head = known.where((F.col("m") > 1) & (F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1)).select("g", key, "size")
-    a, b = head.select("g", F.col(key).alias("a"), F.col("size").alias("na")), head.select("g", F.col(key).alias("b"), F.col("size").alias("nb"))
-    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
+    # from its first shared one on, each set must have as many left as the overlap that both sizes call for
+    left = F.col("size") - F.col("place") + 1
+    head = known.where((F.col("m") > 1) & (left >= F.ceil(least * F.col("size") - 1e-9))).withColumn("left", left)
+    a, b = (head.select("g", F.col(key).alias(c), F.col("size").alias(f"n{c}"), F.col("left").alias(f"left{c}")) for c in "ab")
+    need = F.ceil(least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9)
+    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("lefta", "leftb") >= need)).select("a", "b").distinct()
     ga, gb = one.select(F.col(key).alias("a"), F.col("g").alias("ga")), one.select(F.col(key).alias("b"), F.col("g").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     out = pairs.join(ga, "a").join(gb, "b").select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("score"))

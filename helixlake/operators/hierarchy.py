@@ -31,7 +31,7 @@ def in_request_order(df: DataFrame, keys: list, key: str, ignore: list = ()) ->
     """Rows of the keys in the order asked for; a key asked for twice comes twice."""
     spark = df.sparkSession
     asked = spark.createDataFrame([(i, k) for i, k in enumerate(keys) if k not in set(ignore)], f"position long, {key} {dict(df.dtypes)[key]}")
-    return df.join(F.broadcast(asked), key)  # the request is the caller's list
+    return df.join(asked, key)  # the planner knows the size of the caller's list
 
 
 def representatives(domains: DataFrame, reps: DataFrame, code: str = "cath_code") -> DataFrame:

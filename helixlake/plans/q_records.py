@@ -82,7 +82,7 @@ def tr7(d):
     return R.select(d, "chain", ["A"])
 
 
-@rec("TR8_select_model", "SELECT path, line_no, record FROM records WHERE line_no >= 1202", "record")
+@rec("TR8_select_model", "WITH m AS (SELECT *, coalesce(last_value(CASE WHEN record = 'MODEL' THEN TRY_CAST(trim(substr(line, 11, 4)) AS INT) END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no), 1) AS model FROM records) SELECT path, line_no, record FROM m WHERE model = 2", "record")
 def tr8(d):
     return R.select_model(d, 2)
 
@@ -97,9 +97,12 @@ def tr10(d):
     return R.strip(d)
 
 
-@rec("TR11_strip_hetero", "SELECT path, line_no, record FROM records WHERE record <> 'HETATM'", "record")
+@rec("TR11_strip_hetero", "SELECT path, line_no, record FROM (SELECT path, line_no, record FROM records UNION ALL SELECT path, line_no + 1, CASE serial % 3 WHEN 0 THEN 'REMARK' WHEN 1 THEN 'ANISOU' ELSE 'SEQRES' END FROM records WHERE serial % 20 < 3) WHERE record IN ('MODEL', 'ATOM', 'ANISOU', 'ENDMDL', 'END', 'TER', 'CONECT', 'MASTER')", "record")
 def tr11(d):
-    return R.strip(d, hetero=True)
+    """Some records of other kinds stand between the lines."""
+    kind = F.when(F.col("serial") % 3 == 0, "REMARK").when(F.col("serial") % 3 == 1, "ANISOU").otherwise("SEQRES")
+    more = d.where("serial % 20 < 3").withColumns({"record": kind, "line_no": F.col("line_no") + 1})
+    return R.strip(d.unionByName(more), hetero=True)
 
 
 @rec("TR12_residue_slices", f"WITH p AS (SELECT path, chain, min(line_no) FILTER (resseq = 5) AS lo, max(line_no) FILTER (resseq = 9) AS hi FROM records WHERE {CO} GROUP BY ALL) SELECT path, line_no, resseq FROM records JOIN p USING (path, chain) WHERE {CO} AND line_no BETWEEN lo AND hi", "resseq")
@@ -142,9 +145,13 @@ def tr18(d):
     return R.gaps(d).withColumn("distance", r6("distance"))
 
 
-@rec("TR20_element_from_name", f"CASE WHEN NOT {CO} THEN element WHEN substr(trim(atom_name), 1, 1) IN ('N', 'C', 'O') THEN substr(trim(atom_name), 1, 1) ELSE '' END AS element", "element")
+_NAMES = "CASE serial % 9 WHEN 0 THEN '1HB ' WHEN 1 THEN 'HG11' WHEN 2 THEN 'FE  ' WHEN 3 THEN 'CA  ' WHEN 4 THEN ' CA ' WHEN 5 THEN 'ZN  ' WHEN 6 THEN '2HG1' WHEN 7 THEN ' XE ' ELSE atom_name END"
+_ELEMENTS = ("H", "C", "N", "O", "S", "P", "F", "FE", "ZN", "MG", "CA")
+
+
+@rec("TR20_element_from_name", f"WITH n AS (SELECT path, line_no, record, element, {_NAMES} AS a FROM records), g AS (SELECT *, CASE WHEN regexp_matches(substr(a, 1, 1), '[A-Za-z]') AND NOT regexp_matches(substr(a, 3, 2), '^[0-9]+$') THEN trim(a) WHEN regexp_matches(substr(trim(a), 1, 1), '[0-9]') THEN substr(trim(a), 2, 1) ELSE substr(trim(a), 1, 1) END AS e FROM n) SELECT path, line_no, CASE WHEN NOT {CO} THEN element WHEN e IN {_ELEMENTS} THEN e ELSE '' END AS element FROM g", "element")
 def tr20(d):
-    return R.element_from_name(d, ("H", "C", "N", "O", "S", "P", "F", "FE", "ZN", "MG", "CA"))
+    return R.element_from_name(d.withColumn("atom_name", F.expr(_NAMES)), _ELEMENTS)
 
 
 @rec("TR21_check_format", f"SELECT path, line_no, CAST(length(line) AS INT) AS length, 'altloc' AS field FROM (SELECT path, line_no, {CO} AS c, CASE WHEN {CO} AND altloc = 'B' THEN substr(line, 1, 16) || '#' || substr(line, 18) ELSE line END AS line FROM records) WHERE c AND substr(line, 17, 1) = '#'")

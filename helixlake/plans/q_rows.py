@@ -8,6 +8,7 @@ from ..functions.catalog import BIOLOGICAL, KD, MODIFIED, OCTANAL, RESIDUE_RADII
 from ..operators import aggregates as A
 from ..operators import features as X
 from ..operators import filters as P
+from ..operators import hierarchy as H
 from .registry import on, query, r6
 
 
@@ -76,9 +77,10 @@ def pf6(d):
     return P.filter_codes(d, ["1", "2.2"], ["1.1"]).select("cath_domain", "cath_code")
 
 
-@plain("PF9_rows_at_level", "SELECT cath_domain, cath_code FROM domains WHERE len(string_split(cath_code, '.')) = 4", "domains")
+@plain("PF9_rows_at_level", "SELECT DISTINCT array_to_string(string_split(cath_code, '.')[1:3], '.') AS cath_code FROM domains", "domains")
 def pf9(d):
-    return P.at_level(d, 4).select("cath_domain", "cath_code")
+    """Of the nodes of all levels those of the third."""
+    return P.at_level(H.build_nodes(d), 3).select("cath_code")
 
 
 @plain("PF10_bio_interfaces", "SELECT pdb, interface_id, first_res, second_res, score FROM contacts WHERE first_chain = 'A' AND score >= 0", "contacts")
