@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix64, table, unused
 from .exchange import RUN_BYTES, answers, batches, key_rows, key_schema, read_answer, read_run, runs_of
@@ -118,12 +119,9 @@ def _firsts(h1: np.ndarray, h2: np.ndarray, owner: np.ndarray) -> tuple[np.ndarr
     return order, np.flatnonzero(fresh), np.cumsum(fresh) - 1
 
 
-def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """doc_id, text (what is kept), n_chunks, n_bytes, n_removed, n_spans of every row.
-
-    Null and empty texts give an empty text. Repeats inside one document, and in rows of equal id, stay. A null id counts as
-    the largest. Other columns aren't read; an empty table gives an empty one."""
-    rows, n_runs = runs_of(docs, id_col, text_col, run_bytes)
+def _cut(docs: DataFrame, id_col: str, text_col: str, min_run: int, run_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """What ``dedup_chunks`` gives of every row, with the columns ``carry`` as c0, c1 and so on."""
+    rows, n_runs = runs_of(docs, id_col, text_col, run_bytes, carry)
 
     def send(t: pa.Table) -> pa.Table:
         r = read_run(t)
@@ -155,24 +153,42 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     drop[x:y] = True
                     removed[d] += y - x
                     spans[d] += 1
-        texts = [data[a:b].tobytes() if not r else data[a:b][~drop[a:b]].tobytes() for a, b, r in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist(), strict=True)]
-        return pa.table({"doc_id": r.doc_ids(), "did": pa.array(did), "text": pa.array(texts, pa.binary()), "n_chunks": pa.array(np.diff(bounds).astype(np.int32)), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed), "n_spans": pa.array(spans)})
-
+        texts = [data[a:b].tobytes() if not n else data[a:b][~drop[a:b]].tobytes() for a, b, n in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist(), strict=True)]
+        out = pa.table({"doc_id": r.doc_ids(), "did": pa.array(did), "text": pa.array(texts, pa.binary()), "n_chunks": pa.array(np.diff(bounds).astype(np.int32)), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed), "n_spans": pa.array(spans)})
+        for k in range(len(carry)):
+            out = out.append_column(f"c{k}", r.carried[f"c{k}"] if r.carried is not None else pa.nulls(0))
+        return out
+
+    schema = T._parse_datatype_string(_OUT)
+    for k, c in enumerate(carry):
+        schema = schema.add(f"c{k}", docs.schema[c].dataType)
     replies = answers(rows.groupBy("run").applyInArrow(send, key_schema()), n_runs)
-    done = rows.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(cut, _OUT)
+    return rows.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(cut, schema)
+
+
+def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """doc_id, text (what is kept), n_chunks, n_bytes, n_removed, n_spans of every row.
+
+    Null and empty texts give an empty text. Repeats inside one document, and in rows of equal id, stay. A null id counts as
+    the largest. Other columns aren't read; an empty table gives an empty one."""
+    done = _cut(docs, id_col, text_col, min_run, run_bytes)
     return done.select("doc_id", F.col("text").cast("string").alias("text"), "n_chunks", "n_bytes", "n_removed", "n_spans")
 
 
-def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
-    """``docs`` with repeated passages cut out of the texts, and their lengths anew. A document that loses all its text
-    goes; one that had none stays. Rows that share an id, or have none, keep their texts; all other columns stay. An empty
-    table gives an empty one."""
-    once = docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") == 1)).select(F.col(id_col).alias("doc_id"))
-    cut = dedup_chunks(docs.select(id_col, text_col), id_col, text_col, **options).where("n_removed > 0").join(once, "doc_id")
-    own, new = unused(docs, "cut_id"), unused(docs, "cut_text")
-    both = docs.join(cut.select(F.col("doc_id").alias(own), F.col("text").alias(new)), F.col(id_col) == F.col(own), "left").where(F.col(new).isNull() | (F.length(new) > 0))
-    changed = {length_col: F.when(F.col(own).isNull(), F.col(length_col)).otherwise(F.length(new)), text_col: F.coalesce(new, text_col)}
-    return both.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", min_run: int = MIN_RUN, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """``docs`` with repeated passages cut out of the texts, and their lengths anew; all other columns travel with the texts. A
+    document that loses all its text goes; one that had none (null or empty) stays as it was. A null id counts as the largest;
+    rows of equal id aren't compared with each other. An empty table gives an empty one."""
+    void = unused(docs, "no_text")
+    others = [c for c in docs.columns if c != text_col]
+    done = _cut(docs.withColumn(void, F.col(text_col).isNull()), id_col, text_col, min_run, run_bytes, (*others, void))
+    own = {c: F.col(f"c{k}") for k, c in enumerate(others)}
+    text, changed = F.col("text").cast("string"), F.col("n_removed") > 0
+    kept = done.where(~changed | (F.length("text") > 0))
+    new = own | {text_col: F.when(~F.col(f"c{len(others)}"), text)}
+    if length_col in own:
+        new[length_col] = F.when(changed, F.length(text)).otherwise(own[length_col]).cast(docs.schema[length_col].dataType)
+    return kept.select(*(new[c].alias(c) for c in docs.columns))
 
 
 def op5_substring_dedup(spark, sf_dir):

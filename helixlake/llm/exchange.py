@@ -38,8 +38,8 @@ STATE = -1
 
 #: Bytes of documents that a task packs at once.
 PACK_BYTES = 32_000_000
-_PACKED = "run int, n int, did binary, known binary, sizes binary, text binary"
-_PACKED_PA = pa.schema([("run", pa.int32()), ("n", pa.int32()), ("did", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
+_PACKED = "run int, n int, did binary, known binary, sizes binary, text binary, carried binary"
+_PACKED_PA = pa.schema([("run", pa.int32()), ("n", pa.int32()), ("did", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("carried", pa.binary())])
 _KEYS = "bucket int, run int, kind int, n int, keys binary, extra binary, counts binary, owners binary"
 REPLY = "run int, kind int, bucket int, n int, total binary, smaller binary"
 _REPLY = pa.schema([("run", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("total", pa.binary()), ("smaller", pa.binary())])
@@ -67,6 +67,8 @@ class Run:
     known: np.ndarray
     data: np.ndarray
     offsets: np.ndarray
+    #: The columns that came along, in the order of the documents.
+    carried: pa.Table | None = None
 
     def doc_ids(self) -> pa.Array:
         return pa.array(self.did, pa.int64(), mask=~self.known)
@@ -76,6 +78,13 @@ class Run:
         return [raw[a:b] for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True)]
 
 
+def _table_bytes(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each run that some documents go to, with these compressed."""
 
@@ -86,10 +95,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, texts = run[order], t["text"].to_pylist()
         did, known = t["did"].to_numpy()[order], np.asarray(t["doc_id"].is_valid())[order]
         cuts = np.flatnonzero(np.diff(run, prepend=-1))
-        cols: list[list] = [[], [], [], [], [], []]
+        rest = t.select(t.schema.names[4:]).take(pa.array(order))
+        cols: list[list] = [[], [], [], [], [], [], []]
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(run)], strict=True):
             own = [texts[i] for i in order[a:b].tolist()]
-            row = (int(run[a]), b - a, did[a:b].tobytes(), np.packbits(known[a:b]).tobytes(), np.array([len(x) for x in own], np.int64).tobytes(), zstandard.ZstdCompressor(1).compress(b"".join(own)))
+            row = (int(run[a]), b - a, did[a:b].tobytes(), np.packbits(known[a:b]).tobytes(), np.array([len(x) for x in own], np.int64).tobytes(), zstandard.ZstdCompressor(1).compress(b"".join(own)), _table_bytes(rest.slice(a, b - a)) if rest.num_columns else None)
             for col, x in zip(cols, row, strict=True):
                 col.append(x)
         return pa.RecordBatch.from_arrays([pa.array(c, kind.type) for c, kind in zip(cols, _PACKED_PA, strict=True)], schema=_PACKED_PA)
@@ -105,26 +115,28 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def runs_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> tuple[DataFrame, int]:
+def runs_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """Packed documents by run (``read_run`` reads them), and the number of runs. A null id is the largest number, a null
-    text empty. Rows that share an id, or have none, are dealt by their texts; texts travel compressed."""
+    text empty; the columns ``carry`` come along under their places (c0, c1, ...). Rows that share an id, or have none, are dealt by their texts; texts travel compressed."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0))
     total = docs.agg(F.coalesce(F.sum(size + 64), F.lit(0)).alias("b")).first()["b"]
     n_runs = max(1, -(-total // run_bytes))
     did = F.col(id_col).cast("long")
     run = F.pmod(F.xxhash64(did, size, text_col), F.lit(n_runs)).cast("int")
-    rows = docs.select(run.alias("run"), F.coalesce(did, F.lit(int(NO_ID))).alias("did"), did.alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    rows = docs.select(run.alias("run"), F.coalesce(did, F.lit(int(NO_ID))).alias("did"), did.alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))
     return rows.mapInArrow(_pack, _PACKED), n_runs
 
 
 def read_run(t: pa.Table, ordered: bool = False) -> Run:
     """What ``_pack`` packed; ``ordered``: by id and text, as shuffles keep no order."""
-    rows = t.select(["run", "n", "did", "known", "sizes", "text"]).to_pylist()
+    rows = t.select(_PACKED_PA.names).to_pylist()
     join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
     did, size = join("did", np.int64), join("sizes", np.int64)
     known = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r["known"], np.uint8), count=r["n"]).astype(bool) for r in rows)])
     raw = b"".join(zstandard.ZstdDecompressor().decompress(r["text"]) for r in rows)
     out = Run(rows[0]["run"] if rows else 0, did, known, np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(size)]))
+    if rows and rows[0]["carried"] is not None:
+        out.carried = pa.concat_tables([pa.ipc.open_stream(r["carried"]).read_all() for r in rows])
     if not ordered:
         return out
     order = np.argsort(did, kind="stable")
@@ -132,7 +144,7 @@ def read_run(t: pa.Table, ordered: bool = False) -> Run:
     if len(np.unique(did)) < len(did):
         order = np.array(sorted(order.tolist(), key=lambda i: (did[i], texts[i])))
     data = np.frombuffer(b"".join(texts[i] for i in order.tolist()), np.uint8)
-    return Run(out.run, did[order], known[order], data, np.concatenate([[0], np.cumsum(size[order])]))
+    return Run(out.run, did[order], known[order], data, np.concatenate([[0], np.cumsum(size[order])]), None if out.carried is None else out.carried.take(pa.array(order)))
 
 
 def count_bits(n_runs: int, run_bytes: int = RUN_BYTES) -> int:

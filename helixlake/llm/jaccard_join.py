@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, table, unused
+from .common import discard, materialize, mix64, table, unused
 from .components import components
 from .exchange import NO_ID, RUN_BYTES, answers, count_bits, key_rows, key_schema, read_answer, read_run, runs_of
 from .shingles import shingle_sets
@@ -198,10 +198,13 @@ def _with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _link_classes(classes: DataFrame, n_runs: int, percent: int) -> DataFrame | None:
     """node, comp of the classes that are linked with another one; None if there are none. ``classes``: cid, n, tokens."""
-    for _ in range(RECOUNTS):
-        classes = _recount(classes, n_runs, percent)
+    for k in range(RECOUNTS):
+        before, classes = classes, _recount(classes, n_runs, percent)
+        if k:
+            discard(before)
     rows = materialize(prefix_table(classes, "A", percent), "prefixes")
     if rows.isEmpty():
+        discard(classes, rows)
         return None
     tried = materialize(_hub_pairs(rows.withColumn("comp", F.col("cid")), percent).distinct(), "pairs")
     links = _links(tried, classes, percent, "links")
@@ -211,7 +214,9 @@ def _link_classes(classes: DataFrame, n_runs: int, percent: int) -> DataFrame |
     second = _with_components(prefix_table(open_classes, "B", percent), labels)
     rest = _all_pairs(first, percent).intersect(_all_pairs(second, percent)).join(tried, ["a", "b"], "left_anti")
     more = _links(rest, classes, percent, "links")
-    return labels if more.isEmpty() else components(links.union(more))
+    labels = labels if more.isEmpty() else components(links.union(more))
+    discard(classes, rows, tried, first, links, more)
+    return labels
 
 
 def _classes_and_firsts(sets: DataFrame, percent: int, run_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -221,7 +226,8 @@ def _classes_and_firsts(sets: DataFrame, percent: int, run_bytes: int) -> tuple[
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     size = classes.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("b")).first()["b"]
     labels = _link_classes(classes.select("cid", "n", "tokens"), max(1, -(-size // run_bytes)), percent)
-    own = classes.select("node", "cid", "first")
+    own = materialize(classes.select("node", "cid", "first"), "nodes")
+    discard(classes)
     if labels is None:
         return own.select("node", F.col("cid").alias("comp"), "first")
     own = own.join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -232,8 +238,10 @@ def _classes_and_firsts(sets: DataFrame, percent: int, run_bytes: int) -> tuple[
 
 def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, run_bytes: int) -> DataFrame:
     """doc_id, key (hash of the text), n, comp (null: alone), first (smallest did of the component) of every row."""
-    sets = shingle_table(docs, words, percent, id_col, text_col, run_bytes)
-    firsts = _classes_and_firsts(sets, percent, run_bytes)
+    whole = shingle_table(docs, words, percent, id_col, text_col, run_bytes)
+    firsts = _classes_and_firsts(whole, percent, run_bytes)
+    sets = materialize(whole.drop("tokens"), "documents")
+    discard(whole)
     near = sets.where("node is not null").select("doc_id", "key", "n", "node").join(firsts, "node").select("doc_id", "key", "n", "comp", "first")
     return near.union(sets.where("node is null").select("doc_id", "key", "n", F.lit(None).cast("long"), "did"))
 

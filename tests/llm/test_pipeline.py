@@ -77,8 +77,7 @@ def plain_components_in_order(rows):
 
 
 def plain_cut(rows):
-    """Texts without the chunks that a smaller document holds, where an id is one row's alone."""
-    ids = [d for d, _ in rows]
+    """Texts without the chunks that a smaller document holds."""
     big, owner = 1 << 62, {}
     for d, t in rows:
         b = (t or "").encode()
@@ -94,7 +93,7 @@ def plain_cut(rows):
                 else:
                     spans.append([a, z])
         spans = [x for x in spans if x[1] - x[0] >= 128]
-        if not spans or d is None or ids.count(d) > 1:
+        if not spans:
             out.append((d, t))
         elif kept := b"".join(b[z:a] for z, a in zip([0, *(z for _, z in spans)], [*(a for a, _ in spans), len(b)])).decode():
             out.append((d, kept))
