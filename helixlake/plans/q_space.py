@@ -80,7 +80,7 @@ def ge9(a):
     return G.assembly(a, ops).select("cath_domain", "serial_number", "copy", *(r6(c).alias(c) for c in "xyz"))
 
 
-@plain("GE10_angles", "SELECT cath_domain, serial_number, round(acos(greatest(-1, least(1, (x * px + y * py + z * pz) / nullif(sqrt(x * x + y * y + z * z) * sqrt(px * px + py * py + pz * pz), 0)))), 6) AS angle FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM atoms WINDOW w AS (PARTITION BY cath_domain ORDER BY serial_number))", "atoms")
+@plain("GE10_angles", "SELECT cath_domain, serial_number, CASE WHEN sqrt(x * x + y * y + z * z) * sqrt(px * px + py * py + pz * pz) <> 0 THEN round(acos(greatest(-1, least(1, (x * px + y * py + z * pz) / (sqrt(x * x + y * y + z * z) * sqrt(px * px + py * py + pz * pz))))), 6) END AS angle FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM atoms WINDOW w AS (PARTITION BY cath_domain ORDER BY serial_number))", "atoms")
 def ge10(a):
     from pyspark.sql import Window
 

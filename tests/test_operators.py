@@ -153,8 +153,10 @@ def test_domain_description(spark, tmp_path):
 
 
 def test_annotation_readers(spark):
-    lines = spark.createDataFrame([("f", 1, "INFO  : Cluster start"), ("f", 2, "INFO  : 1 : 3 1abcA00"), ("f", 3, "DIST : 1 2 0.5")], "path string, line_no long, line string")
-    assert structures.read_cluster_log(lines).first().structure == "1abcA00"
+    text = ["INFO  : 2 Clusters @ Threshold 0.8", "INFO  : Item Cluster", "INFO  : ---", "INFO  : 1 : 3 1abcA00", "INFO  : 2 : 4 2abcA00", "INFO  : =====", "INFO  : Centroids", "INFO  : Cluster Size", "INFO  : ---", "INFO  : 3 : 1 5 0.25 1abcA00", "INFO  : =====", "INFO  : 9 : 3 9abcA00", "DIST : 1 2 0.5"]
+    lines = spark.createDataFrame([("f", k, x) for k, x in enumerate(text)], "path string, line_no long, line string")
+    found = structures.read_cluster_log(lines).collect()
+    assert [(r.item, r.cluster, r.structure, r.centroid_item, r.spread, r.centroid) for r in found] == [(1, 3, "1abcA00", 1, 0.25, "1abcA00")]
     assert {(r.a, r.b) for r in structures.read_distances(lines).collect()} == {(1, 2), (2, 1)}
     with pytest.raises(ValueError):
         structures.read_annotation(lines, "none")
