@@ -302,10 +302,17 @@ def op11_warc(spark, sf_dir):
 
 
 SQL = r"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, coalesce(url, '') AS url, strpos(url, '://') > 0 AS has_host, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+h AS (SELECT *, regexp_replace(regexp_extract(rest, '^[^/?#]*'), '^.*@', '') AS host, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS path,
+  lower(split_part(url, '://', 1)) AS scheme FROM p),
 d AS (SELECT page_id, strlen(html) AS payload_bytes, hex, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   1 + (((('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS INTEGER), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31)::INTEGER), 1)), '') AS payload_digest,
-  min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+  min(page_id) OVER (PARTITION BY hex) AS first,
+  CASE WHEN has_host THEN array_to_string(list_reverse(string_split(split_part(lower(host), ':', 1), '.')), ',')
+    || CASE WHEN strpos(host, ':') = 0 OR split_part(host, ':', 2) = '' OR (scheme = 'http' AND split_part(host, ':', 2) = '80') OR (scheme = 'https' AND split_part(host, ':', 2) = '443') THEN '' ELSE ':' || substr(host, strpos(host, ':') + 1) END
+    || ')' || CASE WHEN starts_with(path, '/') THEN path ELSE '/' || path END ELSE url END AS url_key,
+  strftime(TIMESTAMP '2000-01-01' + to_seconds(coalesce(((page_id % 1000000000) + 1000000000) % 1000000000, 0)), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM h)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
- CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d
+ CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, url_key, captured,
+ row_number() OVER (ORDER BY url_key, captured, page_id NULLS LAST) - 1 AS position FROM d
 """
