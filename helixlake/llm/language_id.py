@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, table, unused
+from .common import fold_of, materialize, table, unused
 
 HIDDEN = 8
 SEGMENT = 64
@@ -226,20 +226,21 @@ def fit(langs: list[str], texts: list[str], labels: list[int], steps: int = STEP
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Network:
-    """Counts the labelled rows of each language, takes a hash sample of about ``sample_docs`` of each, and fits. Rows with
-    a null text or label are left out."""
+    """Takes ``sample_docs`` different texts of each language at most, the first by hash, and fits. Rows with a null text or
+    label are left out; a repeated text takes one place."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    langs = sorted(counts)
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    first = keyed.select("lang", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= sample_docs)
+    first = materialize(first.select("lang", "h"), "sample")  # ``sample_docs`` rows of two values a language
+    langs = sorted(r["lang"] for r in first.select("lang").distinct().collect())
     if not langs:
         return Network([])
-    share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(int(1e6 * min(1.0, sample_docs / counts[k]))))))[F.col("lang")]
     # of a long text, the sample takes WINDOWS pieces spread over it
     piece = F.lit(4 * SEGMENT)
     size = F.length("text")
     spread = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.substring("text", (F.greatest(F.lit(0), size - piece) * i / max(1, WINDOWS - 1)).cast("int") + 1, piece))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("lang", F.explode(F.array_distinct(spread)).alias("text"))
-    got = sample.limit(2 * WINDOWS * sample_docs * len(langs)).toPandas().sort_values(["lang", "text"])
+    sample = keyed.join(F.broadcast(first), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", F.explode(F.array_distinct(spread)).alias("text"))
+    got = sample.toPandas().sort_values(["lang", "text"])
     return fit(langs, got["text"].tolist(), [langs.index(x) for x in got["lang"]])
 
 

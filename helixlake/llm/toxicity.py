@@ -174,21 +174,31 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label")
         for b in batches:
             flats = [fold(t) for t in b["text"]]
             x = [features(lex.matches(_automaton(lex), f), f) for f in flats]
-            yield pd.DataFrame({"x1": [v[0] for v in x], "x2": [v[1] for v in x], "label": b["label"].to_numpy()})
+            yield pd.DataFrame({"x1": [v[0] for v in x], "x2": [v[1] for v in x], "label": b["label"].to_numpy(), "n": b["n"].to_numpy()})
 
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1e6 * min(1.0, FIT_ROWS / (pos + neg))))
-    fit = sample.mapInPandas(measure, "x1 double, x2 double, label int").toPandas()
-    return Lexicon(lexicon.weights, lexicon.exceptions, fit_logistic(fit[["x1", "x2"]].to_numpy(), fit["label"].to_numpy()))
+    fit = sample_rows(rows, FIT_ROWS).mapInPandas(measure, "x1 double, x2 double, label int, n long").toPandas().sort_values(["x1", "x2", "label", "n"])
+    return Lexicon(lexicon.weights, lexicon.exceptions, fit_logistic(fit[["x1", "x2"]].to_numpy(), fit["label"].to_numpy(), weights=fit["n"].to_numpy()))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
+def sample_rows(rows: DataFrame, size: int) -> DataFrame:
+    """``size`` different pairs (text, label) at most, the first by hash, with how often each occurs (n): so many whatever
+    the number of rows, and a text that is repeated counts as often as it stands there but takes one place."""
+    key = F.xxhash64("text", "label")
+    counts = rows.groupBy(key.alias("h")).agg(F.count("*").alias("n"))
+    first = counts.orderBy("h").limit(size)  # ``size`` rows of two numbers
+    picked = rows.withColumn("h", key).join(F.broadcast(first), "h")
+    return picked.dropDuplicates(["h"]).select("text", "label", "n")
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, weights: np.ndarray | None = None) -> tuple[float, float, float]:
     """Newton's method on intercept and two factors."""
+    v = np.ones(len(x)) if weights is None else np.asarray(weights, float)
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + ridge * w * [0, 1, 1]
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(3)
+        g = a.T @ (v * (p - y)) + ridge * w * [0, 1, 1]
+        h = (a * (v * p * (1 - p))[:, None]).T @ a + ridge * np.eye(3)
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
