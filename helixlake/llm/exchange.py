@@ -17,12 +17,14 @@ as many as leave about one accidental match in a hundred, whatever the size of t
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from .common import materialize
 
 #: Text bytes in a run: what one task holds, several times over, while it works.
 RUN_BYTES = 8_000_000
+#: Runs (or buckets) of a partition, at most, where the session has fewer partitions.
+RUNS_A_TASK = 16
 #: Buckets that a run sends a blob to each; with more of them keys go in two steps.
 DIRECT = 2_048
 NO_ID = np.iinfo(np.int64).max
@@ -85,12 +89,38 @@ def _table_bytes(t: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spread_repeats(run: np.ndarray, did: np.ndarray, texts: list[bytes], n_runs: int, salt: int) -> np.ndarray:
+    """The runs of rows, where rows that are equal in id and text, and so all would go to one run, go to one after the other
+    from a place on that ``salt`` says. Equal rows never count as smaller than each other: they may be anywhere."""
+    order = np.lexsort((did, run))
+    close = np.flatnonzero((run[order][1:] == run[order][:-1]) & (did[order][1:] == did[order][:-1]))
+    if n_runs == 1 or not len(close):
+        return run
+    groups: dict[tuple[int, bytes], list[int]] = {}
+    for i in np.unique(np.concatenate([order[close], order[close + 1]])).tolist():
+        groups.setdefault((int(did[i]), texts[i]), []).append(i)
+    run = run.copy()
+    for own in groups.values():
+        if len(own) > 1:
+            run[own] = (int(run[own[0]]) + salt + np.arange(len(own))) % n_runs
+    return run
+
+
+def _packer(n_runs: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pack(batches, n_runs)
+
+    return pack
+
+
+def _pack(batches: Iterator[pa.RecordBatch], n_runs: int) -> Iterator[pa.RecordBatch]:
     """A row for each run that some documents go to, with these compressed."""
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    flushed = 0
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        run = t["run"].to_numpy()
+        run = spread_repeats(t["run"].to_numpy(), t["did"].to_numpy(), t["text"].to_pylist(), n_runs, zlib.crc32(b"%d:%d" % (part, flushed)))
         order = np.argsort(run, kind="stable")
         run, texts = run[order], t["text"].to_pylist()
         did, known = t["did"].to_numpy()[order], np.asarray(t["doc_id"].is_valid())[order]
@@ -110,21 +140,28 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += b.nbytes
         if size >= PACK_BYTES:
             yield flush(held)
-            held, size = [], 0
+            held, size, flushed = [], 0, flushed + 1
     if held:
         yield flush(held)
 
 
+def enough(df: DataFrame, n: int, col: str) -> DataFrame:
+    """Dealt by ``col`` to a partition for every RUNS_A_TASK of its ``n`` values, where that is more than the session has."""
+    parts = -(-n // RUNS_A_TASK)
+    return df.repartition(parts, col) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def runs_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """Packed documents by run (``read_run`` reads them), and the number of runs. A null id is the largest number, a null
-    text empty; the columns ``carry`` come along under their places (c0, c1, ...). Rows that share an id, or have none, are dealt by their texts; texts travel compressed."""
+    text empty; the columns ``carry`` come along under their places (c0, c1, ...). Rows that share an id, or have none, are
+    dealt by their texts, and rows that are equal in both by where they stand; texts travel compressed."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0))
     total = docs.agg(F.coalesce(F.sum(size + 64), F.lit(0)).alias("b")).first()["b"]
     n_runs = max(1, -(-total // run_bytes))
     did = F.col(id_col).cast("long")
     run = F.pmod(F.xxhash64(did, size, text_col), F.lit(n_runs)).cast("int")
     rows = docs.select(run.alias("run"), F.coalesce(did, F.lit(int(NO_ID))).alias("did"), did.alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))
-    return rows.mapInArrow(_pack, _PACKED), n_runs
+    return enough(rows.mapInArrow(_packer(n_runs), _PACKED), n_runs, "run"), n_runs
 
 
 def read_run(t: pa.Table, ordered: bool = False) -> Run:
@@ -239,7 +276,7 @@ def _answer(t: pa.Table) -> pa.Table:
 def answers(keys: DataFrame, n_buckets: int, bits: int = 64, direct: int = DIRECT) -> DataFrame:
     """The replies to the rows of ``key_rows`` of all runs."""
     if n_buckets <= direct:
-        return keys.groupBy("bucket").applyInArrow(_answer, REPLY)
+        return enough(keys, n_buckets, "bucket").groupBy("bucket").applyInArrow(_answer, REPLY)
     side = n_ranges(n_buckets, direct)
     sent = materialize(keys.withColumn("team", F.expr(f"run div {side}").cast("int")), "keys")
 

@@ -46,8 +46,9 @@ _RUN_PA = pa.schema([("bucket", pa.int32()), ("run", pa.int32()), ("n", pa.int32
 _REPLY_PA = pa.schema([("run", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("total", pa.binary()), ("smaller", pa.binary())])
 _OUT = "doc_id long, did long, text binary, n_bytes long, n_removed long, n_spans long, starts array<long>, ends array<long>"
 ANCHORS, ENTRIES, WINDOWS = 0, 1, 2
-#: Documents and strings of each that splitters are taken from, at most, and bytes of a splitter.
-SAMPLE_DOCS, SAMPLE_STRINGS, SPLITTER_BYTES = 2_000, 32, 200
+#: Documents that splitters are taken from (more where ranges are more than that), strings of each and of all at most, and
+#: bytes of a splitter.
+SAMPLE_DOCS, SAMPLE_STRINGS, ALL_STRINGS, SPLITTER_BYTES = 2_000, 32, 1_000_000, 200
 
 
 def window_hash(data: np.ndarray, size: int) -> np.ndarray:
@@ -233,13 +234,21 @@ def splitters_of(docs: DataFrame, parts: int, id_col: str, text_col: str, window
                 e = e.take(np.linspace(0, max(0, len(e.doc) - 1), min(SAMPLE_STRINGS, len(e.doc))).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([x[:SPLITTER_BYTES] for x in strings_of(t, e, window)], pa.binary())], ["s"])
 
-    n = docs.count()
-    texts = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000)) < max(1, int(1e6 * min(1.0, SAMPLE_DOCS / max(1, n))))).limit(2 * SAMPLE_DOCS)
-    texts = texts.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    # the first documents by hash: so many whatever the number of rows
+    size = min(max(SAMPLE_DOCS, parts // 4), ALL_STRINGS // SAMPLE_STRINGS)
+    place = F.xxhash64(id_col, text_col)
+    placed = docs.select(place.alias("h"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    first = placed.select("h").distinct().orderBy("h").limit(size)
+    texts = placed.join(F.broadcast(first), "h").dropDuplicates(["h"]).select("text")
     found = sorted(bytes(r["s"]) for r in texts.mapInArrow(strings, "s binary").collect())
     return sorted({found[k * len(found) // parts] for k in range(1, parts)}) if found else []
 
 
+def wide_cuts(cuts: list[bytes], side: int) -> list[bytes]:
+    """About ``side`` ranges of ranges, however many splitters there are."""
+    return sorted({cuts[k * len(cuts) // side] for k in range(1, side)}) if cuts else []
+
+
 def _send_entries(run: int, cuts: list[bytes], data: np.ndarray, e: Entries, n: np.ndarray, did: np.ndarray, window: int) -> pa.Table:
     """The front-coded runs by range, and what the run must know of its entries afterwards, under a range of its own."""
     strings, rank, owners = _sort_run(data, e, did, window)
@@ -431,7 +440,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = count_bits(n_runs, run_bytes)
     cuts = splitters_of(docs, n_runs, id_col, text_col, window, seed)
     side = n_ranges(n_runs, direct)
-    wide = cuts if n_runs <= direct else cuts[side - 1 :: side]
+    wide = cuts if n_runs <= direct else wide_cuts(cuts, side)
 
     def send_anchors(t: pa.Table) -> pa.Table:
         r = read_run(t)
