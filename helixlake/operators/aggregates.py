@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.catalog import one_letter
 
@@ -49,21 +52,44 @@ def backbone(atoms: DataFrame, features: list[str], by: tuple[str, ...] = ("cath
     return own.groupBy(*by).agg(F.min(order).alias("first"), *first, *(F.avg(f).alias(f) for f in features))
 
 
-def median_of(df: DataFrame, col: str, bins: int = 4_096) -> DataFrame:
-    """One row with the exact ``median`` of the values that aren't null. A first pass counts values by ranges, which says
-    what range it lies in; only the values of that range are counted one by one."""
-    v = df.select(F.col(col).alias("v")).where("v is not null")
-    all_ = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
-    binned = v.crossJoin(F.broadcast(all_)).select("v", "n", F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / width * bins)).cast("int").alias("bin"))  # one row
-    up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    hist = binned.groupBy("bin").agg(F.count("*").alias("c"), F.first("n").alias("n")).withColumn("before", F.sum("c").over(up) - F.col("c"))  # ``bins`` rows at most
-    ranks = F.array(F.expr("(n - 1) div 2"), F.expr("n div 2"))
-    inside = hist.withColumn("wanted", F.filter(ranks, lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("c")))).where(F.size("wanted") > 0).select("bin", "before", "wanted")
-    near = binned.join(F.broadcast(inside), "bin").groupBy("bin", "v").agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("wanted").alias("wanted"))
-    at = F.sum("c").over(Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    hit = near.withColumn("stop", at).withColumn("hits", F.size(F.filter("wanted", lambda k: (k >= F.col("stop") - F.col("c")) & (k < F.col("stop"))))).where("hits > 0")
-    return hit.agg((F.sum(F.col("v") * F.col("hits")) / F.sum("hits")).alias("median"))
+@F.pandas_udf(T.LongType())
+def ordered_bits(x: pd.Series) -> pd.Series:
+    """The bits of doubles as numbers that are ordered as the doubles are."""
+    bits = x.to_numpy(np.float64).view(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFF_FFFF_FFFF_FFFF), bits))
+
+
+def value_at(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+    """The values of some ranks (from 0) among those that aren't null, exactly, by radix selection: rows are counted by the
+    upper 16 bits of their value, then those that share the upper bits of a rank by the next 16, four times at most. No pass
+    returns more than 65,536 counts, and none depends on how the values are spread."""
+    bits = df.where(F.col(col).isNotNull()).select(ordered_bits(F.col(col).cast("double")).alias("v"))
+    # rank -> the upper bits that are known, and the rank among the values that have them
+    state = {r: (None, r) for r in ranks}
+    for shift in (48, 32, 16, 0):
+        known = {p for p, _ in state.values()}
+        rows = bits if None in known else bits.where(F.shiftright("v", shift + 16).isin(sorted(known)))
+        counts = rows.groupBy(F.shiftright("v", shift).alias("p")).agg(F.count("*").alias("n"))
+        of = {None: sorted((x["p"], x["n"]) for x in counts.collect())} if None in known else {}
+        if None not in known:
+            for p, n in sorted((x["p"], x["n"]) for x in counts.collect()):
+                of.setdefault(p >> 16, []).append((p, n))
+        for r, (p, left) in state.items():
+            for digit, n in of[p]:
+                if left < n:
+                    state[r] = (digit, left)
+                    break
+                left -= n
+    back = lambda v: float(np.array([v if v >= 0 else v ^ 0x7FFF_FFFF_FFFF_FFFF], np.int64).view(np.float64)[0])
+    return {r: back(p) for r, (p, _) in state.items()}
+
+
+def median_of(df: DataFrame, col: str) -> DataFrame:
+    """One row with the exact ``median`` of the values that aren't null (null if there are none)."""
+    n = df.where(F.col(col).isNotNull()).count()
+    found = value_at(df, col, sorted({(n - 1) // 2, n // 2})) if n else {}
+    median = (found[(n - 1) // 2] + found[n // 2]) / 2 if n else None
+    return df.sparkSession.range(1).select(F.lit(median).cast("double").alias("median"))
 
 
 def robust_stats(df: DataFrame, col: str = "bfactor", limit: float = 3.5, mad_scale: float = 1.0) -> DataFrame:

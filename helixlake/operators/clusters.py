@@ -74,16 +74,6 @@ def score_matrix(scores: DataFrame, a: str = "a", b: str = "b", score: str = "sc
     return both.groupBy("a", "b").agg(F.avg("s").alias("score"))
 
 
-def centroids(scores: DataFrame, members: DataFrame, key: str, cluster: str) -> DataFrame:
-    """The member of each cluster with the least mean distance (1 - score) to the others; the smallest id on ties."""
-    m = score_matrix(scores)
-    own = members.select(F.col(key).alias("a"), F.col(cluster).alias("_c"))
-    other = members.select(F.col(key).alias("b"), F.col(cluster).alias("_c"))
-    d = m.join(own, "a").join(other, ["b", "_c"]).groupBy("_c", "a").agg(F.round(F.avg(1 - F.col("score")), 6).alias("distance"))
-    w = Window.partitionBy("_c").orderBy("distance", "a")
-    return d.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(F.col("_c").alias(cluster), F.col("a").alias("centroid"), "distance")
-
-
 def kmer_pairs(df: DataFrame, key: str, text: str, k: int = 5, least: float = 0.8) -> DataFrame:
     """Pairs of sequences whose sets of k-mers of words have a Jaccard index of at least ``least`` (an approximation to
     alignment identity). Sets are ordered by how rare a k-mer is; similar sets share one among their rarest, so that only
@@ -113,9 +103,13 @@ def class_pairs(one: DataFrame, key: str, least: float) -> DataFrame:
     # from its first shared one on, each set must have as many left as the overlap that both sizes call for
     left = F.col("size") - F.col("place") + 1
     head = known.where((F.col("m") > 1) & (left >= F.ceil(least * F.col("size") - 1e-9))).withColumn("left", left)
-    a, b = (head.select("g", F.col(key).alias(c), F.col("size").alias(f"n{c}"), F.col("left").alias(f"left{c}")) for c in "ab")
+    # a frequent k-mer is dealt to blocks, and a task has a block against a block
+    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    head = head.withColumns({"own": F.pmod(F.xxhash64(key), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    at = {"a": ("own", "other"), "b": ("other", "own")}
+    a, b = (head.select("g", F.col(key).alias(c), F.col("size").alias(f"n{c}"), F.col("left").alias(f"left{c}"), F.col(at[c][0]).alias("ba"), F.col(at[c][1]).alias("bb")) for c in "ab")
     need = F.ceil(least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9)
-    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("lefta", "leftb") >= need)).select("a", "b").distinct()
+    pairs = a.join(b, ["g", "ba", "bb"]).where((F.col("a") < F.col("b")) & (F.least("lefta", "leftb") >= need)).select("a", "b").distinct()
     ga, gb = one.select(F.col(key).alias("a"), F.col("g").alias("ga")), one.select(F.col(key).alias("b"), F.col("g").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     out = pairs.join(ga, "a").join(gb, "b").select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("score"))
@@ -271,16 +265,3 @@ def torsions(backbone: DataFrame, by: str, order: str) -> DataFrame:
     own = backbone.withColumns({"_c": F.lag("C").over(w), "_n": F.lead("N").over(w)})
     n, ca, c = (p(F.col(k)) for k in ("N", "CA", "C"))
     return own.withColumns({"phi": G.dihedral([p(F.col("_c")), n, ca, c], False), "psi": G.dihedral([n, ca, c, p(F.col("_n"))], False)}).drop("_c", "_n")
-
-
-def tree_sizes(edges: DataFrame) -> DataFrame:
-    """Leaves below each node of a merge tree (node, left, right; negative children are leaves), a level a round."""
-    kids = edges.select("node", F.explode(F.array("left", "right")).alias("kid"))
-    done = written(kids.where("kid < 0").groupBy("node").agg(F.count("*").alias("own")), "tree")
-    inner = written(kids.where("kid >= 0"), "tree")
-    size = written(edges.select("node").join(done, "node", "left").select("node", F.coalesce("own", F.lit(0)).alias("n"), F.coalesce("own", F.lit(0)).alias("front")), "tree")
-    while True:
-        up = inner.join(size.select(F.col("node").alias("kid"), "front"), "kid").groupBy("node").agg(F.sum("front").alias("add"))
-        if up.where("add > 0").isEmpty():
-            return size.select("node", F.col("n").alias("n_leaves"))
-        size = written(size.join(up, "node", "left").select("node", (F.col("n") + F.coalesce("add", F.lit(0))).alias("n"), F.coalesce("add", F.lit(0)).alias("front")), "tree")

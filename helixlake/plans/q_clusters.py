@@ -9,13 +9,16 @@ from ..functions.featurizers import featurize, register_featurizer, safe_map
 from ..operators import aggregates as A
 from ..operators import clusters as C
 from ..operators import features as X
+from ..operators import greedy as Y
 from ..operators import hierarchy as H
+from ..operators import linkage as K
+from ..operators import trees as E
 from ..operators.scratch import scratch_path
 from ..sources import structures as T
 from ..streaming import incremental as N
 from .q_hierarchy import split_sql
 from .q_rows import ONE, plain
-from .registry import digest, digest_sql, query, r6
+from .registry import NUDGE, digest, digest_sql, query, r6
 from .views import tables
 
 _DOT = "round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda k: CAST(a.embedding[k] AS DOUBLE) * CAST(b.embedding[k] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) ** 2))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) ** 2)))), 6)"
@@ -36,7 +39,8 @@ _REACH = "e AS (SELECT a, b FROM p WHERE score >= 0.9 UNION ALL SELECT b, a FROM
 
 @query("CL2_single_linkage", (), f"WITH RECURSIVE {_PAIRS}, {_REACH} SELECT a AS vec_id, min(b) AS cluster FROM r GROUP BY a")
 def cl2(spark, sf):
-    return C.components(scores(spark, sf).where("score >= 0.9"), tables(spark, sf)["embeddings"], "vec_id")
+    # scores count as rounded to six places
+    return K.single_linkage(tables(spark, sf)["embeddings"], "vec_id", "label", least=0.9 - 5e-7 - NUDGE)
 
 
 _GRAMS = "d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE length(trim(text)) > 0 AND doc_id IS NOT NULL), s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d)), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL), x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL), j AS (SELECT a, b, k / (p.n + q.n - k) AS score FROM x JOIN z p ON p.doc_id = a JOIN z q ON q.doc_id = b), m AS (SELECT z.doc_id, coalesce(min(j.a), z.doc_id) AS representative FROM z LEFT JOIN j ON j.b = z.doc_id AND score = 1 GROUP BY z.doc_id), c AS (SELECT a, b, score FROM j WHERE score < 1 AND a IN (SELECT representative FROM m) AND b IN (SELECT representative FROM m))"
@@ -54,6 +58,36 @@ def cl3_clusters(spark, sf):
     return C.kmer_clusters(tables(spark, sf)["documents"], "doc_id", "text")
 
 
+def _greedy_sql(level: int) -> str:
+    """Members of others at a level (g), by rank; each centre list holds earlier ranks only."""
+    return f"""
+o{level} AS (SELECT row_number() OVER (ORDER BY n DESC, member) AS i, member, list(centre) AS centres FROM l WHERE score >= {level / 100} GROUP BY member, n),
+g{level} AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL
+  SELECT o.i, CASE WHEN len(list_filter(o.centres, lambda c: NOT list_contains(gone, c))) > 0 THEN list_append(gone, o.member) ELSE gone END
+  FROM g{level} JOIN o{level} o ON o.i = g{level}.i + 1),
+e{level} AS (SELECT gone FROM g{level} ORDER BY i DESC LIMIT 1),
+h{level} AS (SELECT member, min(struct_pack(o := -centre_n, k := centre)).k AS head FROM l, e{level}
+  WHERE score >= {level / 100} AND list_contains(gone, member) AND NOT list_contains(gone, centre) GROUP BY member)"""
+
+
+_GREEDY = f"""
+q AS (SELECT s.doc_id, s.g, z.n FROM s JOIN z USING (doc_id) JOIN m ON m.doc_id = s.doc_id AND m.representative = m.doc_id),
+t AS (SELECT g, min(struct_pack(o := -n, k := doc_id)) AS top FROM q GROUP BY g),
+u AS (SELECT DISTINCT q.doc_id AS member, q.n, t.top.k AS centre, -t.top.o AS centre_n FROM q JOIN t USING (g) WHERE q.doc_id <> t.top.k),
+l AS (SELECT u.*, j.score FROM u JOIN j ON j.a = least(u.member, u.centre) AND j.b = greatest(u.member, u.centre)),
+{", ".join(_greedy_sql(v) for v in _LEVELS[1:])}"""
+
+
+@query("CL3_greedy_representatives", (), f"""
+WITH RECURSIVE {_GRAMS}, {_GREEDY}
+SELECT d.doc_id, coalesce(m.representative, d.doc_id) AS representative_100,
+ {", ".join(f"coalesce(h{v}.head, m.representative, d.doc_id) AS representative_{v}" for v in _LEVELS[1:])}
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN m USING (doc_id)
+ {" ".join(f"LEFT JOIN h{v} ON h{v}.member = m.representative" for v in _LEVELS[1:])}""")
+def cl3_greedy(spark, sf):
+    return Y.greedy_representatives(tables(spark, sf)["documents"], "doc_id", "text")
+
+
 _CLUSTERS = "(SELECT d.cath_code, r.rep FROM domains d JOIN (SELECT cath_code, s, CAST(min(cath_domain) AS VARCHAR) AS rep FROM domains GROUP BY ALL) r USING (cath_code, s))"
 
 
@@ -79,19 +113,28 @@ def ag20(spark, sf):
     return C.score_matrix(scores(spark, sf)).withColumn("score", r6("score"))
 
 
-@query("TK4_cluster_centroids", (), f"WITH {_PAIRS}, m AS (SELECT label, a, score FROM p UNION ALL SELECT label, b, score FROM p), d AS (SELECT label, a, round(avg(1 - score), 6) AS distance FROM m GROUP BY ALL) SELECT label, a AS centroid, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, a) = 1")
+#: Means of unrounded cosines of each vector with the others of its label.
+_MEANS = f"""
+p AS (SELECT a.label, a.vec_id AS a, avg(1 - {_DOT.removeprefix("round(").removesuffix(", 6)")}) AS distance
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL),
+d AS (SELECT label, a, round(distance, 6) AS distance FROM p),
+n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY ALL)"""
+
+
+@query("TK4_cluster_centroids", (), f"""
+WITH {_MEANS}
+SELECT label, a AS centroid, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, a) = 1""")
 def tk4(spark, sf):
-    return C.centroids(scores(spark, sf), tables(spark, sf)["embeddings"], "vec_id", "label").withColumn("distance", r6("distance"))
+    return K.central_members(tables(spark, sf)["embeddings"], "vec_id", "label").select("label", "centroid", r6("distance").alias("distance"))
 
 
-@query("TK2_largest_cluster", (), f"WITH {_PAIRS}, m AS (SELECT label, a, score FROM p UNION ALL SELECT label, b, score FROM p), d AS (SELECT label, a, round(avg(1 - score), 6) AS distance FROM m GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY ALL ORDER BY n DESC, label LIMIT 1) SELECT label, n, a AS centroid FROM d JOIN n USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, a) = 1")
+@query("TK2_largest_cluster", (), f"""
+WITH {_MEANS}, m AS (SELECT * FROM n ORDER BY n DESC, label LIMIT 1)
+SELECT label, n, a AS centroid FROM d JOIN m USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, a) = 1""")
 def tk2(spark, sf):
     """The centroid of the cluster that has the most members."""
-    e = tables(spark, sf)["embeddings"]
-    largest = e.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1)
-    own = e.join(F.broadcast(largest), "label")  # one row
-    scored = C.pair_scores(own, "vec_id", "label").withColumn("score", r6("score"))
-    return C.centroids(scored, own, "vec_id", "label").join(F.broadcast(largest), "label").select("label", "n", "centroid")
+    best = K.central_members(tables(spark, sf)["embeddings"], "vec_id", "label")
+    return best.orderBy(F.desc("n"), "label").limit(1).select("label", "n", "centroid")
 
 
 @query("CL1b_one_against_all", (), f"SELECT a.vec_id AS a, b.vec_id AS b, {_DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id = 0 AND b.vec_id <> 0")
@@ -171,7 +214,7 @@ def j23(a, pairs):
 def cl7(s):
     nodes = s.select(F.col("cath_domain").alias("node")).distinct()
     edges = nodes.select("node", F.when(F.col("node") % 3 == 0, F.expr("node div 3")).otherwise(F.lit(-1)).alias("left"), F.lit(-2).cast("long").alias("right")).where("node > 0")
-    return C.tree_sizes(edges)
+    return E.tree_sizes(edges)
 
 
 _UNIT = "coalesce(({k} - {n}{k}) / nullif(sqrt((x - {n}x) * (x - {n}x) + (y - {n}y) * (y - {n}y) + (z - {n}z) * (z - {n}z)), 0), 0)"
