@@ -8,24 +8,46 @@ from pyspark.sql import functions as F
 from .geometry import XYZ
 
 
+#: A cell, and the 13 of its 26 neighbours that come after it in order: of each two neighbouring cells one has the other.
+HALF_SHELL = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+SHELL = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+
+
+def _boxed(df: DataFrame, box: DataFrame, by: list[str], radius: float) -> DataFrame:
+    """Adds the cell of each point, counted from the corner of its group's box, and the last cell along each axis."""
+    cell = lambda hi, lo: F.floor((F.col(hi) - F.col(lo)) / radius).cast("int")
+    out = df.join(box, by).withColumns({f"_g{c}": cell(c, f"_lo{c}") for c in XYZ} | {f"_n{c}": cell(f"_hi{c}", f"_lo{c}") for c in XYZ})
+    return out.drop(*(f"_{e}{c}" for e in ("lo", "hi") for c in XYZ))
+
+
 def neighbours(left: DataFrame, right: DataFrame, radius: float, by: list[str], key: str = "serial_number", ordered: bool = True, extra: str | None = None) -> DataFrame:
-    """Pairs within ``radius``: columns ``by``, a and b (keys), distance.
-
-    Space is cut in cells as wide as the radius; a point meets the points of its own cell and the 26 round it, so the join
-    is one on equal cells, of which only one side is repeated. ``ordered``: both sides are one table, a < b.
-    ``extra``: a further condition on columns named a_<name> and b_<name>."""
-    cells = [F.floor(F.col(c) / radius).cast("int") for c in XYZ]
-    far = F.explode(F.array(*(F.array(*map(F.lit, (i, j, k))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
-    a = left.select(*by, *(F.col(c).alias(f"a_{c}") for c in left.columns if c not in by), *(x.alias(f"g{c}") for c, x in zip(XYZ, cells, strict=True)))
-    b = right.select(*by, *(F.col(c).alias(f"b_{c}") for c in right.columns if c not in by), *(x.alias(f"h{c}") for c, x in zip(XYZ, cells, strict=True)))
-    b = b.withColumn("_m", far).select(*by, *(c for c in b.columns if c.startswith("b_")), *((F.col(f"h{c}") + F.col("_m")[i]).alias(f"g{c}") for i, c in enumerate(XYZ)))
+    """Pairs within ``radius``: columns ``by``, those of both sides named a_<name> and b_<name>, distance.
+
+    Each group's bounding box is cut in cells as wide as the radius. Points meet those of their own cell and of the cells
+    round it that the box has, so the join is one on equal cells: a group that fits in the radius is one cell, and nothing
+    is repeated. ``ordered``: both sides are one table and pairs come once, a < b; a point is then sent to half of the
+    cells round its own, and a and b are told apart afterwards. ``extra``: a further condition on these names."""
+    corners = [f(c).alias(f"_{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
+    both = left.select(*by, *XYZ) if ordered else left.select(*by, *XYZ).unionByName(right.select(*by, *XYZ))
+    box = both.groupBy(*by).agg(*corners)
+    names = [c for c in left.columns if c not in by], [c for c in right.columns if c not in by]
+    cells = [f"_g{c}" for c in XYZ]
+    a = _boxed(left, box, by, radius).select(*by, *cells, *(F.col(c).alias(f"a_{c}") for c in names[0]))
+    offsets = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(XYZ, o, strict=True))) for o in (HALF_SHELL if ordered else SHELL)))
+    within = lambda o, c: (F.col(f"_g{c}") + o[c]).between(0, F.col(f"_n{c}"))
+    inside = lambda o: within(o, "x") & within(o, "y") & within(o, "z")
+    b = _boxed(right, box, by, radius).withColumn("_o", F.explode(F.filter(offsets, inside)))
+    own = (F.col("_o.x") == 0) & (F.col("_o.y") == 0) & (F.col("_o.z") == 0)
+    b = b.select(*by, *((F.col(f"_g{c}") + F.col(f"_o.{c}")).alias(f"_g{c}") for c in XYZ), own.alias("_own"), *(F.col(c).alias(f"b_{c}") for c in names[1]))
     d = F.sqrt((F.col("a_x") - F.col("b_x")) ** 2 + (F.col("a_y") - F.col("b_y")) ** 2 + (F.col("a_z") - F.col("b_z")) ** 2)
-    out = a.join(b, [*by, *(f"g{c}" for c in XYZ)])
+    out = a.join(b, [*by, *cells]).withColumn("distance", d).where(F.col("distance") <= radius)
     if ordered:
-        out = out.where(F.col(f"a_{key}") < F.col(f"b_{key}"))
-    if extra:
-        out = out.where(extra)
-    return out.withColumn("distance", d).where(F.col("distance") <= radius)
+        less = F.col(f"a_{key}") < F.col(f"b_{key}")
+        out = out.where((~F.col("_own") & (F.col(f"a_{key}") != F.col(f"b_{key}"))) | less)
+        turned = {f"{s}_{c}": F.when(less, F.col(f"{s}_{c}")).otherwise(F.col(f"{t}_{c}")) for c in names[0] for s, t in (("a", "b"), ("b", "a"))}
+        out = out.withColumns(turned)
+    out = out.drop(*cells, "_own")
+    return out.where(extra) if extra else out
 
 
 def atom_pairs(atoms: DataFrame, radius: float, by: str = "cath_domain", extra: str | None = None) -> DataFrame:
