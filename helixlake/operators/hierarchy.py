@@ -22,6 +22,25 @@ def build_nodes(domains: DataFrame, names: DataFrame | None = None, code: str =
     return nodes if names is None else nodes.join(names, code, "left")
 
 
+def directory_nodes(inventory: DataFrame, root: str = "", names: DataFrame | None = None, path: str = "path", code: str = "cath_code") -> DataFrame:
+    """The folders of a file inventory as a hierarchy of any depth: each folder above a file (below ``root``) is a node, with
+    level, parent, key, how many files lie in it and how many in it and below. Branches may differ in depth, and a folder may
+    have files and folders. Folder names become the parts of the code; ``names`` (code, ...) joins where it has them. Files
+    right in ``root`` and files elsewhere belong to no node; repeated paths count once."""
+    top = root.rstrip("/") + "/" if root else ""
+    inside = inventory.select(path).distinct().where(F.col(path).startswith(top)) if top else inventory.select(path).distinct()
+    parts = F.filter(F.split(F.substring(F.col(path), F.lit(len(top) + 1), F.length(path)), "/"), lambda x: x != "")
+    folders = inside.select(F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1)).alias("p")).where(F.size("p") > 0)
+    folders = folders.groupBy("p").agg(F.count("*").alias("n"))  # as many rows as folders from here on
+    steps = folders.select("p", "n", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("level"))
+    own = steps.select(F.slice("p", 1, F.col("level")).alias("p"), "level", "n", (F.col("level") == F.size("p")).alias("here"))
+    nodes = own.groupBy("p", "level").agg(F.sum(F.when(F.col("here"), F.col("n")).otherwise(0)).alias("n_files"), F.sum("n").alias("n_below"))
+    dotted = lambda p: F.array_join(p, ".")
+    parent = F.when(F.col("level") > 1, dotted(F.slice("p", 1, F.greatest(F.lit(1), F.col("level") - 1))))
+    out = nodes.select(dotted(F.col("p")).alias(code), "level", parent.alias("parent_code"), F.concat(F.lit("/"), F.array_join("p", "/")).alias("h5_key"), "n_files", "n_below")
+    return out if names is None else out.join(names, code, "left")
+
+
 def expand(nodes: DataFrame, keep: list[str], skip: list[str] = (), level: int = 4) -> DataFrame:
     """The nodes of a level below partial codes, without those below the skipped ones."""
     return filter_codes(nodes.where(F.col("level") == level), keep, list(skip))
