@@ -131,3 +131,43 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def wide(df: DataFrame, by: str, method: str, values: list[str], methods: list[str]) -> DataFrame:
     """One row a key, each value's column prefixed with the method it is from."""
     return df.groupBy(by).agg(*(F.max(F.when(F.col(method) == m, F.col(v))).alias(f"{m}_{v}") for m in methods for v in values))
+
+
+def wide_pairs(df: DataFrame, by: list[str], reference: str, metrics: list[str], references: list[str]) -> DataFrame:
+    """One row a compared complex, each metric's column prefixed with the reference it was compared to; null where it wasn't."""
+    return df.groupBy(*by).agg(*(F.max(F.when(F.col(reference) == r, F.col(m))).alias(f"{r}_{m}") for r in references for m in metrics))
+
+
+def interface_progress(expected: DataFrame, parts: dict[str, DataFrame], key: str = "pdb", interface: str = "interface_id", number: str = "num_interfaces") -> DataFrame:
+    """For each structure how many of its interfaces each part has rows for, whether that is all of them, and whether all parts
+    are done. ``expected``: key and how many interfaces it has. A part that has more than expected isn't done."""
+    out = expected.select(key, number)
+    rows = None
+    for name, df in parts.items():
+        one = df.select(key, interface, F.lit(name).alias("_part")).distinct()
+        rows = one if rows is None else rows.unionByName(one)
+    counts = rows.groupBy(key).agg(*(F.count_if(F.col("_part") == n).alias(f"n_{n}") for n in parts))
+    out = out.join(counts, key, "left").na.fill(0, [f"n_{n}" for n in parts])
+    done = {f"{n}_done": F.col(f"n_{n}") == F.col(number) for n in parts}
+    every = F.lit(True)
+    for n in parts:
+        every = every & F.col(f"{n}_done")
+    return out.withColumns(done).withColumn("done", every)
+
+
+def ordered_samples(atoms: DataFrame, features: list[str], by: str = "cath_domain", residue: str = "residue_id", order: str = "file", names: tuple[str, ...] = ("N", "CA", "C", "O")) -> DataFrame:
+    """One row a structure, as a model of sequences reads it: residues, their letters (``sequence``, always in file order), the
+    coordinates of their backbone atoms (NaN where an atom is absent) and the features' means. Residues stand in file order,
+    or, with ``order`` ``lexical``, as their labels sort as text. A structure is one sample by nature."""
+    if order not in ("file", "lexical"):
+        raise ValueError("order is file or lexical")
+    nan = F.struct(*(F.lit(float("nan")).alias(c) for c in "xyz"))
+    bare = backbone(atoms, features, (by, residue), names).drop("first")
+    letters = atoms.groupBy(by, residue).agg(F.min("serial_number").alias("_at"), one_letter(F.min_by("residue_name", "serial_number")).alias("_letter"))
+    rows = letters.join(bare, [by, residue], "left")
+    point = lambda n: F.coalesce(F.col(n), nan)
+    xyz = F.array(*(F.array(*(point(n)[c] for c in "xyz")) for n in names))
+    place = F.col("_at") if order == "file" else F.col(residue).cast("string")
+    own = rows.select(by, F.struct(place.alias("k"), F.col("_at"), F.col(residue).cast("string").alias("residue"), xyz.alias("xyz"), F.array(*(F.col(f) for f in features)).alias("f")).alias("s"), F.struct("_at", "_letter").alias("l"))
+    all_ = own.groupBy(by).agg(F.sort_array(F.collect_list("s")).alias("s"), F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["_letter"]), "").alias("sequence"))
+    return all_.select(by, F.transform("s", lambda x: x["residue"]).alias("residues"), "sequence", F.transform("s", lambda x: x["xyz"]).alias("coordinates"), F.transform("s", lambda x: x["f"]).alias("features"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 
@@ -83,3 +84,33 @@ def validate_structures(df: DataFrame, by: str = "cath_domain") -> DataFrame:
     """One row a structure: how many atoms and chains it has, and whether it can be used (one chain, some atoms)."""
     n = F.count_distinct("chain")
     return df.groupBy(by).agg(F.count("*").alias("n_atoms"), n.alias("n_chains"), ((n == 1) & (F.count("*") > 0)).alias("valid"))
+
+
+def residue_of(df: DataFrame, label: int | str | tuple[str, int, str], by: tuple[str, ...] = ("path", "chain")) -> DataFrame:
+    """The coordinate rows of one residue of each chain. A number takes the residue of that number without insertion code and
+    not hetero, or else the first of that number in the file; a text (``22`` or ``22A``) number and insertion code, not hetero;
+    a key names all three: what kind of hetero residue it is (``" "`` for none, ``H`` for any), number, insertion code."""
+    hetero = F.col("record") == "HETATM"
+    own = df.where(F.col("record").isin("ATOM", "HETATM"))
+    if isinstance(label, tuple):
+        kind, number, icode = label
+        return own.where((hetero == F.lit(kind.strip() != "")) & (F.col("resseq") == number) & (F.col("icode") == icode.ljust(1)))
+    if isinstance(label, str):
+        found = re.fullmatch(r"\s*(-?\d+)\s*(\S?)\s*", label)
+        return residue_of(df, (" ", int(found[1]), found[2].ljust(1)), by) if found else own.where(F.lit(False))
+    numbered = own.where(F.col("resseq") == label)
+    what = F.struct(hetero.alias("hetero"), "icode")
+    plain = ~hetero & (F.col("icode") == " ")
+    which = numbered.groupBy(*by).agg(F.coalesce(F.min_by(what, F.when(plain, F.col("line_no"))), F.min_by(what, "line_no")).alias("_which"))
+    return numbered.join(which, list(by)).where(what == F.col("_which")).drop("_which").select(df.columns)
+
+
+def validate_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """One row a file (path and bytes, as Spark's reader of binary files gives them): whether it is empty, whether it is gzip
+    data rather than text, how many chains its coordinate lines have, and whether it can be used."""
+    raw = F.col(content)
+    rows = files.select(path, raw, (F.coalesce(F.octet_length(raw), F.lit(0)) == 0).alias("empty"), F.coalesce(F.substring(raw, 1, 2) == F.unhex(F.lit("1F8B")), F.lit(False)).alias("gzipped"))
+    lines = F.filter(F.split(F.decode(raw, "ISO-8859-1"), "\r?\n"), lambda x: x.startswith("ATOM") | x.startswith("HETATM"))
+    chains = F.size(F.array_distinct(F.transform(lines, lambda x: F.substring(x, 22, 1))))
+    n = F.when(F.col("empty") | F.col("gzipped"), 0).otherwise(chains)
+    return rows.withColumn("n_chains", n).select(path, "empty", "gzipped", "n_chains", (F.col("n_chains") == 1).alias("valid"))

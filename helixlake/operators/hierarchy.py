@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import filter_codes
@@ -105,12 +105,28 @@ def _cut(sizes: DataFrame, scope: list[str], share: float, margin: float = 0.01)
     return f.join(cuts, scope).withColumn("taken", F.col("j") <= F.col("cut")).drop("f", "j", "cut")
 
 
-def cluster_split(df: DataFrame, scope: list[str], key: list[str], shares: dict[str, float] | None = None) -> DataFrame:
+def named_shares(shares: dict[str, float] | float | list[float] | tuple[float, ...]) -> dict[str, float]:
+    """Shares by name. One number, or a list of one, is that of train, and validation and test have half of the rest each; of
+    a longer list the splits are split0, split1 and so on; a dict is what it says."""
+    if isinstance(shares, list | tuple):
+        if len(shares) > 1:
+            return {f"split{i}": x for i, x in enumerate(shares)}
+        if not shares:
+            raise ValueError("no shares")
+        shares = shares[0]
+    if isinstance(shares, dict):
+        return shares
+    if not 0 < shares < 1:
+        raise ValueError("one share must be above 0 and below 1")
+    return {"train": shares, "validation": (1 - shares) / 2, "test": (1 - shares) / 2}
+
+
+def cluster_split(df: DataFrame, scope: list[str], key: list[str], shares: dict[str, float] | float | list[float] | None = None) -> DataFrame:
     """Assigns whole clusters to splits, so that none is in two. Returns scope, key columns and split, one row a cluster.
 
     Clusters are ordered by key. Splits take their share of the rows in descending order of share; the last one takes the
-    rest. Rows with a null key belong to no split but count among the rows. Only cluster sizes are ordered, by ranges."""
-    shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
+    rest. ``shares`` as ``named_shares`` takes them. Rows with a null key belong to no split but count among the rows. Only cluster sizes are ordered, by ranges."""
+    shares = {"train": 0.8, "validation": 0.1, "test": 0.1} if shares is None else named_shares(shares)
     if abs(sum(shares.values()) - 1) > 1e-9:
         raise ValueError("shares must add up to 1")
     order = sorted(shares, key=lambda s: -shares[s])
@@ -197,3 +213,34 @@ def flat_splits(df: DataFrame, levels: dict[str, list[str]], representatives_at:
         key = F.concat_ws(".", *levels[representatives_at])
         reps = df.groupBy(key.alias("key")).agg(F.min(name).alias("representative"))
     return level_splits(df, [], levels), reps
+
+
+def chain_representatives(chains: DataFrame, entities: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Each chain's entity, the entity's cluster, and the chain that stands for the cluster: the first chain of its entity of
+    the least rank. ``chains``: pdb, chain; ``entities``: pdb, chain, entity; ``clusters``: pdb, entity, cluster, rank. Returns pdb,
+    chain, entity, cluster, representative_pdb, representative_chain, is_representative; what a chain has no entity or no
+    cluster for is null, and it is no representative."""
+    known = chains.select("pdb", "chain").distinct().join(entities.select("pdb", "chain", "entity").distinct(), ["pdb", "chain"], "left")
+    placed = known.join(clusters.select("pdb", "entity", "cluster", "rank"), ["pdb", "entity"], "left")
+    heads = placed.where("cluster is not null").groupBy("cluster").agg(F.min(F.struct("rank", "pdb", "entity", "chain")).alias("h"))
+    out = placed.join(heads, "cluster", "left")
+    own = (F.col("pdb") == F.col("h.pdb")) & (F.col("chain") == F.col("h.chain"))
+    return out.select("pdb", "chain", "entity", "cluster", F.col("h.pdb").alias("representative_pdb"), F.col("h.chain").alias("representative_chain"), F.coalesce(own, F.lit(False)).alias("is_representative"))
+
+
+def truth_from_list(rows: DataFrame, stored: DataFrame, by: str = "cath_domain", residue: str = "residue_id", listed: str = "residues", separator: str = ",") -> DataFrame:
+    """Adds ``truth``: whether the row's residue is in the list that is stored for its structure. ``stored``: by and a text of
+    residues with a separator (blanks round them don't count). Without a stored list nothing is true; several lists of a
+    structure are one."""
+    named = stored.select(by, F.explode(F.split(listed, separator)).alias("_r")).select(by, F.trim("_r").alias(residue)).distinct().withColumn("truth", F.lit(True))
+    return rows.join(named.where(F.col(residue) != ""), [by, residue], "left").withColumn("truth", F.coalesce("truth", F.lit(False)))
+
+
+def natural_key(text: str) -> Column:
+    """What a text with one number sorts by: (prefix, number, suffix), blanks in prefix and suffix made single and cut at the
+    ends, the sign of the number left out. Null if the text has no number, or several."""
+    number = r"[+-]?([0-9]+(?:[.][0-9]*)?|[.][0-9]+)"
+    parts = F.split(F.col(text).cast("string"), number)
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    value = F.regexp_extract(F.col(text).cast("string"), number, 1).cast("double")
+    return F.when(F.size(parts) == 2, F.struct(tidy(parts[0]).alias("prefix"), value.alias("number"), tidy(parts[1]).alias("suffix")))

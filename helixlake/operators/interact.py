@@ -125,6 +125,34 @@ def family_sizes(df: DataFrame, first: str, second: str) -> DataFrame:
     return df.groupBy(F.least(a, b).alias("family1"), F.greatest(a, b).alias("family2")).agg(F.count("*").alias("n"))
 
 
+def first_of_pairs(df: DataFrame, first: str, second: str, order: list[str]) -> DataFrame:
+    """Of the rows of each unordered pair the first in order; pairs that lack a side count as -1 there."""
+    a, b = F.coalesce(F.col(first), F.lit(-1)), F.coalesce(F.col(second), F.lit(-1))
+    rows = df.withColumns({"_low": F.least(a, b), "_high": F.greatest(a, b)})
+    kept = rows.groupBy("_low", "_high").agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_r"))
+    return kept.select("_r.*")
+
+
+def class_counts(df: DataFrame, cls: str, status: str) -> DataFrame:
+    """Interactions of each class in each status, and each class's share of the status."""
+    counts = df.groupBy(status, cls).agg(F.count("*").alias("n"))
+    whole = counts.groupBy(status).agg(F.sum("n").alias("_all"))
+    return counts.join(whole, status).select(status, cls, "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
+def face_jaccard(model: DataFrame, reference: DataFrame, by: str, sides: tuple[str, str] = ("first_res", "second_res")) -> DataFrame:
+    """Jaccard index of the residues that a model and a reference have in contact, on each side (face1, face2); null where
+    neither has any. Complexes of either table come."""
+    out = None
+    for k, side in enumerate(sides, 1):
+        rows = model.select(by, side, F.lit(1).alias("m"), F.lit(0).alias("r")).unionByName(reference.select(by, side, F.lit(0).alias("m"), F.lit(1).alias("r")))
+        each = rows.groupBy(by, side).agg(F.max("m").alias("m"), F.max("r").alias("r"))
+        named = F.col(side).isNotNull()
+        one = each.groupBy(by).agg(F.try_divide(F.count_if(named & (F.col("m") + F.col("r") == 2)), F.count_if(named)).alias(f"face{k}"))
+        out = one if out is None else out.join(one, by, "full")
+    return out
+
+
 def class_transitions(df: DataFrame, observed: str, inferred: str) -> DataFrame:
     return df.groupBy(F.concat(F.col(observed), F.lit("->"), F.col(inferred)).alias("transition")).agg(F.count("*").alias("n"))
 

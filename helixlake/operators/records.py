@@ -221,10 +221,23 @@ def update_coordinates(df: DataFrame, other: DataFrame) -> DataFrame:
     return k(df).join(o, ["path", "_k"]).withColumns({c: F.col(f"_{c}") for c in "xyz"}).drop("_k", "_x", "_y", "_z")
 
 
-def prepare(df: DataFrame, chain: str, model: int = 1) -> DataFrame:
-    """The whole clean-up: one model, one chain (a blank one takes its name), one location, no hetero records, tidied."""
+def prepare(df: DataFrame, chain: str, model: int = 1, slices: list[tuple[int, int]] | None = None, rename: str | None = None, steps: bool = False) -> DataFrame:
+    """The whole clean-up: one model, one chain (a blank one takes its name), one location, no hetero records, residues from a
+    label to a label (``slices``) if any are named, tidied, and the chain renamed last. ``steps``: with the names of the steps
+    that were taken, as ``prep_steps``."""
     named = select_model(df, model).withColumn("chain", F.when(is_coord() & (F.col("chain") == " "), chain).otherwise(F.col("chain")))
-    return tidy(strip(delocc(select(named, "chain", [chain])), hetero=True))
+    taken = [f"model {model}", f"chain {chain}", "delocc", "striphet"]
+    out = strip(delocc(select(named, "chain", [chain])), hetero=True)
+    if slices:
+        out = residue_slices(out, slices)
+        taken.append("slices " + ",".join(f"{lo}-{hi}" for lo, hi in slices))
+    out = tidy(out)
+    taken.append("tidy")
+    if rename is not None:
+        # chain breaks have a chain too
+        out = out.withColumn("chain", F.when(F.col("chain") == chain, F.lit(rename)).otherwise(F.col("chain")))
+        taken.append(f"rename {rename}")
+    return out.withColumn("prep_steps", F.array(*map(F.lit, taken))) if steps else out
 
 
 def chain_list(df: DataFrame) -> DataFrame:

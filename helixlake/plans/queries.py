@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_clusters, q_hierarchy, q_interact, q_layout, q_more, q_records, q_rows, q_space  # noqa: F401
+from . import q_clusters, q_hierarchy, q_interact, q_layout, q_more, q_parts, q_records, q_rows, q_space  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
