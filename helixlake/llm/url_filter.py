@@ -9,6 +9,7 @@ plan, and one map-only pass after the count (``filter_urls``). A table of rules
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -73,6 +74,11 @@ def url_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z]+"), F.lit(0)))
 
 
+def _literal(value: object, kind: str) -> Column:
+    """A list or map as one literal, which the planner folds: hundreds of single ones would cost it seconds."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _ranked(rules: tuple[UrlRule, ...]) -> tuple[UrlRule, ...]:
     """Explicit rules after the method's own, longer after shorter: the last one that fits wins."""
     return tuple(sorted(rules, key=lambda r: (r.explicit, r.size, r.name)))
@@ -89,25 +95,25 @@ def filter_urls(df: DataFrame, rules: tuple[UrlRule, ...], url_col: str = "url",
     host, path = url_parts(F.col(url_col))
     keys = sorted({t for r in rules for t in r.tokens})
     tokens = url_tokens(F.concat(host, path))
-    counts = df.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, keys)))).alias("t")).groupBy("t").count() if keys else None
+    counts = df.select(F.explode(F.array_intersect(tokens, _literal(keys, "array<string>"))).alias("t")).groupBy("t").count() if keys else None
     seen = {r["t"]: r["count"] for r in counts.collect()} if keys else {}  # one row a rule token at most
     index: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
         index.setdefault(min(r.tokens, key=lambda t: (seen.get(t, 0), t)) if r.tokens else "", []).append(i)
     u, c, best = unused(df, "url_parts"), unused(df, "url_rules"), unused(df, "url_best")
     bare = index.pop("", [])
-    named = lambda i: F.struct(F.lit(i).alias("i"), F.lit(rules[i].pattern).alias("pattern"))
-    fetch = F.array(*map(named, bare)) if bare else F.expr("cast(array() as array<struct<i:int,pattern:string>>)")
+    named = lambda own: [{"i": i, "pattern": rules[i].pattern} for i in own]
+    fetch = _literal(named(bare), "array<struct<i:int,pattern:string>>")
     if index:
-        filed = F.create_map(*(x for t, own in sorted(index.items()) for x in (F.lit(t), F.array(*map(named, own)))))
-        hit = F.array_intersect(F.col(u)["tokens"], F.array(*map(F.lit, sorted(index))))
+        filed = _literal({t: named(own) for t, own in sorted(index.items())}, "map<string,array<struct<i:int,pattern:string>>>")
+        hit = F.array_intersect(F.col(u)["tokens"], _literal(sorted(index), "array<string>"))
         fetch = F.concat(fetch, F.flatten(F.transform(hit, lambda t: filed[t])))
     out = df.withColumn(u, F.struct(host.alias("host"), path.alias("path"), tokens.alias("tokens")))
     out = out.withColumn(c, fetch)
     full = F.concat(F.col(u)["host"], F.col(u)["path"])
     fits = F.array_max(F.transform(F.filter(F.col(c), lambda x: F.call_function("rlike", full, x["pattern"])), lambda x: x["i"]))
     out = out.withColumn(best, F.coalesce(fits, F.lit(-1)))
-    pick = lambda f: F.element_at(F.array(F.lit(None).cast("string"), *(F.lit(f(r)).cast("string") for r in rules)), F.col(best) + 2)
+    pick = lambda f: F.element_at(_literal([None, *map(f, rules)], "array<string>"), F.col(best) + 2)
     cols = {"host": F.col(u)["host"], "path": F.col(u)["path"], "rule": pick(lambda r: r.name if r.explicit else None), "verdict": F.coalesce(pick(lambda r: r.verdict), F.lit(default)), "pattern": pick(lambda r: None if r.explicit else r.name)}
     return out.withColumns(cols).drop(u, c, best)
 
