@@ -6,8 +6,7 @@ document that straddles a block boundary is stitched by a prefix scan over the b
 of the last separator seen, and the last document header seen, up to the block before.
 
 ``write_token_files`` writes such files from texts through Spark's own writer, so that they land where the cluster's
-file system is. ``END`` is an id above the vocabulary whose two bytes are valid text, as the writer needs for its record
-end. Five leading ids of 13 bits each carry the document's id; they are no tokens and aren't counted. Texts are written by
+file system is. ``END`` is an id above the vocabulary whose two bytes are valid text, as the writer needs for its record end. Five leading ids of 13 bits each carry the document's id; they are no tokens and aren't counted. Texts are written by
 classes of size, the longer ones fewer to a file, so that a file stays under FILE_BYTES unless one text alone is larger. A
 file is read whole by a task; one over 2 GB, which Spark's reader doesn't take, must be cut before.
 """
@@ -18,7 +17,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,9 +27,8 @@ from .common import byte_bpe, default_vocab, scratch_dir, table
 END = 0xC480
 HEADER = 5
 BLOCK_TOKENS = 1 << 20
-#: Bytes of a file at most, and the longest text (in bytes, of which each may be a token of two) of each class but the last.
-FILE_BYTES = 160_000_000
-CLASSES = (8_000, 64_000, 1_000_000)
+#: Bytes of a record, about, and records of a file at most.
+RECORD_BYTES, FILE_RECORDS = 16_000_000, 10
 
 _SHIFTS = np.arange(4, -1, -1, dtype=np.uint64) * np.uint64(13)
 
@@ -49,25 +46,30 @@ def id_of(head: np.ndarray) -> int | None:
     return None if not z else (lambda v: (v >> 1) ^ -(v & 1))(z - 1)
 
 
-def write_token_files(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES, classes: tuple[int, ...] = CLASSES) -> None:
-    """Encodes every whole text (null: no tokens) and writes flat token files in folders of ``path``, without a shuffle.
-    Null and repeated ids and repeated rows are written as they are; an empty table gives no documents."""
+def write_token_files(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id", text_col: str = "text", record_bytes: int = RECORD_BYTES, file_records: int = FILE_RECORDS) -> None:
+    """Encodes every whole text (null: no tokens) and writes flat token files in ``path``, in one scan without a shuffle. Null and
+    repeated ids and repeated rows are written as they are; an empty table gives no documents."""
 
-    @F.pandas_udf("binary")
-    def encoded(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocab)
-        for ids, texts in parts:
-            if bpe.n_vocab > END:
-                raise ValueError(f"the vocabulary has ids from {END} on")
-            yield pd.Series([header_of(None if pd.isna(i) else int(i)).tobytes() + np.array(bpe.encode(t, allowed_special="all") if t else [], dtype=">u2").tobytes() for i, t in zip(ids, texts, strict=True)], dtype=object)
-
-    # the id goes as text: pandas would make a float of a column with a null
-    size = F.coalesce(F.octet_length(text_col), F.lit(0))
-    for k, (low, high) in enumerate(zip((-1, *classes), (*classes, None), strict=True)):
-        part = docs.where((size > low) & (F.lit(True) if high is None else size <= high))
-        rows = part.select(encoded(F.col(id_col).cast("string"), F.col(text_col)).cast("string").alias("value"))
-        n = 1 if high is None else max(1, file_bytes // (2 * (high + HEADER + 1)))
-        rows.write.option("lineSep", chr(0x100)).option("maxRecordsPerFile", n).text(f"{path}/class-{k}")
+        if bpe.n_vocab > END:
+            raise ValueError(f"the vocabulary has ids from {END} on")
+        end = np.array([END], ">u2").tobytes()  # the writer ends a record with it, too
+        record = lambda parts: pa.RecordBatch.from_arrays([pa.array([end.join(parts)], pa.binary())], ["value"])
+        held, size = [], 0
+        for batch in batches:
+            for i, t in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                one = header_of(i).tobytes() + np.array(bpe.encode(t, allowed_special="all") if t else [], dtype=">u2").tobytes()
+                if held and size + len(one) > record_bytes:
+                    yield record(held)
+                    held, size = [], 0
+                held.append(one)
+                size += len(one) + len(end)
+        if held:
+            yield record(held)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encoded, "value binary")
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", chr(0x100)).option("maxRecordsPerFile", file_records).text(path)
 
 
 _BLOCK = T.StructType([T.StructField("path", T.StringType()), T.StructField("block", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("last_end", T.LongType()), T.StructField("last_id", T.LongType()), T.StructField("has_start", T.BooleanType()), T.StructField("size", T.LongType())])

@@ -467,7 +467,7 @@ def test_packing_salts_hot_lengths_and_takes_nothing(spark, none, monkeypatch):
 def test_token_counts_equal_the_tokenizers_library(spark, docs, none, tokenizer, tmp_path):
     for name, df in (("docs", docs), ("none", none)):
         path = f"file://{tmp_path}/{name}"
-        token_counts.write_token_files(df, path, common.default_vocab(), file_bytes=100_000, classes=(100, 1_000))
+        token_counts.write_token_files(df, path, common.default_vocab(), record_bytes=2_000, file_records=3)
         for block in (3, 64, 1 << 20):
             got = sorted(str((r.doc_id, r.n_tokens)) for r in token_counts.count_tokens(spark, path, block_tokens=block).collect())
             assert got == (sorted(str((d, len(tokenizer.encode(t or "", add_special_tokens=False).ids))) for d, t in corpus()) if name == "docs" else [])
