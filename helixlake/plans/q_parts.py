@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import filters as P
+from ..operators import geometry as G
 from ..operators import hierarchy as H
 from ..operators import interact as I
 from ..operators import records as R
@@ -169,3 +170,33 @@ def ag8b(a):
         one = s.select(F.lit(order).alias("residue_order"), "cath_domain", F.array_join("residues", ",").alias("residues"), "sequence", r6(add(ca)).alias("x"), F.size(ca).cast("long").alias("n_ca"), r6(add(b)).alias("bfactor"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_SQUARE = sum(((F.col(c) - 132.0) ** 2 for c in "xyz"), F.lit(0.0))
+
+
+@plain("GE5b_rotations_keep_shape", """
+SELECT cath_domain, k AS rotation, count(*) AS n, true AS same_norms, true AS proper, true AS turned FROM atoms, range(2) r(k) GROUP BY ALL""", "atoms")
+def ge5b(a):
+    """What a rotation must keep: the mean square from the centre of each structure, and the sense of its axes."""
+    turns = G.random_rotations(a.select("cath_domain").distinct(), 2)
+    still = G.rotate_each(a.select("cath_domain", "x", "y", "z"), turns.select("cath_domain", "rotation", *(F.lit(float(i == j)).alias(f"m{i}{j}") for i in range(3) for j in range(3))))
+    moved = G.rotate_each(a.select("cath_domain", "x", "y", "z"), turns)
+    mean = lambda df, n: df.groupBy("cath_domain", "rotation").agg(F.count("*").alias("n"), F.avg(_SQUARE).alias(n))
+    m = [[F.col(f"m{i}{j}") for j in range(3)] for i in range(3)]
+    det = m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
+    out = mean(moved, "after").join(mean(still, "before").drop("n"), ["cath_domain", "rotation"]).join(turns, ["cath_domain", "rotation"])
+    return out.select("cath_domain", F.col("rotation").cast("long").alias("rotation"), "n", (F.abs(F.col("after") - F.col("before")) < 1e-2).alias("same_norms"), (F.abs(det - 1) < 1e-6).alias("proper"), (F.abs(m[0][0] + m[1][1] + m[2][2] - 3) > 1e-6).alias("turned"))
+
+
+@plain("GE7c_axes_properties", """
+SELECT cath_domain, count(*) AS n, true AS same_variance, true AS longest_first, true AS uncorrelated FROM atoms GROUP BY cath_domain""", "atoms")
+def ge7c(a):
+    """What principal axes must do: the variances fall from axis to axis, add up to those before, and axes are uncorrelated."""
+    turned = G.rotate_each(a.select("cath_domain", "x", "y", "z"), G.principal_axes(a), 0.0)
+    after = turned.groupBy("cath_domain").agg(F.count("*").alias("n"), *(F.var_pop(c).alias(f"v{c}") for c in "xyz"), *(F.covar_pop(p, q).alias(f"c{p}{q}") for p, q in ("xy", "xz", "yz")))
+    before = a.groupBy("cath_domain").agg(sum((F.var_pop(c) for c in "xyz"), F.lit(0.0)).alias("total"))
+    near = lambda x, y: F.abs(x - y) < 1e-2
+    falling = (F.col("vx") >= F.col("vy") - 1e-2) & (F.col("vy") >= F.col("vz") - 1e-2)
+    apart = near(F.col("cxy"), F.lit(0.0)) & near(F.col("cxz"), F.lit(0.0)) & near(F.col("cyz"), F.lit(0.0))
+    return after.join(before, "cath_domain").select("cath_domain", "n", near(F.col("vx") + F.col("vy") + F.col("vz"), F.col("total")).alias("same_variance"), falling.alias("longest_first"), apart.alias("uncorrelated"))
