@@ -244,3 +244,56 @@ def natural_key(text: str) -> Column:
     tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     value = F.regexp_extract(F.col(text).cast("string"), number, 1).cast("double")
     return F.when(F.size(parts) == 2, F.struct(tidy(parts[0]).alias("prefix"), value.alias("number"), tidy(parts[1]).alias("suffix")))
+
+
+def attach_domains(domains: DataFrame, nodes: DataFrame | None = None, code: str = "cath_code", length: str = "domain_length") -> DataFrame:
+    """For each family how many domains it has, and the shortest and longest; with ``nodes``, also families without any."""
+    found = domains.groupBy(code).agg(F.count("*").alias("n"), F.min(length).alias("shortest"), F.max(length).alias("longest"))
+    return found if nodes is None else nodes.join(found, code, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def top_families(df: DataFrame, k: int = 300, code: str = "cath_code") -> DataFrame:
+    """The ``k`` families of most rows, by name where they are alike."""
+    return df.groupBy(code).agg(F.count("*").alias("n")).orderBy(F.desc("n"), code).limit(k)
+
+
+def concatenate(parts: dict[str, DataFrame], name: str = "part") -> DataFrame:
+    """Datasets one after the other, each row with the name of its own; columns that one lacks are null there."""
+    if not parts:
+        raise ValueError("nothing to concatenate")
+    out = None
+    for n, df in parts.items():
+        one = df.withColumn(name, F.lit(n))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def common_keys(requested: DataFrame, existing: DataFrame, key: str = "cath_domain") -> DataFrame:
+    """The different keys that both tables have; null is no key."""
+    return requested.select(key).where(F.col(key).isNotNull()).intersect(existing.select(key))
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: keys that only the left or only the right has (nulls are equal), and whether there are none."""
+    one = lambda df, n: df.select(*keys).distinct().withColumn("side", F.lit(n))
+    both = one(left, "l").unionByName(one(right, "r")).groupBy(*keys).agg(F.count("*").alias("n"), F.min("side").alias("side"))
+    alone = lambda n: F.count_if((F.col("n") == 1) & (F.col("side") == n))
+    return both.agg(alone("l").alias("only_left"), alone("r").alias("only_right")).withColumn("same", F.col("only_left") + F.col("only_right") == 0)
+
+
+def drop_negatives(df: DataFrame, truth: Column) -> DataFrame:
+    """The rows that are true; an unknown truth is none."""
+    return df.where(F.coalesce(truth, F.lit(False)))
+
+
+def search_union(df: DataFrame, searches: list[Column], key: str = "cath_domain") -> DataFrame:
+    """The different keys that any of the searches finds, in one scan."""
+    found = F.lit(False)
+    for s in searches:
+        found = found | F.coalesce(s, F.lit(False))
+    return df.where(found).select(key).distinct()
+
+
+def places(df: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """Adds the place of each row in its group, from 1, by an order; groups are as large as a task may sort."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -247,3 +247,29 @@ def payload_state(df: DataFrame, col: str) -> DataFrame:
     keys = F.json_object_keys(F.get_json_object(c, "$[0]"))
     lone = (F.size(keys) == 1) & (F.get(keys, F.lit(0)) == "uid")
     return df.withColumn("state", F.when(c.rlike(r"(?i)^\s*<"), "html").when(c.contains("Too many submissions"), "busy").when(F.coalesce(lone, F.lit(False)), "hollow").when(F.try_parse_json(c).isNull(), "broken").otherwise("ok"))
+
+
+def cluster_metrics(df: DataFrame, by: list[str], source: str, family: str) -> DataFrame:
+    """For each set of parameters how many different (source, family) it gives, and how many families."""
+    return df.groupBy(*by).agg(F.count_distinct(source, family).alias("n_pairs"), F.count_distinct(family).alias("n_families"))
+
+
+def distinct_residues(sites: DataFrame, by: str = "pdb", first: str = "first_res", second: str = "second_res", separator: str | None = None) -> DataFrame:
+    """How many different residues each side of an annotated site has; with a separator the sides are lists in a text."""
+    one = lambda c, n: (sites.select(by, F.explode(F.split(c, separator)).alias("r")).where(F.trim("r") != "") if separator else sites.select(by, F.col(c).alias("r"))).groupBy(by).agg(F.count_distinct("r").alias(n))
+    if not separator:
+        return sites.groupBy(by).agg(F.count_distinct(first).alias("n_first"), F.count_distinct(second).alias("n_second"))
+    return sites.select(by).distinct().join(one(first, "n_first"), by, "left").join(one(second, "n_second"), by, "left").na.fill(0, ["n_first", "n_second"])
+
+
+def neighbour_lists(contacts: DataFrame, by: str = "pdb", first: str = "first_res", second: str = "second_res") -> DataFrame:
+    """For each residue of an interface the residues that it meets, whichever side it is on: by, res, neighbours (sorted). A
+    residue's neighbours are as many as fit round it."""
+    both = contacts.select(by, F.col(first).alias("res"), F.col(second).alias("other")).union(contacts.select(by, second, first)).distinct()
+    return both.groupBy(by, "res").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
+
+
+def bio_interfaces(df: DataFrame, kind: str, value: str = "bio", region: str | None = None) -> DataFrame:
+    """Interfaces of a kind; with ``region`` only residues of a region of 0 or more (the core and its rim)."""
+    own = df.where(F.col(kind) == value)
+    return own.where(F.col(region) >= 0) if region else own

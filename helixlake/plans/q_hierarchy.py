@@ -40,7 +40,7 @@ def hi1(d):
 
 @plain("HI2_attach_domains", "SELECT cath_code, count(*) AS n, min(domain_length) AS shortest, max(domain_length) AS longest FROM domains GROUP BY ALL", "domains")
 def hi2(d):
-    return d.groupBy("cath_code").agg(F.count("*").alias("n"), F.min("domain_length").alias("shortest"), F.max("domain_length").alias("longest"))
+    return H.attach_domains(d)
 
 
 @plain("HI3_expand_codes", f"WITH {_NODES} SELECT cath_code, level FROM nodes WHERE level = 4 AND starts_with(cath_code || '.', '2.') AND NOT starts_with(cath_code || '.', '2.2.')", "domains")
@@ -153,12 +153,12 @@ def w7(d):
 
 @plain("TK1_top_families", "SELECT cath_code, count(*) AS n FROM domains GROUP BY ALL ORDER BY n DESC, cath_code LIMIT 300", "domains")
 def tk1(d):
-    return d.groupBy("cath_code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cath_code").limit(300)
+    return H.top_families(d)
 
 
 @plain("SO1_concatenate", "SELECT cath_domain, 'a' AS part FROM domains WHERE c = 1 UNION ALL SELECT cath_domain, 'b' FROM domains WHERE c = 2", "domains")
 def so1(d):
-    return d.where("c = 1").select("cath_domain", F.lit("a").alias("part")).unionByName(d.where("c = 2").select("cath_domain", F.lit("b").alias("part")))
+    return H.concatenate({"a": d.where("c = 1").select("cath_domain"), "b": d.where("c = 2").select("cath_domain")})
 
 
 @plain("SO2_remaining_work", "SELECT cath_domain FROM domains EXCEPT SELECT cath_domain FROM domains WHERE i > 10", "domains")
@@ -168,7 +168,7 @@ def so2(d):
 
 @plain("SO3_common_keys", "SELECT cath_domain FROM domains WHERE i > 10 INTERSECT SELECT cath_domain FROM domains WHERE l < 6", "domains")
 def so3(d):
-    return d.where("i > 10").select("cath_domain").intersect(d.where("l < 6").select("cath_domain"))
+    return H.common_keys(d.where("i > 10"), d.where("l < 6"))
 
 
 @plain("SO4_undersample", "WITH m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM domains GROUP BY c)) SELECT cath_domain, c FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY md5(concat(cath_domain, ':0')), cath_domain) AS k FROM domains), m WHERE k <= m", "domains")
@@ -183,12 +183,12 @@ def so4b(d):
 
 @plain("SO5_drop_negatives", "SELECT cath_domain, domain_length FROM domains WHERE domain_length > 100000", "domains")
 def so5(d):
-    return d.where("domain_length > 100000").select("cath_domain", "domain_length")
+    return H.drop_negatives(d, F.col("domain_length") > 100000).select("cath_domain", "domain_length")
 
 
 @plain("SO6_search_union", "SELECT DISTINCT cath_domain FROM domains WHERE s = 3 OR (c = 1 AND a = 4) OR cath_code = '2.2.1.1'", "domains")
 def so6(d):
-    return d.where("s = 3").select("cath_domain").union(d.where("c = 1 and a = 4").select("cath_domain")).union(d.where("cath_code = '2.2.1.1'").select("cath_domain")).distinct()
+    return H.search_union(d, [F.expr("s = 3"), F.expr("c = 1 and a = 4"), F.expr("cath_code = '2.2.1.1'")])
 
 
 @plain("ST1_natural_sort_key", "SELECT cath_domain, CAST(string_split(cath_code, '.')[2] AS INT) AS number, string_split(cath_code, '.')[1] AS prefix FROM domains", "domains")
@@ -198,9 +198,7 @@ def st1(d):
 
 @plain("ST2_sort_rank", "SELECT cath_domain, CAST(row_number() OVER (PARTITION BY cath_code ORDER BY domain_length, cath_domain) AS INT) AS place FROM domains", "domains")
 def st2(d):
-    from pyspark.sql import Window
-
-    return d.select("cath_domain", F.row_number().over(Window.partitionBy("cath_code").orderBy("domain_length", "cath_domain")).alias("place"))
+    return H.places(d, ["cath_code"], ["domain_length", "cath_domain"]).select("cath_domain", "place")
 
 
 _LINE = "concat_ws('  ', cath_domain, c, a, t, h, s, o, l, i, 1, domain_length, '1.500')"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import filters as P
 from ..operators import interact as I
 from .q_rows import ONE, plain
 from .registry import digest, digest_sql, query, r6
@@ -106,12 +107,12 @@ def ag17(c):
 
 @plain("AG19_cluster_metrics", "SELECT first_chain, count(DISTINCT (first_res, second_res)) AS n_pairs, count(DISTINCT second_res) AS n_families FROM contacts GROUP BY ALL", "contacts")
 def ag19(c):
-    return c.groupBy("first_chain").agg(F.count_distinct("first_res", "second_res").alias("n_pairs"), F.count_distinct("second_res").alias("n_families"))
+    return I.cluster_metrics(c, ["first_chain"], "first_res", "second_res")
 
 
 @plain("AG22_distinct_residues", "SELECT pdb, count(DISTINCT first_res) AS n_first, count(DISTINCT second_res) AS n_second FROM contacts GROUP BY ALL", "contacts")
 def ag22(c):
-    return c.groupBy("pdb").agg(F.count_distinct("first_res").alias("n_first"), F.count_distinct("second_res").alias("n_second"))
+    return I.distinct_residues(c)
 
 
 @plain("AG23_site_sequences", f"WITH s AS (SELECT cath_domain, chain, string_agg({ONE}, '' ORDER BY serial_number) AS sequence FROM atoms WHERE atom_name = 'CA' GROUP BY ALL) SELECT * FROM s", "atoms")
@@ -152,8 +153,7 @@ def ag21(c):
 
 @plain("CL8_neighbour_lists", "WITH b AS (SELECT pdb, first_res AS res, second_res AS other FROM contacts UNION SELECT pdb, second_res, first_res FROM contacts) SELECT pdb, res, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS neighbours FROM b GROUP BY ALL", "contacts")
 def cl8(c):
-    b = c.select("pdb", F.col("first_res").alias("res"), F.col("second_res").alias("other")).union(c.select("pdb", "second_res", "first_res")).distinct()
-    return b.groupBy("pdb", "res").agg(F.array_join(F.array_sort(F.collect_set("other")).cast("array<string>"), ",").alias("neighbours"))
+    return I.neighbour_lists(c).withColumn("neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))
 
 
 @plain("J6_features_by_key", "WITH f AS (SELECT cath_domain, serial_number, charge * 2 AS charge2 FROM atoms WHERE element <> 'F') SELECT cath_domain, serial_number, x, charge2 FROM atoms JOIN f USING (cath_domain, serial_number)", "atoms")
@@ -164,7 +164,7 @@ def j6(a):
 
 @plain("J22_features_of_residues", "SELECT cath_domain, serial_number, residue_id FROM atoms SEMI JOIN (SELECT DISTINCT cath_domain, residue_id FROM atoms WHERE bfactor > 104) USING (cath_domain, residue_id)", "atoms")
 def j22(a):
-    return a.join(a.where("bfactor > 104").select("cath_domain", "residue_id"), ["cath_domain", "residue_id"], "left_semi").select("cath_domain", "serial_number", "residue_id")
+    return P.unfold_residues(a, a.where("bfactor > 104")).select("cath_domain", "serial_number", "residue_id")
 
 
 @query("JS1_interfaces", (), "SELECT event_id, CAST(user_id AS INT) AS interface_id, event_type AS chain1, 'B' AS chain2, CASE WHEN value > 50 THEN 'bio' ELSE 'xtal' END AS interface_type FROM events")

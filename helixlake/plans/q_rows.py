@@ -9,6 +9,7 @@ from ..operators import aggregates as A
 from ..operators import features as X
 from ..operators import filters as P
 from ..operators import hierarchy as H
+from ..operators import interact as I
 from .registry import on, query, r6
 
 
@@ -85,7 +86,7 @@ def pf9(d):
 
 @plain("PF10_bio_interfaces", "SELECT pdb, interface_id, first_res, second_res, score FROM contacts WHERE first_chain = 'A' AND score >= 0", "contacts")
 def pf10(c):
-    return c.where("first_chain = 'A' and score >= 0").select("pdb", "interface_id", "first_res", "second_res", "score")
+    return I.bio_interfaces(c, "first_chain", "A", "score").select("pdb", "interface_id", "first_res", "second_res", "score")
 
 
 @plain("PF11_drop_obsolete", "SELECT pdb, first_res, second_res FROM contacts WHERE pdb NOT IN (SELECT cath_domain FROM domains WHERE c = 0)", "contacts", "domains")
