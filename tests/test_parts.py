@@ -111,3 +111,25 @@ def test_ordered_samples(spark):
     assert other.residues == ["10", "10A", "9"] and other.sequence == "AGW" and other.features[2] == [1.5]
     with pytest.raises(ValueError):
         aggregates.ordered_samples(df, ["bfactor"], order="random")
+
+
+def test_datasets_and_keys(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "k long, v string"), spark.createDataFrame([(2, 5), (None, 6)], "k long, w long")
+    rows = {(r.part, r.k, r.v, r.w) for r in hierarchy.concatenate({"a": a, "b": b}).collect()}
+    assert rows == {("a", 1, "x", None), ("a", 2, None, None), ("b", 2, None, 5), ("b", None, None, 6)}
+    assert [r.k for r in hierarchy.common_keys(a, b, "k").collect()] == [2]
+    one = hierarchy.same_keys(a, b, ["k"]).first()
+    assert (one.only_left, one.only_right, one.same) == (1, 1, False) and hierarchy.same_keys(b, b.unionAll(b), ["k"]).first().same
+    assert [r.k for r in hierarchy.search_union(a, [F.col("v") == "x", F.col("k") == 1], "k").collect()] == [1]
+    assert hierarchy.drop_negatives(a, F.col("v") == "x").count() == 1
+    with pytest.raises(ValueError):
+        hierarchy.concatenate({})
+
+
+def test_sites_and_neighbours(spark):
+    c = spark.createDataFrame([("p", 1, 2), ("p", 1, 3), ("p", 3, 1)], "pdb string, first_res long, second_res long")
+    assert {r.res: r.neighbours for r in interact.neighbour_lists(c).collect()} == {1: [2, 3], 2: [1], 3: [1]}
+    listed = spark.createDataFrame([("p", "1,2,", "7"), ("p", "2, 3", None), ("q", "", "")], "pdb string, first_res string, second_res string")
+    assert {r.pdb: (r.n_first, r.n_second) for r in interact.distinct_residues(listed.withColumn("first_res", F.replace("first_res", F.lit(" "), F.lit(""))), separator=",").collect()} == {"p": (3, 1), "q": (0, 0)}
+    kinds = spark.createDataFrame([("bio", 1), ("bio", -1), ("xtal", 3)], "kind string, region long")
+    assert interact.bio_interfaces(kinds, "kind").count() == 2 and interact.bio_interfaces(kinds, "kind", region="region").count() == 1
