@@ -66,15 +66,17 @@ def interface_contacts(atoms: DataFrame, radius: float = 5.5, by: str = "cath_do
 
 
 def lattice_points(points: DataFrame, radius: str | float = "vdw_radii", spacing: float = 1.0) -> DataFrame:
-    """Each lattice point within a point's radius, as vx, vy, vz: sequences along the axes, then the sphere."""
+    """Each lattice point within a point's radius, as vx, vy, vz: a sequence along each axis, as long as the sphere is wide at
+    the places on the axes before; the last condition decides what lies on its surface."""
     r = F.col(radius) if isinstance(radius, str) else F.lit(float(radius))
     out = points
+    off = lambda c: (F.col(f"v{c}") * spacing - F.col(c)) ** 2
+    left = r * r
     for c in XYZ:
-        out = out.withColumn(f"v{c}", F.explode(F.sequence(F.ceil((F.col(c) - r) / spacing), F.floor((F.col(c) + r) / spacing))))
-        if c != "z":  # what lies outside already goes before the next axis
-            used = XYZ[: XYZ.index(c) + 1]
-            out = out.where(sum(((F.col(f"v{k}") * spacing - F.col(k)) ** 2 for k in used), F.lit(0.0)) <= r * r)
-    return out.where(sum(((F.col(f"v{k}") * spacing - F.col(k)) ** 2 for k in XYZ), F.lit(0.0)) <= r * r)
+        half = F.sqrt(F.greatest(F.lit(0.0), left)) + 1e-9
+        out = out.withColumn(f"v{c}", F.explode(F.sequence(F.ceil((F.col(c) - half) / spacing), F.floor((F.col(c) + half) / spacing))))
+        left = left - off(c)
+    return out.where(off("x") + off("y") + off("z") <= r * r)
 
 
 def nearest_point(points: DataFrame, spacing: float = 1.0) -> DataFrame:

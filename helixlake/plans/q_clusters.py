@@ -21,7 +21,10 @@ from .q_rows import ONE, plain
 from .registry import NUDGE, digest, digest_sql, query, r6
 from .views import tables
 
-_DOT = "round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda k: CAST(a.embedding[k] AS DOUBLE) * CAST(b.embedding[k] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) ** 2))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) ** 2)))), 6)"
+_DOT = """
+round(list_sum(list_transform(range(1, len(a.embedding) + 1),
+  lambda k: CAST(a.embedding[k] AS DOUBLE) * CAST(b.embedding[k] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.embedding,
+  lambda x: CAST(x AS DOUBLE) ** 2))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) ** 2)))), 6)"""
 _PAIRS = f"p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, {_DOT} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"
 
 
@@ -43,9 +46,19 @@ def cl2(spark, sf):
     return K.single_linkage(tables(spark, sf)["embeddings"], "vec_id", "label", least=0.9 - 5e-7 - NUDGE)
 
 
-_GRAMS = "d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE length(trim(text)) > 0 AND doc_id IS NOT NULL), s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d)), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL), x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL), j AS (SELECT a, b, k / (p.n + q.n - k) AS score FROM x JOIN z p ON p.doc_id = a JOIN z q ON q.doc_id = b), m AS (SELECT z.doc_id, coalesce(min(j.a), z.doc_id) AS representative FROM z LEFT JOIN j ON j.b = z.doc_id AND score = 1 GROUP BY z.doc_id), c AS (SELECT a, b, score FROM j WHERE score < 1 AND a IN (SELECT representative FROM m) AND b IN (SELECT representative FROM m))"
+_GRAMS = """
+d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE length(trim(text)) > 0 AND doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+j AS (SELECT a, b, k / (p.n + q.n - k) AS score FROM x JOIN z p ON p.doc_id = a JOIN z q ON q.doc_id = b),
+m AS (SELECT z.doc_id, coalesce(min(j.a), z.doc_id) AS representative FROM z LEFT JOIN j ON j.b = z.doc_id AND score = 1 GROUP BY z.doc_id),
+c AS (SELECT a, b, score FROM j WHERE score < 1 AND a IN (SELECT representative FROM m) AND b IN (SELECT representative FROM m))"""
 _LEVELS = (100, 95, 60, 35)
-_REACHED = ", ".join(f"r{v} AS (SELECT representative AS a, representative AS b FROM m UNION SELECT r{v}.a, e.b FROM r{v} JOIN (SELECT a, b FROM c WHERE score >= {v / 100} UNION ALL SELECT b, a FROM c WHERE score >= {v / 100}) e ON r{v}.b = e.a)" for v in _LEVELS[1:])
+_REACHED = ", ".join(f"""
+r{v} AS (SELECT representative AS a, representative AS b FROM m
+UNION SELECT r{v}.a, e.b FROM r{v} JOIN (SELECT a, b FROM c WHERE score >= {v / 100}
+UNION ALL SELECT b, a FROM c WHERE score >= {v / 100}) e ON r{v}.b = e.a)""" for v in _LEVELS[1:])
 
 
 @query("CL3_kmer_pairs", (), f"WITH {_GRAMS} SELECT a, b, round(score, 6) AS score FROM c WHERE score >= 0.8 UNION ALL SELECT representative, doc_id, 1.0::DOUBLE FROM m WHERE doc_id <> representative")
@@ -53,7 +66,10 @@ def cl3(spark, sf):
     return C.kmer_pairs(tables(spark, sf)["documents"].where("text is not null"), "doc_id", "text").withColumn("score", r6("score"))
 
 
-@query("CL3_kmer_clusters", (), f"WITH RECURSIVE {_GRAMS}, {_REACHED} SELECT d.doc_id, coalesce(m.representative, d.doc_id) AS representative, coalesce(m.representative, d.doc_id) AS cluster_100, {', '.join(f'coalesce(k{v}.b, d.doc_id) AS cluster_{v}' for v in _LEVELS[1:])} FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN m USING (doc_id) {' '.join(f'LEFT JOIN (SELECT a, min(b) AS b FROM r{v} GROUP BY a) k{v} ON k{v}.a = m.representative' for v in _LEVELS[1:])}")
+@query("CL3_kmer_clusters", (), f"""
+WITH RECURSIVE {_GRAMS}, {_REACHED} SELECT d.doc_id, coalesce(m.representative, d.doc_id) AS representative, coalesce(m.representative, d.doc_id) AS cluster_100,
+  {', '.join(f'coalesce(k{v}.b, d.doc_id) AS cluster_{v}' for v in _LEVELS[1:])} FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT
+  JOIN m USING (doc_id) {' '.join(f'LEFT JOIN (SELECT a, min(b) AS b FROM r{v} GROUP BY a) k{v} ON k{v}.a = m.representative' for v in _LEVELS[1:])}""")
 def cl3_clusters(spark, sf):
     return C.kmer_clusters(tables(spark, sf)["documents"], "doc_id", "text")
 
@@ -115,7 +131,7 @@ def ag20(spark, sf):
 
 #: Means of unrounded cosines of each vector with the others of its label.
 _MEANS = f"""
-p AS (SELECT a.label, a.vec_id AS a, avg(1 - {_DOT.removeprefix("round(").removesuffix(", 6)")}) AS distance
+p AS (SELECT a.label, a.vec_id AS a, avg(1 - {_DOT.strip().removeprefix("round(").removesuffix(", 6)")}) AS distance
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL),
 d AS (SELECT label, a, round(distance, 6) AS distance FROM p),
 n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY ALL)"""
@@ -148,8 +164,15 @@ def cl1c(spark, sf):
     return C.one_against_one(e, "vec_id", e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))).withColumn("score", r6("score"))
 
 
-_CENTRES = "c AS (SELECT cath_domain, residue_id, avg(x) AS x, avg(y) AS y, avg(z) AS z, arg_min(x, serial_number) FILTER (atom_name = 'O') AS ox, arg_min(y, serial_number) FILTER (atom_name = 'O') AS oy, arg_min(z, serial_number) FILTER (atom_name = 'O') AS oz, arg_min(x, serial_number) FILTER (atom_name = 'N') AS nx, arg_min(y, serial_number) FILTER (atom_name = 'N') AS ny, arg_min(z, serial_number) FILTER (atom_name = 'N') AS nz FROM atoms GROUP BY ALL)"
-_EDGES = _CENTRES + ", p AS (SELECT a.cath_domain, a.residue_id AS src, b.residue_id AS dst, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, a.ox AS aox, a.oy AS aoy, a.oz AS aoz, a.nx AS anx, a.ny AS any_, a.nz AS anz, b.ox AS box, b.oy AS boy, b.oz AS boz, b.nx AS bnx, b.ny AS bny, b.nz AS bnz, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM c a JOIN c b ON a.cath_domain = b.cath_domain AND a.residue_id < b.residue_id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 12)"
+_CENTRES = """
+c AS (SELECT cath_domain, residue_id, avg(x) AS x, avg(y) AS y, avg(z) AS z, arg_min(x, serial_number) FILTER (atom_name = 'O') AS ox, arg_min(y,
+  serial_number) FILTER (atom_name = 'O') AS oy, arg_min(z, serial_number) FILTER (atom_name = 'O') AS oz, arg_min(x, serial_number) FILTER (atom_name = 'N') AS nx, arg_min(y,
+  serial_number) FILTER (atom_name = 'N') AS ny, arg_min(z, serial_number) FILTER (atom_name = 'N') AS nz FROM atoms GROUP BY ALL)"""
+_EDGES = _CENTRES + """
+, p AS (SELECT a.cath_domain, a.residue_id AS src, b.residue_id AS dst, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, a.ox AS aox, a.oy AS aoy, a.oz AS aoz,
+  a.nx AS anx, a.ny AS any_, a.nz AS anz, b.ox AS box, b.oy AS boy, b.oz AS boz, b.nx AS bnx, b.ny AS bny, b.nz AS bnz,
+  sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM c a JOIN c b ON a.cath_domain = b.cath_domain AND a.residue_id < b.residue_id
+  WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 12)"""
 
 
 def angle_sql(a: list[str], b: list[str]) -> str:
@@ -189,7 +212,10 @@ def cl5(a):
     return C.contact_graph(a, 12.0).select("cath_domain", "src", "dst", r6("distance").alias("distance"), r6("angle").alias("angle"))
 
 
-@plain("CL5b_edge_torsions", f"WITH {_EDGES}, {torsion_sql('p', [['aox', 'aoy', 'aoz'], _MID_A, _MID_B, ['box', 'boy', 'boz']], 'theta')} SELECT cath_domain, src, dst, round({angle_sql(['aox - anx', 'aoy - any_', 'aoz - anz'], ['box - bnx', 'boy - bny', 'boz - bnz'])}, 6) AS omega, round(sin(theta), 6) AS sin_theta, round(cos(theta), 6) AS cos_theta FROM theta_t", "atoms")
+@plain("CL5b_edge_torsions", f"""
+WITH {_EDGES}, {torsion_sql('p', [['aox', 'aoy', 'aoz'], _MID_A, _MID_B, ['box', 'boy', 'boz']], 'theta')}
+  SELECT cath_domain, src, dst, round({angle_sql(['aox - anx', 'aoy - any_', 'aoz - anz'], ['box - bnx', 'boy - bny', 'boz - bnz'])}, 6) AS omega, round(sin(theta), 6) AS sin_theta,
+  round(cos(theta), 6) AS cos_theta FROM theta_t""", "atoms")
 def cl5b(a):
     return C.contact_graph(a, 12.0).select("cath_domain", "src", "dst", r6("omega").alias("omega"), *turn("theta"))
 
@@ -197,7 +223,9 @@ def cl5b(a):
 _CROSS = ["ay * bz - az * by_", "az * bx - ax * bz", "ax * by_ - ay * bx"]
 
 
-@plain("CL6_edge_kernels", f"WITH {_EDGES} SELECT cath_domain, src, dst, round({angle_sql(_A, _B)}, 6) AS angle, round(exp(-(d ** 2) * 162), 6) AS distance, round({angle_sql(_CROSS, _A)}, 6) AS cross_angle, CAST(round({_CROSS[2]}, 6) > 0 AS INT) AS chirality FROM p", "atoms")
+@plain("CL6_edge_kernels", f"""
+WITH {_EDGES} SELECT cath_domain, src, dst, round({angle_sql(_A, _B)}, 6) AS angle, round(exp(-(d ** 2) * 162), 6) AS distance, round({angle_sql(_CROSS, _A)}, 6) AS cross_angle,
+  CAST(round({_CROSS[2]}, 6) > 0 AS INT) AS chirality FROM p""", "atoms")
 def cl6(a):
     return C.edge_kernels(a, 12.0).select("cath_domain", "src", "dst", r6("angle").alias("angle"), r6("distance").alias("distance"), r6("cross_angle").alias("cross_angle"), "chirality")
 
@@ -205,12 +233,21 @@ def cl6(a):
 _STATES = {"is_highly_frustrated": ("state", "highly"), "is_minimally_frustrated": ("state", "minimally"), "has_neutral_frustration": ("state", "neutral"), "is_water_mediated_welltype": ("well", "water-mediated"), "is_short_welltype": ("well", "short"), "is_long_welltype": ("well", "long")}
 
 
-@plain("J23_pair_annotations", f"WITH {_EDGES} SELECT p.cath_domain, src, dst, native_energy, decoy_energy, sd_energy, frustration_index, {', '.join(f"coalesce({c} = '{v}', false) AS {n}" for n, (c, v) in _STATES.items())} FROM p LEFT JOIN pair_energies e ON e.cath_domain = p.cath_domain AND e.res1 = src AND e.res2 = dst", "atoms", "pair_energies")
+@plain("J23_pair_annotations", f"""
+WITH {_EDGES} SELECT p.cath_domain, src, dst, native_energy, decoy_energy, sd_energy, frustration_index,
+  {', '.join(f"coalesce({c} = '{v}', false) AS {n}" for n, (c, v) in _STATES.items())} FROM p LEFT JOIN pair_energies e ON e.cath_domain = p.cath_domain AND e.res1 = src
+  AND e.res2 = dst""", "atoms", "pair_energies")
 def j23(a, pairs):
     return C.annotate_edges(C.contact_graph(a, 12.0).select("cath_domain", "src", "dst"), pairs)
 
 
-@plain("CL7_merge_tree", "WITH RECURSIVE e AS (SELECT DISTINCT cath_domain AS node FROM segments WHERE cath_domain > 0), k AS (SELECT node, CASE WHEN node % 3 = 0 THEN node // 3 ELSE -1 END AS kid FROM e UNION ALL SELECT node, -2 FROM e), r AS (SELECT node, kid FROM k UNION ALL SELECT r.node, k.kid FROM r JOIN k ON r.kid = k.node) SELECT node, count(*) FILTER (kid < 0) AS n_leaves FROM r GROUP BY node", "segments")
+@plain("CL7_merge_tree", """
+WITH RECURSIVE e AS (SELECT DISTINCT cath_domain AS node FROM segments WHERE cath_domain > 0),
+k AS (SELECT node, CASE WHEN node % 3 = 0 THEN node // 3 ELSE -1 END AS kid FROM e
+UNION ALL SELECT node, -2 FROM e),
+r AS (SELECT node, kid FROM k
+UNION ALL SELECT r.node, k.kid FROM r JOIN k ON r.kid = k.node)
+SELECT node, count(*) FILTER (kid < 0) AS n_leaves FROM r GROUP BY node""", "segments")
 def cl7(s):
     nodes = s.select(F.col("cath_domain").alias("node")).distinct()
     edges = nodes.select("node", F.when(F.col("node") % 3 == 0, F.expr("node div 3")).otherwise(F.lit(-1)).alias("left"), F.lit(-2).cast("long").alias("right")).where("node > 0")
@@ -221,17 +258,33 @@ _UNIT = "coalesce(({k} - {n}{k}) / nullif(sqrt((x - {n}x) * (x - {n}x) + (y - {n
 _BISECTOR = ", ".join(" + ".join(_UNIT.format(k=k, n=n) for n in "pn") + f" AS d{k}" for k in "xyz")
 
 
-@plain("CL9_half_sphere", f"WITH o AS (SELECT cath_domain, serial_number, x, y, z, {', '.join(f'{f}({k}) OVER w AS {n}{k}' for n, f in (('p', 'lag'), ('n', 'lead')) for k in 'xyz')} FROM atoms WHERE atom_name = 'CA' WINDOW w AS (PARTITION BY cath_domain ORDER BY serial_number)), c AS (SELECT cath_domain, serial_number, x, y, z, px IS NOT NULL AND nx IS NOT NULL AS inside, {_BISECTOR} FROM o), p AS (SELECT a.cath_domain, a.serial_number, round((b.x - a.x) * a.dx + (b.y - a.y) * a.dy + (b.z - a.z) * a.dz, 6) AS s FROM c a JOIN c b ON a.cath_domain = b.cath_domain AND a.serial_number <> b.serial_number WHERE a.inside AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 12), n AS (SELECT cath_domain, serial_number, count(*) FILTER (s > 0) AS up, count(*) FILTER (s <= 0) AS down FROM p GROUP BY ALL), e AS (SELECT cath_domain, serial_number, coalesce(up, 0) AS up, coalesce(down, 0) AS down FROM c LEFT JOIN n USING (cath_domain, serial_number) WHERE inside) SELECT cath_domain, serial_number, up, down, round((up - avg(up) OVER w) / nullif(stddev_samp(up) OVER w, 0), 6) AS up_norm FROM e WINDOW w AS (PARTITION BY cath_domain)", "atoms")
+@plain("CL9_half_sphere", f"""
+WITH o AS (SELECT cath_domain, serial_number, x, y, z, {', '.join(f'{f}({k}) OVER w AS {n}{k}' for n, f in (('p', 'lag'), ('n', 'lead')) for k in 'xyz')} FROM atoms
+  WHERE atom_name = 'CA' WINDOW w AS (PARTITION BY cath_domain ORDER BY serial_number)),
+c AS (SELECT cath_domain, serial_number, x, y, z, px IS NOT NULL AND nx IS NOT NULL AS inside, {_BISECTOR} FROM o),
+p AS (SELECT a.cath_domain, a.serial_number, round((b.x - a.x) * a.dx + (b.y - a.y) * a.dy + (b.z - a.z) * a.dz, 6) AS s FROM c a JOIN c b ON a.cath_domain = b.cath_domain
+  AND a.serial_number <> b.serial_number WHERE a.inside AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 12),
+n AS (SELECT cath_domain, serial_number, count(*) FILTER (s > 0) AS up, count(*) FILTER (s <= 0) AS down FROM p GROUP BY ALL),
+e AS (SELECT cath_domain, serial_number, coalesce(up, 0) AS up, coalesce(down, 0) AS down FROM c LEFT JOIN n USING (cath_domain, serial_number) WHERE inside)
+SELECT cath_domain, serial_number, up, down, round((up - avg(up) OVER w) / nullif(stddev_samp(up) OVER w, 0), 6) AS up_norm FROM e WINDOW w AS (PARTITION BY cath_domain)""", "atoms")
 def cl9(a):
     return C.half_sphere(a).select("cath_domain", "serial_number", "up", "down", r6("up_norm").alias("up_norm"))
 
 
-@plain("CL10_pocket_scores", "WITH p AS (SELECT cath_domain, serial_number, max(bfactor) AS pocket FROM atoms WHERE element IN ('C', 'N') GROUP BY ALL) SELECT cath_domain, serial_number, coalesce(pocket, 0) AS pocket FROM atoms LEFT JOIN p USING (cath_domain, serial_number)", "atoms")
+@plain("CL10_pocket_scores", """
+WITH p AS (SELECT cath_domain, serial_number, max(bfactor) AS pocket FROM atoms WHERE element IN ('C', 'N') GROUP BY ALL)
+SELECT cath_domain, serial_number, coalesce(pocket, 0) AS pocket FROM atoms LEFT JOIN p USING (cath_domain, serial_number)""", "atoms")
 def cl10(a):
     return C.pocket_scores(a, a.where("element in ('C', 'N')").select("cath_domain", "serial_number", F.col("bfactor").alias("score"))).select("cath_domain", "serial_number", "pocket")
 
 
-_RUNS = "k AS (SELECT cath_domain, serial_number, CASE WHEN ss IN ('H', 'G') THEN 'H' WHEN ss IN ('E', 'B') THEN 'E' ELSE 'X' END AS v FROM atoms), n AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY cath_domain ORDER BY serial_number) THEN 0 ELSE 1 END AS f FROM k), g AS (SELECT *, CAST(sum(f) OVER (PARTITION BY cath_domain ORDER BY serial_number) - 1 AS BIGINT) AS run_id FROM n), s AS (SELECT cath_domain, run_id, min(v) AS value, min(serial_number) AS start, max(serial_number) AS stop, count(*) AS length FROM g GROUP BY ALL)"
+_RUNS = """
+k AS (SELECT cath_domain, serial_number, CASE WHEN ss IN ('H', 'G') THEN 'H' WHEN ss IN ('E', 'B') THEN 'E' ELSE 'X' END AS v FROM atoms),
+n AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY cath_domain ORDER BY serial_number) THEN 0 ELSE 1 END AS f FROM k),
+g AS (SELECT *, CAST(sum(f) OVER (PARTITION BY cath_domain ORDER BY serial_number) - 1 AS BIGINT) AS run_id FROM n),
+s AS (SELECT cath_domain, run_id, min(v) AS value, min(serial_number) AS start, max(serial_number) AS stop, count(*) AS length FROM g GROUP BY ALL)"""
+#: Without the last member.
+_RUN_IDS = _RUNS.split(",\ns AS (")[0]
 
 
 def segments_of(a):
@@ -250,12 +303,18 @@ _SMOOTH = (
 )
 
 
-@plain("W2_smooth_segments", f"WITH RECURSIVE {_RUNS.split(', s AS (')[0].replace('SELECT cath_domain, serial_number,', 'SELECT cath_domain, serial_number, residue_id,')}, {_SMOOTH} SELECT cath_domain, segment, min(v) AS value, min(start) AS start, max(stop) AS stop, CAST(sum(length) AS BIGINT) AS length FROM t GROUP BY ALL", "atoms")
+@plain("W2_smooth_segments", f"""
+WITH RECURSIVE {_RUN_IDS.replace('SELECT cath_domain, serial_number,', 'SELECT cath_domain, serial_number, residue_id,')}, {_SMOOTH}
+  SELECT cath_domain, segment, min(v) AS value, min(start) AS start, max(stop) AS stop, CAST(sum(length) AS BIGINT) AS length FROM t GROUP BY ALL""", "atoms")
 def w2(a):
     return C.smooth_runs(a, "ss", "cath_domain", "serial_number")
 
 
-@plain("W3_segment_products", f"WITH {_RUNS} SELECT cath_domain, run_id, value, length, CASE WHEN lead(value) OVER w = 'X' THEN lead(length) OVER w ELSE 0 END AS next_loop, run_id = min(run_id) OVER (PARTITION BY cath_domain) AS leading, run_id = max(run_id) OVER (PARTITION BY cath_domain) AS trailing, CAST(sum(CASE WHEN value <> 'X' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS place FROM s WINDOW w AS (PARTITION BY cath_domain ORDER BY run_id)", "atoms")
+@plain("W3_segment_products", f"""
+WITH {_RUNS} SELECT cath_domain, run_id, value, length,
+  CASE WHEN lead(value) OVER w = 'X' THEN lead(length) OVER w ELSE 0 END AS next_loop, run_id = min(run_id) OVER (PARTITION BY cath_domain) AS leading,
+  run_id = max(run_id) OVER (PARTITION BY cath_domain) AS trailing, CAST(sum(CASE WHEN value <> 'X' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS place FROM s
+  WINDOW w AS (PARTITION BY cath_domain ORDER BY run_id)""", "atoms")
 def w3(a):
     return C.segment_products(segments_of(a), "cath_domain").select("cath_domain", "run_id", "value", "length", "next_loop", "leading", "trailing", "place")
 
@@ -268,7 +327,11 @@ def w4(a):
 _J20_D = (["cath_domain"], ["first", "second"], ["distance"])
 
 
-@plain("J20_allowed_connections", f"WITH {_RUNS}, e AS (SELECT s.cath_domain, s.run_id, a.x AS px, a.y AS py, a.z AS pz, b.x AS qx, b.y AS qy, b.z AS qz FROM s JOIN atoms a ON a.cath_domain = s.cath_domain AND a.serial_number = s.start JOIN atoms b ON b.cath_domain = s.cath_domain AND b.serial_number = s.stop WHERE value <> 'X'), d AS (SELECT a.cath_domain, a.run_id AS first, b.run_id AS second, sqrt((a.px - b.qx) ** 2 + (a.py - b.qy) ** 2 + (a.pz - b.qz) ** 2) AS distance FROM e a JOIN e b ON a.cath_domain = b.cath_domain AND a.run_id <> b.run_id) {digest_sql('SELECT cath_domain, first, second, round(distance, 6) AS distance FROM d WHERE distance < 15', *_J20_D)}", "atoms")
+@plain("J20_allowed_connections", f"""
+WITH {_RUNS}, e AS (SELECT s.cath_domain, s.run_id, a.x AS px, a.y AS py, a.z AS pz, b.x AS qx, b.y AS qy, b.z AS qz FROM s JOIN atoms a ON a.cath_domain = s.cath_domain
+  AND a.serial_number = s.start JOIN atoms b ON b.cath_domain = s.cath_domain AND b.serial_number = s.stop WHERE value <> 'X'),
+d AS (SELECT a.cath_domain, a.run_id AS first, b.run_id AS second, sqrt((a.px - b.qx) ** 2 + (a.py - b.qy) ** 2 + (a.pz - b.qz) ** 2) AS distance FROM e a JOIN e b
+  ON a.cath_domain = b.cath_domain AND a.run_id <> b.run_id) {digest_sql('SELECT cath_domain, first, second, round(distance, 6) AS distance FROM d WHERE distance < 15', *_J20_D)}""", "atoms")
 def j20(a):
     ends = a.select("cath_domain", F.col("serial_number").alias("place"), "x", "y", "z")
     return digest(C.allowed_connections(segments_of(a), ends, "cath_domain").withColumn("distance", r6("distance")), *_J20_D)
@@ -278,13 +341,20 @@ _BONE = "b AS (SELECT cath_domain, residue_id, min(serial_number) AS first, " +
 _P = {n: [f"{n}{k}" for k in "xyz"] for n in ("N", "CA", "C", "before", "after")}
 
 
-@plain("W6_torsions", f"WITH {_BONE}, {torsion_sql('o', [_P['before'], _P['N'], _P['CA'], _P['C']], 'phi')}, {torsion_sql('phi_t', [_P['N'], _P['CA'], _P['C'], _P['after']], 'psi')} SELECT cath_domain, residue_id, round(sin(phi), 6) AS sin_phi, round(cos(phi), 6) AS cos_phi, round(sin(psi), 6) AS sin_psi, round(cos(psi), 6) AS cos_psi FROM psi_t", "atoms")
+@plain("W6_torsions", f"""
+WITH {_BONE}, {torsion_sql('o', [_P['before'], _P['N'], _P['CA'], _P['C']], 'phi')}, {torsion_sql('phi_t', [_P['N'], _P['CA'], _P['C'], _P['after']], 'psi')}
+  SELECT cath_domain, residue_id, round(sin(phi), 6) AS sin_phi, round(cos(phi), 6) AS cos_phi, round(sin(psi), 6) AS sin_psi, round(cos(psi), 6) AS cos_psi FROM psi_t""", "atoms")
 def w6(a):
     angles = X.angle_features(C.torsions(A.backbone(a, []), "cath_domain", "first"))
     return angles.select("cath_domain", "residue_id", *(r6(f"{n}_{f}").alias(f"{f}_{n}") for n in ("phi", "psi") for f in ("sin", "cos")))
 
 
-@plain("HI6_sequence_sample", f"WITH r AS (SELECT cath_domain, residue_id, min(serial_number) AS first, arg_min(residue_name, serial_number) AS residue_name, max(CASE WHEN charge > 0 THEN 1 ELSE 0 END) AS label, CAST(count(*) AS INT) AS f1, CAST(count(*) FILTER (element = 'C') AS INT) AS f2 FROM atoms GROUP BY ALL), o AS (SELECT *, {ONE} AS c FROM r) SELECT cath_domain, string_agg(c, '' ORDER BY first) AS sequence, string_agg(concat(1 - label, label), ',' ORDER BY first) AS labels, string_agg(concat(f1, ' ', f2), ',' ORDER BY first) AS features FROM o GROUP BY ALL", "atoms")
+@plain("HI6_sequence_sample", f"""
+WITH r AS (SELECT cath_domain, residue_id, min(serial_number) AS first, arg_min(residue_name, serial_number) AS residue_name, max(CASE WHEN charge > 0 THEN 1 ELSE 0 END) AS label,
+  CAST(count(*) AS INT) AS f1, CAST(count(*) FILTER (element = 'C') AS INT) AS f2 FROM atoms GROUP BY ALL),
+o AS (SELECT *, {ONE} AS c FROM r)
+SELECT cath_domain, string_agg(c, '' ORDER BY first) AS sequence, string_agg(concat(1 - label, label), ',' ORDER BY first) AS labels, string_agg(concat(f1, ' ', f2), ','
+  ORDER BY first) AS features FROM o GROUP BY ALL""", "atoms")
 def hi6(a):
     """A structure's sequence with a row of labels and one of features for each residue, in order."""
     r = a.groupBy("cath_domain", "residue_id").agg(F.min("serial_number").alias("first"), F.min_by("residue_name", "serial_number").alias("residue_name"), F.max((F.col("charge") > 0).cast("int")).alias("label"), F.count("*").cast("int").alias("f1"), F.count_if(F.col("element") == "C").cast("int").alias("f2"))
@@ -298,7 +368,11 @@ def hi8(d):
     return N.pending(d.select("cath_domain"), d.where("i > 10").select("cath_domain", (F.col("l") < 6).alias("done")), "cath_domain")
 
 
-@plain("HI8b_force_levels", "SELECT force, cath_domain, what FROM (SELECT 0 AS force, cath_domain, 'to do' AS what FROM domains WHERE NOT (i > 10 AND l < 6) UNION ALL SELECT 1, cath_domain, 'to do' FROM domains UNION ALL SELECT 0, cath_domain, 'kept' FROM domains WHERE i > 10 UNION ALL SELECT 1, cath_domain, 'kept' FROM domains WHERE i > 10 AND c <> 1)", "domains")
+@plain("HI8b_force_levels", """
+SELECT force, cath_domain, what FROM (SELECT 0 AS force, cath_domain, 'to do' AS what FROM domains WHERE NOT (i > 10 AND l < 6)
+UNION ALL SELECT 1, cath_domain, 'to do' FROM domains
+UNION ALL SELECT 0, cath_domain, 'kept' FROM domains WHERE i > 10
+UNION ALL SELECT 1, cath_domain, 'kept' FROM domains WHERE i > 10 AND c <> 1)""", "domains")
 def hi8b(d):
     """What is to do and what stays without force, at level 1 (one branch is done again) and at level 3 (nothing stays)."""
     done, status = d.where("i > 10"), d.where("i > 10").select("cath_domain", (F.col("l") < 6).alias("done"))
@@ -348,7 +422,9 @@ def u3(a):
     return safe_map(a.select("cath_domain", "x"), _fails, "cath_domain")[1]
 
 
-@query("IN1_changed_entries", (), "SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' THEN 'new' ELSE 'revised' END AS state FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' OR CAST(o_orderdate AS DATE) + 90 BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'")
+@query("IN1_changed_entries", (), """
+SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' THEN 'new' ELSE 'revised' END AS state FROM orders
+  WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' OR CAST(o_orderdate AS DATE) + 90 BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'""")
 def in1(spark, sf):
     o = tables(spark, sf)["orders"].select("o_orderkey", F.to_date("o_orderdate").alias("deposited"), F.date_add("o_orderdate", 90).alias("revised"))
     return N.changed_since(o, "1998-01-01", "1998-12-31").select("o_orderkey", "state")

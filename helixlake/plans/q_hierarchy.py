@@ -10,7 +10,9 @@ from ..operators import hierarchy as H
 from ..sources import structures as T
 from .q_rows import plain
 
-_NODES = "nodes AS (SELECT DISTINCT array_to_string(string_split(cath_code, '.')[1:k], '.') AS cath_code, CAST(k AS INT) AS level, CASE WHEN k > 1 THEN array_to_string(string_split(cath_code, '.')[1:k - 1], '.') END AS parent_code FROM domains, generate_series(1, 4) g(k))"
+_NODES = """
+nodes AS (SELECT DISTINCT array_to_string(string_split(cath_code, '.')[1:k], '.') AS cath_code, CAST(k AS INT) AS level,
+  CASE WHEN k > 1 THEN array_to_string(string_split(cath_code, '.')[1:k - 1], '.') END AS parent_code FROM domains, generate_series(1, 4) g(k))"""
 
 
 def split_sql(scope: str, key: str, shares: list[tuple[str, float]], source: str = "domains") -> str:
@@ -22,8 +24,13 @@ def split_sql(scope: str, key: str, shares: list[tuple[str, float]], source: str
     for i, (name, p) in enumerate(shares[:-1]):
         lo, hi = p - 0.01, p + 0.01
         out.append(f"f{i} AS (SELECT *, sum(n) OVER w / rws AS f, row_number() OVER w AS j, count(*) OVER (PARTITION BY {scope}) AS m, CAST(floor(grp * {p}::DOUBLE) AS BIGINT) AS k0 FROM s{i} WINDOW w AS (PARTITION BY {scope} ORDER BY {key}))")
-        out.append(f"c{i} AS (SELECT {scope}, max(m) AS m, max(k0) AS k0, coalesce(max(f) FILTER (j <= k0), 0) AS f0, coalesce(max(j) FILTER (j < k0 AND f <= {hi}), 0) AS dn, coalesce(max(f) FILTER (j < k0 AND f <= {hi}), 0) AS fd, min(j) FILTER (j >= k0 AND f >= {lo}) AS u, min(f) FILTER (j >= k0 AND f >= {lo}) AS fu FROM f{i} GROUP BY {scope})")
-        out.append(f"k{i} AS (SELECT {scope}, CASE WHEN f0 >= {lo} AND f0 <= {hi} THEN least(k0, m) WHEN f0 > {hi} AND k0 > m THEN m WHEN f0 > {hi} THEN CASE WHEN fd >= {lo} THEN dn ELSE dn + 1 END WHEN u IS NULL THEN m ELSE CASE WHEN fu <= {hi} THEN u ELSE u - 1 END END AS cut FROM c{i})")
+        out.append(f"""
+c{i} AS (SELECT {scope}, max(m) AS m, max(k0) AS k0, coalesce(max(f) FILTER (j <= k0), 0) AS f0, coalesce(max(j) FILTER (j < k0
+  AND f <= {hi}), 0) AS dn, coalesce(max(f) FILTER (j < k0 AND f <= {hi}), 0) AS fd, min(j) FILTER (j >= k0 AND f >= {lo}) AS u, min(f) FILTER (j >= k0 AND f >= {lo}) AS fu
+  FROM f{i} GROUP BY {scope})""")
+        out.append(f"""
+k{i} AS (SELECT {scope}, CASE WHEN f0 >= {lo} AND f0 <= {hi} THEN least(k0, m) WHEN f0 > {hi} AND k0 > m THEN m WHEN f0 > {hi} THEN
+  CASE WHEN fd >= {lo} THEN dn ELSE dn + 1 END WHEN u IS NULL THEN m ELSE CASE WHEN fu <= {hi} THEN u ELSE u - 1 END END AS cut FROM c{i})""")
         picks.append(f"SELECT {scope}, {key}, n, '{name}' AS split FROM f{i} JOIN k{i} USING ({scope}) WHERE j <= cut")
         out.append(f"s{i + 1} AS (SELECT {scope}, {key}, n, rws, grp FROM f{i} JOIN k{i} USING ({scope}) WHERE j > cut)")
     picks.append(f"SELECT {scope}, {key}, n, '{last}' AS split FROM s{len(shares) - 1}")
@@ -71,7 +78,9 @@ def hi4c(d):
     return view(H.dataset_view(d, names=[3, 5, 9, -1]), "list").unionByName(view(H.dataset_view(d), "all"))
 
 
-@plain("HI7_label_column", "WITH v AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS label FROM (SELECT DISTINCT t FROM domains)) SELECT cath_domain, concat_ws(',', CASE WHEN i % 2 = 0 THEN '1.0,0.0' ELSE '0.0,1.0' END, concat(label, '.0')) AS truth FROM domains JOIN v USING (t)", "domains")
+@plain("HI7_label_column", """
+WITH v AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS label FROM (SELECT DISTINCT t FROM domains))
+SELECT cath_domain, concat_ws(',', CASE WHEN i % 2 = 0 THEN '1.0,0.0' ELSE '0.0,1.0' END, concat(label, '.0')) AS truth FROM domains JOIN v USING (t)""", "domains")
 def hi7(d):
     rows = X.truth_vectors(H.label_encode(d, "t"), F.col("i") % 2 == 1)
     return rows.select("cath_domain", F.array_join(X.with_label(F.col("truth"), F.col("label")).cast("array<string>"), ",").alias("truth"))
@@ -97,7 +106,11 @@ def j16(d):
     return d.join(d.groupBy("s", "o").agg(F.min("cath_domain").alias("rep")), ["s", "o"]).select("cath_domain", "rep", (F.col("cath_domain") == F.col("rep")).alias("is_rep"))
 
 
-@plain("J17_representatives", "WITH r AS (SELECT cath_code, min(cath_domain) AS cath_domain FROM domains GROUP BY cath_code, s), f AS (SELECT cath_domain FROM domains WHERE cath_domain % 3 <> 0) SELECT cath_code, count(*) AS total_domains, count(*) FILTER (f.cath_domain IS NULL) AS n_missing, coalesce(min(r.cath_domain) FILTER (f.cath_domain IS NULL), -1) AS first_missing FROM r LEFT JOIN f USING (cath_domain) GROUP BY ALL", "domains")
+@plain("J17_representatives", """
+WITH r AS (SELECT cath_code, min(cath_domain) AS cath_domain FROM domains GROUP BY cath_code, s),
+f AS (SELECT cath_domain FROM domains WHERE cath_domain % 3 <> 0)
+SELECT cath_code, count(*) AS total_domains, count(*) FILTER (f.cath_domain IS NULL) AS n_missing, coalesce(min(r.cath_domain) FILTER (f.cath_domain IS NULL), -1) AS first_missing
+  FROM r LEFT JOIN f USING (cath_domain) GROUP BY ALL""", "domains")
 def j17(d):
     return H.representatives(d.where("cath_domain % 3 != 0"), d.groupBy("cath_code", "s").agg(F.min("cath_domain").alias("cath_domain"))).na.fill(-1, ["first_missing"])
 
@@ -171,12 +184,20 @@ def so3(d):
     return H.common_keys(d.where("i > 10"), d.where("l < 6"))
 
 
-@plain("SO4_undersample", "WITH m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM domains GROUP BY c)) SELECT cath_domain, c FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY md5(concat(cath_domain, ':0')), cath_domain) AS k FROM domains), m WHERE k <= m", "domains")
+@plain("SO4_undersample", """
+WITH m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM domains GROUP BY c))
+SELECT cath_domain, c FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY md5(concat(cath_domain, ':0')), cath_domain) AS k FROM domains), m WHERE k <= m""", "domains")
 def so4(d):
     return H.balance(d, "c", "cath_domain").select("cath_domain", "c")
 
 
-@plain("SO4b_oversample", "WITH n AS (SELECT c, count(*) AS n FROM domains GROUP BY c), k AS (SELECT cath_domain, c, row_number() OVER (PARTITION BY c ORDER BY md5(concat(cath_domain, ':0')), cath_domain) AS k FROM domains), w AS (SELECT c, n, unnest(generate_series(1, (SELECT max(n) FROM n) - n)) AS d FROM n), q AS (SELECT c, CAST(concat('0x', substr(md5(concat(c, ':', d, ':0')), 1, 8)) AS BIGINT) % n + 1 AS k FROM w) SELECT cath_domain, c FROM k UNION ALL SELECT cath_domain, c FROM q JOIN k USING (c, k)", "domains")
+@plain("SO4b_oversample", """
+WITH n AS (SELECT c, count(*) AS n FROM domains GROUP BY c),
+k AS (SELECT cath_domain, c, row_number() OVER (PARTITION BY c ORDER BY md5(concat(cath_domain, ':0')), cath_domain) AS k FROM domains),
+w AS (SELECT c, n, unnest(generate_series(1, (SELECT max(n) FROM n) - n)) AS d FROM n),
+q AS (SELECT c, CAST(concat('0x', substr(md5(concat(c, ':', d, ':0')), 1, 8)) AS BIGINT) % n + 1 AS k FROM w)
+SELECT cath_domain, c FROM k
+UNION ALL SELECT cath_domain, c FROM q JOIN k USING (c, k)""", "domains")
 def so4b(d):
     return H.oversample(d.select("cath_domain", "c"), "c", "cath_domain")
 
@@ -237,7 +258,11 @@ def sc8(d):
     return T.read_distances(d.select(F.col("cath_code").alias("path"), F.expr("concat('DIST : ', s, ' ', o + 100, ' ', cast(l * 0.5D as string))").alias("line")))
 
 
-_FOUR = "SELECT 'cx' AS kind, cath_domain AS path, CAST(i AS VARCHAR) AS id, s + 0.5::DOUBLE AS value FROM domains UNION ALL SELECT 'pdbqt', cath_domain, CAST(i AS VARCHAR), NULL FROM domains UNION ALL SELECT 'frustration', cath_domain, CAST(i AS VARCHAR), l - 6.5::DOUBLE FROM domains UNION ALL SELECT 'consurf', cath_domain, CAST(i AS VARCHAR), o * 0.25::DOUBLE FROM domains"
+_FOUR = """
+SELECT 'cx' AS kind, cath_domain AS path, CAST(i AS VARCHAR) AS id, s + 0.5::DOUBLE AS value FROM domains
+UNION ALL SELECT 'pdbqt', cath_domain, CAST(i AS VARCHAR), NULL FROM domains
+UNION ALL SELECT 'frustration', cath_domain, CAST(i AS VARCHAR), l - 6.5::DOUBLE FROM domains
+UNION ALL SELECT 'consurf', cath_domain, CAST(i AS VARCHAR), o * 0.25::DOUBLE FROM domains"""
 
 
 @plain("SC6b_other_annotations", _FOUR, "domains")
@@ -258,7 +283,10 @@ def sc6b(d):
     return out
 
 
-@plain("SC8b_cluster_log", "WITH m AS (SELECT cath_code AS path, o AS cluster, cath_domain, min(cath_domain) OVER (PARTITION BY cath_code, o) AS c FROM domains) SELECT path, cluster, CAST(cath_domain AS INT) AS item, CAST(cath_domain AS VARCHAR) AS structure, CAST(c AS INT) AS centroid_item, 0.5::DOUBLE AS spread, CAST(c AS VARCHAR) AS centroid FROM m", "domains")
+@plain("SC8b_cluster_log", """
+WITH m AS (SELECT cath_code AS path, o AS cluster, cath_domain, min(cath_domain) OVER (PARTITION BY cath_code, o) AS c FROM domains)
+SELECT path, cluster, CAST(cath_domain AS INT) AS item, CAST(cath_domain AS VARCHAR) AS structure, CAST(c AS INT) AS centroid_item, 0.5::DOUBLE AS spread,
+  CAST(c AS VARCHAR) AS centroid FROM m""", "domains")
 def sc8b(d):
     """Logs with a section of clusters and one of centroids."""
     code = F.col("cath_code").alias("path")

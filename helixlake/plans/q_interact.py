@@ -17,7 +17,10 @@ def residues(s):
     return s.select("pdb", "chain", (F.col("nstart") + 3).alias("res")).union(s.select("pdb", "chain", F.col("nstop") + 7)).distinct()
 
 
-@plain("J7_map_numbers", "WITH n AS (SELECT DISTINCT pdb, chain, nstart AS label, nstart * 2 AS number FROM segments) SELECT s.pdb, s.chain, s.nstart AS start_label, s.nstop AS stop_label, s.cath_domain, a.number AS start_number, b.number AS stop_number FROM segments s JOIN n a ON a.pdb = s.pdb AND a.chain = s.chain AND a.label = s.nstart JOIN n b ON b.pdb = s.pdb AND b.chain = s.chain AND b.label = s.nstop", "segments")
+@plain("J7_map_numbers", """
+WITH n AS (SELECT DISTINCT pdb, chain, nstart AS label, nstart * 2 AS number FROM segments)
+SELECT s.pdb, s.chain, s.nstart AS start_label, s.nstop AS stop_label, s.cath_domain, a.number AS start_number, b.number AS stop_number FROM segments s JOIN n a ON a.pdb = s.pdb
+  AND a.chain = s.chain AND a.label = s.nstart JOIN n b ON b.pdb = s.pdb AND b.chain = s.chain AND b.label = s.nstop""", "segments")
 def j7(s):
     n = s.select("pdb", "chain", F.col("nstart").alias("label"), (F.col("nstart") * 2).alias("number")).distinct()
     return I.map_ranges(s.select("pdb", "chain", F.col("nstart").alias("start_label"), F.col("nstop").alias("stop_label"), "cath_domain"), n)
@@ -39,29 +42,48 @@ def j8b(s):
 _MEMBERS = "members AS (SELECT DISTINCT pdb, first_res AS res, first_res % 9 AS dom FROM contacts UNION SELECT DISTINCT pdb, second_res, second_res % 9 FROM contacts)"
 
 
-@plain("J9_contact_domains", f"WITH {_MEMBERS} SELECT c.pdb, c.first_res, c.second_res, c.distance, a.dom AS first_dom, b.dom AS second_dom FROM contacts c JOIN members a ON a.pdb = c.pdb AND a.res = c.first_res JOIN members b ON b.pdb = c.pdb AND b.res = c.second_res", "contacts")
+@plain("J9_contact_domains", f"""
+WITH {_MEMBERS} SELECT c.pdb, c.first_res, c.second_res, c.distance, a.dom AS first_dom, b.dom AS second_dom FROM contacts c JOIN members a ON a.pdb = c.pdb AND a.res = c.first_res
+  JOIN members b ON b.pdb = c.pdb AND b.res = c.second_res""", "contacts")
 def j9(c):
     m = c.select("pdb", F.col("first_res").alias("res")).union(c.select("pdb", "second_res")).distinct().withColumn("dom", F.col("res") % 9)
     return I.contact_domains(c.select("pdb", "first_res", "second_res", "distance"), m)
 
 
-@plain("J10_loop_domain_contacts", f"WITH {_MEMBERS} SELECT c.pdb, c.first_res, c.second_res, a.dom AS first_dom, b.dom AS second_dom FROM contacts c JOIN members a ON a.pdb = c.pdb AND a.res = c.first_res JOIN members b ON b.pdb = c.pdb AND b.res = c.second_res WHERE (a.dom = 0) <> (b.dom = 0)", "contacts")
+@plain("J10_loop_domain_contacts", f"""
+WITH {_MEMBERS} SELECT c.pdb, c.first_res, c.second_res, a.dom AS first_dom, b.dom AS second_dom FROM contacts c JOIN members a ON a.pdb = c.pdb AND a.res = c.first_res
+  JOIN members b ON b.pdb = c.pdb AND b.res = c.second_res WHERE (a.dom = 0) <> (b.dom = 0)""", "contacts")
 def j10(c):
     return j9(c).where("(first_dom = 0) != (second_dom = 0)").select("pdb", "first_res", "second_res", "first_dom", "second_dom")
 
 
-@plain("J11_nearest_domains", f"WITH {_SITES}, d AS (SELECT r.pdb, r.chain, r.res, s.cath_domain, least(abs(s.nstart - r.res), abs(r.res - s.nstop)) AS distance, s.nstart, s.nstop FROM residues r JOIN segments s ON r.pdb = s.pdb AND r.chain = s.chain), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY pdb, chain, res ORDER BY distance, cath_domain, nstart, nstop) AS INT) AS rank, min(distance) OVER (PARTITION BY pdb, chain, res) AS m FROM d) SELECT pdb, chain, res, cath_domain, distance, rank FROM k WHERE rank = 1 OR (rank = 2 AND distance = m)", "segments")
+@plain("J11_nearest_domains", f"""
+WITH {_SITES}, d AS (SELECT r.pdb, r.chain, r.res, s.cath_domain, least(abs(s.nstart - r.res),
+abs(r.res - s.nstop)) AS distance, s.nstart, s.nstop FROM residues r JOIN segments s ON r.pdb = s.pdb AND r.chain = s.chain),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY pdb, chain, res
+  ORDER BY distance, cath_domain, nstart, nstop) AS INT) AS rank, min(distance) OVER (PARTITION BY pdb, chain, res) AS m FROM d)
+SELECT pdb, chain, res, cath_domain, distance, rank FROM k WHERE rank = 1 OR (rank = 2 AND distance = m)""", "segments")
 def j11(s):
     return I.nearest_domains(residues(s), s, ["pdb", "chain", "res"])
 
 
-@plain("J12_expand_members", "WITH r AS (SELECT DISTINCT pdb, chain, nstart AS number, concat('L', nstart) AS label FROM segments WHERE chain IN ('A', 'N')), m AS (SELECT DISTINCT pdb FROM segments), e AS (SELECT pdb, unnest(['A', 'R', 'N']) AS chain FROM m) SELECT e.pdb, e.chain, a.number, coalesce(b.label, a.label) AS label FROM e JOIN r a ON a.pdb = e.pdb AND a.chain = 'A' LEFT JOIN r b ON b.pdb = e.pdb AND b.chain = e.chain AND b.number = a.number", "segments")
+@plain("J12_expand_members", """
+WITH r AS (SELECT DISTINCT pdb, chain, nstart AS number, concat('L', nstart) AS label FROM segments WHERE chain IN ('A', 'N')),
+m AS (SELECT DISTINCT pdb FROM segments),
+e AS (SELECT pdb, unnest(['A', 'R', 'N']) AS chain FROM m)
+SELECT e.pdb, e.chain, a.number, coalesce(b.label, a.label) AS label FROM e JOIN r a ON a.pdb = e.pdb AND a.chain = 'A' LEFT JOIN r b ON b.pdb = e.pdb AND b.chain = e.chain
+  AND b.number = a.number""", "segments")
 def j12(s):
     r = s.where("chain in ('A', 'N')").select("pdb", "chain", F.col("nstart").alias("number"), F.concat(F.lit("L"), F.col("nstart").cast("string")).alias("label")).distinct()
     return I.expand_members(r, s.select("pdb", F.lit("A").alias("rep_chain"), F.lit("A,R,N").alias("member_chains")).distinct())
 
 
-@plain("J13_best_overlap", "WITH o AS (SELECT pdb, chain, cath_domain AS o_cath_domain, nstart + 5 AS o_nstart, nstop + 5 AS o_nstop FROM segments WHERE nseg <= 3), l AS (SELECT pdb, chain, cath_domain, nstart, nstop FROM segments), k AS (SELECT *, least(nstop, o_nstop) - greatest(nstart, o_nstart) + 1 AS overlap FROM l JOIN o USING (pdb, chain)) SELECT pdb, chain, cath_domain, nstart, nstop, o_cath_domain, o_nstart, o_nstop, overlap, round(overlap / (least(nstop - nstart, o_nstop - o_nstart) + 1), 6) AS share FROM k WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY pdb, chain, cath_domain, nstart, nstop ORDER BY overlap DESC, o_cath_domain, o_nstart, o_nstop) = 1", "segments")
+@plain("J13_best_overlap", """
+WITH o AS (SELECT pdb, chain, cath_domain AS o_cath_domain, nstart + 5 AS o_nstart, nstop + 5 AS o_nstop FROM segments WHERE nseg <= 3),
+l AS (SELECT pdb, chain, cath_domain, nstart, nstop FROM segments),
+k AS (SELECT *, least(nstop, o_nstop) - greatest(nstart, o_nstart) + 1 AS overlap FROM l JOIN o USING (pdb, chain))
+SELECT pdb, chain, cath_domain, nstart, nstop, o_cath_domain, o_nstart, o_nstop, overlap, round(overlap / (least(nstop - nstart, o_nstop - o_nstart) + 1), 6) AS share FROM k
+  WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY pdb, chain, cath_domain, nstart, nstop ORDER BY overlap DESC, o_cath_domain, o_nstart, o_nstop) = 1""", "segments")
 def j13(s):
     o = s.where("nseg <= 3").withColumns({"nstart": F.col("nstart") + 5, "nstop": F.col("nstop") + 5})
     return I.best_overlap(s.select("pdb", "chain", "cath_domain", "nstart", "nstop"), o).withColumn("share", r6("share"))
@@ -75,20 +97,33 @@ def ag14(c):
     return I.buried_area(c).select("pdb", "interface_id", "first_res", "second_res", r6("bsa").alias("bsa"), "ppi_type")
 
 
-@plain("J14_AG15_inferred_area", f"WITH o AS (SELECT second_res, avg(c1_asa) AS face1_obs, avg(c2_asa) AS bsa_obs FROM contacts WHERE score > 0.02 GROUP BY ALL), j AS (SELECT c.pdb, c.interface_id, c.first_res, c.second_res, c2_asa, face1_obs, bsa_obs, c1_asa AS face1, c2_asa AS face2, complex_asa AS mol_asa FROM contacts c LEFT JOIN o USING (second_res)), r AS (SELECT *, CASE WHEN face1_obs + face2 > 0 THEN (face1 + face2) / (face1_obs + face2) ELSE 0 END AS ratio FROM j), q AS (SELECT *, bsa_obs * ratio AS b FROM r) SELECT pdb, interface_id, first_res, second_res, round(ratio, 6) AS ratio, round(b, 6) AS bsa, {_BSA} AS ppi_type FROM q", "contacts")
+@plain("J14_AG15_inferred_area", f"""
+WITH o AS (SELECT second_res, avg(c1_asa) AS face1_obs, avg(c2_asa) AS bsa_obs FROM contacts WHERE score > 0.02 GROUP BY ALL),
+j AS (SELECT c.pdb, c.interface_id, c.first_res, c.second_res, c2_asa, face1_obs, bsa_obs, c1_asa AS face1, c2_asa AS face2, complex_asa AS mol_asa FROM contacts c LEFT
+  JOIN o USING (second_res)),
+r AS (SELECT *, CASE WHEN face1_obs + face2 > 0 THEN (face1 + face2) / (face1_obs + face2) ELSE 0 END AS ratio FROM j),
+q AS (SELECT *, bsa_obs * ratio AS b FROM r)
+SELECT pdb, interface_id, first_res, second_res, round(ratio, 6) AS ratio, round(b, 6) AS bsa, {_BSA} AS ppi_type FROM q""", "contacts")
 def ag15(c):
     o = c.where("score > 0.02").groupBy("second_res").agg(F.avg("c1_asa").alias("face1_obs"), F.avg("c2_asa").alias("bsa_obs"))
     j = c.join(o, "second_res", "left").withColumns({"face1": F.col("c1_asa"), "face2": F.col("c2_asa"), "mol_asa": F.col("complex_asa")})
     return I.inferred_area(j).select("pdb", "interface_id", "first_res", "second_res", r6("ratio").alias("ratio"), r6("bsa").alias("bsa"), "ppi_type")
 
 
-@plain("AG12_binding_sites", "WITH l AS (SELECT pdb, first_res % 20 AS first_dom, second_res % 20 AS second_dom, string_agg(DISTINCT CAST(first_res AS VARCHAR), ',' ORDER BY CAST(first_res AS VARCHAR)) AS first_resi, string_agg(DISTINCT CAST(second_res AS VARCHAR), ',' ORDER BY CAST(second_res AS VARCHAR)) AS second_resi FROM contacts GROUP BY ALL) SELECT *, false AS reverse FROM l UNION ALL SELECT pdb, second_dom, first_dom, second_resi, first_resi, true FROM l", "contacts")
+@plain("AG12_binding_sites", """
+WITH l AS (SELECT pdb, first_res % 20 AS first_dom, second_res % 20 AS second_dom, string_agg(DISTINCT CAST(first_res AS VARCHAR), ','
+  ORDER BY CAST(first_res AS VARCHAR)) AS first_resi, string_agg(DISTINCT CAST(second_res AS VARCHAR), ',' ORDER BY CAST(second_res AS VARCHAR)) AS second_resi FROM contacts
+  GROUP BY ALL)
+SELECT *, false AS reverse FROM l
+UNION ALL SELECT pdb, second_dom, first_dom, second_resi, first_resi, true FROM l""", "contacts")
 def ag12(c):
     own = c.select("pdb", (F.col("first_res") % 20).alias("first_dom"), (F.col("second_res") % 20).alias("second_dom"), F.col("first_res").cast("string").alias("first_res"), F.col("second_res").cast("string").alias("second_res"))
     return I.binding_sites(own, ["pdb", "first_dom", "second_dom"])
 
 
-@plain("AG13_merge_ranges", "SELECT pdb, chain, string_agg(CAST(nstart AS VARCHAR), ',' ORDER BY cath_domain, nstart, nstop) AS starts, string_agg(CAST(nstop AS VARCHAR), ',' ORDER BY cath_domain, nstart, nstop) AS stops FROM segments GROUP BY ALL", "segments")
+@plain("AG13_merge_ranges", """
+SELECT pdb, chain, string_agg(CAST(nstart AS VARCHAR), ',' ORDER BY cath_domain, nstart, nstop) AS starts, string_agg(CAST(nstop AS VARCHAR), ','
+  ORDER BY cath_domain, nstart, nstop) AS stops FROM segments GROUP BY ALL""", "segments")
 def ag13(s):
     return I.merge_ranges(s, ["pdb", "chain"], "nstart", "nstop", "cath_domain")
 
@@ -99,7 +134,9 @@ def ag16(c):
     return I.family_sizes(f, "a", "b")
 
 
-@plain("AG17_class_transitions", f"WITH t AS (SELECT {_BSA.replace('b ', 'x ')} AS o, {_BSA.replace('b ', 'y ')} AS i FROM (SELECT c2_asa AS x, c2_asa / 2 AS y FROM contacts)) SELECT concat(o, '->', i) AS transition, count(*) AS n FROM t GROUP BY ALL", "contacts")
+@plain("AG17_class_transitions", f"""
+WITH t AS (SELECT {_BSA.replace('b ', 'x ')} AS o, {_BSA.replace('b ', 'y ')} AS i FROM (SELECT c2_asa AS x, c2_asa / 2 AS y FROM contacts))
+SELECT concat(o, '->', i) AS transition, count(*) AS n FROM t GROUP BY ALL""", "contacts")
 def ag17(c):
     t = c.withColumns({"o": I.interaction_class(F.col("c2_asa")), "i": I.interaction_class(F.col("c2_asa") / 2)})
     return I.class_transitions(t, "o", "i")
@@ -121,14 +158,26 @@ def ag23(a):
     return I.site_sequences(a.where("atom_name = 'CA'").groupBy("cath_domain", "chain").agg(F.array_join(names, ",").alias("resn"))).select("cath_domain", "chain", "sequence")
 
 
-@plain("J18_faces_covered", "WITH f1 AS (SELECT DISTINCT second_chain AS pair, first_res FROM contacts WHERE first_res % 2 = 0), f2 AS (SELECT DISTINCT second_chain AS pair, second_res FROM contacts WHERE second_res % 2 = 0), c AS (SELECT second_chain AS pair, first_chain AS copy, first_res, second_res FROM contacts), k AS (SELECT DISTINCT pair, copy FROM c), s AS (SELECT k.pair, k.copy, (SELECT count(DISTINCT c.first_res) FROM c JOIN f1 ON f1.pair = c.pair AND f1.first_res = c.first_res WHERE c.pair = k.pair AND c.copy = k.copy) / (SELECT count(*) FROM f1 WHERE f1.pair = k.pair) AS share1, (SELECT count(DISTINCT c.second_res) FROM c JOIN f2 ON f2.pair = c.pair AND f2.second_res = c.second_res WHERE c.pair = k.pair AND c.copy = k.copy) / (SELECT count(*) FROM f2 WHERE f2.pair = k.pair) AS share2 FROM k) SELECT pair, copy, round(share1, 6) AS share1, round(share2, 6) AS share2 FROM s WHERE share1 >= 0.5 AND share2 >= 0.5 QUALIFY row_number() OVER (PARTITION BY pair ORDER BY copy) = 1", "contacts")
+@plain("J18_faces_covered", """
+WITH f1 AS (SELECT DISTINCT second_chain AS pair, first_res FROM contacts WHERE first_res % 2 = 0),
+f2 AS (SELECT DISTINCT second_chain AS pair, second_res FROM contacts WHERE second_res % 2 = 0),
+c AS (SELECT second_chain AS pair, first_chain AS copy, first_res, second_res FROM contacts),
+k AS (SELECT DISTINCT pair, copy FROM c),
+s AS (SELECT k.pair, k.copy, (SELECT count(DISTINCT c.first_res) FROM c JOIN f1 ON f1.pair = c.pair AND f1.first_res = c.first_res WHERE c.pair = k.pair
+  AND c.copy = k.copy) / (SELECT count(*) FROM f1 WHERE f1.pair = k.pair) AS share1, (SELECT count(DISTINCT c.second_res) FROM c JOIN f2 ON f2.pair = c.pair
+  AND f2.second_res = c.second_res WHERE c.pair = k.pair AND c.copy = k.copy) / (SELECT count(*) FROM f2 WHERE f2.pair = k.pair) AS share2 FROM k)
+SELECT pair, copy, round(share1, 6) AS share1, round(share2, 6) AS share2 FROM s WHERE share1 >= 0.5 AND share2 >= 0.5 QUALIFY row_number() OVER (PARTITION BY pair
+  ORDER BY copy) = 1""", "contacts")
 def j18(c):
     own = c.select(F.col("second_chain").alias("pair"), F.col("first_chain").alias("copy"), "first_res", "second_res")
     out = I.faces_covered(own, own.where("first_res % 2 = 0").select("pair", "first_res"), own.where("second_res % 2 = 0").select("pair", "second_res"), ["pair"], "copy")
     return out.select("pair", "copy", r6("share1").alias("share1"), r6("share2").alias("share2"))
 
 
-@plain("J19_common_contacts", "WITH r AS (SELECT DISTINCT pdb, first_res, second_res FROM contacts), m AS (SELECT DISTINCT pdb, first_res, second_res FROM contacts WHERE distance < 0.05) SELECT r.pdb, round(count(m.pdb) / count(*), 6) AS fnat FROM r LEFT JOIN m ON m.pdb = r.pdb AND m.first_res = r.first_res AND m.second_res = r.second_res GROUP BY r.pdb", "contacts")
+@plain("J19_common_contacts", """
+WITH r AS (SELECT DISTINCT pdb, first_res, second_res FROM contacts),
+m AS (SELECT DISTINCT pdb, first_res, second_res FROM contacts WHERE distance < 0.05)
+SELECT r.pdb, round(count(m.pdb) / count(*), 6) AS fnat FROM r LEFT JOIN m ON m.pdb = r.pdb AND m.first_res = r.first_res AND m.second_res = r.second_res GROUP BY r.pdb""", "contacts")
 def j19(c):
     return I.common_contacts(c.where("distance < 0.05"), c, "pdb").withColumn("fnat", r6("fnat"))
 
@@ -151,7 +200,10 @@ def ag21(c):
     return c.groupBy("pdb", "first_chain").agg(F.max("score").alias("best"), F.min("distance").alias("e_value"))
 
 
-@plain("CL8_neighbour_lists", "WITH b AS (SELECT pdb, first_res AS res, second_res AS other FROM contacts UNION SELECT pdb, second_res, first_res FROM contacts) SELECT pdb, res, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS neighbours FROM b GROUP BY ALL", "contacts")
+@plain("CL8_neighbour_lists", """
+WITH b AS (SELECT pdb, first_res AS res, second_res AS other FROM contacts
+UNION SELECT pdb, second_res, first_res FROM contacts)
+SELECT pdb, res, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS neighbours FROM b GROUP BY ALL""", "contacts")
 def cl8(c):
     return I.neighbour_lists(c).withColumn("neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))
 

@@ -128,7 +128,9 @@ def ag17b(c):
     return I.class_counts(both.withColumn("cls", I.interaction_class(F.col("area"))), "cls", "status").withColumn("share", r6("share"))
 
 
-@plain("J19b_face_jaccard", "WITH " + ", ".join(f"f{k} AS (SELECT pdb, round(count(*) FILTER (m AND r) / count(*), 6) AS face{k} FROM (SELECT pdb, {c}, bool_or(distance < 0.05) AS m, bool_or(distance > 0.02) AS r FROM contacts WHERE distance < 0.05 OR distance > 0.02 GROUP BY ALL) GROUP BY pdb)" for k, c in ((1, "first_res"), (2, "second_res"))) + " SELECT pdb, face1, face2 FROM f1 FULL JOIN f2 USING (pdb)", "contacts")
+@plain("J19b_face_jaccard", "WITH " + ", ".join(f"""
+f{k} AS (SELECT pdb, round(count(*) FILTER (m AND r) / count(*), 6) AS face{k} FROM (SELECT pdb, {c}, bool_or(distance < 0.05) AS m, bool_or(distance > 0.02) AS r FROM contacts
+  WHERE distance < 0.05 OR distance > 0.02 GROUP BY ALL) GROUP BY pdb)""" for k, c in ((1, "first_res"), (2, "second_res"))) + " SELECT pdb, face1, face2 FROM f1 FULL JOIN f2 USING (pdb)", "contacts")
 def j19b(c):
     return I.face_jaccard(c.where("distance < 0.05"), c.where("distance > 0.02"), "pdb").select("pdb", r6("face1").alias("face1"), r6("face2").alias("face2"))
 
@@ -172,7 +174,8 @@ def ag8b(a):
     return out
 
 
-_SQUARE = sum(((F.col(c) - 132.0) ** 2 for c in "xyz"), F.lit(0.0))
+def _square():
+    return sum(((F.col(c) - 132.0) ** 2 for c in "xyz"), F.lit(0.0))
 
 
 @plain("GE5b_rotations_keep_shape", """
@@ -182,7 +185,7 @@ def ge5b(a):
     turns = G.random_rotations(a.select("cath_domain").distinct(), 2)
     still = G.rotate_each(a.select("cath_domain", "x", "y", "z"), turns.select("cath_domain", "rotation", *(F.lit(float(i == j)).alias(f"m{i}{j}") for i in range(3) for j in range(3))))
     moved = G.rotate_each(a.select("cath_domain", "x", "y", "z"), turns)
-    mean = lambda df, n: df.groupBy("cath_domain", "rotation").agg(F.count("*").alias("n"), F.avg(_SQUARE).alias(n))
+    mean = lambda df, n: df.groupBy("cath_domain", "rotation").agg(F.count("*").alias("n"), F.avg(_square()).alias(n))
     m = [[F.col(f"m{i}{j}") for j in range(3)] for i in range(3)]
     det = m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
     out = mean(moved, "after").join(mean(still, "before").drop("n"), ["cath_domain", "rotation"]).join(turns, ["cath_domain", "rotation"])

@@ -48,7 +48,10 @@ def typed(a):
     return a.withColumn("atom_type", kind)
 
 
-@plain("PF2_feature_preset", f"WITH d AS (SELECT cath_domain, count(*) AS n, {' + '.join(f'count(*) FILTER (t IN {v})' for v in _FLAGS.values())} AS deep, count(*) FILTER (ss IN ('H', 'B', 'E', 'G', 'I', 'T', 'S')) AS letters FROM {_TYPED} GROUP BY ALL) SELECT cath_domain, preset, CAST(CASE preset WHEN 'only_aa' THEN 21 WHEN 'only_atom' THEN 23 WHEN 'use_deepsite' THEN 5 WHEN 'both' THEN 26 WHEN 'structure' THEN 10 END AS INT) AS n_columns, CAST(CASE preset WHEN 'only_aa' THEN n WHEN 'only_atom' THEN n WHEN 'use_deepsite' THEN deep WHEN 'both' THEN n + deep WHEN 'structure' THEN n + letters END AS DOUBLE) AS total FROM d, (VALUES ('only_aa'), ('only_atom'), ('use_deepsite'), ('both'), ('structure')) t(preset)", "atoms")
+@plain("PF2_feature_preset", f"""
+WITH d AS (SELECT cath_domain, count(*) AS n, {' + '.join(f'count(*) FILTER (t IN {v})' for v in _FLAGS.values())} AS deep, count(*) FILTER (ss IN ('H', 'B', 'E', 'G', 'I', 'T',
+  'S')) AS letters FROM {_TYPED} GROUP BY ALL)
+SELECT cath_domain, preset, CAST(CASE preset WHEN 'only_aa' THEN 21 WHEN 'only_atom' THEN 23 WHEN 'use_deepsite' THEN 5 WHEN 'both' THEN 26 WHEN 'structure' THEN 10 END AS INT) AS n_columns, CAST(CASE preset WHEN 'only_aa' THEN n WHEN 'only_atom' THEN n WHEN 'use_deepsite' THEN deep WHEN 'both' THEN n + deep WHEN 'structure' THEN n + letters END AS DOUBLE) AS total FROM d, (VALUES ('only_aa'), ('only_atom'), ('use_deepsite'), ('both'), ('structure')) t(preset)""", "atoms")
 def pf2(a):
     """How many columns a choice has, and the sum of all their values in a structure."""
     full = X.pharmacophore(X.atom_types(X.residue_one_hot(X.secondary_structure(typed(a)))))
@@ -134,7 +137,11 @@ def fd5(a):
     return X.radii(a).select("cath_domain", "serial_number", "vdw", "residue_radius")
 
 
-@plain("FD6_charge_by_residue", "WITH p AS (SELECT cath_domain, serial_number, charge * 2 AS q, residue_rasa - 0.3::DOUBLE AS e FROM atoms WHERE element <> 'F'), r AS (SELECT cath_domain, residue_id, round(sum(q), 6) AS charge, round(sum(e), 6) AS electrostatic_potential FROM atoms LEFT JOIN p USING (cath_domain, serial_number) GROUP BY ALL) SELECT *, CAST(charge < 0 AS DOUBLE) AS neg_charge, CAST(charge > 0 AS DOUBLE) AS pos_charge, CAST(electrostatic_potential < 0 AS DOUBLE) AS is_electronegative FROM r", "atoms")
+@plain("FD6_charge_by_residue", """
+WITH p AS (SELECT cath_domain, serial_number, charge * 2 AS q, residue_rasa - 0.3::DOUBLE AS e FROM atoms WHERE element <> 'F'),
+r AS (SELECT cath_domain, residue_id, round(sum(q), 6) AS charge, round(sum(e), 6) AS electrostatic_potential FROM atoms LEFT JOIN p USING (cath_domain, serial_number)
+  GROUP BY ALL)
+SELECT *, CAST(charge < 0 AS DOUBLE) AS neg_charge, CAST(charge > 0 AS DOUBLE) AS pos_charge, CAST(electrostatic_potential < 0 AS DOUBLE) AS is_electronegative FROM r""", "atoms")
 def fd6(a):
     by = ["cath_domain", "serial_number"]
     table = a.where("element != 'F'").select(*by, (F.col("charge") * 2).alias("charge"), (F.col("residue_rasa") - 0.3).alias("electrostatic_potential"))
@@ -169,30 +176,43 @@ def fd10(a):
 _LETTERS = {"a": "H", "b": "B", "e": "E", "g": "G", "i": "I", "t": "T", "s": "S"}
 
 
-@plain("FD11_secondary_structure", f"SELECT cath_domain, serial_number, CAST(ss IN ('G','H') AS DOUBLE) AS is_helix, CAST(ss IN ('B','E') AS DOUBLE) AS is_sheet, CAST(ss NOT IN ('G','H','B','E') AS DOUBLE) AS Unk_SS, {', '.join(f"CAST(ss = '{v}' AS DOUBLE) AS is_{k}" for k, v in _LETTERS.items())} FROM atoms", "atoms")
+@plain("FD11_secondary_structure", f"""
+SELECT cath_domain, serial_number, CAST(ss IN ('G','H') AS DOUBLE) AS is_helix, CAST(ss IN ('B','E') AS DOUBLE) AS is_sheet, CAST(ss NOT IN ('G','H','B','E') AS DOUBLE) AS Unk_SS,
+  {', '.join(f"CAST(ss = '{v}' AS DOUBLE) AS is_{k}" for k, v in _LETTERS.items())} FROM atoms""", "atoms")
 def fd11(a):
     return X.secondary_structure(a).select("cath_domain", "serial_number", *X.COLUMNS["structure"])
 
 
-@plain("FD12_pharmacophore", "SELECT cath_domain, serial_number, CAST(t IN ('C','A') AS DOUBLE) AS hydrophobic_atom, CAST(t = 'A' AS DOUBLE) AS aromatic_atom, CAST(t IN ('NA','NS','OA','OS','SA') AS DOUBLE) AS hbond_acceptor, CAST(t IN ('HS','HD') AS DOUBLE) AS hbond_donor, CAST(t IN ('MG','ZN','MN','CA','FE') AS DOUBLE) AS metal FROM (SELECT *, CASE element WHEN 'N' THEN 'NA' WHEN 'O' THEN 'OA' WHEN 'H' THEN 'HD' WHEN 'P' THEN 'ZN' ELSE element END AS t FROM atoms)", "atoms")
+@plain("FD12_pharmacophore", """
+SELECT cath_domain, serial_number, CAST(t IN ('C','A') AS DOUBLE) AS hydrophobic_atom, CAST(t = 'A' AS DOUBLE) AS aromatic_atom,
+  CAST(t IN ('NA','NS','OA','OS','SA') AS DOUBLE) AS hbond_acceptor, CAST(t IN ('HS','HD') AS DOUBLE) AS hbond_donor, CAST(t IN ('MG','ZN','MN','CA','FE') AS DOUBLE) AS metal
+  FROM (SELECT *, CASE element WHEN 'N' THEN 'NA' WHEN 'O' THEN 'OA' WHEN 'H' THEN 'HD' WHEN 'P' THEN 'ZN' ELSE element END AS t FROM atoms)""", "atoms")
 def fd12(a):
     kind = F.when(F.col("element") == "N", "NA").when(F.col("element") == "O", "OA").when(F.col("element") == "H", "HD").when(F.col("element") == "P", "ZN").otherwise(F.col("element"))
     return X.pharmacophore(a.withColumn("atom_type", kind)).select("cath_domain", "serial_number", "hydrophobic_atom", "aromatic_atom", "hbond_acceptor", "hbond_donor", "metal")
 
 
-@plain("FD13_conservation", "WITH e AS (SELECT cath_domain, residue_id, max(residue_rasa) AS entropy FROM atoms WHERE element = 'C' GROUP BY ALL), r AS (SELECT DISTINCT cath_domain, residue_id FROM atoms) SELECT cath_domain, residue_id, coalesce(entropy, 1.0) AS entropy, CAST(coalesce(entropy, 1.0) < 0.5 AS DOUBLE) AS is_conserved FROM r LEFT JOIN e USING (cath_domain, residue_id)", "atoms")
+@plain("FD13_conservation", """
+WITH e AS (SELECT cath_domain, residue_id, max(residue_rasa) AS entropy FROM atoms WHERE element = 'C' GROUP BY ALL),
+r AS (SELECT DISTINCT cath_domain, residue_id FROM atoms)
+SELECT cath_domain, residue_id, coalesce(entropy, 1.0) AS entropy, CAST(coalesce(entropy, 1.0) < 0.5 AS DOUBLE) AS is_conserved FROM r LEFT JOIN e USING (cath_domain, residue_id)""", "atoms")
 def fd13(a):
     by = ["cath_domain", "residue_id"]
     e = a.where("element = 'C'").groupBy(*by).agg(F.max("residue_rasa").alias("entropy"))
     return X.conservation(a.select(*by).distinct(), e, by)
 
 
-@plain("FD14_frustration", "SELECT cath_domain, serial_number, f AS frustration_index, CAST(f <= -1 AS DOUBLE) AS is_highly_frustrated, CAST(f >= 0.78 AS DOUBLE) AS is_minimally_frustrated, CAST(f >= -1 AND f <= 0.78 AS DOUBLE) AS has_neutral_frustration FROM (SELECT *, charge * 40 AS f FROM atoms)", "atoms")
+@plain("FD14_frustration", """
+SELECT cath_domain, serial_number, f AS frustration_index, CAST(f <= -1 AS DOUBLE) AS is_highly_frustrated, CAST(f >= 0.78 AS DOUBLE) AS is_minimally_frustrated, CAST(f >= -1
+  AND f <= 0.78 AS DOUBLE) AS has_neutral_frustration FROM (SELECT *, charge * 40 AS f FROM atoms)""", "atoms")
 def fd14(a):
     return X.thresholds(a.withColumn("frustration_index", F.col("charge") * 40)).select("cath_domain", "serial_number", "frustration_index", "is_highly_frustrated", "is_minimally_frustrated", "has_neutral_frustration")
 
 
-@plain("FD16_docking_scores", "SELECT cath_domain, serial_number, CASE WHEN l THEN 1.0::DOUBLE WHEN residue_rasa < 0.5 THEN -15.0 ELSE 1.0 END AS simple, CASE WHEN residue_rasa < 0.5 THEN 12.25::DOUBLE ELSE 3.5 END AS zdock, CASE WHEN l THEN 0.0::DOUBLE ELSE charge END AS zdock_charge FROM (SELECT *, cath_domain % 2 = 1 AS l FROM atoms)", "atoms")
+@plain("FD16_docking_scores", """
+SELECT cath_domain, serial_number, CASE WHEN l THEN 1.0::DOUBLE WHEN residue_rasa < 0.5 THEN -15.0 ELSE 1.0 END AS simple,
+  CASE WHEN residue_rasa < 0.5 THEN 12.25::DOUBLE ELSE 3.5 END AS zdock, CASE WHEN l THEN 0.0::DOUBLE ELSE charge END AS zdock_charge FROM (SELECT *, cath_domain % 2 = 1 AS l
+  FROM atoms)""", "atoms")
 def fd16(a):
     """Every second structure is a ligand."""
     both = X.docking_scores(a.where("cath_domain % 2 = 0")).unionByName(X.docking_scores(a.where("cath_domain % 2 = 1"), ligand=True))
@@ -246,7 +266,9 @@ def ag6b(a):
     return A.copy_down(a, A.roll_up(a, {"vdw_radii": "max"}), ["vdw_radii"]).select("cath_domain", "serial_number", "vdw_radii")
 
 
-@plain("AG7_sequence", f"WITH k AS (SELECT cath_domain, serial_number, {ONE} AS o, residue_id, lag(residue_id) OVER (PARTITION BY cath_domain ORDER BY serial_number) AS p FROM atoms) SELECT cath_domain, string_agg(o, '' ORDER BY serial_number) AS sequence FROM k WHERE p IS NULL OR p <> residue_id GROUP BY cath_domain", "atoms")
+@plain("AG7_sequence", f"""
+WITH k AS (SELECT cath_domain, serial_number, {ONE} AS o, residue_id, lag(residue_id) OVER (PARTITION BY cath_domain ORDER BY serial_number) AS p FROM atoms)
+SELECT cath_domain, string_agg(o, '' ORDER BY serial_number) AS sequence FROM k WHERE p IS NULL OR p <> residue_id GROUP BY cath_domain""", "atoms")
 def ag7(a):
     return A.sequences(a)
 
@@ -257,7 +279,10 @@ def ag8(a):
     return out.select("cath_domain", "residue_id", "first", *(F.col(f"{n}.{c}").alias(f"{n.lower()}_{c}") for n in ("N", "CA", "C", "O") for c in "xyz"), r6("bfactor").alias("bfactor"))
 
 
-@plain("AG9_robust_bfactor", "WITH m AS (SELECT avg(bfactor) AS m FROM atoms), d AS (SELECT median(abs(bfactor - m)) AS mad FROM atoms, m) SELECT round(avg(bfactor), 6) AS mean, round(stddev_pop(bfactor), 6) AS std, count(*) AS n FROM atoms, m, d WHERE 0.6745 * (bfactor - m) / mad <= 3.5", "atoms")
+@plain("AG9_robust_bfactor", """
+WITH m AS (SELECT avg(bfactor) AS m FROM atoms),
+d AS (SELECT median(abs(bfactor - m)) AS mad FROM atoms, m)
+SELECT round(avg(bfactor), 6) AS mean, round(stddev_pop(bfactor), 6) AS std, count(*) AS n FROM atoms, m, d WHERE 0.6745 * (bfactor - m) / mad <= 3.5""", "atoms")
 def ag9(a):
     return A.robust_stats(a).select(r6("mean").alias("mean"), r6("std").alias("std"), "n")
 
@@ -272,12 +297,18 @@ def ag11(a):
     return A.z_scores(a, ["x"]).select("cath_domain", "serial_number", F.round("x_z", 5).alias("x_z"))
 
 
-@plain("AG18_completeness", "WITH p AS (SELECT DISTINCT cath_domain, 'a' AS part FROM atoms UNION SELECT DISTINCT cath_domain, 'b' FROM atoms WHERE element = 'C' UNION SELECT DISTINCT cath_domain, 'c' FROM atoms WHERE bfactor > 104) SELECT cath_domain, count(*) AS n_parts, count(*) = 3 AS complete FROM p GROUP BY ALL", "atoms")
+@plain("AG18_completeness", """
+WITH p AS (SELECT DISTINCT cath_domain, 'a' AS part FROM atoms
+UNION SELECT DISTINCT cath_domain, 'b' FROM atoms WHERE element = 'C'
+UNION SELECT DISTINCT cath_domain, 'c' FROM atoms WHERE bfactor > 104)
+SELECT cath_domain, count(*) AS n_parts, count(*) = 3 AS complete FROM p GROUP BY ALL""", "atoms")
 def ag18(a):
     return A.completeness({"atom": a, "residue": a.where("element = 'C'"), "edge": a.where("bfactor > 104")})
 
 
-@plain("W1_run_ids", "SELECT cath_domain, serial_number, CAST(sum(n) OVER (PARTITION BY cath_domain ORDER BY serial_number) - 1 AS BIGINT) AS run_id FROM (SELECT *, CASE WHEN ss = lag(ss) OVER (PARTITION BY cath_domain ORDER BY serial_number) THEN 0 ELSE 1 END AS n FROM atoms)", "atoms")
+@plain("W1_run_ids", """
+SELECT cath_domain, serial_number, CAST(sum(n) OVER (PARTITION BY cath_domain ORDER BY serial_number) - 1 AS BIGINT) AS run_id FROM (SELECT *,
+  CASE WHEN ss = lag(ss) OVER (PARTITION BY cath_domain ORDER BY serial_number) THEN 0 ELSE 1 END AS n FROM atoms)""", "atoms")
 def w1(a):
     return A.run_ids(a, "ss", "cath_domain", "serial_number").select("cath_domain", "serial_number", "run_id")
 

@@ -2,6 +2,9 @@
 
 import math
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -46,6 +49,11 @@ def test_query(name, spark, duck):
         assert got or name in ("CL3_kmer_pairs",)
 
 
+def test_entry_needs_no_session_to_be_imported():
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 200"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1], timeout=120)
+
+
 def test_settled_rounds_inside_out():
     assert settled("SELECT round(avg(x), 6), round(y, 4) FROM t").count("1.3e-08") == 1
 
