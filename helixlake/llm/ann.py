@@ -154,7 +154,8 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
 
     Rows with a null id, or an unusable vector (null, empty, zero, null or non-finite components), take no part, nor do
     vectors of another length than the most frequent one, which have no inner product with it. Rows of equal id and vector
-    count once; a row with the query's id is no candidate for it. Extra columns don't matter; an empty table gives no rows."""
+    count once; a row with the query's id is no candidate for it. An id with several vectors has one list, of what is nearest
+    to any of them. Extra columns don't matter; an empty table gives no rows."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(vec_col))
     width = rows.groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
