@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 
+#: A list of 2 ** ROUNDS places has no end.
+ROUNDS = 48
+
+
 def tour(edges: DataFrame) -> DataFrame:
     """The Euler tour of merge trees (node, left, right; negative children are leaves) as a linked list: (at, next, leaves).
 
@@ -32,12 +36,31 @@ def rank_list(steps: DataFrame, value: str = "leaves") -> tuple[DataFrame, int]:
         ahead = rows.select(F.col("at").alias("next"), F.col("next").alias("beyond"), F.col(value).alias("more"))
         doubled = rows.where("next is not null").join(ahead, "next").select("at", F.col("beyond").alias("next"), (F.col(value) + F.col("more")).alias(value))
         rows, rounds = written(doubled.unionByName(rows.where("next is null")), "list"), rounds + 1
+        if rounds > ROUNDS:
+            raise ValueError("a list runs in a circle")
     return rows.select("at", value), rounds
 
 
 def tree_sizes(edges: DataFrame) -> DataFrame:
-    """Leaves below each node of merge trees: what the tour passes between the way in and the way out."""
+    """Leaves below each node of merge trees: what the tour passes between the way in and the way out. Where a node has several
+    parents it counts for each, and sums go up a level a round instead."""
+    shared = edges.select(F.explode(F.array("left", "right")).alias("kid")).where("kid >= 0").groupBy("kid").count().where("count > 1")
+    if not shared.isEmpty():
+        return _by_levels(edges)
     sums, _ = rank_list(tour(edges))
     node = F.expr("at div 3").alias("node")
-    ends = sums.where("at % 3 <> 1").groupBy(node).agg(F.sum(F.when(F.col("at") % 3 == 0, F.col("leaves")).otherwise(-F.col("leaves"))).alias("n_leaves"))
-    return ends
+    return sums.where("at % 3 <> 1").groupBy(node).agg(F.sum(F.when(F.col("at") % 3 == 0, F.col("leaves")).otherwise(-F.col("leaves"))).alias("n_leaves"))
+
+
+def _by_levels(edges: DataFrame) -> DataFrame:
+    kids = edges.select("node", F.explode(F.array("left", "right")).alias("kid"))
+    done = kids.where("kid < 0").groupBy("node").agg(F.count("*").alias("own"))
+    inner = written(kids.where("kid >= 0"), "tree")
+    own = F.coalesce("own", F.lit(0))
+    size = written(edges.select("node").join(done, "node", "left").select("node", own.alias("n"), own.alias("front")), "tree")
+    while True:
+        up = inner.join(size.select(F.col("node").alias("kid"), "front"), "kid").groupBy("node").agg(F.sum("front").alias("add"))
+        if up.where("add > 0").isEmpty():
+            return size.select("node", F.col("n").alias("n_leaves"))
+        more = F.coalesce("add", F.lit(0))
+        size = written(size.join(up, "node", "left").select("node", (F.col("n") + more).alias("n"), more.alias("front")), "tree")
