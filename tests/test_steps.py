@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from helixlake.operators import clusters, geometry, spatial
+from helixlake.operators import clusters, geometry, spatial, voxel
 from helixlake.plans.registry import digest, digest_sql, r6, settled
 
 ATOM = "cath_domain long, serial_number long, residue_id string, atom_name string, x double, y double, z double, bfactor double"
@@ -117,3 +117,13 @@ def test_voxels_of_pairs_without_voxel_joins(spark):
     places = {(x[0], *(math.floor(c + 0.5) for c in x[4:7])) for x in rows}
     hit = lambda v, x: sum((i - c) * (i - c) for i, c in zip(v[1:], x[4:7], strict=True)) <= 2.75 * 2.75
     assert {tuple(x) for x in near.collect()} == {(*v, x[1], x[2]) for v in places for x in rows if v[0] == x[0] and hit(v, x)}
+
+
+def test_voxels_are_gathered_where_their_structure_is(spark):
+    r = random.Random(4)
+    rows = [(g, k, *(r.uniform(-9, 9) for _ in range(3)), 1.7, r.random(), r.random()) for g in range(6) for k in range(30)]
+    df = spark.createDataFrame(rows, "cath_domain long, serial_number long, x double, y double, z double, vdw_radii double, charge double, bfactor double")
+    v = voxel.voxelize(df, ["charge"])
+    plan = v.groupBy("cath_domain").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # of atoms; before, voxels were shuffled
+    assert {(x.cath_domain, x.vx, x.vy, x.vz, x.n_atoms) for x in v.collect()} == {tuple(x) for x in spatial.lattice_points(df).groupBy("cath_domain", "vx", "vy", "vz").count().collect()}
