@@ -17,11 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .clusters import BLOCK_ROWS, components
+from .clusters import components
 from .scratch import written
 
 #: Pivots at most, rows for each, and what an angle (in radians) may be off by.
 PIVOTS, PIVOT_ROWS, SLIP = 256, 2_000, 1e-4
+#: Rows of a block of vectors; a large block sends a vector to few others.
+BLOCK_ROWS = 8_000
+#: Rows of a block that are multiplied with the other block at once.
+SLICE_ROWS = 500
 
 
 def _units(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +74,13 @@ def deal(df: DataFrame, key: str, group: str, vec: str, least: float, pivots: np
             yield pd.DataFrame({group: b[group], key: b[key], "unit": list(unit), "home": home.astype(np.int32), "angle": own, "cells": cells})
 
     dealt = df.select(group, key, F.col(vec).cast("array<double>").alias("v")).mapInPandas(run, schema)
+    # a group whose rows would go to more cells than it has blocks stays in one cell: its vectors have no structure
+    n = dealt.groupBy(group).agg(F.sum(F.size("cells")).alias("copies"), F.count("*").alias("n"))
+    flat = n.select(F.col(group).alias("_flat")).where(F.col("copies") > F.col("n") * F.greatest(F.lit(2.0), F.ceil(F.col("n") / BLOCK_ROWS))) if len(pivots) else None
+    if flat is not None:
+        one = F.col("_flat").isNotNull()
+        dealt = dealt.join(flat, F.col(group).eqNullSafe(F.col("_flat")), "left")
+        dealt = dealt.withColumns({"home": F.when(one, -1).otherwise(F.col("home")), "angle": F.when(one, math.pi).otherwise(F.col("angle")), "cells": F.when(one, F.array(F.lit(-1))).otherwise(F.col("cells"))})
     return dealt.select(group, key, "unit", "home", "angle", F.explode("cells").alias("cell"))
 
 
@@ -94,18 +105,29 @@ def close_pairs(dealt: DataFrame, key: str, group: str, least: float, skip_withi
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return pa.table({f.name: pa.array([], pa.null()) for f in schema})
-        u, v = (np.array(t["unit"].to_pylist(), np.float64) for t in (left, right))
+        u, v = (_matrix(t["unit"]) for t in (left, right))
         ka, kb = (t[key].to_numpy(zero_copy_only=False) for t in (left, right))
-        ca, cb = (np.asarray(t["core"].to_pylist(), bool) for t in (left, right))
-        score = u @ v.T
-        hit = (score >= least) & (ka[:, None] < kb[None, :]) & ~(ca[:, None] & cb[None, :])
-        i, j = np.nonzero(hit)
-        return pa.table({group: left[group].take(pa.array(i)), "a": left[key].take(pa.array(i)), "b": right[key].take(pa.array(j)), "score": pa.array(score[i, j])})
+        ca, cb = (np.asarray(t["core"].to_numpy(zero_copy_only=False), bool) for t in (left, right))
+        found = []
+        for at in range(0, len(u), SLICE_ROWS):
+            own = slice(at, at + SLICE_ROWS)
+            score = u[own] @ v.T
+            i, j = np.nonzero(score >= least)
+            keep = (ka[own][i] < kb[j]) & ~(ca[own][i] & cb[j])
+            i, j = i[keep], j[keep]
+            found.append((i + at, j, score[i, j]))
+        i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({group: left[group].take(pa.array(i)), "a": left[key].take(pa.array(i)), "b": right[key].take(pa.array(j)), "score": pa.array(score)})
 
     by = [group, "cell", "x", "y"]
     return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(lambda x, y: product(x, y).cast(_arrow(schema)), schema)
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -177,3 +177,15 @@ def test_selection_does_not_rest_on_the_spread(spark):
     assert aggregates.value_at(df, "v", ranks) == {k: ordered[k] for k in ranks}
     assert aggregates.median_of(df, "v").first().median == statistics.median(values)
     assert aggregates.median_of(df.where("false"), "v").first().median is None
+
+
+def test_vectors_without_structure_are_not_copied_to_all_cells(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, i % 2, [float(x) for x in r.normal(size=16)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, family long, v array<double>")
+    pivots = linkage.pivots_of(df, "id", "v", 30, 5)
+    dealt = linkage.deal(df, "id", "family", "v", 0.5, pivots)
+    assert dealt.count() == 300  # before: one row for most of the 30 cells
+    pairs = {(x.a, x.b) for x in linkage.close_pairs(dealt, "id", "family", 0.5, 0.2, block_rows=40).collect()}
+    unit = {i: (g, np.array(v) / np.linalg.norm(v)) for i, g, v in rows}
+    assert pairs == {(a, b) for a in unit for b in unit if a < b and unit[a][0] == unit[b][0] and unit[a][1] @ unit[b][1] >= 0.5}
