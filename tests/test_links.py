@@ -189,3 +189,22 @@ def test_vectors_without_structure_are_not_copied_to_all_cells(spark):
     pairs = {(x.a, x.b) for x in linkage.close_pairs(dealt, "id", "family", 0.5, 0.2, block_rows=40).collect()}
     unit = {i: (g, np.array(v) / np.linalg.norm(v)) for i, g, v in rows}
     assert pairs == {(a, b) for a in unit for b in unit if a < b and unit[a][0] == unit[b][0] and unit[a][1] @ unit[b][1] >= 0.5}
+
+
+def test_pairs_are_products_of_blocks_and_need_no_second_shuffle(spark):
+    rng = random.Random(3)
+    rows = [(i, i % 2, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(60, 0, None), (61, 0, [0.0] * 4), (62, 0, [1.0, 2.0]), (63, 0, [2.0, None, 1.0, 1.0]), (64, None, [1.0] * 4), (None, 0, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, g int, embedding array<double>")
+    scores = clusters.pair_scores(df, "id", "g", block_rows=7)
+    got = {(r.g, r.a, r.b): r.score for r in scores.collect()}
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, _, v in rows[:60]}
+    ids = [(i, g) for i, g, _ in rows if i is not None and g is not None]
+    assert set(got) == {(g, i, j) for i, g in ids for j, h in ids if g == h and i < j} and len(got) == scores.count()
+    for (_, i, j), s in got.items():
+        want = sum(x * y for x, y in zip(unit[i], unit[j], strict=True)) if j < 60 else None
+        assert s is None if want is None else abs(s - want) < 1e-12
+    plain = sorted(map(str, clusters.score_matrix(scores).collect()))
+    matrix = clusters.score_matrix(scores, once=True)
+    assert len(plain) == 2 * len(got) and sorted(map(str, matrix.select("a", "b", "score").collect())) == plain
+    assert "avg(" not in matrix._jdf.queryExecution().executedPlan().toString()
