@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import records as R
-from ..operators.scratch import scratch_path
+from ..operators.scratch import scratch_path, written
 from ..sources import structures as T
 from .q_rows import ONE, plain
 from .registry import on, query, r6
@@ -300,7 +300,7 @@ max(line) FROM m GROUP BY ALL""")
 def tr27(d):
     """Files of chains, models and segments, read back."""
     spark, out = d.sparkSession, None
-    own = R.with_model(d).where(R.is_coord())
+    own = written(R.with_model(d).where(R.is_coord()).select("path", "chain", "model", "segid", "line_no", "line"), "coords")  # parsed once
     for by in ("chain", "model", "segid"):
         path = scratch_path(spark, f"split-{by}")
         T.split_structures(own, path, by)

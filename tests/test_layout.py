@@ -172,3 +172,22 @@ def test_boxes_and_half_shells(spark, radius):
     # a group that fits in the radius is one cell, of which no copy is made
     if radius == 50.0:
         assert both.select("a_x").count() == len(want)
+
+
+def test_text_files_are_those_of_sparks_writer_and_need_no_stream_each(spark, tmp_path, monkeypatch):
+    from helixlake.sources import textfiles
+
+    parts = ["A", "", None, "a/b", "x=1", "50%", "[q]", "é"]
+    rows = [(k, p, n, f"{k}{p}{n}" if n else None) for k in (1, 2, 30) for p in parts for n in (2, 0, 1)]
+    df = spark.createDataFrame(rows, "path long, part string, line_no long, value string")
+    read = lambda at: sorted(map(str, spark.read.schema("value string, path long, part string").text(at).collect()))
+    names = lambda at: sorted(str(f.parent.relative_to(at)) for f in at.rglob("*.txt"))
+    for _ in range(2):  # the second time in place of the first
+        textfiles.write_text_files(df, f"file://{tmp_path}/own", ["path", "part"], "line_no")
+    assert not any(n.startswith("_job") for n in map(lambda f: f.name, (tmp_path / "own").iterdir()))
+    monkeypatch.setattr(textfiles, "is_mounted", lambda *_: False)
+    textfiles.write_text_files(df, f"file://{tmp_path}/sparks", ["path", "part"], "line_no")
+    assert read(f"{tmp_path}/own") == read(f"{tmp_path}/sparks") and names(tmp_path / "own") == names(tmp_path / "sparks")
+    assert (tmp_path / "own/path=1/part=A/lines.txt").read_text() == "\n1A1\n1A2\n"
+    monkeypatch.undo()
+    assert not textfiles.is_mounted(spark, "s3a://store/at") and textfiles.is_mounted(spark, f"{tmp_path}")
