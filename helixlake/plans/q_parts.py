@@ -10,6 +10,7 @@ from ..operators import geometry as G
 from ..operators import hierarchy as H
 from ..operators import interact as I
 from ..operators import records as R
+from ..operators.scratch import written
 from ..sources import structures as T
 from .q_hierarchy import split_sql
 from .q_interact import _BSA
@@ -73,7 +74,7 @@ UNION ALL SELECT 'text', path, line_no FROM r WHERE record = 'ATOM' AND resseq =
 UNION ALL SELECT 'key', path, line_no FROM r WHERE record = 'HETATM' AND resseq = 22 AND icode = ' '""")
 @on("lines")
 def pf15b(lines):
-    d = T.parse_records(lines)
+    d = written(T.parse_records(lines).select("path", "chain", "record", "resseq", "icode", "line_no"), "records")  # parsed once for all labels
     one = lambda asked, label: P.residue_of(d, label).select(F.lit(asked).alias("asked"), "path", "line_no")
     return one("number", 22).unionByName(one("text", "22A")).unionByName(one("key", ("H", 22, " ")))
 

@@ -133,3 +133,11 @@ def test_sites_and_neighbours(spark):
     assert {r.pdb: (r.n_first, r.n_second) for r in interact.distinct_residues(listed.withColumn("first_res", F.replace("first_res", F.lit(" "), F.lit(""))), separator=",").collect()} == {"p": (3, 1), "q": (0, 0)}
     kinds = spark.createDataFrame([("bio", 1), ("bio", -1), ("xtal", 3)], "kind string, region long")
     assert interact.bio_interfaces(kinds, "kind").count() == 2 and interact.bio_interfaces(kinds, "kind", region="region").count() == 1
+
+
+@pytest.mark.parametrize("name", ["PF15b_residue_of", "TR26_join_models"])
+def test_records_are_parsed_once(name, spark):
+    from helixlake.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan  # what is left reads the records written
