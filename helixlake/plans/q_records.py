@@ -221,6 +221,7 @@ def tr24(d):
 SELECT path, line_no, serial FROM records l WHERE {CO} AND path % 2 = 0 AND EXISTS (SELECT 1 FROM records r WHERE r.path % 2 = 1 AND r.record IN ('ATOM', 'HETATM')
   AND r.chain = l.chain AND r.resname = l.resname AND r.resseq = l.resseq AND r.icode = l.icode AND r.atom_name = l.atom_name AND r.altloc = l.altloc)""", "serial")
 def tr25(d):
+    d = written(d.where(R.is_coord()).select(*KEY, "record", "serial", *_ATOM.split(", ")), "records")  # parsed once for both sides
     return R.harmonize(d.where("path % 2 = 0"), d.where("path % 2 = 1"))
 
 

@@ -135,7 +135,7 @@ def test_sites_and_neighbours(spark):
     assert interact.bio_interfaces(kinds, "kind").count() == 2 and interact.bio_interfaces(kinds, "kind", region="region").count() == 1
 
 
-@pytest.mark.parametrize("name", ["PF15b_residue_of", "TR26_join_models"])
+@pytest.mark.parametrize("name", ["PF15b_residue_of", "TR25_harmonize", "TR26_join_models"])
 def test_records_are_parsed_once(name, spark):
     from helixlake.plans.queries import QUERIES
 
