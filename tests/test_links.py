@@ -208,3 +208,20 @@ def test_pairs_are_products_of_blocks_and_need_no_second_shuffle(spark):
     matrix = clusters.score_matrix(scores, once=True)
     assert len(plain) == 2 * len(got) and sorted(map(str, matrix.select("a", "b", "score").collect())) == plain
     assert "avg(" not in matrix._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("run", [greedy.greedy_representatives, clusters.kmer_clusters, clusters.kmer_pairs])
+def test_only_shared_kmers_are_carried(spark, monkeypatch, run):
+    """Sets are written once, and of the k-mers only those that two classes have."""
+    kept = []
+
+    def written(df, name, f=clusters.written):
+        kept.append((name, f(df, name)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(clusters, "written", written)
+    rows = [(i, " ".join(f"w{i // 2}x{j if j < 20 else (i, j)}" for j in range(30))) for i in range(10)]
+    run(spark.createDataFrame([*rows, (10, rows[0][1]), (10, rows[0][1])], "id long, text string"), "id", "text").collect()
+    assert [n for n, _ in kept].count("kmers") == 1
+    tables = [df.count() for _, df in kept if "g" in df.columns and df.schema["g"].dataType.typeName() == "long"]
+    assert tables == [10 * 16]
