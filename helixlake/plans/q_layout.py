@@ -34,7 +34,7 @@ i AS (SELECT *, pos - row_number() OVER (PARTITION BY cath_domain, value ORDER B
 SELECT cath_domain, min(pos) AS start, max(pos) AS stop, value FROM i GROUP BY cath_domain, value, island""")
 def w3_corrections(spark, sf):
     fixes = spark.sql(_FIXES, lineitem=tables(spark, sf)["lineitem"])
-    return O.overlay(segments_of(view(spark, sf, "atoms")), fixes, "cath_domain").select("cath_domain", "start", "stop", "value")
+    return O.overlay(segments_of(view(spark, sf, "atoms", V.TASK_ATOMS)), fixes, "cath_domain").select("cath_domain", "start", "stop", "value")
 
 
 @plain("SC2_scan_level", """

@@ -44,6 +44,20 @@ def test_overlay(spark):
     assert overlay.overlay(a.where("false"), b.where("false"), "d").collect() == []
 
 
+def test_overlay_makes_runs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(s, at, at + 4, "HEX"[at % 3]) for s in range(3) for at in range(0, 40, 5)], "d long, start long, stop long, value string")
+    fixes = spark.createDataFrame([(1, 1, 3, 12, "H"), (2, 1, -4, 2, "E")], "d long, nr long, start long, stop long, value string")
+    overlay.overlay(rows.mapInArrow(count, rows.schema), fixes, "d").collect()
+    assert made.value == 24
+
+
 def rows_read(df):
     """Rows that the scans of a query let through."""
     df.collect()
