@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,17 @@ def test_dense_round_trip(spark):
     assert sorted(os.listdir(dense.local_path(path))) == sorted(f"{n}.npz" for n, _, _ in rows)
 
 
+def test_dense_rows_become_matrices_without_lists(tmp_path):
+    kind = pa.list_(pa.list_(pa.float64()))
+    got = dense.nested(pa.array([[[1, 2, 3], [4, 5, 6]], [], None, [[7, 8, 9]]], kind).slice(0, 4))
+    assert [m.tolist() for m in got] == [[[1, 2, 3], [4, 5, 6]], [], [], [[7, 8, 9]]]
+    with pytest.raises(ValueError):
+        dense.nested(pa.array([[[1], [2, 3, 4]]], kind))
+    dense.pack(tmp_path / "a.npz", name=np.array("a"), grid=np.eye(3))
+    with np.load(tmp_path / "a.npz") as z:
+        assert str(z["name"]) == "a" and (z["grid"] == np.eye(3)).all()
+
+
 def test_lost_attempts_leave_no_file(spark, tmp_path):
     """A job with a failing task leaves nothing; what an attempt wrote that was not committed goes."""
     bad = spark.createDataFrame([("a", [[0, 0, 0]], [[1.0]]), ("b", [[0, 0, 0], [1, 1, 1]], [[1.0]])], "cath_domain string, coords array<array<long>>, feats array<array<double>>").repartition(2)
