@@ -36,3 +36,8 @@ def edges_in_both_orders(spark, name, f):
 def test_torsions_of_an_edge_at_the_limit(spark):
     out = edges_in_both_orders(spark, "CL5b_edge_torsions", q_clusters.cl5b)
     assert [len(o) for o in out] == [1] * 4 and out == out[:1] * 4
+
+
+def test_kernels_of_an_edge_at_the_limit(spark):
+    out = edges_in_both_orders(spark, "CL6_edge_kernels", q_clusters.cl6)
+    assert [len(o) for o in out] == [1] * 4 and out == out[:1] * 4
