@@ -3,9 +3,31 @@
 import duckdb
 
 from helixlake.plans import q_clusters
-from helixlake.plans.queries import SQL
+from helixlake.plans.queries import QUERIES, SQL
 from helixlake.plans.views import view_sql
 
+LINEITEM = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag varchar, l_linestatus varchar, l_shipdate timestamp"
+
+
+def lineitem(path, rows):
+    """A folder with line items (order, part, supplier, line, quantity), and DuckDB on it."""
+    con = duckdb.connect()
+    con.execute(f"create table t ({LINEITEM})")
+    con.executemany("insert into t values (?, ?, ?, ?, ?, 1000, 0.05, 0.02, 'A', 'F', timestamp '1996-01-01')", rows)
+    con.execute(f"copy t to '{path}/lineitem.parquet' (format parquet)")
+    con.execute(f"create view lineitem as select * from '{path}/lineitem.parquet'")
+    return con
+
+
+def test_connections_at_the_limit(spark, tmp_path):
+    # from 4.1 to 16.1 and from 23.3 to 32.3: 15 by products, and 14.999999999999998 by DuckDB's power, which counted it
+    ends = [(233, 41, 1, 1, 10), (323, 161, 1, 2, 10)]
+    con = lineitem(tmp_path, [*ends, (233, 41, 2, 1, 10), (323, 151, 2, 2, 10)])
+    want = con.execute(SQL["J20_allowed_connections"]).fetchall()
+    got = QUERIES["J20_allowed_connections"](spark, str(tmp_path)).collect()
+    assert [(r.cath_domain, r.n, r.digest) for r in got] == want
+    assert [r[:2] for r in want] == [(2, 2)]
+
 
 def edges_in_both_orders(spark, name, f):
     """The result of ``f`` and that of the query's SQL, on atoms (in place of the view) in two orders of rows. The mean of the
