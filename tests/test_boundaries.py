@@ -63,3 +63,9 @@ def test_torsions_of_an_edge_at_the_limit(spark):
 def test_kernels_of_an_edge_at_the_limit(spark):
     out = edges_in_both_orders(spark, "CL6_edge_kernels", q_clusters.cl6)
     assert [len(o) for o in out] == [1] * 4 and out == out[:1] * 4
+
+
+def test_annotations_of_an_edge_at_the_limit(spark):
+    out = edges_in_both_orders(spark, "J23_pair_annotations", q_clusters.j23)
+    assert [len(o) for o in out] == [1] * 4 and out == out[:1] * 4
+    assert out[0] == [(1, "1", "2", 0.1, 0.2, 0.3, 10.0, True, False, False, False, True, False)]
