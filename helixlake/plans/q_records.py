@@ -300,15 +300,10 @@ count(*),
 max(line) FROM m GROUP BY ALL""")
 def tr27(d):
     """Files of chains, models and segments, read back."""
-    spark, out = d.sparkSession, None
-    own = written(R.with_model(d).where(R.is_coord()).select("path", "chain", "model", "segid", "line_no", "line"), "coords")  # parsed once
-    for by in ("chain", "model", "segid"):
-        path = scratch_path(spark, f"split-{by}")
-        T.split_structures(own, path, by)
-        back = spark.read.schema("value string, path long, part string").text(path).groupBy("path", "part").agg(F.count("*").alias("n"), F.max("value").alias("last"))
-        one = back.select(F.lit(by).alias("by"), "path", "part", "n", "last")
-        out = one if out is None else out.unionByName(one)
-    return out
+    path = scratch_path(d.sparkSession, "split")
+    T.split_structures(R.with_model(d).where(R.is_coord()), path, ("chain", "model", "segid"), dealt=True)
+    back = T.read_split_structures(d.sparkSession, path)
+    return back.groupBy("by", F.col("path").cast("long").alias("path"), "part").agg(F.count("*").alias("n"), F.max("value").alias("last"))
 
 
 _MODEL = "CASE WHEN line_no < 1202 THEN 1 ELSE 2 END"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textfiles import write_text_files
+from .textfiles import read_text_files, write_text_files
 
 # Columns of a coordinate record, as first column (from 1), width and type; raw ones keep their blanks.
 FIELDS = {
@@ -83,10 +83,16 @@ def coded_structures(inventory: DataFrame) -> DataFrame:
     return inventory.withColumn("code", F.element_at(F.split("path", "/"), -2))
 
 
-def split_structures(df: DataFrame, path: str, by: str) -> None:
-    """The lines of each chain, model or segment (column ``by``) of each structure in a folder of its own, in order."""
-    rows = df.select("path", F.trim(F.col(by).cast("string")).alias("part"), "line_no", F.col("line").alias("value"))
-    write_text_files(rows, path, ["path", "part"], "line_no")
+def split_structures(df: DataFrame, path: str, by: tuple[str, ...], dealt: bool = False) -> None:
+    """The lines of each chain, model or segment (columns ``by``, all in one pass) of each structure in a folder of its own, in
+    order. ``dealt``: rows of a structure are in one task already."""
+    rows = df.select("path", "line_no", F.col("line").alias("value"), *(F.trim(F.col(c).cast("string")).alias(c) for c in by))
+    write_text_files(rows, path, ["path"], "line_no", splits=by, dealt=dealt)
+
+
+def read_split_structures(spark: SparkSession, path: str) -> DataFrame:
+    """What ``split_structures`` wrote, a line a row: value, by (the column), path and part, as text."""
+    return read_text_files(spark, path, ["by", "path", "part"], level=1)
 
 
 def compact(spark: SparkSession, source: str, path: str, parts: int = 20, by: str | None = None) -> None:

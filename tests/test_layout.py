@@ -1,7 +1,9 @@
 """Overlays, laid-out tables, dense blocks, folders as hierarchies, and user functions with any result."""
 
 import os
+import pickle
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -217,3 +219,42 @@ def test_text_files_are_those_of_sparks_writer_and_need_no_stream_each(spark, tm
     assert (tmp_path / "own/path=1/part=A/lines.txt").read_text() == "\n1A1\n1A2\n"
     monkeypatch.undo()
     assert not textfiles.is_mounted(spark, "s3a://store/at") and textfiles.is_mounted(spark, f"{tmp_path}")
+
+
+def test_the_driver_hears_of_no_file(spark, tmp_path, monkeypatch):
+    """What a task reports doesn't grow with its files, and reading them back lists none in the driver."""
+    from helixlake.sources import textfiles
+
+    sizes = []
+    monkeypatch.setattr(textfiles, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0)))
+    for n in (1, 300):
+        writer = textfiles.TextWriter(str(tmp_path / f"{n}"), ["path"], [], True)
+        message = writer.write(iter([pa.RecordBatch.from_pydict({"path": list(range(n)), "value": ["x"] * n})]))
+        sizes.append(len(pickle.dumps(message)))
+        writer.commit([message, None])
+        assert sorted(f.name for f in (tmp_path / f"{n}").iterdir()) == sorted(f"path={k}" for k in range(n))
+    assert sizes[1] <= sizes[0] + 4
+    monkeypatch.setattr(textfiles, "HELD", 3)
+    long = textfiles.TextWriter(str(tmp_path / "long"), ["path"], [], True)
+    long.commit([long.write(iter([pa.RecordBatch.from_pydict({"path": [7] * 10, "value": list("abcdefghij")})]))])
+    assert (tmp_path / "long/path=7/lines.txt").read_text().split() == list("abcdefghij")
+    monkeypatch.undo()
+    back = textfiles.read_text_files(spark, f"file://{tmp_path}/300", ["path"])
+    assert back.count() == 300 and not back.inputFiles()
+
+
+def test_splits_come_in_one_pass_and_are_those_of_sparks_writer(spark, tmp_path, monkeypatch):
+    from helixlake.sources import structures, textfiles
+
+    parts = ["A", "", None, "a/b", "50%", "é", " B"]
+    rows = [(k, p, str(n % 2), n, f"{k}{p}{n}\r{n}" if n else None) for k in range(40) for n, p in enumerate(parts)]
+    df = spark.createDataFrame(rows, "path long, chain string, model string, line_no long, line string")
+    read = lambda at: sorted(map(str, structures.read_split_structures(spark, at).select("by", "path", "part", "value").collect()))
+    names = lambda at: sorted(str(f.parent.relative_to(at)) for f in at.rglob("*.txt"))
+    for _ in range(2):  # the second time in place of the first
+        structures.split_structures(df, f"file://{tmp_path}/own", ("chain", "model"))
+    own = read(f"file://{tmp_path}/own")
+    monkeypatch.setattr(textfiles, "is_mounted", lambda *_: False)
+    structures.split_structures(df, f"file://{tmp_path}/sparks", ("chain", "model"))
+    assert own == read(f"file://{tmp_path}/sparks") and names(tmp_path / "own") == names(tmp_path / "sparks")
+    assert (tmp_path / "own/by=model/path=1/part=0/lines.txt").read_bytes() == "\n1None2\r2\n150%4\r4\n1 B6\r6\n".encode()
