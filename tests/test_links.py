@@ -210,6 +210,18 @@ def test_pairs_are_products_of_blocks_and_need_no_second_shuffle(spark):
     assert "avg(" not in matrix._jdf.queryExecution().executedPlan().toString()
 
 
+def test_vectors_go_to_so_many_tasks_whatever_the_size_of_their_group(spark, monkeypatch):
+    df = lambda n: spark.range(n).selectExpr("id", "1 as g", "array(1d, double(id), 3d) as embedding")
+    copies = lambda n: clusters.deal_pairs(df(n), "id", "g", block_rows=10).count() / n
+    assert copies(5) == 2 and copies(100) == copies(400) == clusters.PAIR_BLOCKS + 1  # before: 11 and 41
+    pairs = clusters.pair_scores(df(400), "id", "g", block_rows=10)
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == 400 * 399 // 2 and pairs.where("a >= b or score is null").isEmpty()
+    monkeypatch.setattr(clusters, "BLOCK_BYTES", 24 * 20)  # no block of more than about so much
+    assert copies(400) == 21
+    named = spark.createDataFrame([(x, "f", [1.0, float(i)]) for i, x in enumerate("zyxab")], "id string, g string, embedding array<float>")
+    assert {(r.g, r.a, r.b) for r in clusters.pair_scores(named, "id", "g").collect()} == {("f", a, b) for a in "abxyz" for b in "abxyz" if a < b}
+
+
 @pytest.mark.parametrize("run", [greedy.greedy_representatives, clusters.kmer_clusters, clusters.kmer_pairs])
 def test_only_shared_kmers_are_carried(spark, monkeypatch, run):
     """Sets are written once, and of the k-mers only those that two classes have."""
