@@ -237,3 +237,10 @@ def test_only_shared_kmers_are_carried(spark, monkeypatch, run):
     assert [n for n, _ in kept].count("kmers") == 1
     tables = [df.count() for _, df in kept if "g" in df.columns and df.schema["g"].dataType.typeName() == "long"]
     assert tables == [10 * 16]
+
+
+def test_both_places_of_a_pair_are_made_without_an_array_for_each(spark):
+    scores = spark.createDataFrame([("x", "y", 0.5), ("x", "z", None)], "a string, b string, score double")
+    matrix = clusters.score_matrix(scores, once=True)
+    assert {tuple(r) for r in matrix.collect()} == {("x", "y", 0.5), ("y", "x", 0.5), ("x", "z", None), ("z", "x", None)}
+    assert "struct" not in matrix._jdf.queryExecution().executedPlan().toString()
