@@ -207,6 +207,22 @@ def test_streamed_files_come_once(spark, tmp_path):
     assert sum(seen) == 2
 
 
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """Spark would take a task for each folder, once to look, once to plan a batch, and again for a run that finds nothing."""
+    for k in range(60):
+        (tmp_path / f"in/{k}").mkdir(parents=True)
+        (tmp_path / f"in/{k}/a.pdb").write_text("END\n")
+    tracker = spark.sparkContext.statusTracker()
+    before, seen = max(tracker.getJobIdsForGroup(None), default=-1), []
+    stream = incremental.stream_structures(spark, f"{tmp_path}/in/*")
+    for _ in range(2):
+        incremental.ingest(stream, str(tmp_path / "cp"), lambda d, _: seen.append(d.count()))
+    assert structures.list_structures(spark, f"{tmp_path}/in").count() == 60 and sum(seen) == 60
+    stages = [tracker.getStageInfo(s) for j in range(before + 1, before + 200) if (info := tracker.getJobInfo(j)) for s in info.stageIds]
+    assert stages and max(s.numTasks for s in stages if s) < 60
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) == 10_000
+
+
 def test_features_used_and_predicted_must_differ(spark):
     with pytest.raises(ValueError):
         filters.select_features(atoms(spark), ["charge"], ["charge"])
