@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import one_letter
 from ..sources.structures import COORDS
+from .scratch import written
 
 KEPT = ("MODEL", "ATOM", "HETATM", "ANISOU", "ENDMDL", "END", "TER", "CONECT", "MASTER")
 
@@ -193,14 +194,19 @@ def harmonize(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.where(is_coord()).join(right.where(is_coord()).select(*_ID).distinct(), _ID, "left_semi")
 
 
-def join_models(df: DataFrame, group: str, strict: bool = False) -> DataFrame:
+def join_models(df: DataFrame, group: str, strict: bool = False, dealt: bool = False) -> DataFrame:
     """Structures of a group as its models, numbered by path: how many atoms of the group's first model each lacks, and how
-    many it has besides. An atom that is listed twice counts once. ``strict``: a model that lacks atoms is an error."""
-    atoms = df.where(is_coord()).select(group, "path", F.struct(*_ID).alias("atom")).distinct()
-    models = atoms.groupBy(group, "path").agg(F.count("*").alias("n")).withColumn("model", F.row_number().over(Window.partitionBy(group).orderBy("path")))
-    first = models.where("model = 1").select(group, "path", F.col("n").alias("n_first"))
-    shared = atoms.join(atoms.join(first, [group, "path"]).select(group, "atom"), [group, "atom"], "left_semi").groupBy(group, "path").agg(F.count("*").alias("k"))
-    out = models.join(first.drop("path"), group).join(shared, [group, "path"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    many it has besides. An atom that is listed twice counts once. ``strict``: a model that lacks atoms is an error. Rows are
+    dealt by group once, for all steps up to the counts, which are written. ``dealt``: those of a group are in one task already."""
+    rows = df.where(is_coord() & F.col(group).isNotNull()).select(group, "path", *_ID)
+    rows = rows if dealt else rows.repartition(group)
+    holders = rows.groupBy(group, *_ID).agg(F.collect_set("path").alias("paths")).select(group, "paths")
+    kinds = holders.groupBy(group, F.array_sort("paths").alias("paths")).agg(F.count("*").alias("c"))  # atoms of the same holders
+    first = F.min(F.get("paths", F.lit(0))).over(Window.partitionBy(group))
+    each = kinds.withColumn("first", first).select(group, "c", F.array_contains("paths", F.col("first")).alias("shared"), F.explode("paths").alias("path"))
+    models = written(each.groupBy(group, "path").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("shared"), F.col("c")).otherwise(0)).alias("k")), "models")
+    own = Window.partitionBy(group)
+    out = models.withColumn("model", F.row_number().over(own.orderBy("path"))).withColumn("n_first", F.min_by("n", "path").over(own))
     missing = F.col("n_first") - F.col("k")
     if strict:
         missing = F.when(missing > 0, F.raise_error(F.concat(F.lit("Different atoms in model "), F.col("model").cast("string"))).cast("long")).otherwise(missing)

@@ -239,10 +239,11 @@ SELECT family, m.path, CAST(m.model AS INT) AS model, f.n - coalesce(k, 0) AS n_
   AND m.n = coalesce(k, 0) AS same_atoms FROM m JOIN (SELECT family, n FROM m WHERE model = 1) f USING (family) LEFT JOIN s USING (family, path)""")
 def tr26(d):
     """Each structure with two copies of it: one without some atoms, one with some in another chain."""
-    own = written(d.select("path", "record", "serial", *_ATOM.split(", ")), "records").withColumn("family", F.col("path"))  # parsed once
-    fewer = own.where("path % 2 = 1 or serial % 50 != 0").withColumn("path", F.col("path") + 100000)
-    moved = own.withColumn("chain", F.when((F.col("path") % 3 == 0) & (F.col("serial") % 70 == 0), "#").otherwise(F.col("chain"))).withColumn("path", F.col("path") + 200000)
-    return R.join_models(own.unionByName(fewer).unionByName(moved), "family")
+    moved = F.when((F.col("path") % 3 == 0) & (F.col("serial") % 70 == 0), "#").otherwise(F.col("chain"))
+    fewer = (F.col("path") % 2 == 1) | (F.col("serial") % 50 != 0)
+    one = lambda more, chain: F.struct((F.col("path") + more).alias("path"), chain.alias("chain"))
+    own = d.where(R.is_coord()).select(F.col("path").alias("family"), "record", *(c for c in _ATOM.split(", ") if c != "chain"), F.array_compact(F.array(one(0, F.col("chain")), F.when(fewer, one(100000, F.col("chain"))), one(200000, moved))).alias("_m"))
+    return R.join_models(own.select("*", F.explode("_m").alias("_c")).select("*", "_c.*").drop("_m", "_c"), "family", dealt=True)
 
 
 @rec("TR28_drop_ter", f"SELECT path, line_no, record, CASE WHEN {CO} THEN concat_ws(' ', printf('%.3f', x), printf('%.3f', y), printf('%.3f', z)) END AS xyz FROM records")

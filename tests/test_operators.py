@@ -207,6 +207,27 @@ def test_streamed_files_come_once(spark, tmp_path):
     assert sum(seen) == 2
 
 
+def test_models_of_a_group_are_joined_where_its_rows_are(spark, monkeypatch):
+    """Rows are dealt by group once, not for the models, their first and the shared atoms each; and they equal brute force."""
+    plans = []
+
+    def written(df, name, f=records.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return f(df, name)
+
+    monkeypatch.setattr(records, "written", written)
+    rows = [(g, 10 * g + p, n, f"A{(n * (p + 1) + g) % 7}") for g in range(5) for p in range(3) for n in range(6)]
+    d = spark.createDataFrame([(*r, "ATOM", "ALA", "A", None if r[2] == 5 else 1, " ", " ") for r in rows], "family long, path long, line_no long, atom_name string, record string, resname string, chain string, resseq int, icode string, altloc string")
+    sets = {}
+    for g, p, n, a in rows:
+        sets.setdefault((g, p), set()).add((a, n == 5))
+    want = {(g, p): (p % 10 + 1, len(sets[g, 10 * g] - s), len(s - sets[g, 10 * g])) for (g, p), s in sets.items()}
+    for dealt in (False, True):
+        got = records.join_models(d.repartition("family") if dealt else d, "family", dealt=dealt)
+        assert {(r.family, r.path): (r.model, r.n_missing, r.n_extra) for r in got.collect()} == want
+    assert [p.count("Exchange") for p in plans] == [1, 1]
+
+
 def test_folders_are_listed_by_few_tasks(spark, tmp_path):
     """Spark would take a task for each folder, once to look, once to plan a batch, and again for a run that finds nothing."""
     for k in range(60):
